@@ -1,10 +1,12 @@
 """The registered queries of the package, and their SQL."""
-from . import bpe, decontamination
+from . import bpe, decontamination, substring
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
+    "op2_substring_dedup": substring.query,
     "op8_bpe": bpe.query,
 }
 ORACLES = {
     "op1_decontamination": decontamination.ORACLE,
+    "op2_substring_dedup": substring.ORACLE,
 }
