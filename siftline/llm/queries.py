@@ -1,12 +1,14 @@
 """The registered queries of the package, and their SQL."""
-from . import bpe, decontamination, substring
+from . import bpe, decontamination, substring, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_substring_dedup": substring.query,
+    "op7_warc": warc.query,
     "op8_bpe": bpe.query,
 }
 ORACLES = {
     "op1_decontamination": decontamination.ORACLE,
     "op2_substring_dedup": substring.ORACLE,
+    "op7_warc": warc.ORACLE,
 }
