@@ -1,10 +1,11 @@
 """The registered queries of the package, and their SQL."""
-from . import bpe, decontamination, lm, substring, warc
+from . import bpe, decontamination, langid, lm, substring, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_substring_dedup": substring.query,
     "op5_lm_score": lm.query,
+    "op6_langid": langid.query,
     "op7_warc": warc.query,
     "op8_bpe": bpe.query,
 }
@@ -12,5 +13,6 @@ ORACLES = {
     "op1_decontamination": decontamination.ORACLE,
     "op2_substring_dedup": substring.ORACLE,
     "op5_lm_score": lm.query,
+    "op6_langid": langid.query,
     "op7_warc": warc.ORACLE,
 }
