@@ -187,7 +187,7 @@ def _pack(repeats, width: int, size: int):
                 elif here == before:
                     continue
                 else:
-                    kind, packed = MARK, None
+                    kind, key, packed = MARK, rk, None  # by its document: a hot bucket's marks are spread
                 for to, x in zip(out, (kind, key, rk, rf, a, n, packed)):
                     to.append(x)
             if len(seen) > REMEMBERED:
