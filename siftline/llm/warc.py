@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, table, written
 
 REVISIT_FROM = 100
 _END = "\r\n\r\n"
@@ -167,7 +167,7 @@ def transactions(rows: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     write(table(spark, sf_dir, "pages"), path)
-    rows = transactions(parsed(spark, path))
+    rows = transactions(written(parsed(spark, path)))  # parsed once; without payloads
     return rows.select(
         "page_id", F.coalesce("resolved.bytes", "response.bytes").alias("payload_bytes"),
         F.coalesce("resolved.digest", "response.digest").alias("payload_digest"),
