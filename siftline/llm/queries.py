@@ -1,5 +1,5 @@
 """The registered queries of the package, and their SQL."""
-from . import bpe, decontamination, langid, lm, substring, toxicity, warc
+from . import bpe, decontamination, embeddings, langid, lm, substring, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_langid": langid.query,
     "op7_warc": warc.query,
     "op8_bpe": bpe.query,
+    "op9_embedding_dedup": embeddings.query,
     "op10_toxicity": toxicity.query,
 }
 ORACLES = {
