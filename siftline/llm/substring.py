@@ -80,9 +80,14 @@ def _minimisers(width: int, size: int, buckets: int):
     return run
 
 
-def _repeated(batches):
+def _repeated(width: int):
+    return lambda batches: _count_keys(batches, width)
+
+
+def _count_keys(batches, width: int):
     for q, held in grouped(batches, "q"):
-        keys = np.sort(np.frombuffer(b"".join(x for b in held for x in column(b, "blob").to_pylist()), np.uint64))
+        raw = b"".join(x for b in held for x in column(b, "blob").to_pylist())
+        keys = np.sort(np.frombuffer(raw, np.uint64) if width == 8 else widened(raw))
         starts, sizes = runs(keys)
         twice = sizes > 1
         yield pa.RecordBatch.from_arrays(
@@ -133,10 +138,25 @@ class Repeats:
         return self.hot[at] == keys
 
 
-def repeats_of(blobs: DataFrame, map_bits: int = MAP_BITS, hot_share: float = 1e-4, hot_least: int = 2000):
-    """A broadcast Repeats of (q, blob of uint64) rows.  Hot: at least hot_share of all, so at most 1/hot_share keys."""
+def narrowed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the keys' upper 48 bits in order, those bits as rows of 6 bytes): less to send where only "seen twice" matters."""
+    top = keys >> np.uint64(16)
+    mixed = mix(top)
+    order = np.argsort(mixed)
+    return mixed[order], np.ascontiguousarray(top[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def widened(raw: bytes) -> np.ndarray:
+    """The hashes of keys sent as 6 bytes each."""
+    full = np.zeros((len(raw) // 6, 8), np.uint8)
+    full[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return mix(full.view("<u8").ravel().astype(np.uint64))
+
+
+def repeats_of(blobs: DataFrame, map_bits: int = MAP_BITS, hot_share: float = 1e-4, hot_least: int = 2000, width: int = 8):
+    """A broadcast Repeats of (q, blob of uint64, or of 6-byte keys) rows.  Hot: at least hot_share of all, so at most 1/hot_share keys."""
     spark = blobs.sparkSession
-    found = blobs.repartition(parts(spark), "q").sortWithinPartitions("q").mapInArrow(_repeated, "q long, n long, total long, keys binary, counts binary")
+    found = blobs.repartition(parts(spark), "q").sortWithinPartitions("q").mapInArrow(_repeated(width), "q long, n long, total long, keys binary, counts binary")
     found = written(found)
     n, total = found.agg(F.sum("n"), F.sum("total")).first()
     bits = BUCKETS * 64
