@@ -1,9 +1,10 @@
 """The registered queries of the package, and their SQL."""
-from . import bpe, decontamination, embeddings, jaccard, langid, lm, substring, toxicity, warc
+from . import bpe, decontamination, embeddings, jaccard, langid, licenses, lm, substring, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_substring_dedup": substring.query,
+    "op3_license_scan": licenses.query,
     "op4_jaccard_join": jaccard.query,
     "op5_lm_score": lm.query,
     "op6_langid": langid.query,

@@ -51,10 +51,11 @@ def run_hashes(values: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends:
 class Words:
     """Words [^\\x20\\x09-\\x0D]+ of a string column: spans in `data`, hashes, and the first word of each row."""
 
-    def __init__(self, column, lower: bool = False, hashes: bool = True):
+    def __init__(self, column, lower: bool = False, hashes: bool = True, fold: np.ndarray | None = None):
+        """fold: a table of 256 bytes that is applied first, instead of lower's."""
         data, offs = text_buffers(column)
-        if lower:
-            data = _LOWER[data]
+        if lower or fold is not None:
+            data = (_LOWER if fold is None else fold)[data]
         self.data, self.offs, self.rows = data, offs, len(offs) - 1
         gap = _WORD_SPACE[data]
         inside = ~gap
