@@ -1,4 +1,4 @@
-"""The registered queries of the package, and their SQL."""
+"""The registered queries of the package, and their SQL where SQL can express them."""
 from . import bpe, decontamination, embeddings, jaccard, langid, licenses, lm, substring, toxicity, warc
 
 QUERIES = {
@@ -16,9 +16,6 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": decontamination.ORACLE,
     "op2_substring_dedup": substring.ORACLE,
-    "op4_jaccard_join": jaccard.query,
-    "op5_lm_score": lm.query,
-    "op6_langid": langid.query,
     "op4_jaccard_join": jaccard.ORACLE,
     "op7_warc": warc.ORACLE,
 }
