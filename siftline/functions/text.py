@@ -94,3 +94,11 @@ def generation_params(draw_length: Column, draw_style: Column) -> Column:
 
 def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def filled(template: str, **columns: Column) -> Column:
+    """A prompt template with {name} places filled by columns; null is empty, and braces in values stay as they are."""
+    import re
+
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(columns[x].cast("string"), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)])

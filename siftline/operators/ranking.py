@@ -123,3 +123,20 @@ def first_queries(queries: DataFrame, qrels: DataFrame, most: int) -> tuple:
     """The first queries by id, and their judgements."""
     kept = queries.orderBy("qid").limit(most)
     return kept, qrels.join(kept.select("qid"), "qid", "left_semi")
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """n_pairs, n_instructed, n_negatives of paired rows (query_id, only_instruction, new_negatives); see checked_pairs."""
+    instructed = F.col("query_id").endswith("-instruct") & (F.coalesce(F.trim("only_instruction"), F.lit("")) != "")
+    base = F.regexp_replace("query_id", "-instruct$", "")
+    sides = rows.groupBy(base.alias("base")).agg(F.max((~F.col("query_id").endswith("-instruct")).cast("int")).alias("std"), F.max(instructed.cast("int")).alias("ins"),
+                                                 F.sum(F.when(instructed, F.size(F.coalesce("new_negatives", F.array()))).otherwise(0)).alias("neg"))
+    return sides.agg(F.count_if((F.col("std") == 1) & (F.col("ins") == 1)).alias("n_pairs"), F.count_if(F.col("ins") == 1).alias("n_instructed"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_negatives"))
+
+
+def checked_pairs(rows: DataFrame) -> DataFrame:
+    """rows, or an error if they hold no pair or no instruction negative."""
+    counts = pair_counts(rows).first()
+    if not counts.n_pairs or not counts.n_negatives:
+        raise ValueError(f"{counts.n_pairs} pairs and {counts.n_negatives} instruction negatives")
+    return rows

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import draw
 from ..functions.schemas import GENERATED
-from ..functions.text import generation_params, parse_answer, passage, prefixed, role_of, tokens
+from ..functions.text import filled, generation_params, parse_answer, passage, prefixed, role_of, tokens
 from ..operators import bm25, dedup, records, sampling, split
 from ..sources import files
 from ..sources.scratch import scratch
@@ -418,3 +418,10 @@ SELECT doc_id, CAST(len({_TOK}) AS INT) AS n_tokens, CAST(len(list_filter({_TOK}
 def analyzer_tokens(spark, d):
     t = tokens(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(tokens(F.col("text"), ("the", "of", "and"))).alias("n_content"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+@_R.add("prompt_fill", """
+SELECT item_id, 'Query: ' || text || chr(10) || 'Tier {x}: ' || CAST(item_id % 5 AS VARCHAR) || '.' AS prompt FROM benchmark
+""")
+def prompt_fill(spark, d):
+    return table(spark, d, "benchmark").select("item_id", filled("Query: {text}\nTier {open}x}: {tier}.", text=F.col("text"), tier=F.col("item_id") % 5, open=F.lit("{")).alias("prompt"))

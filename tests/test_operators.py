@@ -287,3 +287,18 @@ def test_empty_inputs(spark):
     assert dense.topk(spark.createDataFrame([], "qid long, v array<float>"), spark.createDataFrame([], "docid long, v array<float>"), 3).count() == 0
     assert split.shard_numbers(spark.createDataFrame([], "k long"), 10, "k").count() == 0
     assert spark.createDataFrame([], FILTERED).count() == 0
+
+
+def test_pair_counts_and_checks(spark):
+    kind = "query_id string, only_instruction string, new_negatives array<string>"
+    rows = spark.createDataFrame([("1", "", []), ("1-instruct", "only x", ["a", "b"]), ("2", "", []), ("2-instruct", " ", ["c"]), ("3-instruct", "y", [])], kind)
+    r = ranking.pair_counts(rows).first()
+    assert (r.n_pairs, r.n_instructed, r.n_negatives) == (1, 2, 2)
+    assert ranking.checked_pairs(rows).count() == 5
+    with pytest.raises(ValueError):
+        ranking.checked_pairs(rows.where("query_id = '1'"))
+
+
+def test_prompts_are_filled(spark):
+    r = spark.createDataFrame([("a{x}", None)], "x string, y string").select(T.filled("Q {x} / {y}.", x=F.col("x"), y=F.col("y")).alias("p")).first()
+    assert r.p == "Q a{x} / ."
