@@ -20,6 +20,12 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch tables that nothing reads any more."""
+    for path in paths:
+        _drop(spark, path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -29,6 +35,12 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
+    return written_at(df)[0]
+
+
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table and its path, for dropped()."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
