@@ -1,8 +1 @@
 """Operators for large training corpora.  Nothing outside this package imports it."""
-import sys
-
-from pyspark import cloudpickle
-
-# Functions of the package travel to the executors by value, so that a cluster
-# need not have the package installed on its workers.
-cloudpickle.register_pickle_by_value(sys.modules["siftline"])
