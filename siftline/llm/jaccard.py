@@ -207,16 +207,16 @@ def joined(docs: DataFrame) -> DataFrame:
     sets = classes.select("x", "n", "set")
 
     # the least class of each leading shingle is a pivot
-    held = classes.select("x", F.explode("lead").alias("s"))
-    least = held.groupBy("s").agg(F.min("x").alias("p"), F.max("x").alias("q")).where("p <> q").select("s", "p")
-    pairs = held.join(least, "s").select("p", "x").distinct().where("p <> x")
-    pivots = sets.select(F.col("x").alias("p"), F.col("n").alias("np"), F.col("set").alias("sp"))
-    near = (pairs.join(sets, "x").join(pivots, "p")
-            .withColumn("i", F.when(2 * F.least("n", "np") >= F.greatest("n", "np"), F.size(F.array_intersect("set", "sp"))))
-            .select("p", "x", "n", "np", F.col("i").cast("long").alias("i")))
-    # sizes that differ more than twofold are over 1/2 apart; the size alone bounds the distance then
-    near = near.withColumn("d", F.when(F.col("i").isNull(), F.lit(None).cast("double")).otherwise(1 - F.col("i") / (F.col("n") + F.col("np") - F.col("i"))))
-    near = written(near)
+    held = classes.select("x", "n", F.explode("lead").alias("s"))
+    least = held.groupBy("s").agg(F.min(F.struct("x", "n")).alias("p"), F.max("x").alias("q")).where("p.x <> q")
+    pairs = held.join(least.select("s", F.col("p.x").alias("p"), F.col("p.n").alias("np")), "s").where("p <> x").select("p", "np", "x", "n").distinct()
+    # sizes that differ more than twofold are over 1/2 apart without a look at the sets
+    measured = pairs.where("2 * least(n, np) >= greatest(n, np)")
+    pivots = sets.select(F.col("x").alias("p"), F.col("set").alias("sp"))
+    i = F.size(F.array_intersect("set", "sp")).cast("long").alias("i")
+    near = measured.join(sets.select("x", "set"), "x").join(pivots, "p").select("p", "x", "n", "np", i).withColumn("d", 1 - F.col("i") / (F.col("n") + F.col("np") - F.col("i")))
+    far = pairs.where("2 * least(n, np) < greatest(n, np)").select("p", "x", "n", "np", F.lit(None).cast("long").alias("i"), F.lit(None).cast("double").alias("d"))
+    near = written(near.unionByName(far))
     links = near.where(F.col("i").isNotNull() & (100 * F.col("i") >= 75 * (F.col("n") + F.col("np") - F.col("i")))).select(F.col("p").alias("a"), F.col("x").alias("b"))
 
     more = _within_regions(near, sets, components(links))
@@ -232,7 +232,8 @@ def _within_regions(near: DataFrame, sets: DataFrame, labels: DataFrame) -> Data
     """Links between members of a region that its pivot does not connect."""
     spark = near.sparkSession
     label = labels.select(F.col("node").alias("x"), "component")
-    own = near.select("p", "x", "d").unionByName(near.select("p", F.col("p").alias("x"), F.lit(0.0).alias("d")).distinct())
+    # the pivot's own links are all decided: it does not meet its members again
+    own = near.select("p", "x", "d")
     own = own.join(label, "x", "left").withColumn("component", F.coalesce("component", "x"))
     # regions with members that are not connected yet
     open_ = own.groupBy("p").agg(F.min("component").alias("m0"), F.max("component").alias("m1"), F.count("*").alias("members")).where("m0 <> m1")
