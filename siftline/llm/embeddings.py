@@ -234,14 +234,16 @@ def _search(beam: int, cosine: float):
             heads = np.searchsorted(src, np.arange(len(ids) + 1))
             mine = np.flatnonzero(own)
             medoid = int(mine[(v[mine] @ v[mine].mean(0)).argmax()])
+            keys = []
             for lo in range(0, len(mine), BLOCK):
                 block = mine[lo : lo + BLOCK]
                 qi, nodes = search(v, heads, adj, block, medoid, beam, cosine)
-                a, b = ids[block[qi]], ids[nodes]
-                exact = np.einsum("ij,ij->i", v[block[qi]], v[nodes]) >= cosine
+                a, b = block[qi], nodes
+                exact = np.einsum("ij,ij->i", v[a], v[b]) >= cosine
                 keep = exact & (a != b)
-                a, b = a[keep], b[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                keys.append(np.unique(np.minimum(a, b)[keep] * len(ids) + np.maximum(a, b)[keep]))
+            keys = np.unique(np.concatenate(keys))  # a pair that both sides found is sent once
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keys // len(ids)]), pa.array(ids[keys % len(ids)])], ["a", "b"])
 
     return run
 
