@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, column, grouped, longs, parts, table, written
+from .common import chunked, column, dropped, grouped, longs, parts, table, written, written_at
 from .components import components
 from .substring import BUCKETS, Repeats, narrowed, repeats_of
 from .textops import Words, dealt, mix, ngrams, run_hashes, runs
@@ -198,12 +198,14 @@ def joined(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_k"), "text")
     repeats = repeats_of(base.select("text").mapInArrow(_all_shingles, "q long, blob binary"), width=6)
-    rows = written(base.mapInArrow(_sets(repeats), "_k long, n long, print binary, lead array<long>, set array<long>"))
+    whole, whole_path = written_at(base.mapInArrow(_sets(repeats), "_k long, n long, print binary, lead array<long>, set array<long>"))
 
     # equal sets are one class, named by the row number of a member that carries the set
-    found = rows.where("print is not null")
-    classes = found.where("set is not null").groupBy("print").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("set").alias("set"))
-    classes = written(classes.withColumn("x", F.monotonically_increasing_id()))
+    classes = whole.where("set is not null").groupBy("print").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("set").alias("set"))
+    classes, classes_path = written_at(classes.withColumn("x", F.monotonically_increasing_id()))
+    rows = written(whole.select("_k", "n", "print"))
+    named = written(classes.select("print", "x"))
+    dropped(spark, whole_path)
     sets = classes.select("x", "n", "set")
 
     # the least class of each leading shingle is a pivot
@@ -220,9 +222,10 @@ def joined(docs: DataFrame) -> DataFrame:
     links = near.where(F.col("i").isNotNull() & (100 * F.col("i") >= 75 * (F.col("n") + F.col("np") - F.col("i")))).select(F.col("p").alias("a"), F.col("x").alias("b"))
 
     more = _within_regions(near, sets, components(links))
+    dropped(spark, classes_path)
     labels = components(links.unionByName(more))
-    labels = classes.select("print", "x").join(labels.withColumnRenamed("node", "x"), "x", "left").select("print", F.coalesce("component", "x").alias("c"))
-    firsts = found.select("_k", "print").join(labels, "print").groupBy("c").agg(F.min("_k").alias("component"))
+    labels = named.join(labels.withColumnRenamed("node", "x"), "x", "left").select("print", F.coalesce("component", "x").alias("c"))
+    firsts = rows.where("print is not null").select("_k", "print").join(labels, "print").groupBy("c").agg(F.min("_k").alias("component"))
     labels = labels.join(firsts, "c").select("print", "component")
     return rows.select("_k", "n", "print").join(labels, "print", "left").select(
         "_k", F.col("n").alias("n_shingles"), F.coalesce("component", "_k").alias("component"))

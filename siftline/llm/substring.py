@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, column, grouped, id_of, keyed, longs, parts, written
+from .common import chunked, column, dropped, grouped, id_of, keyed, longs, parts, written_at
 from .textops import Words, dealt, mix, ngrams, runs, sliding_min
 
 WIDTH = 20
@@ -157,7 +157,7 @@ def repeats_of(blobs: DataFrame, map_bits: int = MAP_BITS, hot_share: float = 1e
     """A broadcast Repeats of (q, blob of uint64, or of 6-byte keys) rows.  Hot: at least hot_share of all, so at most 1/hot_share keys."""
     spark = blobs.sparkSession
     found = blobs.repartition(parts(spark), "q").sortWithinPartitions("q").mapInArrow(_repeated(width), "q long, n long, total long, keys binary, counts binary")
-    found = written(found)
+    found, path = written_at(found)
     n, total = found.agg(F.sum("n"), F.sum("total")).first()
     bits = BUCKETS * 64
     while bits < min(map_bits, 16 * (n or 0)):
@@ -168,6 +168,7 @@ def repeats_of(blobs: DataFrame, map_bits: int = MAP_BITS, hot_share: float = 1e
         bitmap[r.q * own // 8 : (r.q + 1) * own // 8] = np.frombuffer(r.segment, np.uint8)
     least = max(hot_least, int((total or 0) * hot_share))
     hot = [r.key for r in found.select("keys", "counts").mapInArrow(_hot(least), "key long").collect()]
+    dropped(spark, path)
     return spark.sparkContext.broadcast((own, BUCKETS, bitmap, np.sort(np.array(hot, np.int64).view(np.uint64))))
 
 
