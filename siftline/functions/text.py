@@ -102,3 +102,26 @@ def filled(template: str, **columns: Column) -> Column:
 
     parts = re.split(r"\{(\w+)\}", template)
     return F.concat(*[F.coalesce(columns[x].cast("string"), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def instructed_query(text: Column, model_type: str, dataset_type: str, instruction: str) -> Column:
+    """A query as a model gets it: on plain benchmarks (rumteb, en_mteb) a causal model's queries end with a generic instruction."""
+    if dataset_type in ("rumteb", "en_mteb") and model_type == "causal_lm":
+        return F.concat(text, F.lit(f" {instruction}"))
+    return text
+
+
+def appended_instruction(text: Column, role: Column, instruction: str) -> Column:
+    """Queries, right-stripped, with the instruction behind them; other roles as they are."""
+    return F.when(role == "query", strip(F.concat(F.regexp_replace(text, f"{_SPACE}$", ""), F.lit(f" {instruction}")))).otherwise(text)
+
+
+def plain_prefix(text: Column, role: Column, query_prefix: str, passage_prefix: str) -> Column:
+    """An encoder's prefix before the text as it is, nothing stripped."""
+    return F.when(role == "query", F.concat(F.lit(query_prefix), text)).when(role == "passage", F.concat(F.lit(passage_prefix), text)).otherwise(text)
+
+
+def remapped_role(role: Column, known: list) -> Column:
+    """The prompt name of a model that knows only some: a passage is a document where that is the known name, and has no prompt where neither is."""
+    other = F.lit("passage") if "passage" in known else F.lit("document") if "document" in known else F.lit(None).cast("string")
+    return F.when(role == "passage", other).otherwise(role)

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import draw
 from ..functions.schemas import GENERATED
-from ..functions.text import filled, generation_params, parse_answer, passage, prefixed, role_of, tokens
+from ..functions.text import (ENGLISH_STOPWORDS, appended_instruction, filled, generation_params, instructed_query, parse_answer, passage, plain_prefix, prefixed,
+                              remapped_role, role_of, tokens)
 from ..operators import bm25, dedup, records, sampling, split
 from ..sources import files
 from ..sources.scratch import scratch
@@ -425,3 +426,42 @@ SELECT item_id, 'Query: ' || text || chr(10) || 'Tier {x}: ' || CAST(item_id % 5
 """)
 def prompt_fill(spark, d):
     return table(spark, d, "benchmark").select("item_id", filled("Query: {text}\nTier {open}x}: {tier}.", text=F.col("text"), tier=F.col("item_id") % 5, open=F.lit("{")).alias("prompt"))
+
+
+@_R.add("prepared_queries", """
+SELECT item_id, text || ' Find it.' AS causal, text AS encoder, rtrim(text) || ' Find it.' AS appended, 'q: ' || text AS plain, 'document' AS remapped FROM benchmark
+""")
+def prepared_queries(spark, d):
+    q, t = F.lit("query"), F.col("text")
+    return table(spark, d, "benchmark").select(
+        "item_id", instructed_query(t, "causal_lm", "rumteb", "Find it.").alias("causal"), instructed_query(t, "encoder", "rumteb", "Find it.").alias("encoder"),
+        appended_instruction(t, q, "Find it.").alias("appended"), plain_prefix(t, q, "q: ", "p: ").alias("plain"), remapped_role(F.lit("passage"), ["query", "document"]).alias("remapped"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in ENGLISH_STOPWORDS)
+_EVAL_SCORES = _SCORES.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN lang <> '' THEN lang || ' ' || text ELSE text END AS text FROM documents))").replace(_TOK, f"list_filter({_TOK}, lambda t: t NOT IN ({_STOP}))")
+
+
+@_R.add("bm25_eval_topk", f"WITH {_EVAL_SCORES} SELECT * FROM (SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM sc) WHERE rank <= 100")
+def bm25_eval_topk(spark, d):
+    """The evaluation's analyzer: title and text, English stop words."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("docid"), passage(F.col("lang"), F.col("text"), " ").alias("text"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return bm25.topk(bm25.scores(q, docs, stopwords=ENGLISH_STOPWORDS), 100)
+
+
+@_R.add("limit_per_file", """
+SELECT l_suppkey AS file, l_orderkey AS qid FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 100 + l_linenumber, l_partkey) AS rn FROM lineitem) WHERE rn > 3 AND rn <= 10
+""")
+def limit_per_file(spark, d):
+    """A resume slice: the rows after the first three of every file, seven of them."""
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("qid"), F.struct((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("a"), F.col("l_partkey").alias("b")).alias("line"))
+    return files.first_of_files(rows, 7, 3).select("file", "qid")
+
+
+@_R.add("run_export", f"WITH {_SCORES} SELECT 'bm25' AS model, 'bench' AS task, CAST(qid AS VARCHAR) AS qid, CAST(docid AS VARCHAR) AS docid, score FROM (SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM sc) WHERE rank <= 35")
+def run_export(spark, d):
+    path = scratch(spark)
+    best = bm25.topk(_scored(spark, d), 35)
+    files.write_run(best.select(F.lit("bm25").alias("model"), F.lit("bench").alias("task"), F.col("qid").cast("string").alias("qid"), F.col("docid").cast("string").alias("docid"), "score"), path)
+    return files.read_run(spark, path).select("model", "task", "qid", "docid", "score")

@@ -109,3 +109,28 @@ def log_history(spark: SparkSession, path: str) -> DataFrame:
 def manifest(settings: dict, versions: dict, created: str) -> str:
     """A run manifest as canonical JSON."""
     return json.dumps({"config": settings, "packages": versions, "created_utc": created}, sort_keys=True, ensure_ascii=False)
+
+
+def write_run(run: DataFrame, path: str) -> None:
+    """A run (model, task, qid, docid, score), a folder for each model and task."""
+    run.write.mode("overwrite").partitionBy("model", "task").parquet(path)
+
+
+def read_run(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("qid string, docid string, score double, model string, task string").parquet(path)
+
+
+def store_result(spark: SparkSession, path: str, model: str, dataset: str, results: dict, fingerprint: str, protocol: dict, stamp: str) -> None:
+    """Appends one result document to the results table; what is not JSON is stored as its text."""
+    from ..operators.results import canonical
+
+    body = canonical({"model": model, "dataset": dataset, "timestamp": stamp, "protocol_fingerprint": fingerprint, "protocol": protocol, "results": results})
+    spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("append").option("lineSep", "\n").text(path)
+
+
+def first_of_files(rows: DataFrame, most: int, done: int = 0) -> DataFrame:
+    """Rows done + 1 .. done + most of each file (rows carry file and line)."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("file").orderBy("line"))
+    return rows.withColumn("_n", n).where((F.col("_n") > done) & (F.col("_n") <= done + most)).drop("_n")

@@ -87,3 +87,18 @@ def select_names(known: list, asked: list) -> list:
     if unknown:
         raise ValueError(f"unknown: {', '.join(unknown)}; known: {', '.join(sorted(known))}")
     return [k for k in known if k in set(asked)]
+
+
+def check_mix(kinds: list, instructed: tuple = ("synthetic_test", "instruction")) -> None:
+    """Instruction tasks and plain tasks do not share a run."""
+    sides = {k in instructed for k in kinds}
+    if len(sides) > 1:
+        raise ValueError("instruction tasks and plain tasks cannot be mixed")
+
+
+def check_fields(config: dict, required: tuple) -> dict:
+    """A configuration section with its required fields, or an error that names what is missing."""
+    missing = [k for k in required if config.get(k) in (None, "", [], {})]
+    if missing:
+        raise ValueError(f"missing: {', '.join(missing)}")
+    return config

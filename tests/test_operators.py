@@ -302,3 +302,32 @@ def test_pair_counts_and_checks(spark):
 def test_prompts_are_filled(spark):
     r = spark.createDataFrame([("a{x}", None)], "x string, y string").select(T.filled("Q {x} / {y}.", x=F.col("x"), y=F.col("y")).alias("p")).first()
     assert r.p == "Q a{x} / ."
+
+
+def test_checks_of_configurations():
+    retrieval.check_mix(["rumteb", "en_mteb"])
+    with pytest.raises(ValueError):
+        retrieval.check_mix(["rumteb", "synthetic_test"])
+    assert retrieval.check_fields({"a": 1}, ("a",)) == {"a": 1}
+    with pytest.raises(ValueError):
+        retrieval.check_fields({"a": ""}, ("a", "b"))
+
+
+def test_results_are_stored_and_scanned(spark, tmp_path):
+    at = str(tmp_path / "results")
+    files.store_result(spark, at, "m", "d", {"x": 1}, "f1", {"top_k": 5}, "20240101_000000")
+    files.store_result(spark, at, "m2", "d", {"x": 2}, "f2", {}, "20240101_000001")
+    (tmp_path / "results" / "manifest.json").write_text('{"config": 1}')
+    rows = spark.read.text(at).collect()
+    assert len(rows) == 3
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "r.json").write_text(next(r.value for r in rows if '"m2"' in r.value))
+    (tmp_path / "one" / "manifest.json").write_text('{"config": 1}')
+    found = files.result_documents(spark, str(tmp_path / "one")).collect()
+    assert [(r.model, r.fingerprint, json.loads(r.results)) for r in found] == [("m2", "f2", {"x": 2})]
+
+
+def test_roles_of_models_that_know_few(spark):
+    df = spark.createDataFrame([("passage",), ("query",)], "r string")
+    got = lambda known: col(df.select(T.remapped_role(F.col("r"), known).alias("x")), "x")
+    assert got(["query", "document"]) == ["document", "query"] and got(["query"]) == [None, "query"] and got(["passage"]) == ["passage", "query"]
