@@ -8,8 +8,8 @@ through WARC-Refers-To, and emits one nested row per capture.
 
 Archives are gzip members written by Spark's text writer into the shared folder:
 the record terminator CRLF CRLF is the writer's line separator, and a payload is
-UTF-8 text.  They are read as whole binary files, whose size is bounded by
-`records_per_file`.
+UTF-8 text.  They are read as whole binary files, whose number of captures is
+bounded by `captures_per_file`.
 
 A payload of at least REVISIT_FROM bytes that several pages share is stored once,
 with the smallest page_id; smaller payloads are always stored.  Null html is an
@@ -58,8 +58,8 @@ def captures(pages: DataFrame) -> DataFrame:
     return rows.join(shared, "digest", "left").withColumn("first_page", F.when(F.col("first_page") != F.coalesce("page_id", F.lit(-1) - F.col("first_page")), F.col("first_page")))
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = 6000) -> None:
-    """Writes the pages' captures as WARC files below path."""
+def write(pages: DataFrame, path: str, captures_per_file: int = 5000) -> None:
+    """Writes the pages' captures as WARC files below path, of about captures_per_file captures and at most twice as many."""
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     rows = captures(pages).withColumn("_row", F.monotonically_increasing_id().cast("string"))
     revisit = F.col("first_page").isNotNull()
@@ -82,7 +82,8 @@ def write(pages: DataFrame, path: str, records_per_file: int = 6000) -> None:
                        [F.concat(F.lit("WARC-Concurrent-To: "), capture)], F.lit("application/warc-fields"),
                        F.concat(F.lit("page-id: "), page, F.lit("\r\npayload-bytes: "), F.col("size").cast("string")))
     out = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    (out.write.option("compression", "gzip").option("lineSep", _END).option("maxRecordsPerFile", records_per_file).text(path))
+    files = max(1, -(-pages.count() // captures_per_file))
+    out.coalesce(files).write.option("compression", "gzip").option("lineSep", _END).option("maxRecordsPerFile", 6 * captures_per_file).text(path)
 
 
 def records(data: bytes):
