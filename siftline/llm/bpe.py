@@ -42,8 +42,32 @@ def byte_letters() -> list:
     return out
 
 
+def later_letters() -> tuple:
+    """Code points that only newer Unicode versions assign to letters or digits, as ranges of a character class, and lower cases that
+    the interpreter lacks.
+
+    The library's own tables decide which: it is asked for the characters that the interpreter's Unicode version lacks.
+    """
+    import unicodedata
+
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    found = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    known = {ord(c) for c, _ in pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True).pre_tokenize_str(" ".join(map(chr, found)))}
+    ranges = []
+    for c in (c for c in found if c not in known):
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    low = normalizers.Lowercase()
+    folds = {c: x for c in found if (x := low.normalize_str(chr(c))) != chr(c)}
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges), folds
+
+
 class Codec:
-    def __init__(self, source: str):
+    def __init__(self, source: str, later: tuple | None = None):
         spec = json.loads(source)
         model = spec["model"]
         self.vocab = model["vocab"]
@@ -52,6 +76,11 @@ class Codec:
         self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
+        later, self.folds = later_letters() if later is None else later
+        self.folding = regex.compile("[" + "".join(map(chr, self.folds)) + "]") if self.folds else None
+        self.later = regex.compile(f"[{later}]") if later else None
+        if later:
+            self.careful = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{later}]]+|[\p{{N}}--[{later}]]|[[^{_SPACE}\p{{L}}\p{{N}}]||[{later}]]+")
         found = sorted(map(regex.escape, self.special), key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(found) + ")") if found else None
         self.letters = byte_letters()
@@ -105,12 +134,16 @@ class Codec:
     def _piece(self, text: str, ids: list, out: list) -> None:
         if not text:
             return
+        words, known = self.words, self.known
         if not text.isascii():
             import unicodedata
 
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        known = self.known
-        for word in self.words.findall(text.lower()):
+            if self.folding is not None and self.folding.search(text):
+                text = text.translate(self.folds)
+            if self.later is not None and self.later.search(text):
+                words = self.careful
+        for word in words.findall(text.lower()):
             got = known.get(word)
             if got is None:
                 if len(known) >= REMEMBERED:
@@ -145,7 +178,7 @@ def load(path: str) -> str:
 
 def _encode(source, digest: bool):
     def run(batches):
-        codec = Codec(source.value)
+        codec = Codec(*source.value)
         for batch in batches:
             n, a, b = [], [], []
             for text in column(batch, "text").to_pylist():
@@ -162,7 +195,7 @@ def _encode(source, digest: bool):
 
 def encoded(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids, decoded of every document row; with digest, SHA-256 instead of the last two."""
-    source = docs.sparkSession.sparkContext.broadcast(load(path))  # a fixed public file of under 2 MB
+    source = docs.sparkSession.sparkContext.broadcast((load(path), later_letters()))  # a fixed public file of under 2 MB
     kinds = "ids string, decoded string" if digest else "ids array<long>, decoded string"
     rows = keyed(docs).select("_k", "text").mapInArrow(_encode(source, digest), f"_k long, n_tokens long, {kinds}")
     return rows.select(id_of().alias("doc_id"), "n_tokens", "ids", "decoded")

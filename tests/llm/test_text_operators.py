@@ -170,14 +170,14 @@ def test_bpe_equals_the_library(tokenizer):
     _, library, codec = tokenizer
 
     @settings(max_examples=400, deadline=None)
-    @given(st.text(st.characters(exclude_categories=["Cn", "Cs", "Co"])))
+    @given(st.text())
     def check(x):
         e = library.encode(x, add_special_tokens=False)
         ids, decoded = codec.encode(x)
         assert np.frombuffer(ids, "<u4").tolist() == e.ids and decoded == library.decode(e.ids, skip_special_tokens=False)
 
     check()
-    for x in ["ΑΣ ΟΔΟΣ Σ", "İstanbul", "a<|endoftext|>B <|startoftext|>", "x" * 700 + " " + "abc" * 300, "don't 'S it'S", "½ ² Ⅷ", ""]:
+    for x in ["ΑΣ ΟΔΟΣ Σ", "İstanbul", "a<|endoftext|>B <|startoftext|>", "x" * 700 + " " + "abc" * 300, "don't 'S it'S", "½ ² Ⅷ", ":\U0003d000a\U0003d001 \u0558x", ""]:
         check.hypothesis.inner_test(x)
 
 
