@@ -104,9 +104,13 @@ def filled(template: str, **columns: Column) -> Column:
     return F.concat(*[F.coalesce(columns[x].cast("string"), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)])
 
 
+# Dataset types whose queries carry no instruction.
+PLAIN_TYPES = ("rumteb", "en_mteb")
+
+
 def instructed_query(text: Column, model_type: str, dataset_type: str, instruction: str) -> Column:
-    """A query as a model gets it: on plain benchmarks (rumteb, en_mteb) a causal model's queries end with a generic instruction."""
-    if dataset_type in ("rumteb", "en_mteb") and model_type == "causal_lm":
+    """A query as a model gets it: on plain datasets a causal model's queries end with a generic instruction."""
+    if dataset_type in PLAIN_TYPES and model_type == "causal_lm":
         return F.concat(text, F.lit(f" {instruction}"))
     return text
 

@@ -1,5 +1,4 @@
 """Queries of the evaluation: dense runs, metrics, rank shifts, candidates, qrels, significance."""
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import draw
