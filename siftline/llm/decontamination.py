@@ -11,7 +11,6 @@ against all documents.  Null texts and texts without words have no words and no
 hits; items without words have no pattern; items that share an id count as one;
 document rows are answered one by one, repeated rows included; null ids stay null.
 """
-import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame

@@ -4,7 +4,6 @@ import random
 import zlib
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from siftline.llm import embeddings, langid, toxicity, warc
