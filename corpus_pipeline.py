@@ -27,27 +27,36 @@ LEAST_SCORE = 0.5
 ORACLE_SQL = None
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """docs with every column but text under a name that no operator uses."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c == "text" else f"d_{c}") for c in docs.columns])
+
+
+def _back(rows: DataFrame, docs: DataFrame, **new) -> DataFrame:
+    """The columns of docs again, of which new gives some anew."""
+    return rows.select(*[new.get(c, F.col(f"`{c}`" if c == "text" else f"`d_{c}`")).alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(~split_mod(4, 2)), langid.vocabulary_path())
-    rows = langid.predicted(docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns if c != "text"}), model)
-    rows = rows.where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}")
-    return rows.select(*[F.col(c if c == "text" else f"d_{c}").alias(c) for c in docs.columns])
+    rows = langid.predicted(_aside(docs), model)
+    return _back(rows.where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}"), docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard.joined(docs)
     kept = groups.where("_k = component").select("_k").distinct()
-    rows = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard.LAST)))
-    # rows without words, and rows without an id, belong to no group: all of them stay
-    named = rows.where("doc_id is not null").join(kept, "_k", "left_semi").dropDuplicates(["_k"])
-    return named.unionByName(rows.where("doc_id is null")).select(*docs.columns)
+    rows = _aside(docs).withColumn("_k", F.coalesce(F.col("d_doc_id").cast("long"), F.lit(jaccard.LAST)))
+    # rows without an id have no name to be found by: they stay
+    named = rows.where("d_doc_id is not null").join(kept, "_k", "left_semi").dropDuplicates(["_k"])
+    return _back(named.unionByName(rows.where("d_doc_id is null")), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    more = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    rows = substring.deduplicated(docs.select("doc_id", "text", *more), more=more)
-    rows = rows.where("kept <> ''").withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    rows = _aside(docs)
+    more = tuple(c for c in rows.columns if c != "text")
+    rows = substring.deduplicated(rows.withColumn("doc_id", F.col("d_doc_id")), more=more).where("kept <> ''")
+    return _back(rows, docs, text=F.col("kept"), n_chars=F.length("kept").cast("long"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -275,7 +275,8 @@ def test_pipeline_stages_keep_the_columns(spark, small, frame):
     import corpus_pipeline
 
     docs = frame([(1, "the cat sat on the mat with a dog"), (1, "the cat sat on the mat with a dog"), (2, None), (3, ""), (None, "some words in here and more"), (4, "123")])
-    docs = docs.withColumn("lang_pred", F.lit("clash")).withColumn("score", F.lit(1))
+    clashes = ("lang_pred", "score", "_k", "_fp", "kept", "n_words", "component", "n", "spans", "copies", "d_doc_id", "n_hit")
+    docs = docs.withColumns({c: F.lit(c) for c in clashes})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, small)
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
