@@ -10,7 +10,7 @@ K1, B = 1.5, 0.75
 def postings(corpus: DataFrame, stopwords=(), analyzer=None) -> DataFrame:
     """docid, term, tf, dl of a corpus (docid, text)."""
     toks = (analyzer or (lambda c: tokens(c, stopwords)))(F.col("text"))
-    rows = corpus.select("docid", toks.alias("_t")).where(F.size("_t") > 0)
+    rows = corpus.select("docid", toks.alias("_t"))  # no filter on the tokens: it would compute them again below the projection
     return rows.select("docid", F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("docid", "term", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -31,9 +31,11 @@ def scores(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B,
     """
     toks = (analyzer or (lambda c: tokens(c, stopwords)))(F.col("text"))
     asked = queries.select("qid", F.explode(toks).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    index = postings(corpus, stopwords, analyzer).join(asked.select("term").distinct(), "term", "left_semi")
+    whole = postings(corpus, stopwords, analyzer)
+    index = whole.join(asked.select("term").distinct(), "term", "left_semi")
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    n = F.broadcast(stats(corpus, stopwords, analyzer))  # one row
+    # one row; term frequencies add up to the lengths, so that texts are cut into tokens once
+    n = F.broadcast(whole.agg(F.sum("tf").alias("_t")).crossJoin(corpus.agg(F.count("*").alias("n"))).select("n", (F.col("_t") / F.col("n")).alias("avgdl")))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     weighted = index.join(df, "term").crossJoin(n).select("term", "docid", weight.alias("w"))

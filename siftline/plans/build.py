@@ -7,7 +7,7 @@ from ..functions.text import (ENGLISH_STOPWORDS, appended_instruction, filled, g
                               remapped_role, role_of, tokens)
 from ..operators import bm25, dedup, records, sampling, split
 from ..sources import files
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, spread
 from .registry import Registry, table, u
 
 _R = Registry()
@@ -260,7 +260,7 @@ sc AS (SELECT qid, docid, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) *
 
 
 def _corpus(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("docid"), "text")
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("docid"), "text"))
 
 
 def _scored(spark, d):
@@ -445,7 +445,7 @@ _EVAL_SCORES = _SCORES.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHE
 @_R.add("bm25_eval_topk", f"WITH {_EVAL_SCORES} SELECT * FROM (SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM sc) WHERE rank <= 100")
 def bm25_eval_topk(spark, d):
     """The evaluation's analyzer: title and text, English stop words."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("docid"), passage(F.col("lang"), F.col("text"), " ").alias("text"))
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("docid"), passage(F.col("lang"), F.col("text"), " ").alias("text"))
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return bm25.topk(bm25.scores(q, docs, stopwords=ENGLISH_STOPWORDS), 100)
 

@@ -44,3 +44,12 @@ def written_at(df: DataFrame) -> tuple[DataFrame, str]:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if its files give fewer (a small table in one row group).
+
+    Tables with enough splits stay as they are: no shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
