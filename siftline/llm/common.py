@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import dropped, scratch, written, written_at  # noqa: F401
+from ..sources.scratch import dropped, scratch, spread, written, written_at  # noqa: F401
 
 #: bytes of text that one numpy step holds at a time (a longer single text is one step by itself)
 CHUNK_BYTES = 2 << 20
@@ -12,7 +12,9 @@ NULL_KEY = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the input; small ones that come in few splits are spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages", "embeddings") else df
 
 
 def parts(spark: SparkSession) -> int:
