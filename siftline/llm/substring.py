@@ -59,16 +59,18 @@ def _minimisers(width: int, size: int, buckets: int):
     def run(batches):
         for batch in chunked(batches):
             words = Words(column(batch, "text"))
-            _, _, found, at, mins = _super_kmers(words, width, size)
+            first, last, found, at, mins = _super_kmers(words, width, size)
             if not len(found):
                 continue
-            # a window that recurs inside its own super-k-mer needs its minimiser counted again
+            # a window that recurs inside its own super-k-mer needs its minimiser counted again:
+            # at 1 .. width - size words by the windows themselves, further off by the super-k-mer's length
+            long = found[last - first > width - size + 1]
             whole = ngrams(words.hash, width)
             again = np.zeros(len(whole), bool)
             for step in range(1, width - size + 1):
                 same = whole[:-step] == whole[step:]
                 again[step:] |= same & (words.row[: len(same)] == words.row[step : step + len(same)]) if len(same) else False
-            found = np.sort(np.concatenate([found, mins[again[at]]]))
+            found = np.sort(np.concatenate([found, long, mins[again[at]]]))
             q = dealt(found, buckets)
             starts, sizes = runs(q)
             raw = found.tobytes()

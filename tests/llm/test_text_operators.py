@@ -87,6 +87,14 @@ def test_substring_small_alphabet(frame):
     same(rows(substring.deduplicated(frame(docs), width=6)), brute.substrings(docs, 6))
 
 
+def test_substring_repeats_of_every_period(frame):
+    """Texts of one period each whose words occur in no other document: one window repeated, and many."""
+    docs = [(100 * n + p, " ".join(f"p{p}n{n}w{j % p}" for j in range(length))) for p in range(1, 41) for n, length in enumerate((p + 20, 4 * p + 20))]
+    got = rows(substring.deduplicated(frame(docs)))
+    assert all(r[2] for r in got)
+    same(got, brute.substrings(docs))
+
+
 def test_jaccard_equals_brute_force(frame, prose):
     same(rows(jaccard.near_duplicates(frame(prose))), brute.jaccard(prose))
     assert jaccard.near_duplicates(frame([])).count() == 0
