@@ -17,8 +17,9 @@ What keeps the traffic bounded:
   common word sequence is spread, and a common passage is sent once per task.
 
 Null texts have no words.  Rows that share doc_id and text stand at the same
-position: neither is earlier than the other, and both get the same answer.  A null
-doc_id sorts before all others.
+position: neither is earlier than the other, and both get the same answer.  Rows of
+one doc_id with different texts are both answered; equal starts are not earlier, either.
+A null doc_id sorts before all others.
 """
 import hashlib
 
@@ -203,12 +204,12 @@ def _pack(repeats, width: int, size: int):
                                                  (last - first).tolist(), starts[first].tolist(), ends[last + width - 2].tolist()):
                 packed = text[lo:hi]
                 before = seen.get(packed)
-                here = (rk, a)
-                if before is None or here < before:
+                here = (rk, a, rf)
+                if here == before:
+                    continue
+                if before is None or here[:2] <= before[:2]:  # another text at the same position is not later
                     seen[packed] = here
                     kind = SEND
-                elif here == before:
-                    continue
                 else:
                     kind, key, packed = MARK, rk, None  # by its document: a hot bucket's marks are spread
                 for to, x in zip(out, (kind, key, rk, rf, a, n, packed)):

@@ -95,6 +95,15 @@ def test_substring_repeats_of_every_period(frame):
     same(got, brute.substrings(docs))
 
 
+@pytest.mark.parametrize("doc", [5, None])
+def test_substring_rows_of_one_id_at_one_position(spark, doc):
+    """Different texts of one id hold a passage at the same word; one task reads them before the earlier document."""
+    passage = " ".join(f"w{i}" for i in range(40))
+    docs = [(doc, f"{passage} a"), (doc, f"{passage} b"), (doc, f"{passage} a"), (doc, f"{passage} c"), (None if doc is None else 1, f"{passage[3:]} end")]
+    data = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    same(rows(substring.deduplicated(data)), brute.substrings(docs))
+
+
 def test_jaccard_equals_brute_force(frame, prose):
     same(rows(jaccard.near_duplicates(frame(prose))), brute.jaccard(prose))
     assert jaccard.near_duplicates(frame([])).count() == 0
