@@ -4,10 +4,11 @@ Tokens are the words [^\\x20\\x09-\\x0D]+ of the lower-cased (A-Z) text and one
 token.  Training counts tokens and pairs of neighbours (a pair spans the start of
 the text, too).  A count c is kept as its level 1 + floor(log_BASE c); an n-gram is
 put into the filter once for each level up to its own, so that a reader probes
-level 1, 2, ... until one is absent.  Every token enters the filter, pairs from
-PAIR_LEAST occurrences on.  The filter has `bits_each` bits an entry and at most
-`most_bits` bits, whatever the input: beyond that its error rate rises, and nothing
-is left out.
+level 1, 2, ... until one is absent.  Every token and every pair enters the filter,
+which has `bits_each` bits an entry at every size, in one segment for each
+bucket of hashes.  A filter of up to `most_bits` bits is broadcast; the segments of a
+larger one stay apart, and the n-grams of each chunk of texts are sent to them and
+come back with their levels.  Both ways probe the same bits and give the same score.
 
 Score: log10 of the product over tokens of
     (c(v, w) + MU * P(w)) / (c(v) + MU),   P(w) = (c(w) + 1) / (N + V + 1)
@@ -24,14 +25,15 @@ a null doc_id is a training document.
 """
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, column, grouped, parts, split_mod, table, written
+from .common import chunked, column, grouped, longs, parts, split_mod, table, written
 from .textops import Words, dealt, mix, runs
 
 BASE = 1.5
-PAIR_LEAST = 2
 MU = 2000.0
 HASHES = 3
 HOT_WORDS = 1_000_000
@@ -81,29 +83,23 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["q", "keys", "counts"])
 
 
-def _added(least: int):
-    def run(batches):
-        for q, held in grouped(batches, "q"):
-            keys = np.frombuffer(b"".join(x for b in held for x in column(b, "keys").to_pylist()), np.uint64)
-            counts = np.frombuffer(b"".join(x for b in held for x in column(b, "counts").to_pylist()), np.uint32)
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order].astype(np.int64)
-            starts, _ = runs(keys)
-            sums = np.add.reduceat(counts, starts)
-            keys = keys[starts]
-            if q % 2:
-                keep = sums >= least
-                keys, sums = keys[keep], sums[keep]
-            levels = level_of(sums)
-            token = (keys != _START_TOKEN) if not q % 2 else np.zeros(len(keys), bool)
-            by_level = np.bincount(levels[token], minlength=64)[:64]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([q], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary()),
-                 pa.array([int(levels.sum())], pa.int64()), pa.array([int(token.sum())], pa.int64()), pa.array([int(sums[token].sum())], pa.int64()),
-                 pa.array([by_level.tolist()], pa.list_(pa.int64()))],
-                ["q", "keys", "counts", "entries", "distinct", "total", "by_level"])
-
-    return run
+def _added(batches):
+    for q, held in grouped(batches, "q"):
+        keys = np.frombuffer(b"".join(x for b in held for x in column(b, "keys").to_pylist()), np.uint64)
+        counts = np.frombuffer(b"".join(x for b in held for x in column(b, "counts").to_pylist()), np.uint32)
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order].astype(np.int64)
+        starts, _ = runs(keys)
+        sums = np.add.reduceat(counts, starts)
+        keys = keys[starts]
+        levels = level_of(sums)
+        token = (keys != _START_TOKEN) if not q % 2 else np.zeros(len(keys), bool)
+        by_level = np.bincount(levels[token], minlength=64)[:64]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([q], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary()),
+             pa.array([int(levels.sum())], pa.int64()), pa.array([int(token.sum())], pa.int64()), pa.array([int(sums[token].sum())], pa.int64()),
+             pa.array([by_level.tolist()], pa.list_(pa.int64()))],
+            ["q", "keys", "counts", "entries", "distinct", "total", "by_level"])
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -139,10 +135,10 @@ class Filter:
             left = keys[levels > level]
             level += 1
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each hash: the number of levels found before the first that is absent."""
+    def levels(self, keys: np.ndarray, alone: bool = False) -> np.ndarray:
+        """The level of each hash: the number of levels found before the first that is absent.  alone: the map is the keys' segment."""
         out = np.zeros(len(keys), np.int64)
-        base = dealt(keys, BUCKETS) * self.own
+        base = np.zeros(len(keys), np.int64) if alone else dealt(keys, BUCKETS) * self.own
         left, level = np.arange(len(keys)), 1
         while len(left) and level < 64:
             there = np.ones(len(left), bool)
@@ -185,7 +181,7 @@ def train(docs: DataFrame, bits_each: int = 12, most_bits: int = 1 << 31, hot_wo
     spark = docs.sparkSession
     blobs = docs.select("text").mapInArrow(_count, "q long, keys binary, counts binary")
     counts = blobs.repartition(parts(spark), "q").sortWithinPartitions("q").mapInArrow(
-        _added(PAIR_LEAST), "q long, keys binary, counts binary, entries long, distinct long, total long, by_level array<long>")
+        _added, "q long, keys binary, counts binary, entries long, distinct long, total long, by_level array<long>")
     counts = written(counts)
     entries, distinct, total = counts.agg(F.sum("entries"), F.sum("distinct"), F.sum("total")).first()
     by_level = counts.select(F.posexplode("by_level").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
@@ -194,68 +190,161 @@ def train(docs: DataFrame, bits_each: int = 12, most_bits: int = 1 << 31, hot_wo
         if held + r.n > hot_words:
             break
         level, held = r.level, held + r.n
-    bits = BUCKETS * 64
-    while bits < min(most_bits, bits_each * (entries or 0)):
-        bits *= 2
-    own = bits // BUCKETS
-    bitmap = np.zeros(bits // 8, np.uint8)
+    own = 64 * max(1, -(-bits_each * (entries or 0) // (BUCKETS * 64)))  # whole words; as many bits an entry at every size
+    bits = own * BUCKETS
     segments = (counts.select((F.col("q") / 2).cast("long").alias("bucket"), "keys", "counts").repartition(parts(spark), "bucket")
                 .sortWithinPartitions("bucket").mapInArrow(_segments(own), "q long, segment binary"))
-    for r in segments.toLocalIterator():
-        bitmap[r.q * own // 8 : (r.q + 1) * own // 8] = np.frombuffer(r.segment, np.uint8)
+    if bits <= most_bits:
+        bitmap = np.zeros(bits // 8, np.uint8)
+        for r in segments.toLocalIterator():
+            bitmap[r.q * own // 8 : (r.q + 1) * own // 8] = np.frombuffer(r.segment, np.uint8)
+        segments = None
+    else:
+        bitmap, segments = None, written(segments)
     tokens = counts.where("q % 2 = 0").select("keys", "counts")
     hot = tokens.mapInArrow(_table(level, 64), "key long, c long").toArrow()
     keys = hot["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     model = spark.sparkContext.broadcast((own, bitmap, keys[order], hot["c"].to_numpy()[order], total or 0, distinct or 0))
-    return {"model": model, "N": total or 0, "V": distinct or 0, "cold": tokens.mapInArrow(_table(1, level - 1), "key long, c long")}
+    return {"model": model, "segments": segments, "own": own, "N": total or 0, "V": distinct or 0, "cold": tokens.mapInArrow(_table(1, level - 1), "key long, c long")}
+
+
+def _scores(batch, level_of_hash, hot, hot_c, total, distinct):
+    """The batch's answers; level_of_hash gives the filter's levels of hashes."""
+    space = total + distinct + 1.0
+    t = Tokens(column(batch, "text"))
+    words, inverse = np.unique(np.append(t.hash, _START_TOKEN), return_inverse=True)
+    inverse = inverse[:-1]
+    at = np.minimum(np.searchsorted(hot, words), max(len(hot) - 1, 0))
+    known = hot[at] == words if len(hot) else np.zeros(len(words), bool)
+    exact = np.where(known, hot_c[at] if len(hot) else 0, 0)
+    level = level_of_hash(words)
+    low, high = least_of(level), greatest_of(level)
+    uni = (low + 1) / space
+    pairs, pair_at = np.unique(t.pair, return_inverse=True)
+    joint = least_of(level_of_hash(pairs))[pair_at]
+    before = np.empty(len(inverse), np.int64)
+    before[1:] = inverse[:-1]
+    before[t.first] = np.searchsorted(words, _START_TOKEN)
+    above = high[before]
+    p = (np.minimum(joint, above) + MU * uni[inverse]) / (above + MU)
+    add = lambda x: np.add.reduceat(x, t.first)
+    base = add(np.where(known[inverse], np.log10(exact[inverse] + 1.0), 0.0))
+    # tokens that are not hot: one entry per document and distinct token
+    cold = np.flatnonzero(~known[inverse])
+    order = cold[np.lexsort((t.hash[cold], t.row[cold]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (t.hash[order][1:] != t.hash[order][:-1]) | (t.row[order][1:] != t.row[order][:-1])
+    starts = np.flatnonzero(new)
+    tf = np.diff(np.append(starts, len(order))).astype(np.int32)
+    keys = t.hash[order][starts].view(np.int64)
+    ends = np.searchsorted(t.row[order][starts], np.arange(t.rows + 1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [column(batch, "doc_id"), column(batch, "held_out"), pa.array(t.counts.astype(np.int64)), pa.array(add(known[inverse].astype(np.int64))),
+         pa.array(base), pa.array(add(np.log10(p))), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tf))],
+        ["doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "score", "cold", "tf"])
 
 
 def _score(model):
+    """Scores by the broadcast filter."""
+
+    def run(batches):
+        own, bitmap, *known = model.value
+        lbf = Filter(own, bitmap)
+        for batch in chunked(batches, most=1 << 19):  # beside the filter, little else fits
+            yield _scores(batch, lbf.levels, *known)
+
+    return run
+
+
+def _chunks(batches):
+    """The rows with the number of their chunk, which no other chunk has."""
+    task = TaskContext.get().partitionId() << 32
+    for i, batch in enumerate(chunked(batches)):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, task + i)), *batch.columns], ["chunk", *batch.schema.names])
+
+
+_SEGMENT = -1  # stands before every chunk
+
+
+def _probes(batches):
+    """(q, chunk, keys): the distinct tokens and pairs of a chunk's rows, by bucket."""
+    for batch in batches:
+        number = longs(batch, "chunk")
+        starts, sizes = runs(number)
+        for a, n in zip(starts.tolist(), sizes.tolist()):
+            t = Tokens(column(batch.slice(a, n), "text"))
+            keys = np.unique(np.concatenate([t.hash, t.pair, np.array([_START_TOKEN])]))
+            keys = keys[np.argsort(dealt(keys, BUCKETS), kind="stable")]
+            q = dealt(keys, BUCKETS)
+            firsts, lengths = runs(q)
+            blobs = [keys[i : i + m].tobytes() for i, m in zip(firsts.tolist(), lengths.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(q[firsts], pa.int64()), pa.array(np.full(len(blobs), number[a])), pa.array(blobs, pa.binary())], ["q", "chunk", "keys"])
+
+
+def _looked_up(own: int):
+    """Each bucket's segment comes first, then what the chunks ask of it: (chunk, keys, levels) of the n-grams that are there."""
+
+    def run(batches):
+        now, lbf = None, None
+        for batch in batches:
+            out = [[], [], []]
+            for q, chunk, blob in zip(longs(batch, "q").tolist(), longs(batch, "chunk").tolist(), column(batch, "keys")):
+                if chunk == _SEGMENT:
+                    now, lbf = q, Filter(own, np.frombuffer(blob.as_py(), np.uint8))
+                elif q == now:  # a bucket without a segment holds nothing
+                    keys = np.frombuffer(blob.as_py(), np.uint64)
+                    levels = lbf.levels(keys, alone=True)
+                    there = levels > 0
+                    for to, x in zip(out, (chunk, keys[there].tobytes(), levels[there].astype(np.uint8).tobytes())):
+                        to.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary()))], ["chunk", "keys", "levels"])
+
+    return run
+
+
+def _score_dealt(model):
+    """Scores chunk by chunk, by the levels that came back."""
+
     def run(batches):
-        own, bitmap, hot, hot_c, total, distinct = model.value
-        lbf, space = Filter(own, bitmap), total + distinct + 1.0
-        for batch in chunked(batches):
-            t = Tokens(column(batch, "text"))
-            words, inverse = np.unique(np.append(t.hash, _START_TOKEN), return_inverse=True)
-            inverse = inverse[:-1]
-            at = np.minimum(np.searchsorted(hot, words), max(len(hot) - 1, 0))
-            known = hot[at] == words if len(hot) else np.zeros(len(words), bool)
-            exact = np.where(known, hot_c[at] if len(hot) else 0, 0)
-            level = lbf.levels(words)
-            low, high = least_of(level), greatest_of(level)
-            uni = (low + 1) / space
-            pairs, pair_at = np.unique(t.pair, return_inverse=True)
-            joint = least_of(lbf.levels(pairs))[pair_at]
-            before = np.empty(len(inverse), np.int64)
-            before[1:] = inverse[:-1]
-            before[t.first] = np.searchsorted(words, _START_TOKEN)
-            above = high[before]
-            p = (np.minimum(joint, above) + MU * uni[inverse]) / (above + MU)
-            add = lambda x: np.add.reduceat(x, t.first)
-            base = add(np.where(known[inverse], np.log10(exact[inverse] + 1.0), 0.0))
-            # tokens that are not hot: one entry per document and distinct token
-            cold = np.flatnonzero(~known[inverse])
-            order = cold[np.lexsort((t.hash[cold], t.row[cold]))]
-            new = np.ones(len(order), bool)
-            new[1:] = (t.hash[order][1:] != t.hash[order][:-1]) | (t.row[order][1:] != t.row[order][:-1])
-            starts = np.flatnonzero(new)
-            tf = np.diff(np.append(starts, len(order))).astype(np.int32)
-            keys = t.hash[order][starts].view(np.int64)
-            ends = np.searchsorted(t.row[order][starts], np.arange(t.rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "held_out"), pa.array(t.counts.astype(np.int64)), pa.array(add(known[inverse].astype(np.int64))),
-                 pa.array(base), pa.array(add(np.log10(p))), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tf))],
-                ["doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "score", "cold", "tf"])
+        _, _, *known = model.value
+        for _, held in grouped(batches, "chunk"):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            texts = rows.filter(pa.compute.is_null(rows["keys"])).combine_chunks().to_batches()
+            blobs = rows.filter(pa.compute.is_valid(rows["keys"]))
+            keys = np.frombuffer(b"".join(blobs["keys"].to_pylist()), np.uint64)
+            levels = np.frombuffer(b"".join(blobs["levels"].to_pylist()), np.uint8).astype(np.int64)
+            keys, at = np.unique(keys, return_index=True)
+            levels = levels[at]
+
+            def level(asked):
+                if not len(keys):
+                    return np.zeros(len(asked), np.int64)
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                return np.where(keys[at] == asked, levels[at], 0)
+
+            for batch in texts:
+                yield _scores(batch, level, *known)
 
     return run
 
 
 def scored(docs: DataFrame, fitted: dict) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text, held_out)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(
-        _score(fitted["model"]), "doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, cold array<long>, tf array<int>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
+    kinds = "doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, cold array<long>, tf array<int>"
+    if fitted["segments"] is None:
+        rows = docs.mapInArrow(_score(fitted["model"]), kinds)
+    else:
+        spark = docs.sparkSession
+        docs = written(docs.mapInArrow(_chunks, "chunk long, doc_id long, text string, held_out boolean"))
+        asked = docs.mapInArrow(_probes, "q long, chunk long, keys binary")
+        asked = asked.unionByName(fitted["segments"].select("q", F.lit(_SEGMENT).cast("long").alias("chunk"), F.col("segment").alias("keys")))
+        levels = asked.repartition(parts(spark), "q").sortWithinPartitions("q", "chunk").mapInArrow(_looked_up(fitted["own"]), "chunk long, keys binary, levels binary")
+        both = docs.unionByName(levels, allowMissingColumns=True).repartition(parts(spark), "chunk").sortWithinPartitions("chunk")
+        rows = both.mapInArrow(_score_dealt(fitted["model"]), kinds)
     rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))
+    fitted["model"].unpersist()  # executors need it no more
     cold = rows.select("_row", F.explode(F.arrays_zip("cold", "tf")).alias("x")).select("_row", F.col("x.cold").alias("key"), F.col("x.tf").alias("tf"))
     cold = cold.join(fitted["cold"], "key").groupBy("_row").agg(
         F.sum(F.col("tf").cast("long")).alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("c") + F.lit(1.0))).alias("more_base"))

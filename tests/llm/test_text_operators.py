@@ -166,6 +166,22 @@ def test_lm_filter_levels():
     assert (lm.least_of(want) <= counts).all() and (lm.greatest_of(want) >= counts).all()
 
 
+def test_lm_filter_follows_its_entries(frame, prose):
+    """A filter beyond the broadcast's bound has the bits of any other, and gives the same scores."""
+    docs = frame(prose).select("doc_id", "text", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)).alias("held_out"))
+    train = docs.where("not held_out")
+    got, want = (rows(lm.scored(docs, lm.train(train, most_bits=most)).select("doc_id", "held_out", "n_tokens", "n_known", F.round("base_score", 6), F.round("score", 9))) for most in (1, 1 << 31))
+    assert got == want and len(got) == len(prose)
+
+
+def test_lm_knows_pairs_seen_once(frame):
+    text = [f"w{i}" for i in range(200)]
+    train = frame([(1, " ".join(text))])
+    asked = frame([(2, " ".join(text)), (3, " ".join(reversed(text)))]).withColumn("held_out", F.lit(True))
+    score = {r.doc_id: r.score for r in lm.scored(asked, lm.train(train)).collect()}
+    assert score[2] > score[3] + 5
+
+
 def test_lm_empty(spark, frame):
     docs = frame([]).select("doc_id", "text", F.lit(False).alias("held_out"))
     assert lm.scored(docs, lm.train(docs)).count() == 0
