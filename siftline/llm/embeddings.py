@@ -6,8 +6,10 @@ lists of a vector are united over its shards.  A shard is then searched with its
 vectors as queries over its vectors and the neighbours that the united lists lead
 to: a greedy beam search from the shard's medoid, after which every vector found in
 range is expanded until nothing new comes into range.  Pairs are verified by their
-cosine in double precision.  A fixed number of queries is compared against all
-vectors to audit the recall; below TARGET the search runs again, wider.
+cosine in double precision.  Queries drawn without regard to what was found, more of
+them until LINKED have a link (at most MOST_QUERIES), are compared against all vectors
+to audit the recall, which is logged; below TARGET the search runs again, wider, and
+after the last round all vectors are compared with all, block by block.
 
 Equal vectors form one class: classes are searched, and links are counted for their
 members.  Vectors that are null, empty, zero, or hold null or non-finite components,
@@ -18,6 +20,8 @@ K centroids come from a sample of at most SAMPLE vectors; all vectors are indexe
 A shard of more than BLOCK vectors is built and searched in blocks of rows, so that
 memory stays bounded by BLOCK times the shard's size.
 """
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +42,12 @@ OVERLAP = 2
 BLOCK = 1024
 SLACK = 0.12
 QUERIES = 200
+MOST_QUERIES = 4096
+LINKED = 50
 TARGET = 0.97
 
+_LOG = logging.getLogger(__name__)
+
 
 def _valid(batches):
     """Vectors fit for comparison, as packed doubles of length 1, with a digest of their direction."""
@@ -249,7 +257,7 @@ def _search(beam: int, cosine: float):
 
 
 def _audit(shared, cosine: float):
-    """All links of the audited queries, by brute force."""
+    """All links of the shared vectors, by brute force."""
 
     def run(batches):
         ids, q = shared.value
@@ -288,22 +296,40 @@ def near_pairs(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLA
     return written(found.distinct())
 
 
+def _links_of(vectors: DataFrame, ids: DataFrame, cosine: float) -> DataFrame:
+    """Pairs (a < b) of all links of the vectors named by ids, few enough to be broadcast; a pair may come twice."""
+    q = vectors.join(ids, "id", "left_semi").toArrow()
+    shared = vectors.sparkSession.sparkContext.broadcast((q["id"].to_numpy(), _matrix(q["v"])))
+    return vectors.mapInArrow(_audit(shared, cosine), "a long, b long")
+
+
+def exact_pairs(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """All pairs in range, by brute force: quadratic, in blocks of bounded size."""
+    blocks = vectors.count() // block + 1
+    found = None
+    for i in range(blocks):
+        ids = vectors.select("id").where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)) == i)
+        part = written(_links_of(vectors, ids, cosine))
+        found = part if found is None else found.unionByName(part)
+    return written(found.distinct())
+
+
 def recall(vectors: DataFrame, pairs: DataFrame, cosine: float = COSINE, queries: int = QUERIES) -> float:
-    """The share of the links of a fixed number of queries that the pairs hold; 1 if they have none.
+    """The share of their links that the pairs hold, for queries drawn by a hash of the id alone; 1 if none has a link.
 
-    Half of the queries are drawn from vectors with links found, so that the audit has links to look for.
+    The smaller of the share of all these links and of the mean over linked queries, so that neither
+    one large group nor many small ones hide a loss.
     """
-    spark = vectors.sparkSession
-    linked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().orderBy(F.xxhash64("id")).limit(queries // 2)
-    any_ids = vectors.select("id").orderBy(F.xxhash64("id")).limit(queries // 2)
-    ids = linked.unionByName(any_ids).distinct()
-    q = vectors.join(F.broadcast(ids), "id").toArrow()
-    if not q.num_rows:
-        return 1.0
-    shared = spark.sparkContext.broadcast((q["id"].to_numpy(), _matrix(q["v"])))
-    true = vectors.mapInArrow(_audit(shared, cosine), "a long, b long").distinct()
-    both = true.join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("h")).first()
-    return both.h / both.n if both.n else 1.0
+    n = vectors.count()
+    while True:
+        ids = written(vectors.select("id").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(min(n, queries)))
+        true = _links_of(vectors, ids, cosine).distinct().join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left")
+        ends = true.select(F.explode(F.array("a", "b")).alias("id"), "hit").join(ids, "id", "left_semi")
+        one = ends.groupBy("id").agg(F.count("*").alias("n"), F.count("hit").alias("h"))
+        r = one.agg(F.count("*").alias("linked"), F.sum("n").alias("n"), F.sum("h").alias("h"), F.avg(F.col("h") / F.col("n")).alias("mean")).first()
+        if r.linked >= LINKED or queries >= min(n, MOST_QUERIES):
+            return min(r.h / r.n, r.mean) if r.n else 1.0
+        queries = min(MOST_QUERIES, queries * 4)
 
 
 def near_duplicates(rows: DataFrame, cosine: float = COSINE, target: float = TARGET) -> DataFrame:
@@ -318,9 +344,14 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, target: float = TAR
     overlap, beam = OVERLAP, BEAM
     for _ in range(3):
         pairs = near_pairs(vectors, cosine, overlap, beam)
-        if recall(vectors, pairs, cosine) >= target:
+        share = recall(vectors, pairs, cosine)
+        _LOG.info("audited recall %.4f with overlap %d and beam %d", share, overlap, beam)
+        if share >= target:
             break
         overlap, beam = overlap + 2, beam * 2
+    else:
+        _LOG.warning("audited recall %.4f stays under %.2f: all vectors are compared", share, target)
+        pairs = exact_pairs(vectors, cosine)
     labels = components(pairs)
     ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
     links = (ends.join(classes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("linked")))

@@ -177,6 +177,21 @@ def test_embeddings_small_and_empty(spark):
     assert rows(embeddings.near_duplicates(spark.createDataFrame([(5, [1.0, 0.0]), (3, [1.0, 0.01]), (4, [0.0, 1.0])], kind))) == [(3, 1, 3, True), (4, 0, 4, True), (5, 1, 3, False)]
 
 
+def test_embeddings_audit_sees_links_that_were_all_missed(spark, monkeypatch):
+    """5% of the vectors are linked, in pairs of two; a search that misses 30% of the pairs is noticed and made good."""
+    rng = np.random.default_rng(4)
+    data = vectors(rng, [(1, 0.0)] * 3800 + [(2, 0.001)] * 100, dim=32)
+    true = [(3800 + 2 * i, 3801 + 2 * i) for i in range(100)]
+    frame = spark.createDataFrame([(i, (v / np.linalg.norm(v)).astype(np.float64).tobytes()) for i, v in enumerate(data)], "id long, v binary")
+    pairs = lambda found: spark.createDataFrame(found, "a long, b long")
+    assert embeddings.recall(frame, pairs(true)) == 1.0
+    assert embeddings.recall(frame, pairs(true[:70])) < 0.85
+    assert sorted(tuple(r) for r in embeddings.exact_pairs(frame).collect()) == true
+    monkeypatch.setattr(embeddings, "near_pairs", lambda *_: pairs(true[:70]))
+    rows_ = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    assert embeddings.near_duplicates(rows_).where("n_links = 1").count() == 200
+
+
 def test_robust_prune_and_search():
     rng = np.random.default_rng(0)
     v = rng.normal(size=(300, 8))
