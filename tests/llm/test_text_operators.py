@@ -57,6 +57,25 @@ def test_decontamination_equals_brute_force(spark, frame, prose):
     assert decontamination.decontaminated(frame([]), bench).count() == 0
 
 
+def test_decontamination_by_items_without_an_id(spark, frame, tmp_path):
+    """The query equals its SQL on a benchmark with null ids, and the pipeline's stage rejects what holds their text."""
+    import corpus_pipeline
+    import duckdb
+
+    text = [" ".join(f"{x}{i}" for i in range(14)) for x in "abcd"]
+    docs = [(1, f"x {text[0]} y"), (2, f"{text[1]} {text[0]}"), (3, text[2]), (4, "clean words only"), (5, text[3])]
+    items = [(None, text[0]), (None, text[3]), (7, text[1]), (8, text[3])]
+    frame(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    same(rows(decontamination.query(spark, str(tmp_path))), db.execute(decontamination.ORACLE).fetchall())
+    many = decontamination.find(frame(docs), spark.createDataFrame(items, "item_id long, text string"), block_bytes=400, nameless=True)
+    assert {r._k: (r.n_hit, r["items"]) for r in many.collect()} == {1: (14, [None]), 2: (28, ["7", None]), 3: (0, []), 4: (0, []), 5: (14, ["8", None])}
+    assert sorted(r.doc_id for r in corpus_pipeline.benchmark_decontamination(spark, frame(docs), str(tmp_path)).collect()) == [3, 4]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("ab"), min_size=1, max_size=4), min_size=1, max_size=6), st.lists(st.sampled_from("abc"), max_size=40))
 def test_wu_manber_finds_all(patterns, text):
