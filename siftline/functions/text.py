@@ -30,21 +30,6 @@ def tokens(c: Column, stopwords=()) -> Column:
     return F.filter(found, lambda t: ~F.array_contains(drop, t))
 
 
-# Endings that the light Russian stemmer removes, by class, longest first.
-_VERB = "ывшись вшись ывши ившись ивши вши ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно".split()
-_ADJECTIVE = "ими ыми его ого ему ому ее ие ые ое ей ий ый ой ем им ым ом их ых ую юю ая яя ою ею".split()
-_NOUN = "иями ями ами ией иям ием иях ев ов ие ье еи ии ей ой ий ям ем ам ом ах ях ию ью ия ья а е и й о у ы ь ю я".split()
-
-
-def stem_russian(c: Column) -> Column:
-    """A light stemmer in regular expressions: one adjective, verb or noun ending after the first vowel, then a soft sign."""
-    region = F.regexp_extract(c, "^[^аеиоуыэюя]*[аеиоуыэюя]", 0)
-    rest = F.substring(c, F.length(region) + 1, 1000)
-    endings = "|".join(sorted({*_VERB, *_ADJECTIVE, *_NOUN}, key=lambda x: (-len(x), x)))
-    cut = F.regexp_replace(F.regexp_replace(rest, f"(?:{endings})$", ""), "(?:ь|нн)$", "")
-    return F.when((region == "") | (c == region), c).otherwise(F.concat(region, cut))
-
-
 def passage(title: Column, text: Column, separator: str = ". ") -> Column:
     """title, separator and text; the text alone where there is no title."""
     text = F.coalesce(text, F.lit(""))
@@ -78,18 +63,30 @@ def parse_answer(text: Column) -> Column:
     return F.struct(answer.alias("answer"), reasoning.alias("reasoning"), F.when(answer.isNull(), "error").otherwise("ok").alias("status"))
 
 
-# Instruction length tiers and styles that a generation request draws from.
+#: defaults of a generation request; a caller's own lists take their place
 LENGTHS = ["one sentence", "two or three sentences", "a short paragraph", "a long paragraph"]
-SHORT_STYLES = ["direct", "keyword list", "question", "telegraphic"]
-LONG_STYLES = ["narrative", "role play", "background first", "negative constraints"]
+SHORT_STYLES = ["background", "persona", "negation", "detailed"]
+LONG_STYLES = ["background with a hard filter", "persona with exclusions", "argued negation", "several justified criteria"]
+
+
+def generation_params(draw_length: Column, draw_style: Column, lengths=LENGTHS, short=SHORT_STYLES, long=LONG_STYLES) -> Column:
+    """struct(length, style): a tier by one draw, then a style by another, of the short list for the first half of the tiers."""
+    tier = F.floor(draw_length * len(lengths)).cast("int")
+    pick = lambda xs, u: F.element_at(F.array(*[F.lit(x) for x in xs]), F.floor(u * len(xs)).cast("int") + 1)
+    return F.struct(pick(lengths, draw_length).alias("length"), F.when(tier < len(lengths) // 2, pick(short, draw_style)).otherwise(pick(long, draw_style)).alias("style"))
+
+
+def chosen_template(templates: dict, kind: Column, **columns: Column) -> Column:
+    """The filled template of a row's kind; null for a kind without one."""
+    out = F.lit(None).cast("string")
+    for name, template in templates.items():
+        out = F.when(kind == name, filled(template, **columns)).otherwise(out)
+    return out
 
 
-def generation_params(draw_length: Column, draw_style: Column) -> Column:
-    """struct(length, style): a tier by one draw, then a style of the tier's list by another."""
-    tier = F.floor(draw_length * 4).cast("int")
-    at = F.floor(draw_style * 4).cast("int") + 1
-    pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), i)
-    return F.struct(pick(LENGTHS, tier + 1).alias("length"), F.when(tier < 2, pick(SHORT_STYLES, at)).otherwise(pick(LONG_STYLES, at)).alias("style"))
+def stamp(ts: Column) -> Column:
+    """A time as result files carry it."""
+    return F.date_format(ts, "yyyyMMdd_HHmmss")
 
 
 def any_of(conditions) -> Column:

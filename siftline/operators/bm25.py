@@ -1,43 +1,102 @@
 """BM25 over an inverted index of (docid, term, tf) rows."""
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stem import stemmed
 from ..functions.text import tokens
+from ..sources.scratch import written
 
 K1, B = 1.5, 0.75
 
 
-def postings(corpus: DataFrame, stopwords=(), analyzer=None) -> DataFrame:
+def stems_of(texts: list, stopwords=()) -> DataFrame:
+    """term, stem of the distinct words of tables with a text column: every word is stemmed once, and the vocabulary is written."""
+    words = [t.select(F.explode(tokens(F.col("text"), stopwords)).alias("term")) for t in texts]
+    rows = words[0]
+    for w in words[1:]:
+        rows = rows.unionByName(w)
+    return written(stemmed(rows.distinct().withColumn("stem", F.col("term")), "stem"))
+
+
+def _stemmed(rows: DataFrame, stems: DataFrame | None) -> DataFrame:
+    """rows with their term replaced by its stem, by a join with the vocabulary."""
+    return rows if stems is None else rows.join(stems, "term").drop("term").withColumnRenamed("stem", "term")
+
+
+def _terms(texts: DataFrame, key: str, stopwords, stems: DataFrame | None) -> DataFrame:
+    """key, term: one row per token of (key, text); the stop words go before the stemming."""
+    return _stemmed(texts.select(key, F.explode(tokens(F.col("text"), stopwords)).alias("term")), stems)
+
+
+@dataclass
+class Index:
+    """postings: docid, term, tf, dl, written once; n and avgdl of all documents."""
+
+    postings: DataFrame
+    n: int
+    avgdl: float
+    stopwords: tuple
+    stems: DataFrame | None
+
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """qid, term, qtf of queries (qid, text) under the index's analyzer."""
+        return _terms(queries, "qid", self.stopwords, self.stems).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
+
+def postings(corpus: DataFrame, stopwords=(), stems: DataFrame | None = None) -> DataFrame:
     """docid, term, tf, dl of a corpus (docid, text)."""
-    toks = (analyzer or (lambda c: tokens(c, stopwords)))(F.col("text"))
-    rows = corpus.select("docid", toks.alias("_t"))  # no filter on the tokens: it would compute them again below the projection
-    return rows.select("docid", F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("docid", "term", "dl").agg(F.count("*").alias("tf"))
+    rows = corpus.select("docid", tokens(F.col("text"), stopwords).alias("_t"))  # no filter on the tokens: it would compute them again below the projection
+    rows = rows.select("docid", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    return _stemmed(rows, stems).groupBy("docid", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def stats(corpus: DataFrame, stopwords=(), analyzer=None) -> DataFrame:
+def stats(corpus: DataFrame, stopwords=()) -> DataFrame:
     """One row: the number of documents, and their average length."""
-    toks = (analyzer or (lambda c: tokens(c, stopwords)))(F.col("text"))
-    return corpus.agg(F.count("*").alias("n"), F.avg(F.size(toks)).alias("avgdl"))
+    return corpus.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text"), stopwords))).alias("avgdl"))
+
+
+def index(corpus: DataFrame, queries: list = (), stopwords=(), stem: bool = False) -> Index:
+    """The index of a corpus, a written table.  queries: tables (qid, text) whose terms are all that it needs to hold; none: every term.
+
+    A stemmed index without queries knows the stems of its own words only.
+    """
+    stems = stems_of([corpus, *queries], stopwords) if stem else None
+    rows = postings(corpus, stopwords, stems)
+    if queries:
+        asked = _terms(queries[0].select("text"), "text", stopwords, stems).select("term")
+        for q in queries[1:]:
+            asked = asked.unionByName(_terms(q.select("text"), "text", stopwords, stems).select("term"))
+        # pushed below the aggregate: only the asked terms' tokens are shuffled
+        rows = rows.join(asked.distinct(), "term", "left_semi")
+    one = stats(corpus, stopwords).first()
+    return Index(written(rows.select("docid", "term", "tf", "dl")), one.n, one.avgdl or 0.0, tuple(stopwords), stems)
 
 
-def term_stats(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def term_stats(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def scores(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B, stopwords=(), analyzer=None) -> DataFrame:
+def weights(at: Index, k1: float = K1, b: float = B) -> DataFrame:
+    """term, docid, w: what a term of a query adds to a document's score."""
+    df = at.postings.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(at.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(at.avgdl or 1.0)))
+    return at.postings.join(df, "term").select("term", "docid", weight.alias("w"))
+
+
+def score(queries: DataFrame, at: Index, k1: float = K1, b: float = B) -> DataFrame:
     """qid, docid, score for the pairs that share a term; repeated query terms count repeatedly.
 
-    Only the queries' terms keep postings, and terms are joined by a shuffle unless adaptive execution finds one side small.
+    Terms are joined by a shuffle unless adaptive execution finds one side small; a very common term is split by its skew handling.
     """
-    toks = (analyzer or (lambda c: tokens(c, stopwords)))(F.col("text"))
-    asked = queries.select("qid", F.explode(toks).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    index = postings(corpus, stopwords, analyzer).join(asked.select("term").distinct(), "term", "left_semi")
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    n = F.broadcast(stats(corpus, stopwords, analyzer))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = index.join(df, "term").crossJoin(n).select("term", "docid", weight.alias("w"))
-    return asked.join(weighted, "term").groupBy("qid", "docid").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
+    return at.asked(queries).join(weights(at, k1, b), "term").groupBy("qid", "docid").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
+
+
+def scores(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B, stopwords=(), stem: bool = False) -> DataFrame:
+    """score() against an index of the corpus that holds the queries' terms."""
+    return score(queries, index(corpus, [queries], stopwords, stem), k1, b)
 
 
 def topk(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -47,8 +106,8 @@ def topk(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hard_negatives(scored: DataFrame, positives: DataFrame, depth: int = 35, most: int = 30) -> DataFrame:
-    """Up to `most` of the best `depth` of each query without its positive (qid, positive_id), ranked anew."""
-    best = topk(scored, depth).join(positives, "qid").where("docid <> positive_id")
+def hard_negatives(best: DataFrame, positives: DataFrame, depth: int = 35, most: int = 30) -> DataFrame:
+    """Up to `most` of the best `depth` (topk's rows) of each query without its positive (qid, positive_id), ranked anew."""
+    rows = best.where(F.col("rank") <= depth).join(positives, "qid").where("docid <> positive_id")
     w = Window.partitionBy("qid").orderBy("rank")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("qid", "docid", "rank", "score")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("qid", "docid", "rank", "score")
