@@ -24,10 +24,13 @@ def enrich_triples(triples: DataFrame, queries: DataFrame, collection: DataFrame
             .select("qid", "query", "pos_id", "pos_text", "neg_id", "neg_text", "line"))
 
 
-def window_of(enriched: DataFrame, offset: int, limit: int | None, order: str = "line") -> DataFrame:
-    """Rows offset .. offset + limit - 1 in line order, over unique and valid queries: windows are disjoint."""
-    df = enriched.orderBy(order).offset(offset)
-    return df if limit is None else df.limit(limit)
+def window_of(enriched: DataFrame, offset: int, limit: int | None, *order: str) -> DataFrame:
+    """Rows offset .. offset + limit - 1 in order, over unique and valid queries: windows are disjoint.
+
+    Rows are numbered by ranges; no task sees offset + limit rows.
+    """
+    rows = numbered(enriched, *(order or ("line",))).where(F.col("rn") >= offset)
+    return (rows if limit is None else rows.where(F.col("rn") < offset + limit)).drop("rn")
 
 
 def flag_repeated(df: DataFrame, group: str, record: str, seed: int) -> DataFrame:
@@ -43,6 +46,20 @@ def pool(records: DataFrame, roles: list) -> DataFrame:
     return rows.groupBy(F.col("d.docid").alias("docid")).agg(first).select("docid", "f.text", "f.title")
 
 
+#: the roles of a filtered record whose documents make up a split's pool, and those that training searches for negatives
+POOL_ROLES = ("rewritten_original_positive", "rewritten_original_negative", "final_positive", "valid_synthetic_negatives")
+REGISTRY_ROLES = POOL_ROLES[:2]
+
+
+def record_pool(records: DataFrame, roles=POOL_ROLES) -> DataFrame:
+    """docid, text, title: the first text seen of each id over the roles of filtered records (record: their order)."""
+    bare = lambda x: F.struct(x["id"].cast("string").alias("docid"), x["text"].alias("text"), F.coalesce(x["title"], F.lit("")).alias("title"))
+    parts = [F.transform(F.coalesce(F.col(r), F.array()), bare) if r.endswith("negatives") else F.array(bare(F.col(r))) for r in roles]
+    rows = records.select("record", F.posexplode(F.concat(*parts)).alias("role", "d")).where("d.docid is not null and d.text is not null and d.text <> ''")
+    first = F.min(F.struct("record", "role", F.col("d.text").alias("text"), F.col("d.title").alias("title"))).alias("f")
+    return rows.groupBy(F.col("d.docid").alias("docid")).agg(first).select("docid", "f.text", "f.title")
+
+
 def last_wins(rows: DataFrame, key: str, value: str, line: str) -> DataFrame:
     """The value of the last line of each key; equal lines go by the value."""
     return rows.groupBy(key).agg(F.max_by(value, F.struct(line, value)).alias(value))

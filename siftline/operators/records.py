@@ -99,6 +99,90 @@ def with_hard_negatives(rows: DataFrame, ranked: DataFrame, docs: DataFrame, mos
     return rows.join(lists, "query_id", "left")
 
 
+def filtered_records(generated: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The filter's outcome of generated records under a verdict table, one row a record: query_id, status, record, discarded, deleted, error.
+
+    verdicts: query_id, kind (positive, synthetic, negative), place (of a negative among the documents that do not match both), answer,
+    reasoning; a missing or null answer is a failure where it is asked for.  status is kept (record: the filtered record; deleted: the
+    negatives that do not violate the instruction), discarded (discarded: the query and its checked positives) or failed (error).
+    The rewritten positive is asked first, then the first document that matches both; then every document that does not.
+    """
+    d, m, q = F.col("instruction_data"), F.col("mining_data"), F.col("query_id").cast("string")
+    asked = verdicts.groupBy("query_id").agg(
+        F.max(F.when(F.col("kind") == "positive", F.struct("answer", "reasoning"))).alias("vp"), F.max(F.when(F.col("kind") == "synthetic", F.struct("answer", "reasoning"))).alias("vs"),
+        F.map_from_entries(F.filter(F.collect_list(F.when(F.col("kind") == "negative", F.struct("place", F.struct("answer", "reasoning")))), lambda x: x.isNotNull())).alias("vn"))
+    rows = generated.where("status = 'success'").join(asked, "query_id", "left")
+    docs = F.coalesce(m["documents"], F.array())
+    first = F.try_element_at(F.filter(docs, lambda x: F.coalesce(x["matches_both"], F.lit(False))), F.lit(1))
+    negs = F.transform(F.filter(docs, lambda x: ~F.coalesce(x["matches_both"], F.lit(False))), lambda x, i: F.struct(i.alias("place"), x.alias("d"), F.try_element_at(F.col("vn"), i).alias("v")))
+    rows = rows.withColumns({"_synth": first, "_negs": negs})
+    pos, synth = F.col("vp.answer"), F.col("vs.answer")
+    needs = pos.isNotNull() & ~pos & F.col("_synth").isNotNull()
+    found = F.when(pos, "rewritten").when(needs & synth, "synthetic")
+    lost = F.exists("_negs", lambda x: x["v"]["answer"].isNull())
+    error = F.when(pos.isNull() | (needs & synth.isNull()), "Positive check: no answer").when(found.isNotNull() & lost, "Negative check: no answer")
+    rows = rows.withColumns({"_error": error, "_source": found})
+    status = F.when(F.col("_error").isNotNull(), "failed").when(F.col("_source").isNotNull(), "kept").otherwise("discarded")
+    rows = rows.withColumn("status", status)
+    instruction = [F.col("original_query"), d["rewritten_query"].alias("rewritten_query"), d["instruction"].alias("instruction")]
+    title = lambda x: F.coalesce(x, F.lit(""))
+    by = lambda own, other: F.when(F.col("_source") == "rewritten", own).otherwise(other)
+    final = F.struct(by(F.col("original_positive_id").cast("string"), F.concat(q, F.lit("_synth"))).alias("id"), by(d["rewritten_pos_doc"], F.col("_synth.passage")).alias("text"),
+                     by(title(d["rewritten_pos_title"]), title(F.col("_synth.title"))).alias("title"), F.col("_source").alias("source"))
+    valid = F.transform(F.filter("_negs", lambda x: x["v"]["answer"]), lambda x: F.struct(
+        F.concat_ws("_", q, x["place"].cast("string")).alias("id"), x["d"]["passage"].alias("text"), title(x["d"]["title"]).alias("title")))
+    deleted = F.transform(F.filter("_negs", lambda x: ~x["v"]["answer"]), lambda x: F.struct(
+        F.col("query_id"), d["rewritten_query"].alias("rewritten_query"), d["instruction"].alias("instruction"), x["place"].alias("neg_index"), title(x["d"]["error_type"]).alias("error_type"),
+        title(x["d"]["title"]).alias("title"), x["d"]["passage"].alias("text"), x["v"]["reasoning"].alias("llm_reasoning")))
+    own = lambda side: F.struct(F.col(f"original_{'positive' if side == 'pos' else 'negative'}_id").cast("string").alias("id"),
+                                d[f"rewritten_{side}_doc"].alias("text"), title(d[f"rewritten_{side}_title"]).alias("title"))
+    record = F.struct("query_id", *instruction, final.alias("final_positive"), valid.alias("valid_synthetic_negatives"), own("pos").alias("rewritten_original_positive"), own("neg").alias("rewritten_original_negative"))
+    one = lambda source, t, text, v: F.struct(F.lit(source).alias("source"), title(t).alias("title"), text.alias("text"), v["answer"].alias("llm_answer"), v["reasoning"].alias("llm_reasoning"))
+    checked = F.filter(F.array(one("rewritten", d["rewritten_pos_title"], d["rewritten_pos_doc"], F.col("vp")), F.when(needs, one("synthetic", F.col("_synth.title"), F.col("_synth.passage"), F.col("vs")))), lambda x: x.isNotNull())
+    is_ = lambda s: F.col("status") == s
+    return rows.select("query_id", "status", F.when(is_("kept"), record).alias("record"), F.when(is_("discarded"), F.struct("query_id", *instruction, checked.alias("checked_positives"))).alias("discarded"),
+                       F.when(is_("kept"), deleted).otherwise(F.slice(deleted, 1, 0)).alias("deleted"), F.col("_error").alias("error"))
+
+
+def training_rows(records: DataFrame, pool: DataFrame, seed: int, negatives: DataFrame | None = None) -> DataFrame:
+    """Standard and instructed training rows of filtered records (with `occurrence` and `is_repeated`): all columns of the training schema.
+
+    The standard row's positive is the pool's document (docid, text, title) of its id, the record's own text where the pool has
+    none; the instructed row's is the final positive, and its instruction negatives are the record's.  negatives: query_id (of a
+    row), occurrence, docid, text, title, rank of mined hard negatives, already without the positive; none: rows of an evaluation split.
+    """
+    own, final, qid = F.col("rewritten_original_positive"), F.col("final_positive"), F.col("query_id").cast("string")
+    known = records.withColumn("_pid", own["id"].cast("string")).join(pool.select(F.col("docid").alias("_pid"), F.struct("docid", "text", "title").alias("_known")), "_pid", "left")
+    known = known.withColumn("_q", F.when(draw(seed, "query_id", "occurrence") < 0.5, F.col("original_query")).otherwise(F.coalesce("rewritten_query", "original_query")))
+    inline = lambda x: F.struct(x["id"].cast("string").alias("docid"), x["text"].alias("text"), F.coalesce(x["title"], F.lit("")).alias("title"))
+    mined = F.transform(F.coalesce("valid_synthetic_negatives", F.array()), lambda x: F.struct(
+        x["id"].cast("string").alias("docid"), x["text"].alias("text"), F.coalesce(x["title"], F.lit("")).alias("title"), F.lit("instruction_negative").alias("explanation")))
+
+    def row(query_id, query, positive, instruction, flag, new):
+        return F.struct(query_id.alias("query_id"), query.alias("query"), F.array(positive).alias("positive_passages"), instruction.alias("only_instruction"), F.col("_q").alias("only_query"),
+                        F.lit(flag).alias("has_instruction"), new.alias("new_negatives"), F.coalesce("is_repeated", F.lit(False)).alias("is_repeated"), F.col("occurrence").alias("occurrence"))
+
+    standard = row(qid, F.col("_q"), F.coalesce("_known", inline(own)), F.lit(""), False, F.slice(mined, 1, 0))
+    instructed = row(F.concat(qid, F.lit("-instruct")), F.trim(F.concat_ws(" ", "_q", "instruction")), inline(final), F.coalesce("instruction", F.lit("")), True, mined)
+    rows = known.select(F.inline(F.array(standard, instructed)))
+    if negatives is not None:
+        item = F.struct("rank", F.struct("docid", "text", "title", F.lit("").alias("explanation")).alias("p"))
+        lists = negatives.groupBy("query_id", "occurrence").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["p"]).alias("negative_passages"))
+        rows = rows.join(lists, ["query_id", "occurrence"], "left")
+    return as_training(rows)
+
+
+def mined_negatives(best: DataFrame, positives: DataFrame, docs: DataFrame, most: int = 30) -> DataFrame:
+    """query_id, occurrence, docid, text, title, rank: of each row the best documents (qid, docid, rank) of its query but its positive.
+
+    positives: qid, query_id, occurrence, positive_id.  Ids are ranked and cut first; texts join last.
+    """
+    rows = best.select("qid", "docid", "rank").join(positives, "qid").where("docid <> positive_id")
+    w = Window.partitionBy("query_id", "occurrence").orderBy("rank")
+    rows = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return rows.join(docs.select("docid", "text", "title"), "docid").select("query_id", "occurrence", "docid", "text", "title", "rank")
+
+
 def real_row(df: DataFrame, prefix: str) -> DataFrame:
     """External rows (query_id, query, positive_passages, negative_passages) with a positive, as training rows: first positive, all negatives."""
     none = F.from_json(F.lit("[]"), "array<struct<docid:string,text:string,title:string,explanation:string>>")

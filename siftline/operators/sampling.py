@@ -18,7 +18,8 @@ def negative_mix(df: DataFrame, total: int = 7, instruction: int = 3, seed: int
     df = df.withColumn("_s", sampled(special, instruction, seed, "query_id", F.lit("i")))
     df = df.withColumn("_h", sampled(F.coalesce("hard", F.array()), F.lit(total) - F.size("_s"), seed, "query_id", F.lit("h")))
     df = df.withColumn("_n", F.concat("_s", "_h"))
-    rest = F.filter(F.concat(F.coalesce("hard", F.array()), special), lambda x: ~F.array_contains("_n", x))
+    # each kind's rest is what its own sample left, by text
+    rest = F.concat(F.filter(F.coalesce("hard", F.array()), lambda x: ~F.array_contains("_h", x)), F.filter(special, lambda x: ~F.array_contains("_s", x)))
     df = df.withColumn("_n", F.concat("_n", F.slice(rest, 1, F.greatest(F.lit(total) - F.size("_n"), F.lit(0)))))
     pad = F.array_repeat(F.lit(""), F.greatest(F.lit(total) - F.size("_n"), F.lit(0)))
     return df.withColumn("negatives", F.concat("_n", pad)).drop("_s", "_h", "_n")
