@@ -9,7 +9,22 @@ BLOCK = 4096
 
 
 def _rows(col) -> np.ndarray:
-    return np.array(col.to_pylist(), np.float64)
+    """A list column of one length, without nulls, as a matrix over its flat buffer."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
+
+
+def _cut(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple:
+    """The k best of each row, ties by the least id: a partial selection, then a sort of the k; rows whose k-th score is tied are sorted whole."""
+    if sims.shape[1] <= k:
+        return ids, sims
+    at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(sims, at, 1).min(1)
+    tied = np.flatnonzero((sims >= least[:, None]).sum(1) > k)
+    if len(tied):
+        at[tied] = np.lexsort((ids[tied], -sims[tied]))[:, :k]
+    return np.take_along_axis(ids, at, 1), np.take_along_axis(sims, at, 1)
 
 
 def _best(shared, k: int, digits: int):
@@ -21,16 +36,15 @@ def _best(shared, k: int, digits: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = np.array(batch.column(0).to_pylist(), object)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             sims = np.round(q @ _rows(batch.column(1)).T, digits)
             ids = np.broadcast_to(ids, sims.shape)
             if held is not None:
                 ids, sims = np.hstack([held[0], ids]), np.hstack([held[1], sims])
-            order = np.lexsort((ids.astype(np.int64) if ids.dtype != object or isinstance(ids.flat[0], int) else ids, -sims))[:, :k]
-            held = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+            held = _cut(ids, sims, k)
         if held is not None:
             n = held[0].shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(held[0].ravel().tolist()), pa.array(held[1].ravel())], ["qid", "docid", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(held[0].ravel()), pa.array(held[1].ravel())], ["qid", "docid", "score"])
 
     return run
 

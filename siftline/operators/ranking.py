@@ -43,6 +43,30 @@ def per_query(run: DataFrame, qrels: DataFrame, cuts=(10, 20, 100)) -> DataFrame
     return rows.select("qid", *out)
 
 
+def per_query_by_class(run: DataFrame, classes: DataFrame, cuts=(10, 20, 100)) -> DataFrame:
+    """per_query's metrics where the documents of a query's class (id, label) are relevant, but not the query itself.
+
+    The judgements are never written out: a run's row is judged by two labels, and what is ideal follows from the class's size.
+    """
+    sizes = classes.groupBy("label").agg(F.count("*").alias("_size"))
+    of = classes.join(sizes, "label")
+    judged = run.join(of.select(F.col("id").alias("qid"), F.col("label").alias("_l"), (F.col("_size") - 1).alias("R")), "qid")
+    judged = judged.join(classes.select(F.col("id").alias("docid"), "label"), "docid", "left").withColumn("hit", F.coalesce((F.col("_l") == F.col("label")) & (F.col("docid") != F.col("qid")), F.lit(False)).cast("int"))
+    before = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    judged = judged.withColumn("hits", F.sum("hit").over(before))
+    found = []
+    for k in cuts:
+        inside = (F.col("rank") <= k) & (F.col("hit") == 1)
+        found += [F.sum(F.when(inside, 1).otherwise(0)).alias(f"h{k}"), F.sum(F.when(inside, F.col("hits") / F.col("rank")).otherwise(0.0)).alias(f"a{k}"),
+                  F.sum(F.when(inside, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"d{k}")]
+    rows = judged.groupBy("qid", "R").agg(*found).where("R > 0")
+    ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.least("R", F.lit(k)).cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))
+    out = []
+    for k in cuts:
+        out += [(F.col(f"d{k}") / ideal(k)).alias(f"ndcg_cut_{k}"), (F.col(f"a{k}") / F.col("R")).alias(f"map_cut_{k}"), (F.col(f"h{k}") / F.col("R")).alias(f"recall_{k}"), (F.col(f"h{k}") / F.lit(float(k))).alias(f"P_{k}")]
+    return rows.select("qid", *out)
+
+
 def rank_score(old: Column, new: Column) -> Column:
     """Positive where a document fell, negative where it rose, 0 where it stayed."""
     return F.when(old >= new, new / old - 1).otherwise(1 - old / new)

@@ -70,9 +70,13 @@ def fingerprint(value) -> str:
     return hashlib.sha256(canonical(value).encode()).hexdigest()
 
 
-def protocol(settings: dict, model: dict, dataset: dict, revision: str, keys=("top_k", "batch_size", "max_length", "seed")) -> dict:
+# The settings of a configuration that decide a result.
+GLOBAL_KEYS = ("device", "dtype", "generic_instruction", "retrieval_top_k")
+
+
+def protocol(settings: dict, model: dict, dataset: dict, revision: str, keys=GLOBAL_KEYS) -> dict:
     """The part of a configuration that decides a result."""
-    return {**{k: settings.get(k) for k in keys}, "model": model, "dataset": dataset, "revision": revision}
+    return {"code_revision": revision, "global": {k: settings.get(k) for k in keys}, "model": model, "dataset": dataset}
 
 
 def fingerprints(df: DataFrame, *fields: str) -> Column:
