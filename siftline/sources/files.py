@@ -1,11 +1,13 @@
 """Readers and writers: TSV, JSONL, sharded Parquet, predictions, results.  Schemas are declared, never inferred."""
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.schemas import FILTERED, GENERATED, TRAINING
 from ..functions.text import strip
+from .scratch import written
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +36,7 @@ def triples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, skip_deleted: bool = False, glob: str = "*.jsonl") -> DataFrame:
-    """JSON lines under a declared schema; bad JSON fails, blank lines are skipped."""
+    """JSON lines under a declared schema; bad JSON fails, blank lines are skipped.  `_metadata.file_path` orders the files."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").option("pathGlobFilter", glob).json(path)
     if skip_deleted:
         df = df.where(~F.col("_metadata.file_name").startswith("deleted_"))
@@ -46,7 +48,7 @@ def generated(spark: SparkSession, path: str) -> DataFrame:
 
 
 def filtered(spark: SparkSession, path: str) -> DataFrame:
-    return jsonl(spark, path, FILTERED, glob="run_paraphrasing_*_filtered.jsonl")
+    return jsonl(spark, path, FILTERED, glob="run_paraphrasing_*_filtered*.jsonl")
 
 
 def training_split(spark: SparkSession, root: str, split: str) -> DataFrame:
@@ -68,9 +70,71 @@ def write_routed(decided: DataFrame, path: str) -> None:
     decided.write.mode("overwrite").partitionBy("decision").json(path)
 
 
-def write_sharded(df: DataFrame, path: str, split: str, rows_per_shard: int = 150_000) -> None:
-    """Snappy Parquet with at most rows_per_shard rows a file, below path/split; an empty table writes no rows."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_shard).option("compression", "snappy").parquet(f"{path}/{split}")
+def write_filtered(outcome: DataFrame, path: str) -> None:
+    """The three logs of a filter run (operators.records.filtered_records): kept records, discarded queries, and negatives that went."""
+    outcome = written(outcome)  # decided once, read three times
+    kept = outcome.where("status = 'kept'")
+    write_jsonl(kept.select("record.*"), f"{path}/kept")
+    write_jsonl(outcome.where("status = 'discarded'").select("discarded.*"), f"{path}/deleted_queries")
+    write_jsonl(kept.select(F.explode("deleted").alias("d")).select("d.*"), f"{path}/deleted_negatives")
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, path: str, pattern: str = "") -> list:
+    """The names of the files below path that match a pattern, in order."""
+    at, fs = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n for n in names if re.search(pattern, n))
+
+
+def moved(spark: SparkSession, source: str, target: str, suffix: str) -> None:
+    """The part files of a written folder as files of their own: target-00000<suffix>, ...; by renames."""
+    at, fs = _fs(spark, source)
+    for i, name in enumerate(n for n in listed(spark, source) if n.startswith("part-")):
+        fs.rename(_fs(spark, f"{source}/{name}")[0], _fs(spark, f"{target}{'' if not i else f'-{i:05d}'}{suffix}")[0])
+    fs.delete(at, True)
+
+
+def write_sharded(df: DataFrame, path: str, split: str, rows_per_shard: int = 150_000, order: tuple = ("query_id",)) -> int:
+    """Snappy Parquet files data/<split>-00000-of-000NN.parquet below path, of rows_per_shard rows each but for the last.
+
+    Rows are numbered in `order` by ranges, every shard is one task's file, and the files get their names by renames; an
+    empty table writes nothing.  The number of shards is returned.
+    """
+    from ..operators.split import shard_numbers
+
+    spark = df.sparkSession
+    rows = written(shard_numbers(df, rows_per_shard, *order))
+    shards = (rows.agg(F.max("shards").alias("n")).first().n or 0)
+    if not shards:
+        return 0
+    parts = f"{path}/data/_{split}"
+    rows.drop("shards").repartition(shards, "shard").sortWithinPartitions("shard", *order).write.mode("overwrite").option("compression", "snappy").partitionBy("shard").parquet(parts)
+    at, fs = _fs(spark, parts)
+    for folder in fs.listStatus(at):
+        number = re.fullmatch(r"shard=(\d+)", folder.getPath().getName())
+        for f in fs.listStatus(folder.getPath()) if number else ():
+            if f.getPath().getName().endswith(".parquet"):
+                fs.rename(f.getPath(), _fs(spark, f"{path}/data/{split}-{int(number.group(1)):05d}-of-{shards:05d}.parquet")[0])
+    fs.delete(at, True)
+    return shards
+
+
+def write_pool(pool: DataFrame, path: str, split: str) -> None:
+    """A split's documents as flat Parquet, <split>_corpus below path."""
+    pool.select("docid", "text", "title").write.mode("overwrite").parquet(f"{path}/{split}_corpus")
+
+
+def write_requeued(deleted: DataFrame, succeeded: DataFrame, spark: SparkSession, triples_path: str, path: str) -> None:
+    """The raw lines of the first triple of every deleted query that has no success, unchanged, in the order of the files."""
+    from ..operators.dedup import requeue
+
+    missing = requeue(deleted, succeeded, triples(spark, triples_path), order=("line",))
+    write_lines(missing.orderBy("line").select("value"), path)
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -91,9 +155,9 @@ def only_file(spark: SparkSession, pattern: str) -> str:
     return paths[0]
 
 
-def result_documents(spark: SparkSession, path: str) -> DataFrame:
+def result_documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """model, dataset, timestamp, fingerprint, results (JSON), path of result files; payloads without model, dataset or results are ignored."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).select("value", F.col("_metadata.file_path").alias("path"))
     get = lambda k: F.get_json_object("value", f"$.{k}")
     rows = files.select(get("model").alias("model"), get("dataset").alias("dataset"), get("timestamp").alias("timestamp"), get("protocol_fingerprint").alias("fingerprint"), get("results").alias("results"), "path")
     return rows.where("model is not null and dataset is not null and results is not null")
@@ -106,9 +170,60 @@ def log_history(spark: SparkSession, path: str) -> DataFrame:
     return files.select(entries).select(F.get_json_object("entry", "$.step").try_cast("bigint").alias("step"), "entry")
 
 
-def manifest(settings: dict, versions: dict, created: str) -> str:
-    """A run manifest as canonical JSON."""
-    return json.dumps({"config": settings, "packages": versions, "created_utc": created}, sort_keys=True, ensure_ascii=False)
+def manifest(settings: dict, versions: dict, created: str, revision: str | None = None, dirty: bool | None = None, device: dict | None = None) -> str:
+    """A run manifest as canonical JSON: the configuration, the code's revision and whether it has local changes, packages, the device."""
+    body = {"config": settings, "packages": versions, "created_at_utc": created, "git_revision": revision, "git_dirty": dirty, "device": device or {"available": False}}
+    return json.dumps(body, sort_keys=True, ensure_ascii=False)
+
+
+def code_state(folder: str) -> tuple:
+    """(revision, dirty) of a checkout; (None, None) where there is none."""
+    import subprocess
+
+    ask = lambda *a: subprocess.run(["git", "-C", folder, *a], capture_output=True, text=True, check=True).stdout.strip()
+    try:
+        return ask("rev-parse", "HEAD"), bool(ask("status", "--porcelain"))
+    except (OSError, subprocess.CalledProcessError):
+        return None, None
+
+
+def package_versions(names: list) -> dict:
+    from importlib import metadata
+
+    out = {}
+    for name in names:
+        try:
+            out[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            out[name] = "not-installed"
+    return out
+
+
+def config(path: str, sections: tuple = ()) -> dict:
+    """A YAML configuration of the driver; a missing section is an error."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML needs the yaml package") from e
+    with open(path, encoding="utf-8") as f:
+        found = yaml.safe_load(f) or {}
+    missing = [s for s in sections if s not in found]
+    if missing:
+        raise ValueError(f"missing: {', '.join(missing)}")
+    return found
+
+
+def statistics_json(paired: DataFrame, singles: dict, settings: dict) -> str:
+    """The record of a significance run: settings, each metric's paired figures, and each model's own intervals.
+
+    paired and singles hold one row a metric (operators.significance)."""
+    def figures(df, names):
+        return {r["metric"]: {out: r[c] for c, out in names.items() if c in r.asDict()} | {"bootstrap_95_ci": [r["low"], r["high"]]} for r in df.collect()}
+
+    both = {"n": "n_topics", "mean_a": "model_a_mean", "mean_b": "model_b_mean", "mean": "difference_a_minus_b", "p": "paired_sign_flip_p_two_sided", "topics": "topic_ids"}
+    own = {"n": "n_topics", "mean": "mean", "p": "sign_flip_p_two_sided_vs_zero"}
+    return json.dumps({**settings, "difference_direction": "model_a - model_b", "metrics": figures(paired, both),
+                       "individual_intervals": {name: figures(df, own) for name, df in singles.items()}}, ensure_ascii=False, sort_keys=True)
 
 
 def write_run(run: DataFrame, path: str) -> None:
@@ -116,6 +231,25 @@ def write_run(run: DataFrame, path: str) -> None:
     run.write.mode("overwrite").partitionBy("model", "task").parquet(path)
 
 
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """qid, docid of candidate or changed-document lists {qid: [docid, ...]}, as JSON lines; ids are text."""
+    rows = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("qid", "docids"))
+    return rows.select("qid", F.explode("docids").alias("docid")).distinct()
+
+
+def judgements(spark: SparkSession, path: str) -> DataFrame:
+    """qid, docid, rel of nested judgements {qid: {docid: score}}, as JSON lines; scores are whole numbers."""
+    rows = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,map<string,int>>")).alias("qid", "d"))
+    return rows.select("qid", F.explode("d").alias("docid", "rel"))
+
+
+def test_files(spark: SparkSession, root: str) -> tuple:
+    """(corpus, rows) of the test split alone: two files' columns are read, the training shards are not opened."""
+    from ..functions.schemas import CORPUS
+
+    return spark.read.schema(CORPUS).parquet(f"{root}/test_corpus"), training_split(spark, root, "test")
+
+
 def read_run(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("qid string, docid string, score double, model string, task string").parquet(path)
 

@@ -48,6 +48,82 @@ def load(kind: str, *args, revision: str | None = None, pinned: bool = False):
     return LOADERS[kind](*args)
 
 
+def task_tables(spark, root: str, split: str = "test") -> tuple:
+    """(corpus, queries, qrels) of a task's folder, in any of three layouts: <kind>/<split>, <kind>/<subset>/<split> and <subset>/<split>/<kind>.
+
+    Of several subsets the first by name counts; tables are Parquet or JSON lines (*.jsonl); another layout is an error.
+    """
+    from .files import _fs
+
+    kinds = ("corpus", "queries", "qrels")
+
+    def inside(path):
+        at, fs = _fs(spark, path)
+        return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()) if fs.exists(at) else []
+
+    def read(path):
+        at, fs = _fs(spark, path)
+        names = [f.getPath().getName() for f in fs.listStatus(at)]
+        return spark.read.json(path) if any(n.endswith(".jsonl") for n in names) else spark.read.parquet(path)
+
+    there = inside(root)
+    if set(kinds) <= set(there):
+        subsets = inside(f"{root}/corpus")
+        if split in subsets:
+            paths = [f"{root}/{k}/{split}" for k in kinds]
+        elif subsets and split in inside(f"{root}/corpus/{subsets[0]}"):
+            paths = [f"{root}/{k}/{subsets[0]}/{split}" for k in kinds]
+        else:
+            raise ValueError(f"no split {split} in {root}")
+    elif there and set(kinds) <= set(inside(f"{root}/{there[0]}/{split}")):
+        paths = [f"{root}/{there[0]}/{split}/{k}" for k in kinds]
+    else:
+        raise ValueError(f"no layout of a task in {root}")
+    rows = [read(p) for p in paths]
+    return corpus(rows[0]), queries(rows[1]), qrels(rows[2])
+
+
+def _tasks(spark, root: str, config: dict) -> dict:
+    """Tables of the named tasks, each a folder below root."""
+    names = select_names(config.get("task_names", []), config.get("task_names", []))
+    return {n: task_tables(spark, f"{root}/{n}") for n in names}
+
+
+@loader("rumteb")
+def _plain(spark, root: str, config: dict) -> dict:
+    return _tasks(spark, root, config)
+
+
+@loader("en_mteb")
+def _plain_english(spark, root: str, config: dict) -> dict:
+    return _tasks(spark, root, config)
+
+
+@loader("mfollowir")
+def _reranking(spark, root: str, config: dict) -> dict:
+    """The reranking task, with its candidate lists and changed documents; a revision other than the stored one is an error."""
+    from .files import candidates
+
+    stored = spark.read.text(f"{root}/revision").first()
+    if config.get("revision") and (stored is None or stored.value.strip() != config["revision"]):
+        raise ValueError(f"the configured revision {config['revision']} is not the stored one")
+    return {"mfollowir": (*task_tables(spark, root), candidates(spark, f"{root}/candidates"), candidates(spark, f"{root}/qrel_diff"))}
+
+
+@loader("synthetic_test")
+def _synthetic(spark, root: str, config: dict) -> dict:
+    """The paired test set from its two files: corpus, queries of all rows, derived judgements; without pairs or negatives it is an error."""
+    from ..operators.ranking import checked_pairs, derive_qrels
+    from .files import test_files
+
+    check_fields(config, ("data_path", "revision", "instruction_negative_field"))
+    docs, rows = test_files(spark, root)
+    ids = lambda c: F.transform(F.coalesce(F.col(c), F.array()), lambda p: p["docid"])
+    flat = rows.select("query_id", "query", "only_instruction", ids("positive_passages").alias("positives"), ids(config["instruction_negative_field"]).alias("new_negatives"))
+    checked_pairs(flat)
+    return {"synthetic_test": (corpus(docs), flat.select(F.col("query_id").alias("qid"), F.col("query").alias("text")), derive_qrels(flat))}
+
+
 RETRIEVERS: dict = {}
 
 
@@ -61,24 +137,47 @@ def retriever(kind: str):
 
 
 @retriever("bm25")
-def _bm25(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
+def _bm25(q: DataFrame, c: DataFrame, k: int, **settings) -> DataFrame:
+    """Title and text, stemmed; the stop words are the settings'."""
     from ..functions.text import passage
     from ..operators.bm25 import scores, topk
 
-    return topk(scores(q, c.select("docid", passage(F.col("title"), F.col("text"), " ").alias("text"))), k)
+    docs = c.select("docid", passage(F.col("title"), F.col("text"), " ").alias("text"))
+    return topk(scores(q, docs, stopwords=settings.get("stopwords", ()), stem=settings.get("stem", True)), k)
 
 
 @retriever("dense")
-def _dense(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
+def _dense(q: DataFrame, c: DataFrame, k: int, **_) -> DataFrame:
     from ..operators.dense import topk
 
     return topk(q, c, k, without_self=False)
 
 
-def retrieve(kind: str, q: DataFrame, c: DataFrame, k: int) -> DataFrame:
+def _encoded(kind: str):
+    """A retriever that encodes queries (qid long, text) and passages (docid long, text, title) as the model type formats them, then searches."""
+    def run(q: DataFrame, c: DataFrame, k: int, encode=None, query_prefix: str = "", passage_prefix: str = "", instruction: str = "", dataset_type: str = "", separator: str = ". ", **_) -> DataFrame:
+        from ..functions.text import instructed_query, passage, plain_prefix, prefixed
+        from ..operators.dense import topk
+
+        if encode is None:
+            raise ValueError(f"the retriever {kind} needs an encoder")
+        put = prefixed if kind == "causal_lm" else plain_prefix  # causal models strip, encoders do not
+        text = instructed_query(F.col("text"), kind, dataset_type, instruction)
+        asked = q.select("qid", encode(put(text, F.lit("query"), query_prefix, passage_prefix)).alias("v"))
+        docs = c.select("docid", encode(put(passage(F.col("title"), F.col("text"), separator), F.lit("passage"), query_prefix, passage_prefix)).alias("v"))
+        return topk(asked, docs, k, without_self=False)
+
+    return run
+
+
+for _kind in ("encoder", "causal_lm", "qwen3_embedding", "giga_embedding"):
+    RETRIEVERS[_kind] = _encoded(_kind)
+
+
+def retrieve(kind: str, q: DataFrame, c: DataFrame, k: int, **settings) -> DataFrame:
     if kind not in RETRIEVERS:
         raise ValueError(f"unknown retriever {kind}")
-    return RETRIEVERS[kind](q, c, k)
+    return RETRIEVERS[kind](q, c, k, **settings)
 
 
 def select_names(known: list, asked: list) -> list:

@@ -9,9 +9,15 @@ _OWN: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, or below a folder of this process where that is unset (tests)."""
+    """A new path below spark.checkpoint.dir, or below a folder of this process in local mode (tests, the bench).
+
+    On a cluster an unset folder is an error: every executor would write to its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="siftline-"))
         root = f"file://{_OWN[0]}"

@@ -2,6 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import listed
 from ..sources.scratch import scratch
 
 
@@ -16,7 +17,30 @@ def resumable(source: DataFrame, transform, out: str, checkpoint: str, files_per
         raise q.exception()
 
 
-def append_new(rows: DataFrame, key: str, path: str) -> int:
+def capped(source: DataFrame, transform, out: str, checkpoint: str, clock=None) -> None:
+    """resumable() with the requests in flight capped anew for every batch, by the schedule of operators.results.concurrency.
+
+    clock() is a UTC time as text; a batch's rows go through as many partitions as the cap of its start allows.
+    """
+    from datetime import datetime, timezone
+
+    from ..operators.results import concurrency
+
+    now = clock or (lambda: datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
+
+    def put(batch, number):
+        spark = batch.sparkSession
+        cap = spark.range(1).select(concurrency(F.lit(now()).cast("timestamp")).alias("cap")).first().cap
+        # a batch that is run again after a failure replaces its own folder
+        transform(batch.coalesce(cap)).withColumn("cap", F.lit(cap)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+
+
+def append_new(rows: DataFrame, key: str, path: str) -> None:
     """Appends the rows whose key is not in the table at path; running it again adds nothing."""
     spark = rows.sparkSession
     try:
@@ -25,26 +49,49 @@ def append_new(rows: DataFrame, key: str, path: str) -> int:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     rows.write.mode("append").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path).count()
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """The events table as a stream; ts becomes an instant, which watermarks need."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+
 
+def finished(df: DataFrame, keys: tuple, append: bool = False) -> DataFrame:
+    """The result of a stream over the input there is.
 
-def finished(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """The result of a stream over the input there is: each batch replaces or appends to a table in the shared folder."""
+    Batches hand on what changed, under their number, and the last version of each key counts; the watermark drops state.  append:
+    batches hand on what is final only (session windows have no other way), and what the watermark has not closed is not there.
+    """
     spark, out = df.sparkSession, scratch(df.sparkSession)
 
     def put(batch, number):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # run again after a failure, it replaces itself
 
-    q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
+    q = df.writeStream.outputMode("append" if append else "update").foreachBatch(put).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    if q.exception():
+        raise q.exception()
+    if q.lastProgress is None or not listed(spark, out):  # no batch: an empty input
+        return spark.createDataFrame([], df.schema)
+    rows = spark.read.schema(df.schema.add("batch", "long")).parquet(out)
+    if append:
+        return rows.drop("batch")
+    rest = [c for c in df.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), "batch").alias("_last")
+    return rows.groupBy(*keys).agg(last).select(*[F.col(c) if c in keys else F.col(f"_last.{c}") for c in df.columns])
+
+
+def closed(spark: SparkSession, path: str) -> DataFrame:
+    """The events at path with one of a day later, without a user: its watermark closes all windows before it."""
+    table = spark.read.parquet(path)
+    last, end = table.agg(F.max("ts").alias("ts")).where("ts is not null"), scratch(spark)
+    last.select(*[(F.col("ts") + F.expr("interval 1 day")).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema]).write.parquet(end)
+    behind = spark.readStream.schema(table.schema).parquet(end).withColumn("ts", F.col("ts").cast("timestamp"))
+    return event_stream(spark, path).unionByName(behind)
 
 
 def windows(events: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
