@@ -1,6 +1,7 @@
 """Queries over results, schedules and streams."""
 from pyspark.sql import functions as F
 
+from ..functions.text import stamp
 from ..operators import results
 from ..sources import files
 from ..sources.scratch import scratch
@@ -42,13 +43,13 @@ def metric_rename(spark, d):
 
 @_R.add("results_table", """
 WITH m AS (SELECT event_type AS dataset, 'p_mrr' AS metric, avg(value) / 1000 AS value FROM events GROUP BY 1 UNION ALL SELECT event_type, 'ndcg_cut_10', avg(value) / 100 FROM events GROUP BY 1)
-SELECT dataset, metric, CASE metric WHEN 'ndcg_cut_10' THEN 0 ELSE 1 END AS key_rank, round(value, 6) AS value FROM m
+SELECT dataset, metric, CASE metric WHEN 'ndcg_cut_10' THEN 0 ELSE 1 END AS key_rank, round(value, 6) AS value, CASE metric WHEN 'p_mrr' THEN printf('%.2f', round(value, 6) * 100) ELSE printf('%.4f', round(value, 6)) END AS shown FROM m
 """)
 def results_table(spark, d):
     e = table(spark, d, "events").groupBy(F.col("event_type").alias("dataset")).agg(F.avg("value").alias("v"))
     item = lambda m, v: F.struct(F.lit(m).alias("metric"), v.alias("value"))
     tall = e.select("dataset", F.inline(F.array(item("p_mrr", F.col("v") / 1000), item("ndcg_cut_10", F.col("v") / 100), item("nauc_x", F.col("v")), item("precision_at_1", F.col("v")))))
-    return results.summary(tall, ["ndcg_cut_10"]).select("dataset", "metric", "key_rank", F.round("value", 6).alias("value"))
+    return results.summary(tall.withColumn("value", F.round("value", 6)), ["ndcg_cut_10"]).select("dataset", "metric", "key_rank", "value", "shown")
 
 
 @_R.add("result_cache", """
@@ -62,16 +63,59 @@ def result_cache(spark, d):
     return results.cached(docs.select("doc_id", "fingerprint"), stored)
 
 
-@_R.add("result_scan", "SELECT lang AS model, source AS dataset, count(*) AS n FROM documents WHERE n_chars > 1500 GROUP BY 1, 2")
+@_R.add("result_scan", "SELECT 'm' || CAST(item_id % 3 AS VARCHAR) AS model, 'd' AS dataset, '20260102_030405' AS timestamp, count(*) AS n FROM benchmark WHERE item_id % 2 = 0 GROUP BY 1")
 def result_scan(spark, d):
-    """Result lines written and scanned: payloads without results are ignored, as a manifest is."""
+    """Result documents, one a file, scanned: payloads without results are ignored, as a manifest is."""
     path = scratch(spark)
-    rows = table(spark, d, "documents").select(F.to_json(F.struct(F.col("lang").alias("model"), F.col("source").alias("dataset"), F.when(F.col("n_chars") > 1500, F.struct(F.col("n_chars").alias("x"))).alias("results"))).alias("value"))
-    files.write_lines(rows, path)
-    stored = spark.read.text(path)
-    get = lambda k: F.get_json_object("value", f"$.{k}")
-    kept = stored.select(get("model").alias("model"), get("dataset").alias("dataset"), get("results").alias("results")).where("model is not null and dataset is not null and results is not null")
-    return kept.groupBy("model", "dataset").agg(F.count("*").alias("n"))
+    i = F.col("item_id")
+    body = F.to_json(F.struct(F.concat(F.lit("m"), (i % 3).cast("string")).alias("model"), F.lit("d").alias("dataset"), stamp(F.lit("2026-01-02 03:04:05").cast("timestamp_ntz")).alias("timestamp"),
+                              F.when(i % 2 == 0, F.struct(i.alias("x"))).alias("results")))
+    table(spark, d, "benchmark").select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/parts")
+    files.write_lines(spark.createDataFrame([(files.manifest({"a": 1}, files.package_versions(["pyspark"]), "2026-01-02T03:04:05+00:00", "abc", False),)], "value string"), f"{path}/manifest")
+    found = files.result_documents(spark, f"{path}/parts", "*.txt").unionByName(files.result_documents(spark, f"{path}/manifest", "*.txt"))
+    return found.groupBy("model", "dataset", "timestamp").agg(F.count("*").alias("n"))
+
+
+@_R.add("log_history", "SELECT CASE WHEN item_id % 4 > 0 THEN item_id END AS step, CAST(item_id AS DOUBLE) / 8 AS loss FROM benchmark")
+def log_history(spark, d):
+    """A trainer's log entries, of which some carry no step."""
+    path, i = scratch(spark), F.col("item_id")
+    entry = F.to_json(F.struct(F.when(i % 4 > 0, i).alias("step"), (i / 8).alias("loss")))
+    states = table(spark, d, "benchmark").groupBy((i % 5).alias("part")).agg(F.array_join(F.collect_list(entry), ",").alias("l"))
+    states.select(F.concat(F.lit('{"best": 1, "log_history": ['), "l", F.lit("]}")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return files.log_history(spark, path).select("step", F.get_json_object("entry", "$.loss").cast("double").alias("loss"))
+
+
+@_R.add("protocol_fingerprints", """
+SELECT item_id, sha256('{"code_revision":"r","dataset":{"name":"d' || item_id || '"},"global":{"device":null,"dtype":null,"generic_instruction":"g","retrieval_top_k":100},"model":{"type":"bm25"}}') AS fingerprint FROM benchmark WHERE item_id IN (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 10)
+""")
+def protocol_fingerprints(spark, d):
+    """The fingerprints of ten requests (a driver-side document each)."""
+    ids = [r.item_id for r in table(spark, d, "benchmark").select("item_id").orderBy("item_id").limit(10).collect()]
+    of = lambda i: results.fingerprint(results.protocol({"retrieval_top_k": 100, "generic_instruction": "g", "other": 1}, {"type": "bm25"}, {"name": f"d{i}"}, "r"))
+    return spark.createDataFrame([(i, of(i)) for i in ids], "item_id long, fingerprint string")
+
+
+@_R.add("listed_files", """
+SELECT f AS name FROM (SELECT unnest(['a.jsonl', 'b.jsonl', 'run_paraphrasing_1_filtered.jsonl']) AS f)
+""")
+def listed_files(spark, d):
+    """The inputs of a folder in order: logs of what was deleted and other files do not count."""
+    path = scratch(spark)
+    for name in ("b.jsonl", "a.jsonl", "deleted_queries.jsonl", "run_paraphrasing_1_filtered.jsonl", "note.txt"):
+        files.write_lines(spark.createDataFrame([('{"query_id": 1}',)], "value string"), f"{path}/{name}")
+    names = [n for n in files.listed(spark, path, r"\.jsonl$") if not n.startswith("deleted_")]
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+@_R.add("filtered_glob", "SELECT item_id AS query_id FROM benchmark WHERE item_id % 2 = 0")
+def filtered_glob(spark, d):
+    """Only a filter run's outputs are read by their name."""
+    path, b = scratch(spark), table(spark, d, "benchmark")
+    for name, rest in (("run_paraphrasing_1_filtered", 0), ("other", 1)):
+        files.write_jsonl(b.where(F.col("item_id") % 2 == rest).select(F.col("item_id").alias("query_id")), f"{path}/parts_{name}")
+        files.moved(spark, f"{path}/parts_{name}", f"{path}/{name}", ".jsonl")
+    return files.filtered(spark, path).select("query_id")
 
 
 @_R.add("predictions_read", "SELECT 's' || CAST(doc_id % 4 AS VARCHAR) AS subset, 'test' AS split, CAST(doc_id AS VARCHAR) AS qid, 'd' || CAST(doc_id % 7 AS VARCHAR) AS docid, CAST(n_chars AS DOUBLE) AS score FROM documents")
@@ -110,6 +154,15 @@ def resumable_filter(spark, d):
     return spark.read.schema("event_id bigint, event_type string, value double").parquet(out)
 
 
+@_R.add("capped_stream", "SELECT event_id, 9 AS cap FROM events WHERE value > 10")
+def capped_stream(spark, d):
+    """A file stream whose batches go through as many partitions as the schedule allows when they start: on a weekend, nine."""
+    out, checkpoint = scratch(spark), scratch(spark)
+    for _ in range(2):
+        flows.capped(flows.event_stream(spark, f"{d}/events.parquet"), lambda x: x.where("value > 10").select("event_id"), out, checkpoint, clock=lambda: "2026-01-03 12:00:00")
+    return spark.read.schema("event_id bigint, cap int").parquet(out).select("event_id", "cap")
+
+
 @_R.add("append_once", "SELECT event_id, user_id FROM events")
 def append_once(spark, d):
     """Key-based resume: appended twice, present once."""
@@ -123,7 +176,7 @@ def append_once(spark, d):
 @_R.add("event_tumbling", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS w_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_tumbling(spark, d):
     """Extension: tumbling windows over the events as a stream."""
-    out = flows.finished(flows.windows(flows.event_stream(spark, f"{d}/events.parquet"), "10 minutes"))
+    out = flows.finished(flows.windows(flows.event_stream(spark, f"{d}/events.parquet"), "10 minutes"), ("w_start", "event_type"))
     return out.select(F.col("w_start").cast("timestamp_ntz").alias("w_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -132,7 +185,7 @@ WITH s AS (SELECT unnest([0, 5]) AS back) SELECT time_bucket(INTERVAL 5 MINUTE,
 """)
 def event_sliding(spark, d):
     """Extension: sliding windows."""
-    out = flows.finished(flows.windows(flows.event_stream(spark, f"{d}/events.parquet"), "10 minutes", "5 minutes"))
+    out = flows.finished(flows.windows(flows.event_stream(spark, f"{d}/events.parquet"), "10 minutes", "5 minutes"), ("w_start", "event_type"))
     return out.select(F.col("w_start").cast("timestamp_ntz").alias("w_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -142,5 +195,5 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS
 """)
 def event_sessions(spark, d):
     """Extension: sessions of a user with gaps up to half an hour."""
-    out = flows.finished(flows.sessions(flows.event_stream(spark, f"{d}/events.parquet")))
+    out = flows.finished(flows.sessions(flows.closed(spark, f"{d}/events.parquet")), ("user_id", "s_start"), append=True)
     return out.select("user_id", F.col("s_start").cast("timestamp_ntz").alias("s_start"), "n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftline.functions import text as T
 from siftline.functions.rng import draw
 from siftline.functions.schemas import FILTERED, GENERATED
+from siftline.functions.stem import stemmed
 from siftline.functions.vector import dot, last_token, normalised, with_end
 from siftline.operators import bm25, dedup, dense, ranking, records, results, sampling, significance, split
 from siftline.sources import external, files, retrieval
@@ -118,9 +119,28 @@ def test_passage_variants(spark):
 def test_cyrillic_tokens_and_stems(spark):
     df = spark.createDataFrame([("Привет мир, the cat",)], "t string")
     assert df.select(T.tokens(F.col("t")).alias("x")).first().x == ["привет", "мир", "the", "cat"]
-    stems = spark.createDataFrame([("книгами",), ("книга",), ("дом",)], "t string").select(T.stem_russian(F.col("t")).alias("s"))
-    got = col(stems, "s")
-    assert got[0] == got[1] and got[2] == "дом"
+
+
+# words and stems of the published vocabulary
+STEMS = """вавиловка вавиловк вагнера вагнер вагон вагон вагонам вагон важная важн важнее важн важнейшие важн важнейшими важн важничал важнича важно важн важного важн важность важност
+валентиновна валентиновн валерианович валерианович валетом валет валяются валя валялась валя п п па па пава пав павел павел павлиний павлин падает пада падай пада падаль падал падать пада
+падеж падеж падении паден паденье паден падет падет падут падут пакости пакост пакостно пакостн пали пал палочкой палочк пальцев пальц радость радост красивейшая красив в в""".split()
+
+
+def test_russian_stems(spark):
+    words = list(zip(STEMS[::2], STEMS[1::2]))
+    rows = stemmed(spark.createDataFrame(words, "term string, want string")).collect()
+    assert [r.term for r in rows] == [r.want for r in rows] and len(rows) == len(words)
+    long = stemmed(spark.createDataFrame([("а" + "б" * 3000 + "ами",), ("ёлка",)], "term string")).collect()
+    assert [len(r.term) for r in long] == [3001, 3] and long[1].term == "елк"  # whole words, however long
+
+
+def test_stemmed_bm25(spark):
+    corpus = spark.createDataFrame([("A", "важная книга и вагон"), ("B", "падать вагонам"), ("C", "и не он")], "docid string, text string")
+    q = spark.createDataFrame([("q", "важного вагона")], "qid string, text string")
+    got = {r.docid: r["rank"] for r in bm25.topk(bm25.scores(q, corpus, stopwords=T.RUSSIAN_STOPWORDS, stem=True), 5).collect()}
+    assert got == {"A": 1, "B": 2}
+    assert bm25.topk(bm25.scores(q, corpus), 5).count() == 0
 
 
 def test_prefixes(spark):
@@ -191,6 +211,10 @@ def test_negative_mix_fills_and_pads(spark):
     got = {r.query_id: r.negatives for r in sampling.negative_mix(spark.createDataFrame(rows, "query_id string, has_instruction boolean, hard array<string>, special array<string>")).collect()}
     assert len(got["a"]) == 7 and sorted(got["a"]) == ["", "h1", "h2", "s1", "s2", "s3", "s4"]
     assert got["b"] == got["c"] == [""] * 7
+    # a text of both lists is removed from a list's rest only by that list's own sample
+    both = [("d", True, ["x", "h"], ["x"])]
+    one = sampling.negative_mix(spark.createDataFrame(both, "query_id string, has_instruction boolean, hard array<string>, special array<string>"), total=3).first().negatives
+    assert sorted(one) == ["h", "x", "x"]
 
 
 def test_dense_blocks_agree(spark, monkeypatch):
@@ -259,17 +283,109 @@ def test_external_calls_retry_and_record_failures(spark):
         return call
 
     rows = spark.createDataFrame([("1", "x"), ("2", "never")], "record_id string, prompt string").coalesce(1)
-    got = {r.record_id: (r.answer, r.status) for r in external.verdicts(rows, client).collect()}
+    got = {r.record_id: (r.answer, r.status) for r in external.verdicts(rows, client, sleep=lambda s: None).collect()}
     assert got == {"1": (True, "ok"), "2": (None, "error")}
     enc = external.encoder(external.hashing_encoder(8), 8)
     v = rows.select(enc(F.col("prompt")).alias("v")).collect()
     assert len(v[0].v) == 8 and abs(sum(x * x for x in v[0].v) - 1) < 1e-6
 
 
+def test_retries_back_off_and_reconnect():
+    waits, made = [], []
+
+    def client():
+        made.append(len(made))
+
+        def call(prompt):
+            if len(waits) < 6:
+                raise ConnectionError("Connection reset") if len(waits) == 2 else RuntimeError("busy")
+            return "ok"
+
+        return call
+
+    assert external.Caller(client, sleep=waits.append)("p") == "ok"
+    assert waits == [5.0, 5.0, 5.0, 8.0, 16.0, 30.0] and len(made) == 2
+    with pytest.raises(RuntimeError):
+        external.Caller(lambda: lambda p: (_ for _ in ()).throw(RuntimeError("down")), attempts=3, sleep=waits.append)("p")
+    with pytest.raises(ValueError):
+        external.read_passages('{"reasoning": "", "documents": [{"matches_both": true, "error_type": "odd", "explanation": "", "title": "", "passage": ""}]}')
+
+
 def test_append_new_is_idempotent(spark, tmp_path):
-    rows = spark.range(5).select(F.col("id").alias("k"))
-    assert flows.append_new(rows, "k", str(tmp_path / "t")) == 5
-    assert flows.append_new(spark.range(8).select(F.col("id").alias("k")), "k", str(tmp_path / "t")) == 8
+    path = str(tmp_path / "t")
+    for n in (5, 8, 8):
+        flows.append_new(spark.range(n).select(F.col("id").alias("k")), "k", path)
+        assert spark.read.parquet(path).count() == n
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    """What comes behind the watermark (of the batch before) does not change a window that is closed; what comes in time does."""
+    import os
+
+    day = "2026-01-01 "
+    batches = [[("a", "10:01:00", 1.0), ("a", "10:02:00", 1.0)], [("a", "11:00:00", 1.0)], [("a", "11:01:00", 1.0)], [("a", "10:03:00", 5.0), ("a", "10:55:00", 1.0)]]
+    for i, rows in enumerate(batches):
+        at = tmp_path / f"parts{i}"
+        spark.createDataFrame([(e, day + t, v) for e, t, v in rows], "event_type string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(at))
+        (part,) = [f for f in os.listdir(at) if f.startswith("part-")]
+        os.makedirs(tmp_path / "events", exist_ok=True)
+        os.rename(at / part, tmp_path / "events" / f"{i}.parquet")
+        os.utime(tmp_path / "events" / f"{i}.parquet", (1000 + i, 1000 + i))
+    stream = flows.event_stream(spark, f"{tmp_path}/events/*.parquet", files_per_batch=1)
+    got = sorted((str(r.w_start)[11:16], r.n, r.total) for r in flows.finished(flows.windows(stream, "10 minutes"), ("w_start", "event_type")).collect())
+    assert got == [("10:00", 2, 2.0), ("10:50", 1, 1.0), ("11:00", 2, 2.0)]
+
+
+def test_shards_are_files_of_the_readers_names(spark, tmp_path):
+    rows = spark.range(25).select(F.col("id").cast("string").alias("query_id"))
+    assert files.write_sharded(records.as_training(rows), str(tmp_path), "val", 10) == 3
+    assert files.listed(spark, f"{tmp_path}/data") == [f"val-0000{i}-of-00003.parquet" for i in range(3)]
+    got = files.training_split(spark, str(tmp_path), "validation")
+    assert sorted(r["count"] for r in got.groupBy("_metadata.file_name").count().collect()) == [5, 10, 10] and got.count() == 25
+    assert files.write_sharded(records.as_training(rows.where("false")), str(tmp_path), "test", 10) == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from siftline.sources.scratch import scratch
+
+    spark = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: folder), sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    with pytest.raises(RuntimeError):
+        scratch(spark("spark://host:7077", None))
+    assert scratch(spark("spark://host:7077", "file:///shared")).startswith("file:///shared/siftline-")
+    assert scratch(spark("local[2]", None)).startswith("file://")
+
+
+def test_configuration_and_manifest(tmp_path):
+    (tmp_path / "c.yaml").write_text("models: [a]\nseed: 1\n")
+    assert files.config(str(tmp_path / "c.yaml"), ("models",)) == {"models": ["a"], "seed": 1}
+    with pytest.raises(ValueError):
+        files.config(str(tmp_path / "c.yaml"), ("datasets",))
+    body = json.loads(files.manifest({"a": 1}, files.package_versions(["pyspark", "no-such-package"]), "t", *files.code_state(str(tmp_path))))
+    assert body["packages"]["no-such-package"] == "not-installed" and body["git_revision"] is None and body["device"] == {"available": False}
+
+
+def test_retrievers_of_all_types(spark):
+    q = spark.createDataFrame([(1, "red pear"), (2, "green tree")], "qid long, text string")
+    c = spark.createDataFrame([(1, "red pear", ""), (2, "tree", "green")], "docid long, text string, title string")
+    enc = external.encoder(external.hashing_encoder(32), 32)
+    for kind in ("encoder", "causal_lm", "qwen3_embedding", "giga_embedding"):
+        got = {(r.qid, r.docid) for r in retrieval.retrieve(kind, q, c, 1, encode=enc, separator=" ").collect()}
+        assert got == {(1, 1), (2, 2)}
+        with pytest.raises(ValueError):
+            retrieval.retrieve(kind, q, c, 1)
+    assert retrieval.retrieve("bm25", q, c, 1).count() == 2
+
+
+def test_loaders_check_layouts_and_revisions(spark, tmp_path):
+    with pytest.raises(ValueError):
+        retrieval.task_tables(spark, str(tmp_path))
+    (tmp_path / "revision").write_text("abc\n")
+    with pytest.raises(ValueError):
+        retrieval.load("mfollowir", spark, str(tmp_path), {"revision": "other"})
+    with pytest.raises(ValueError):
+        retrieval.check_fields({"data_path": "x"}, ("data_path", "revision"))
 
 
 def test_predictions_drop_metadata(spark, tmp_path):
