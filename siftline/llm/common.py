@@ -1,4 +1,6 @@
 """Shared plumbing: reading tables, the shared scratch folder, chunked Arrow input, row keys."""
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -7,7 +9,9 @@ from pyspark.sql import functions as F
 from ..sources.scratch import dropped, scratch, spread, written, written_at  # noqa: F401
 
 #: bytes of text that one numpy step holds at a time (a longer single text is one step by itself)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: bytes of input after which a worker gives freed memory back
+TRIM_BYTES = 32 << 20
 NULL_KEY = -(1 << 63)
 
 
@@ -51,9 +55,32 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def trim() -> None:
+    """Gives memory that this process has freed back to the system: idle workers of an executor would else keep their peaks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
+def trimmed(batches):
+    """The batches; freed memory goes back after every TRIM_BYTES of them, and at the end."""
+    size = 0
+    try:
+        for batch in batches:
+            yield batch
+            size += batch.nbytes
+            if size >= TRIM_BYTES:
+                size = 0
+                trim()
+    finally:
+        trim()
+
+
 def chunked(batches, column: str = "text", most: int = CHUNK_BYTES):
     """Slices of the batches with about `most` bytes of text each."""
-    for batch in batches:
+    for batch in trimmed(batches):
         n = batch.num_rows
         if not n:
             continue
@@ -82,7 +109,7 @@ def binaries(data: bytes, offsets: np.ndarray) -> pa.Array:
 def grouped(batches, key: str):
     """Whole groups of a stream that is sorted by an integer key: (key, record batches)."""
     held, now = [], None
-    for batch in batches:
+    for batch in trimmed(batches):
         if not batch.num_rows:
             continue
         keys = longs(batch, key)

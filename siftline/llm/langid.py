@@ -15,6 +15,7 @@ texts without a letter are `und` with score 0; ties go to the language that sort
 first.  With nothing to learn from, every text is `und`.  Rows are predicted one by
 one, repeated ids included; a null doc_id is a training row.
 """
+import re
 import unicodedata
 
 import numpy as np
@@ -29,6 +30,31 @@ SMOOTHING = 0.5
 RARE = 1e-7
 _STEP = np.uint64(0x9E3779B97F4A7C1B)
 _MARK = "▁"
+#: characters of text that are looked at together
+SLICE = 4 << 20
+#: ASCII characters and spaces that are in no word: a long text may be cut behind them
+_BREAK = re.compile(r"[\s\x00-@\[-`{-~]")
+
+
+def sliced(texts: list, most: int = SLICE):
+    """(rows, pieces): lists of about `most` characters; a longer text is cut where no word is."""
+    rows, pieces, size = [], [], 0
+    for row, text in enumerate(texts):
+        at = 0
+        while True:
+            found = _BREAK.search(text, at + most) if len(text) - at > most else None
+            end = found.end() if found else len(text)
+            rows.append(row)
+            pieces.append(text[at:end])
+            size += end - at
+            if size >= most:
+                yield np.array(rows), pieces
+                rows, pieces, size = [], [], 0
+            at = end
+            if at >= len(text):
+                break
+    if rows:
+        yield np.array(rows), pieces
 
 
 def pieces_of(path: str) -> list:
@@ -112,7 +138,7 @@ class Vocabulary:
         inside = self.inside[codes]
         edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        letters = np.concatenate([[0], np.cumsum(self.letter[codes])])
+        letters = np.concatenate([[0], np.cumsum(self.letter[codes], dtype=np.int32)])
         has = letters[heads + sizes] > letters[heads]
         row = np.searchsorted(heads, starts, "right") - 1
         return codes, inside, starts, ends, row, has
@@ -217,6 +243,10 @@ def _start(size: int) -> np.ndarray:
     return np.append(p / p.sum(), 0.0)
 
 
+def _coded(codes):
+    return lambda a, b: codes[a:b].astype(np.uint64) + np.uint64(1)
+
+
 def _train(shared):
     def run(batches):
         pieces, tables, langs = shared.value
@@ -224,15 +254,16 @@ def _train(shared):
         index = {x: i for i, x in enumerate(langs)}
         start = _start(len(pieces))
         sums = np.zeros((len(start), len(langs)))
-        for batch in chunked(batches, most=4 << 20):
+        for batch in chunked(batches, most=4 << 20):  # words are looked at once a slice
             lang = np.array([index[x] for x in column(batch, "lang").to_pylist()])
-            codes, inside, starts, ends, row, _ = vocabulary.words(column(batch, "text").to_pylist())
-            if not len(starts):
-                continue
-            hashes = run_hashes(codes.astype(np.uint64) + np.uint64(1), inside, starts, ends)
-            _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            weight = np.bincount(inverse * len(langs) + lang[row], minlength=len(at) * len(langs)).reshape(len(at), len(langs)).astype(float)
-            sums += expected_counts(vocabulary, codes, starts[at], ends[at], weight, start)
+            for rows, pieces in sliced(column(batch, "text").to_pylist()):
+                codes, inside, starts, ends, row, _ = vocabulary.words(pieces)
+                if not len(starts):
+                    continue
+                hashes = run_hashes(_coded(codes), inside, starts, ends)
+                _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                weight = np.bincount(inverse * len(langs) + lang[rows[row]], minlength=len(at) * len(langs)).reshape(len(at), len(langs)).astype(float)
+                sums += expected_counts(vocabulary, codes, starts[at], ends[at], weight, start)
         piece, which = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(sums[piece, which])], ["lang", "piece", "n"])
 
@@ -260,16 +291,18 @@ def _predict(shared, names: list):
     def run(batches):
         pieces, tables, langs, probs = shared.value
         vocabulary = Vocabulary(pieces, tables)
-        for batch in chunked(batches):
+        for batch in chunked(batches, most=2 << 20):
             texts = [x or "" for x in column(batch, "text").to_pylist()]
-            codes, inside, starts, ends, row, has = vocabulary.words(texts)
-            total = np.zeros((len(texts), len(langs)))
-            if len(starts):
-                hashes = run_hashes(codes.astype(np.uint64) + np.uint64(1), inside, starts, ends)
-                _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                logs = log_probs(vocabulary, codes, starts[at], ends[at], probs)[inverse]
-                heads = np.flatnonzero(np.diff(np.concatenate([[-1], row])))
-                total[row[heads]] = np.add.reduceat(logs, heads, axis=0)
+            total, has = np.zeros((len(texts), len(langs))), np.zeros(len(texts), bool)
+            for rows, pieces in sliced(texts):
+                codes, inside, starts, ends, row, letters = vocabulary.words(pieces)
+                has[rows[letters]] = True
+                if len(starts):
+                    hashes = run_hashes(_coded(codes), inside, starts, ends)
+                    _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                    logs = log_probs(vocabulary, codes, starts[at], ends[at], probs)[inverse]
+                    heads = np.flatnonzero(np.diff(np.concatenate([[-1], row])))
+                    np.add.at(total, rows[row[heads]], np.add.reduceat(logs, heads, axis=0))
             best = total.argmax(1)
             post = 1.0 / np.exp(total - total.max(1, keepdims=True)).sum(1)
             lang = [langs[b] if h else "und" for b, h in zip(best.tolist(), has.tolist())]

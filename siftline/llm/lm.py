@@ -75,7 +75,7 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, kind: int):
 
 def _count(batches):
     """(q, keys, counts) of tokens (even q) and pairs (odd q), added up over a few chunks."""
-    for batch in chunked(batches, most=4 << 20):
+    for batch in chunked(batches, most=2 << 20):
         tokens = Tokens(column(batch, "text"))
         rows = []
         for kind, keys in ((0, np.append(tokens.hash, np.full(tokens.rows, _START_TOKEN, np.uint64))), (1, tokens.pair)):

@@ -10,6 +10,8 @@ _LOWER[65:91] += 32
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C1B)
+#: positions that are hashed at once
+PIECE = 1 << 18
 
 
 def _powers(n: int) -> np.ndarray:
@@ -31,21 +33,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def run_hashes(values: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of runs: values are 64-bit codes, inside marks the runs' positions."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def _powers_to(longest: int) -> np.ndarray:
+    return _POWERS if longest <= len(_POWERS) else _powers(longest)
+
+
+def _sums(values: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Per run, the sum of its values times the powers of their places in it."""
     at = np.arange(len(values), dtype=np.int64)
     first = np.zeros(len(values), np.int64)
     first[starts] = starts
     np.maximum.accumulate(first, out=first)
     at -= first
-    longest = int((ends - starts).max())
-    powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
     at[~inside] = 0
-    term = values * powers[at]
+    term = values * _powers_to(int((ends - starts).max()))[at]
     term[~inside] = 0
-    return mix(np.add.reduceat(term, starts) ^ (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    return np.add.reduceat(term, starts)
+
+
+def run_hashes(values, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs: values are 64-bit codes, or a function that makes those of a slice; inside marks the runs' positions.
+
+    The arrays beside the input are of one piece of PIECE positions, however long the input or a run is.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    code = values if callable(values) else (lambda a, b: values[a:b])
+    sums = np.zeros(len(starts), np.uint64)
+    for a in range(0, len(inside), PIECE):
+        b = min(a + PIECE, len(inside))
+        lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
+        if lo == hi:
+            continue
+        part = _sums(code(a, b), inside[a:b], np.maximum(starts[lo:hi], a) - a, np.minimum(ends[lo:hi], b) - a)
+        if starts[lo] < a:  # the run began in a piece before
+            part[:1] *= np.array([pow(int(_STEP), int(a - starts[lo]), 1 << 64)], np.uint64)
+        sums[lo:hi] += part
+    return mix(sums ^ (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
 class Words:
@@ -57,40 +80,38 @@ class Words:
         if lower or fold is not None:
             data = (_LOWER if fold is None else fold)[data]
         self.data, self.offs, self.rows = data, offs, len(offs) - 1
-        gap = _WORD_SPACE[data]
-        inside = ~gap
-        before = np.empty(len(data), bool)
-        after = np.empty(len(data), bool)
+        inside = ~_WORD_SPACE[data]
+        edge = np.empty(len(data), bool)  # a word's first byte: inside, and the byte before is not, or is another row's
         if len(data):
-            before[1:] = gap[:-1]
-            after[:-1] = gap[1:]
+            edge[0] = inside[0]
+            np.greater(inside[1:], inside[:-1], out=edge[1:])
             heads = offs[:-1][offs[:-1] < len(data)]
-            before[heads] = True
-            tails = offs[1:][offs[1:] > 0] - 1
-            after[tails] = True
+            edge[heads] = inside[heads]
         self.inside = inside
-        self.starts = np.flatnonzero(inside & before)
-        self.ends = np.flatnonzero(inside & after) + 1
+        self.starts = np.flatnonzero(edge)
+        if len(data):
+            edge[-1] = inside[-1]
+            np.greater(inside[:-1], inside[1:], out=edge[:-1])
+            tails = offs[1:][offs[1:] > 0] - 1
+            edge[tails] = inside[tails]
+        self.ends = np.flatnonzero(edge) + 1
+        del edge
         self.first = np.searchsorted(self.starts, offs)
         self.counts = np.diff(self.first)
         self.row = np.repeat(np.arange(self.rows), self.counts)
-        self.hash = run_hashes(_BYTE[data], inside, self.starts, self.ends) if hashes else None
+        self.hash = run_hashes(lambda a, b: _BYTE[data[a:b]], inside, self.starts, self.ends) if hashes else None
 
     def normal(self):
         """(bytes, starts, ends): the same words with one space between words of a row."""
         keep = self.inside.copy()
-        if len(keep):
-            last = np.zeros(len(keep), bool)
-            last[self.ends[self.ends < len(keep)]] = True
-            tails = self.offs[:-1][self.offs[:-1] < len(keep)]
-            joined = last & ~self.inside
-            joined[tails] = False
-            keep |= joined
-        at = np.cumsum(keep) - keep
-        out = self.data[keep].copy()
-        out[_WORD_SPACE[out]] = 0x20
-        starts = at[self.starts]
-        return out.tobytes(), starts, starts + (self.ends - self.starts)
+        joined = self.row[1:] == self.row[:-1] if len(self.row) else np.zeros(0, bool)
+        keep[self.ends[:-1][joined]] = True  # the gap behind a word that has a next one in its row
+        sizes = self.ends - self.starts
+        ends = np.cumsum(sizes)
+        ends[1:] += np.cumsum(joined)
+        out = self.data[keep]
+        out[ends[:-1][joined]] = 0x20
+        return out.tobytes(), ends - sizes, ends
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
