@@ -19,9 +19,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import column, id_of, keyed
+from .common import column, id_of, keyed, trimmed
 
 LONG = 128
+#: characters of a text up to which its words are listed at once
+LISTED = 1 << 20
 #: distinct words a task remembers before it starts anew
 REMEMBERED = 400_000
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -88,27 +90,28 @@ class Codec:
     def parts(self, word: str) -> list:
         """The word's final parts as vocabulary strings."""
         letters = [self.letters[b] for b in word.encode()]
-        letters[-1] += self.end
         n = len(letters)
         if n == 1:
-            return letters
+            return [letters[0] + self.end]
         if n > LONG:
+            letters[-1] += self.end
             return self._long(letters)
-        rank = self.ranks.get
-        bounds = list(range(n + 1))
-        ranks = [rank((letters[i], letters[i + 1]), _NONE) for i in range(n - 1)]
+        whole, rank = "".join(letters) + self.end, self.ranks.get
+        # part i is whole[bounds[i] : bounds[i + 1]]; ranks[i] is that of parts i and i + 1
+        bounds = [*range(n), len(whole)]
+        ranks = [rank((whole[i : i + 1], whole[i + 1 : bounds[i + 2]]), _NONE) for i in range(n - 1)]
         while ranks:
             least = min(ranks)
             if least == _NONE:
                 break
             at = ranks.index(least)
-            del bounds[at + 1], ranks[at], letters[at + 1 : at + 1]
-            letters[at] += letters.pop(at + 1)
+            del bounds[at + 1], ranks[at]
+            a, b = bounds[at], bounds[at + 1]
             if at < len(ranks):
-                ranks[at] = rank((letters[at], letters[at + 1]), _NONE)
+                ranks[at] = rank((whole[a:b], whole[b : bounds[at + 2]]), _NONE)
             if at:
-                ranks[at - 1] = rank((letters[at - 1], letters[at]), _NONE)
-        return letters
+                ranks[at - 1] = rank((whole[bounds[at - 1] : a], whole[a:b]), _NONE)
+        return [whole[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def _long(self, letters: list) -> list:
         n, rank = len(letters), self.ranks.get
@@ -142,7 +145,8 @@ class Codec:
                 text = text.translate(self.folds)
             if self.later is not None and self.later.search(text):
                 words = self.careful
-        for word in words.findall(text.lower()):
+        text = text.lower()
+        for word in words.findall(text) if len(text) <= LISTED else (m.group() for m in words.finditer(text)):
             got = known.get(word)
             if got is None:
                 if len(known) >= REMEMBERED:
@@ -178,7 +182,7 @@ def load(path: str) -> str:
 def _encode(source, digest: bool):
     def run(batches):
         codec = Codec(*source.value)
-        for batch in batches:
+        for batch in trimmed(batches):
             n, a, b = [], [], []
             for text in column(batch, "text").to_pylist():
                 ids, decoded = codec.encode(text)
