@@ -6,8 +6,10 @@ Patterns of one length share a searcher: a shift table over blocks of two words
 skips positions where no pattern can end, buckets keyed by the suffix block and the
 prefix block select the patterns to test, and a direct comparison confirms them.
 
-Patterns are spread over blocks of bounded size; each block is broadcast and runs
-against all documents.  Null texts and texts without words have no words and no
+Patterns are spread over blocks of BLOCK_BYTES, which the tables take many times over;
+each block is broadcast and runs against all documents.  A window of very many items is
+several patterns of ITEMS items or so, in blocks of their own.  Long texts are searched
+in slices that overlap by a window.  Null texts and texts without words have no words and no
 hits; items without words have no pattern; items that share an id count as one;
 document rows are answered one by one, repeated rows included; null ids stay null.
 Items of a null id are left out unless `nameless`, which the query and the pipeline
@@ -19,7 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, id_of, keyed, written
+from .common import column, id_of, keyed, trimmed, written
+
+#: bytes of patterns and ids of a block; items of a window that stay together
+BLOCK_BYTES = 4 << 20
+ITEMS = 1000
+#: bytes of a text that are cut into words at once
+SLICE = 1 << 20
 
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -31,6 +39,30 @@ def words(text) -> list:
     return text.translate(_FOLD).split() if text else []
 
 
+def slices(text, longest: int, size: int | None = None):
+    """(number of the first word, words) of slices of a text: each begins with the longest - 1 words before it."""
+    size, at, first, tail = size or SLICE, 0, 0, []
+    text = text or b""
+    while True:
+        end = len(text)
+        if end - at > size:
+            folded = text[at : at + size].translate(_FOLD)
+            space = folded.rfind(b" ")
+            end = at + space if space > 0 else -1
+            if end < 0:  # a word of more than a slice
+                rest = text[at:].translate(_FOLD)
+                space = rest.find(b" ", size)
+                end = at + space if space > 0 else len(text)
+        found = tail + words(text[at:end])
+        yield first, found
+        at = end
+        if at >= len(text):
+            return
+        tail = found[len(found) - (longest - 1) :] if longest > 1 else []
+        tail = tail if len(found) >= longest else found
+        first += len(found) - len(tail)
+
+
 class Searcher:
     """Wu-Manber tables for patterns (tuples of words) that all have the same length."""
 
@@ -88,26 +120,45 @@ def _windows(width: int):
 
 
 def patterns_of(items: DataFrame, width: int = 10, nameless: bool = False) -> DataFrame:
-    """pattern (words joined by a space), items: the sorted ids that hold it, null last."""
+    """pattern (words joined by a space), part, items: the sorted ids that hold it, null last, in parts of some ITEMS."""
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
     rows = rows if nameless else rows.where("item_id is not null")
-    rows = rows.mapInArrow(_windows(width), "item_id string, pattern binary")
+    rows = written(rows.mapInArrow(_windows(width), "item_id string, pattern binary"))
+    # windows of many items are few: their ids are dealt to parts before they are collected
+    many = rows.groupBy("pattern").count().where(F.col("count") > ITEMS).select("pattern", F.ceil(F.col("count") / ITEMS).alias("parts"))
+    rows = rows.join(many, "pattern", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("item_id"), F.col("parts")), F.lit(0)).cast("long"))
     named, null = F.sort_array(F.collect_set("item_id")), F.array(F.lit(None).cast("string"))
-    return rows.groupBy("pattern").agg(F.when(F.count("item_id") < F.count("*"), F.concat(named, null)).otherwise(named).alias("items"))
+    return rows.groupBy("pattern", "part").agg(F.when(F.count("item_id") < F.count("*"), F.concat(named, null)).otherwise(named).alias("items"))
+
+
+def blocks_of(items: DataFrame, width: int, nameless: bool, block_bytes: int | None = None):
+    """Broadcast blocks {pattern: item ids}, one after the other."""
+    spark = items.sparkSession
+    pats = written(patterns_of(items, width, nameless))
+    total = pats.agg(F.sum(F.octet_length("pattern") + 64 + F.size("items") * 16)).first()[0] or 0
+    blocks = int(total // (block_bytes or BLOCK_BYTES)) + 1
+    for block in range(blocks):  # each block's bytes are bounded, up to the spread of the hash
+        tables = {}
+        for r in pats.where(F.pmod(F.xxhash64("pattern", "part"), F.lit(blocks)) == block).toLocalIterator():
+            key = tuple(bytes(r.pattern).split())
+            tables[key] = tables.get(key, ()) + tuple(r["items"])
+        yield spark.sparkContext.broadcast(tables)
 
 
 def _search(tables, out_names):
     def run(batches):
         found = searchers(tables.value)
-        for batch in batches:
+        longest = max((s.length for s in found), default=1)
+        for batch in trimmed(batches):
             n_words, n_hit, hit_items, spans = [], [], [], []
             for text in column(batch, "text").cast(pa.binary()).to_pylist():
-                text = words(text)
-                seen, covered = set(), []
-                for s in found:
-                    for start, value in s.occurrences(text):
-                        seen.update(value)
-                        covered.append((start, start + s.length))
+                seen, covered, size = set(), [], 0
+                for first, part in slices(text, longest):
+                    size = first + len(part)
+                    for s in found:
+                        for start, value in s.occurrences(part):
+                            seen.update(value)
+                            covered.append((first + start, first + start + s.length))
                 covered.sort()
                 merged = []
                 for a, b in covered:
@@ -115,7 +166,7 @@ def _search(tables, out_names):
                         merged[-1][1] = max(b, merged[-1][1])
                     else:
                         merged.append([a, b])
-                n_words.append(len(text))
+                n_words.append(size)
                 n_hit.append(sum(b - a for a, b in merged))
                 hit_items.append(sorted(seen, key=lambda x: (x is None, x or "")))
                 spans.append([{"lo": a, "hi": b} for a, b in merged])
@@ -132,20 +183,12 @@ def _search(tables, out_names):
 _FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<lo:long,hi:long>>"
 
 
-def find(docs: DataFrame, items: DataFrame, width: int = 10, block_bytes: int = 32 << 20, nameless: bool = False) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, width: int = 10, block_bytes: int | None = None, nameless: bool = False) -> DataFrame:
     """_k, _fp, n_words, n_hit, items (sorted ids), spans (hit word ranges) of every document row."""
-    spark = docs.sparkSession
-    pats = written(patterns_of(items, width, nameless))
-    total = pats.agg(F.sum(F.octet_length("pattern") + 64 + F.size("items") * 16)).first()[0] or 0
-    blocks = int(total // block_bytes) + 1
     base = keyed(docs)
     names = ["_k", "_fp", "n_words", "n_hit", "items", "spans"]
-    results = []
-    for block in range(blocks):  # each block's bytes are bounded by block_bytes, up to the spread of the hash
-        rows = pats.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block).collect()
-        tables = spark.sparkContext.broadcast({tuple(bytes(r.pattern).split()): tuple(r["items"]) for r in rows})
-        results.append(base.mapInArrow(_search(tables, names), f"_k long, _fp long, {_FOUND}"))
-    if blocks == 1:
+    results = [base.mapInArrow(_search(tables, names), f"_k long, _fp long, {_FOUND}") for tables in blocks_of(items, width, nameless, block_bytes)]
+    if len(results) == 1:
         return results[0]
     return _merged(results)
 
@@ -184,14 +227,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, width: int = 10, nameless:
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 10, nameless: bool = False) -> DataFrame:
-    """The documents without a hit, unchanged.  A filter over one search pass: no join, no shuffle."""
-    spark = docs.sparkSession
-    pats = written(patterns_of(items, width, nameless))
-    total = pats.agg(F.sum(F.octet_length("pattern") + 64 + F.size("items") * 16)).first()[0] or 0
-    blocks = int(total // (32 << 20)) + 1
-    for block in range(blocks):
-        rows = pats.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block).collect()
-        tables = spark.sparkContext.broadcast({tuple(bytes(r.pattern).split()): () for r in rows})
+    """The documents without a hit, unchanged.  A filter over one search pass a block: no join, no shuffle."""
+    for tables in blocks_of(items, width, nameless):
         docs = docs.mapInArrow(_reject(tables), docs.schema)
     return docs
 
@@ -199,11 +236,11 @@ def clean(docs: DataFrame, items: DataFrame, width: int = 10, nameless: bool = F
 def _reject(tables):
     def run(batches):
         found = searchers(tables.value)
-        for batch in batches:
+        longest = max((s.length for s in found), default=1)
+        for batch in trimmed(batches):
             keep = []
             for text in column(batch, "text").cast(pa.binary()).to_pylist():
-                text = words(text)
-                keep.append(not any(next(s.occurrences(text), None) for s in found))
+                keep.append(not any(next(s.occurrences(part), None) for _, part in slices(text, longest) for s in found))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
