@@ -4,26 +4,31 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles (of its
 sequence, if it has fewer words).  Two documents link when their Jaccard distance is
 at most TAU = 1/4, decided on whole counts.
 
-1. Isolation.  All shingle hashes are counted; a bitmap of those seen twice and a
-   short list of very common ones put shingles in one global order: seen once, then
-   repeated, then very common.  A linked pair shares one of the first n - ceil(3n/4) + 1
-   shingles of both sets, so a document whose first ones are all seen once has no link.
+1. Isolation.  All shingle hashes are counted; a bitmap of those seen twice and one of
+   very common ones put shingles in one global order: seen once, then repeated, then
+   very common.  A linked pair shares one of the first n - ceil(3n/4) + 1 shingles of
+   both sets, so a document whose first ones are all seen once has no link.
 2. Equal sets become one class, and links are sought between classes.
 3. Pivots.  For each shared leading shingle the least class is the pivot of the
-   classes that hold it.  A class is put into the region of each such pivot, so every
-   link lies within a region.  Distances to the pivots are exact.
-4. Windows.  Within a region, classes at most TAU from the pivot are linked to it.  The
-   others can only link with classes whose distance to the pivot differs by at most TAU
-   (triangle inequality); regions are cut into blocks by that distance, and blocks
-   within the window meet.  Blocks where all are linked already do not meet.
-5. Recursion.  Inside a pair of blocks a further class becomes the pivot; the distances
-   to all pivots so far bound which classes may link with it; those are measured.
-   This ends when no class has a candidate that is not linked with it already.
-
-The order only decides how much is compared: whatever the bitmap and the list hold, no
-link is lost.  Null texts and texts without words have an empty set and link with
-nothing.  Rows that share an id are separate documents of that id; null ids sort last,
-and a component of null ids only has a null component_id.
+   classes that hold it; distances to pivots are exact.  Every link lies among the
+   classes that meet some pivot, its region.
+4. Voronoi cells.  A class is dealt to its nearest pivot's region, its home.  It visits
+   the other regions that it meets as a boundary document: there it is compared only
+   with classes of another home, as its home compares it with its own.
+5. Windows.  A region is cut into rings of width TAU around its pivot.  By the triangle
+   inequality a class links only within its ring or the next, so the classes of the
+   ring before that lie within TAU of a ring's nearest native are copied into it.
+   Rings where all are linked already are not looked at.
+6. Recursion.  A ring of more than CELL_BYTES of sets is dealt to further pivots, by
+   hyperplane (at most 2 TAU beyond the home's distance) and radius (at most TAU beyond
+   the cell's), again and again; one that no pivots split (all distances alike) meets in
+   blocks of that size.  Only then are sets joined in, and inside a cell every class in
+   turn is a pivot whose distances bound which classes may link with it.
+
+The order only decides how much is compared: whatever the bitmaps hold, no link is
+lost.  Null texts and texts without words have an empty set and link with nothing.
+Rows that share an id are separate documents of that id; null ids sort last, and a
+component of null ids only has a null component_id.
 """
 import hashlib
 
@@ -34,14 +39,17 @@ from pyspark.sql import functions as F
 
 from .common import chunked, column, dropped, grouped, longs, parts, table, written, written_at
 from .components import components
-from .substring import BUCKETS, Repeats, narrowed, repeats_of
+from .substring import BUCKETS, Repeats, fineness, narrowed, repeats_of
 from .textops import Words, dealt, mix, ngrams, run_hashes, runs
 
 SHINGLE = 5
 TAU = 0.25
-#: classes of a region that are compared at once
-BLOCK = 1000
-LAST = (1 << 63) - 1
+#: times a shingle is seen from which it comes last in the order
+COMMON = 2000
+#: bytes of sets of a cell that is solved at once
+CELL_BYTES = 8 << 20
+#: pivots that a cell is dealt to, and how often
+MOST_PIVOTS, DEPTH = 64, 4
 REMEMBERED = 20_000
 
 
@@ -68,16 +76,19 @@ def shingle_sets(texts, size: int = SHINGLE):
     return hashes, np.searchsorted(rows, np.arange(words.rows + 1))
 
 
-def _all_shingles(batches):
-    for batch in chunked(batches):
-        hashes, _ = shingle_sets(column(batch, "text"))
-        if not len(hashes):
-            continue
-        mixed, raw = narrowed(hashes)
-        q = dealt(mixed, BUCKETS)
-        starts, sizes = runs(q)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q[starts]), pa.array([raw[a : a + n].tobytes() for a, n in zip(starts.tolist(), sizes.tolist())], pa.binary())], ["q", "blob"])
+def _all_shingles(buckets: int):
+    def run(batches):
+        for batch in chunked(batches):
+            hashes, _ = shingle_sets(column(batch, "text"))
+            if not len(hashes):
+                continue
+            mixed, raw = narrowed(hashes)
+            q = dealt(mixed, buckets)
+            starts, sizes = runs(q)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q[starts]), pa.array([raw[a : a + n].tobytes() for a, n in zip(starts.tolist(), sizes.tolist())], pa.binary())], ["q", "blob"])
+
+    return run
 
 
 def prefix_size(n):
@@ -86,7 +97,10 @@ def prefix_size(n):
 
 
 def _sets(shared):
-    """Every row's set size; for rows that may have a link its fingerprint, leading shingles and, once per task, the set."""
+    """Every row's set size; for rows that may have a link its fingerprint, leading shingles and, once per task, the set.
+
+    r: how many of the set's shingles are repeated in the corpus; it shares no others.
+    """
 
     def run(batches):
         rep, sent = Repeats(*shared.value), set()
@@ -110,8 +124,8 @@ def _sets(shared):
             if len(sent) > REMEMBERED:
                 sent.clear()
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "_k"), pa.array(sizes.astype(np.int64)), pa.array(prints, pa.binary()), pa.array(leads, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
-                ["_k", "n", "print", "lead", "set"])
+                [column(batch, "_k"), column(batch, "_fp"), pa.array(sizes.astype(np.int64)), pa.array(sizes - once), pa.array(prints, pa.binary()), pa.array(leads, pa.list_(pa.int64())),
+                 pa.array(sets, pa.list_(pa.int64()))], ["_k", "_fp", "n", "r", "print", "lead", "set"])
 
     return run
 
@@ -137,10 +151,16 @@ class Forest:
         self.up[self.root(j)] = self.root(i)
 
 
-def solve(sets: list, labels: list, sides: np.ndarray, known: np.ndarray) -> list:
-    """Links (i, j) that connect all linked members of the two sides.
+def may_link(r_a, n_a, r_b, n_b):
+    """Whether sets of those sizes can link: 75% of the union needs 3/7 of both sizes in common, and only repeated shingles are."""
+    return 7 * np.minimum(r_a, r_b) >= 3 * (n_a + n_b)
+
+
+def solve(sets: list, repeated: np.ndarray, labels: list, sides: np.ndarray, known: np.ndarray, homes: np.ndarray, pivot: int) -> list:
+    """Links (i, j) that connect all linked classes of a cell, but for those of one home elsewhere.
 
-    labels: the component each member is known to belong to; sides: 1, 2 or 3 (both); known: distances to the region's pivot.
+    labels: the component each class is known to belong to; sides: 3 for natives, 1 for copies, which do not meet each
+    other (1 and 2: two blocks that meet); known: distances to the cell's pivot, nan where not measured.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -154,8 +174,8 @@ def solve(sets: list, labels: list, sides: np.ndarray, known: np.ndarray) -> lis
     for p in np.argsort(known, kind="stable").tolist():
         done[p] = True
         root = forest.root(p)
-        may = ~done & ((sides & sides[p] == 0) | (sides == 3) | (sides[p] == 3))
-        may &= (4 * np.minimum(sizes, sizes[p]) >= 3 * np.maximum(sizes, sizes[p]))
+        may = ~done & ((sides & sides[p] == 0) | (sides == 3) | (sides[p] == 3)) & ((homes != homes[p]) | (homes == pivot))
+        may &= may_link(repeated, sizes, repeated[p], sizes[p])
         for d in pivots:
             may &= ~(np.abs(d - d[p]) > TAU + 1e-9)  # an unmeasured distance bounds nothing
         todo = [i for i in np.flatnonzero(may).tolist() if forest.root(i) != root]
@@ -176,97 +196,178 @@ def solve(sets: list, labels: list, sides: np.ndarray, known: np.ndarray) -> lis
     return links
 
 
-def _solve_regions(batches):
+def _solve_cells(batches):
     for _, held in grouped(batches, "gid"):
         data = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        cls = column(data, "x").to_pylist()
-        sets = [np.array(s, np.int64) for s in column(data, "set").to_pylist()]
-        groups = {}
-        for i, key in enumerate(zip(column(data, "p").to_pylist(), column(data, "lo").to_pylist(), column(data, "hi").to_pylist())):
-            groups.setdefault(key, []).append(i)
+        cls, sets = longs(data, "x"), column(data, "set")
+        sets = [sets[i].values.to_numpy() for i in range(len(sets))]
         a, b = [], []
-        label, side, known = column(data, "component").to_pylist(), longs(data, "side"), column(data, "d").to_numpy()
-        for at in groups.values():
-            for i, j in solve([sets[i] for i in at], [label[i] for i in at], side[at], known[at]):
-                a.append(cls[at[i]])
-                b.append(cls[at[j]])
+        cells = {}
+        for i, cell in enumerate(column(data, "cell").to_pylist()):  # cells whose 64-bit gid is the same stay apart
+            cells.setdefault(cell, []).append(i)
+        label, side, home, r = column(data, "component").to_pylist(), longs(data, "side"), longs(data, "home"), longs(data, "r")
+        known = column(data, "d").to_numpy(zero_copy_only=False)
+        for cell, at in cells.items():
+            at = np.array(at)
+            for i, j in solve([sets[i] for i in at], r[at], [label[i] for i in at], side[at], known[at], home[at], int(cell.split("/")[0])):
+                a.append(int(cls[at[i]]))
+                b.append(int(cls[at[j]]))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def joined(docs: DataFrame) -> DataFrame:
-    """_k (doc_id, null last), n_shingles, component of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_k"), "text")
-    repeats = repeats_of(base.select("text").mapInArrow(_all_shingles, "q long, blob binary"), width=6)
-    whole, whole_path = written_at(base.mapInArrow(_sets(repeats), "_k long, n long, print binary, lead array<long>, set array<long>"))
+    """Every row of docs (doc_id, text): _k (doc_id), _fp (a hash of the row), n_shingles, and, of rows that may have a link,
+    first: the _k and _fp of its component's least row, null ids last."""
+    base = docs.select(F.col("doc_id").cast("long").alias("_k"), _row_hash(docs).alias("_fp"), "text")
+    fine = fineness(base)
+    repeats = repeats_of(base.select("text").mapInArrow(_all_shingles(BUCKETS * fine), "q long, blob binary"), hot_least=COMMON, width=6, fine=fine)
+    whole, whole_path = written_at(base.mapInArrow(_sets(repeats), "_k long, _fp long, n long, r long, print binary, lead array<long>, set array<long>"))
+    repeats.destroy()
 
     # equal sets are one class, named by the row number of a member that carries the set
-    classes = whole.where("set is not null").groupBy("print").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("set").alias("set"))
+    classes = whole.where("set is not null").groupBy("print").agg(
+        F.first("n").alias("n"), F.first("r").alias("r"), F.first("lead").alias("lead"), F.first("set").alias("set"))
     classes, classes_path = written_at(classes.withColumn("x", F.monotonically_increasing_id()))
-    rows = written(whole.select("_k", "n", "print"))
+    rows = written(whole.select("_k", "_fp", "n", "print"))
     named = written(classes.select("print", "x"))
-    dropped(spark, whole_path)
-    sets = classes.select("x", "n", "set")
+    dropped(docs.sparkSession, whole_path)
 
-    # the least class of each leading shingle is a pivot
-    held = classes.select("x", "n", F.explode("lead").alias("s"))
+    near, near_path = written_at(_distances(classes))
+    links = near.where("p <> x" ).where(100 * F.col("i") >= 75 * (F.col("n") + F.col("np") - F.col("i"))).select(F.col("p").alias("a"), F.col("x").alias("b"))
+    more = _within_regions(near, classes.select("x", "set"), components(links))
+    labels = components(links.unionByName(more))
+    labels = written(named.join(labels.withColumnRenamed("node", "x"), "x", "left").select("print", F.coalesce("component", "x").alias("c")))
+    dropped(docs.sparkSession, classes_path, near_path)
+    least = F.min(F.struct(F.col("_k").isNull().alias("null"), "_k", "_fp")).alias("first")
+    firsts = rows.where("print is not null").select("_k", "_fp", "print").join(labels, "print").groupBy("c").agg(least)
+    labels = labels.join(firsts, "c").select("print", "first")
+    return rows.join(labels, "print", "left").select("_k", "_fp", F.col("n").alias("n_shingles"), "first")
+
+
+def _row_hash(docs: DataFrame):
+    """A hash of the whole row: rows equal in it are copies of one row."""
+    return F.xxhash64("text", F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])))
+
+
+def _distances(classes: DataFrame) -> DataFrame:
+    """p, x, n, r, np, i, d: each class with the pivots of its leading shingles; a pivot meets itself, too."""
+    held = classes.select("x", "n", "r", F.explode("lead").alias("s"))
     least = held.groupBy("s").agg(F.min(F.struct("x", "n")).alias("p"), F.max("x").alias("q")).where("p.x <> q")
-    pairs = held.join(least.select("s", F.col("p.x").alias("p"), F.col("p.n").alias("np")), "s").where("p <> x").select("p", "np", "x", "n").distinct()
+    pairs = held.join(least.select("s", F.col("p.x").alias("p"), F.col("p.n").alias("np")), "s").select("p", "np", "x", "n", "r").distinct()
     # sizes that differ more than twofold are over 1/2 apart without a look at the sets
-    measured = pairs.where("2 * least(n, np) >= greatest(n, np)")
+    look = (F.col("p") != F.col("x")) & (2 * F.least("n", "np") >= F.greatest("n", "np"))
+    sets = classes.select("x", "set")
     pivots = sets.select(F.col("x").alias("p"), F.col("set").alias("sp"))
     i = F.size(F.array_intersect("set", "sp")).cast("long").alias("i")
-    near = measured.join(sets.select("x", "set"), "x").join(pivots, "p").select("p", "x", "n", "np", i).withColumn("d", 1 - F.col("i") / (F.col("n") + F.col("np") - F.col("i")))
-    far = pairs.where("2 * least(n, np) < greatest(n, np)").select("p", "x", "n", "np", F.lit(None).cast("long").alias("i"), F.lit(None).cast("double").alias("d"))
-    near = written(near.unionByName(far))
-    links = near.where(F.col("i").isNotNull() & (100 * F.col("i") >= 75 * (F.col("n") + F.col("np") - F.col("i")))).select(F.col("p").alias("a"), F.col("x").alias("b"))
-
-    more = _within_regions(near, sets, components(links))
-    dropped(spark, classes_path)
-    labels = components(links.unionByName(more))
-    labels = named.join(labels.withColumnRenamed("node", "x"), "x", "left").select("print", F.coalesce("component", "x").alias("c"))
-    firsts = rows.where("print is not null").select("_k", "print").join(labels, "print").groupBy("c").agg(F.min("_k").alias("component"))
-    labels = labels.join(firsts, "c").select("print", "component")
-    return rows.select("_k", "n", "print").join(labels, "print", "left").select(
-        "_k", F.col("n").alias("n_shingles"), F.coalesce("component", "_k").alias("component"))
+    near = pairs.where(look).join(sets, "x").join(pivots, "p").select("p", "x", "n", "r", "np", i)
+    near = near.withColumn("d", 1 - F.col("i") / (F.col("n") + F.col("np") - F.col("i")))
+    own = F.col("p") == F.col("x")
+    rest = pairs.where(~look).select("p", "x", "n", "r", "np", F.when(own, F.col("n")).alias("i"), F.when(own, F.lit(0.0)).alias("d"))
+    return near.unionByName(rest)
 
 
 def _within_regions(near: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Links between members of a region that its pivot does not connect."""
-    spark = near.sparkSession
     label = labels.select(F.col("node").alias("x"), "component")
-    # the pivot's own links are all decided: it does not meet its members again
-    own = near.select("p", "x", "d")
-    own = own.join(label, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    own = near.select("p", "x", "n", "r", "d").join(label, "x", "left").withColumn("component", F.coalesce("component", "x"))
     # regions with members that are not connected yet
-    open_ = own.groupBy("p").agg(F.min("component").alias("m0"), F.max("component").alias("m1"), F.count("*").alias("members")).where("m0 <> m1")
-    own = own.join(open_.select("p", "members"), "p")
-    # blocks by distance to the pivot: ring 0 is linked to it, the others follow; an unmeasured distance is beyond 1/2
-    pivot = label.select(F.col("x").alias("p"), F.col("component").alias("pc"))
-    own = own.join(pivot, "p", "left").withColumn("ring", F.when(F.col("component") == F.coalesce("pc", "p"), F.when(F.col("d") <= TAU, 0).otherwise(1)).otherwise(
-        F.when(F.col("d") <= 2 * TAU, 2).otherwise(3)))
-    salt = F.when(F.col("members") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("x"), F.ceil(F.col("members") / BLOCK))).cast("long")
-    own = written(own.withColumn("block", F.when(F.col("members") <= BLOCK, F.lit(0)).otherwise(F.col("ring") * 1_000_000 + salt)).select("p", "x", "d", "component", "ring", "block"))
-    blocks = own.groupBy("p", "block").agg(
-        F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.coalesce("d", F.lit(2 * TAU))).alias("d0"), F.max(F.coalesce("d", F.lit(1.0))).alias("d1"))
-    left = blocks.select("p", F.col("block").alias("lo"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("d0").alias("e0"), F.col("d1").alias("e1"))
-    right = blocks.withColumnRenamed("block", "hi")
-    # blocks of a region that lie within the window and are not one component
-    meet = left.join(right, "p").where("lo <= hi").where(f"d0 <= e1 + {TAU} + 1e-9 and e0 <= d1 + {TAU} + 1e-9").where("least(a0, c0) <> greatest(a1, c1)").select("p", "lo", "hi")
-    members = own.select("p", "x", "d", "component", "block")
-    one = meet.join(members.withColumnRenamed("block", "lo"), ["p", "lo"]).select("p", "lo", "hi", "x", "d", "component", F.when(F.col("lo") == F.col("hi"), 3).otherwise(1).alias("side"))
-    two = meet.where("lo < hi").join(members.withColumnRenamed("block", "hi"), ["p", "hi"]).select("p", "lo", "hi", "x", "d", "component", F.lit(2).alias("side"))
-    groups = one.unionByName(two).join(sets.select("x", "set"), "x")
-    groups = groups.withColumn("side", F.col("side").cast("long")).withColumn("gid", F.xxhash64("p", "lo", "hi"))
-    groups = groups.select("gid", "p", "lo", "hi", "x", F.coalesce("d", F.lit(float("nan"))).alias("d"), "component", "side", "set")
-    found = groups.repartition(parts(spark), "gid").sortWithinPartitions("gid").mapInArrow(_solve_regions, "a long, b long")
+    open_ = own.groupBy("p").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("p")
+    # the home of a class is its nearest pivot; itself, if it is one
+    home = near.groupBy("x").agg(F.min(F.struct(F.coalesce("d", F.lit(1.0)).alias("d"), "p"))["p"].alias("home"))
+    own = written(own.join(open_, "p").join(home, "x"))
+    # ring k lies at k * TAU .. (k + 1) * TAU; an unmeasured distance is beyond 2 * TAU, and a class of it is native to both outer rings
+    rings = F.when(F.col("d").isNull(), F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.greatest(F.ceil(F.col("d") / TAU - 1e-9) - 1, F.lit(0)).cast("int")))
+    native = own.withColumn("ring", F.explode(rings))
+    nearest = native.groupBy("p", "ring").agg(F.min(F.coalesce("d", F.lit(2 * TAU))).alias("d0"))
+    before = native.where("d is not null").withColumn("ring", F.col("ring") + 1).join(nearest, ["p", "ring"]).where(F.col("d") >= F.col("d0") - TAU - 1e-9).drop("d0")
+    members = native.withColumn("side", F.lit(3)).unionByName(before.withColumn("side", F.lit(1)))
+    cells = members.select(F.concat_ws("/", "p", "ring").alias("cell"), "x", "n", "r", "d", "home", "component", F.col("side").cast("long").alias("side"))
+    cells = written(_open(cells))
+    ready = [cells]
+    for level in range(DEPTH + 1):
+        size = cells.groupBy("cell").agg(F.sum(8 * F.col("n")).alias("bytes"), F.count("*").alias("members"))
+        big = written(size.where(F.col("bytes") > CELL_BYTES))
+        if not big.limit(1).count():
+            break
+        ready[-1] = cells.join(big.select("cell"), "cell", "left_anti")
+        large = cells.join(big, "cell")
+        if level == DEPTH:
+            ready.append(_blocks(large))
+            break
+        dealt_on, whole = _dealt_on(large, sets, level)
+        ready.append(_blocks(whole))
+        cells = written(_open(dealt_on))
+        ready.append(cells)
+    groups = ready[0]
+    for more in ready[1:]:
+        groups = groups.unionByName(more)
+    groups = groups.join(sets, "x").withColumn("gid", F.xxhash64("cell")).withColumn("d", F.coalesce("d", F.lit(float("nan"))))
+    found = groups.repartition(parts(near.sparkSession), "gid").sortWithinPartitions("gid").mapInArrow(_solve_cells, "a long, b long")
     return written(found)
 
 
+def _open(cells: DataFrame) -> DataFrame:
+    """The cells with natives that are not connected yet to all others."""
+    some = cells.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("side").alias("s")).where("c0 <> c1 and s > 1")
+    return cells.join(some.select("cell"), "cell", "left_semi")
+
+
+def _dealt_on(large: DataFrame, sets: DataFrame, level: int) -> tuple:
+    """Large cells dealt to pivots of their own, drawn by a hash: (the new cells, the members of cells that no pivots split)."""
+    many = F.least(F.lit(MOST_PIVOTS), F.ceil(2 * F.col("bytes") / CELL_BYTES))
+    drawn = F.pmod(F.xxhash64("x", F.lit(level)), F.lit(1 << 20)) < F.lit(float(1 << 20)) * 2 * many / F.col("members")
+    pivots = large.where(drawn).select("cell", F.col("x").alias("q")).distinct()
+    pivots = written(pivots.join(sets.select(F.col("x").alias("q"), F.col("set").alias("sq")), "q"))
+    # a cell's pivots are few; its members are spread over salts that each get a copy of them
+    salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    members = large.join(sets, "x").withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(16)).cast("int"))
+    i = F.size(F.array_intersect("set", "sq"))
+    far = members.join(salted, ["cell", "salt"]).select("cell", "x", "q", (1 - i / (F.col("n") + F.size("sq") - i)).alias("d"))
+    far = written(far)
+    home = far.groupBy("cell", "x").agg(F.min(F.struct("d", "q")).alias("h")).select("cell", "x", F.col("h.d").alias("least"), F.col("h.q").alias("at"))
+    placed = far.join(home, ["cell", "x"])
+    radius = placed.where("q = at").groupBy("cell", "q").agg(F.max("d").alias("radius"))
+    placed = placed.join(radius, ["cell", "q"]).where((F.col("d") <= F.col("least") + 2 * TAU + 1e-9) & (F.col("d") <= F.col("radius") + TAU + 1e-9))
+    placed = written(placed.select("cell", "x", "q", "d", (F.col("q") == F.col("at")).alias("inner")))
+    # a cell whose members go to half of its pivots and more, or that has no pivot, is not split
+    split = placed.groupBy("cell").agg((F.count("*") / F.count_if("inner")).alias("copies")).join(pivots.groupBy("cell").agg(F.count("*").alias("k")), "cell")
+    split = written(split.where("k > 1 and copies < k / 2").select("cell"))
+    new = placed.join(split, "cell").join(large.select("cell", "x", "n", "r", "home", "component"), ["cell", "x"]).select(
+        F.concat_ws("/", "cell", "q").alias("cell"), "x", "n", "r", "d", "home", "component", F.when(F.col("inner"), 3).otherwise(1).cast("long").alias("side"))
+    return new, large.join(split, "cell", "left_anti")
+
+
+def _blocks(large: DataFrame) -> DataFrame:
+    """Cells in blocks of half of CELL_BYTES: each block meets itself and every other one."""
+    n = F.ceil(2 * F.col("bytes") / CELL_BYTES).cast("int")
+    rows = large.withColumns({"blocks": n, "own": F.pmod(F.xxhash64("x"), n).cast("int")})
+    met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("*", met)
+    side = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    cell = F.concat_ws("/", "cell", F.concat(F.lit("b"), F.least("own", "other"), F.lit("-"), F.greatest("own", "other")))
+    return rows.select(cell.alias("cell"), "x", "n", "r", "d", "home", "component", side.cast("long").alias("side"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    rows = joined(docs)
-    return rows.select(F.when(F.col("_k") != LAST, F.col("_k")).alias("doc_id"), "n_shingles", F.when(F.col("component") != LAST, F.col("component")).alias("component_id"))
+    return joined(docs).select(F.col("_k").alias("doc_id"), "n_shingles", F.when(F.col("first").isNotNull(), F.col("first._k")).otherwise(F.col("_k")).alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near copies: of each component the row of the least id stays (of several, that of the least row
+    hash; of rows equal in all columns, one), and so do rows without words."""
+    rows = written(joined(docs).where("first is not null").select("_k", "_fp", "first"))
+    key = ["_n", "_k", "_fp"]
+    safe = lambda k, fp: [k.isNull().alias("_n"), F.coalesce(k, F.lit(0)).alias("_k"), fp.alias("_fp")]
+    own = F.col("first._k").eqNullSafe(F.col("_k")) & (F.col("first._fp") == F.col("_fp"))
+    lost = rows.where(~own).select(*safe(F.col("_k"), F.col("_fp"))).distinct()
+    several = rows.where(own).groupBy("_k", "_fp").count().where("count > 1").select(*safe(F.col("_k"), F.col("_fp")))
+    names = [f"`{c}`" for c in docs.columns]
+    keyed = docs.select(F.struct(*names).alias("_row"), *safe(F.col("doc_id").cast("long"), _row_hash(docs)))
+    left = keyed.join(lost.unionByName(several), key, "left_anti").select("_row")
+    one = keyed.join(several, key, "left_semi").groupBy(*key).agg(F.any_value("_row").alias("_row")).select("_row")
+    out = left.unionByName(one)
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,11 +10,12 @@ the same document) is removed.
 What keeps the traffic bounded:
 * a first pass counts minimisers; a bitmap of those seen twice (at most `map_bits`
   bits, whatever the input) lets windows that cannot repeat stay at home.  A full
-  bitmap only sends more windows, it loses none;
+  bitmap only sends more windows, it loses none; a super-k-mer has LONGEST windows at most;
 * a packed string that a task has sent before, from an earlier position, does not
   travel again: its windows are repeats already, and it is marked at once;
-* windows under a hot minimiser travel one by one under their own hash, so that a
-  common word sequence is spread, and a common passage is sent once per task.
+* windows under a hot minimiser (HOT super-k-mers and more, whatever the input) travel
+  one by one under their own hash, so that a common word sequence is spread, and a
+  common passage is sent once per task.  These minimisers are a bitmap, too (HOT_BITS).
 
 Null texts have no words.  Rows that share doc_id and text stand at the same
 position: neither is earlier than the other, and both get the same answer.  Rows of
@@ -28,15 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, column, dropped, grouped, id_of, keyed, longs, parts, written_at
+from .common import chunked, column, dropped, grouped, id_of, keyed, longs, parts, trimmed, written_at
 from .textops import Words, dealt, mix, ngrams, runs, sliding_min
 
 WIDTH = 20
 MINIMISER = 4
 BUCKETS = 1024
-MAP_BITS = 1 << 29
-#: packed strings a task remembers
-REMEMBERED = 150_000
+MAP_BITS = 1 << 28
+HOT_BITS = 1 << 26
+#: super-k-mers of a minimiser from which its windows travel one by one, whatever the input
+HOT = 10_000
+#: windows of a super-k-mer at most: with HOT, the bound of a bucket
+LONGEST = 256
+#: bytes of packed strings a task remembers
+REMEMBERED = 16 << 20
 
 
 def _super_kmers(words: Words, width: int, size: int):
@@ -52,6 +58,11 @@ def _super_kmers(words: Words, width: int, size: int):
     mins = least[at]
     cut = np.flatnonzero((mins[1:] != mins[:-1]) | (at[1:] != at[:-1] + 1)) + 1
     first = np.concatenate([[0], cut])
+    sizes = np.diff(np.append(first, len(at)))
+    if (sizes > LONGEST).any():  # long runs of one minimiser are cut
+        pieces = -(-sizes // LONGEST)
+        first = np.repeat(first, pieces) + LONGEST * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        cut = first[1:]
     last = np.append(cut, len(at)) - 1
     return at[first], at[last] + 1, mins[first], at, mins
 
@@ -65,7 +76,7 @@ def _minimisers(width: int, size: int, buckets: int):
                 continue
             # a window that recurs inside its own super-k-mer needs its minimiser counted again:
             # at 1 .. width - size words by the windows themselves, further off by the super-k-mer's length
-            long = found[last - first > width - size + 1]
+            long = found[last - first > width - size + 1]  # and by its pieces, where it was cut
             whole = ngrams(words.hash, width)
             again = np.zeros(len(whole), bool)
             for step in range(1, width - size + 1):
@@ -83,62 +94,58 @@ def _minimisers(width: int, size: int, buckets: int):
     return run
 
 
-def _repeated(width: int):
-    return lambda batches: _count_keys(batches, width)
-
-
-def _count_keys(batches, width: int):
-    for q, held in grouped(batches, "q"):
-        raw = b"".join(x for b in held for x in column(b, "blob").to_pylist())
-        keys = np.sort(np.frombuffer(raw, np.uint64) if width == 8 else widened(raw))
-        starts, sizes = runs(keys)
-        twice = sizes > 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([q], pa.int64()), pa.array([int(twice.sum())], pa.int64()), pa.array([int(sizes.sum())], pa.int64()),
-             pa.array([keys[starts[twice]].tobytes()], pa.binary()), pa.array([sizes[twice].astype(np.int64).tobytes()], pa.binary())],
-            ["q", "n", "total", "keys", "counts"],
-        )
-
-
-def _segment(bits: int, buckets: int):
-    """The bitmap's share of each bucket."""
+def _counted(width: int, hot_least: int):
+    """(q, n, hot, keys, counts): of each bucket the keys seen twice, with their counts, and how many of them are hot."""
 
     def run(batches):
-        own = bits // buckets
-        for batch in batches:
-            for q, keys in zip(longs(batch, "q").tolist(), column(batch, "keys").to_pylist()):
-                flags = np.zeros(own, bool)
-                flags[(np.frombuffer(keys, np.uint64) % np.uint64(own)).astype(np.int64)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([q], pa.int64()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["q", "segment"])
+        for q, held in grouped(batches, "q"):
+            raw = b"".join(x for b in held for x in column(b, "blob").to_pylist())
+            keys = np.sort(np.frombuffer(raw, np.uint64) if width == 8 else widened(raw))
+            starts, sizes = runs(keys)
+            twice = sizes > 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([q], pa.int64()), pa.array([int(twice.sum())], pa.int64()), pa.array([int((sizes[twice] >= hot_least).sum())], pa.int64()),
+                 pa.array([keys[starts[twice]].tobytes()], pa.binary()), pa.array([sizes[twice].astype(np.int64).tobytes()], pa.binary())],
+                ["q", "n", "hot", "keys", "counts"],
+            )
 
     return run
 
 
-def _hot(least: int):
+def _segments(bits: int, hot_bits: int, hot_least: int):
+    """Each segment of the bitmap of repeated keys, and of that of hot keys."""
+
     def run(batches):
-        for batch in batches:
-            for keys, counts in zip(column(batch, "keys").to_pylist(), column(batch, "counts").to_pylist()):
-                found = np.frombuffer(keys, np.uint64)[np.frombuffer(counts, np.int64) >= least]
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64), pa.int64())], ["key"])
+        for c, held in grouped(batches, "c"):
+            maps = np.zeros(bits // BUCKETS, bool), np.zeros(hot_bits // BUCKETS, bool)
+            for b in held:
+                for keys, counts in zip(column(b, "keys"), column(b, "counts")):
+                    keys, counts = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int64)
+                    for flags, own in zip(maps, (keys, keys[counts >= hot_least])):
+                        flags[(own % np.uint64(len(flags))).astype(np.int64)] = True
+            packed = [pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary()) for x in maps]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), *packed], ["c", "segment", "hot"])
 
     return run
 
 
 class Repeats:
-    """Which hashes may occur twice, and which occur very often; of bounded size."""
+    """Which hashes may occur twice, and which may occur very often: two bitmaps of bounded size, in one segment a bucket."""
+
+    def __init__(self, bitmap: np.ndarray, hot: np.ndarray):
+        self.map, self.hot = bitmap, hot
 
-    def __init__(self, own: int, buckets: int, bitmap: np.ndarray, hot: np.ndarray):
-        self.own, self.buckets, self.map, self.hot = own, buckets, bitmap, hot
+    @staticmethod
+    def _in(bitmap, keys):
+        own = 8 * len(bitmap) // BUCKETS
+        at = dealt(keys, BUCKETS) * own + (keys % np.uint64(own)).astype(np.int64)
+        return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
     def may(self, keys: np.ndarray) -> np.ndarray:
-        at = dealt(keys, self.buckets) * self.own + (keys % np.uint64(self.own)).astype(np.int64)
-        return (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return self._in(self.map, keys)
 
     def often(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.hot):
-            return np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)
-        return self.hot[at] == keys
+        return self._in(self.hot, keys)
 
 
 def narrowed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,23 +163,36 @@ def widened(raw: bytes) -> np.ndarray:
     return mix(full.view("<u8").ravel().astype(np.uint64))
 
 
-def repeats_of(blobs: DataFrame, map_bits: int = MAP_BITS, hot_share: float = 1e-4, hot_least: int = 2000, width: int = 8):
-    """A broadcast Repeats of (q, blob of uint64, or of 6-byte keys) rows.  Hot: at least hot_share of all, so at most 1/hot_share keys."""
+def fineness(docs: DataFrame) -> int:
+    """How many buckets of keys share a segment of the bitmaps: more for tables of many splits, so that a bucket stays small."""
+    return -(-docs.rdd.getNumPartitions() // 4096)
+
+
+def repeats_of(blobs: DataFrame, map_bits: int = MAP_BITS, hot_least: int = HOT, width: int = 8, fine: int = 1):
+    """A broadcast Repeats of (q, blob of uint64, or of 6-byte keys) rows, q of BUCKETS * fine; hot are keys counted hot_least times and more.
+
+    Both bitmaps have 16 bits a key, but map_bits and HOT_BITS at most, whatever the input.
+    """
     spark = blobs.sparkSession
-    found = blobs.repartition(parts(spark), "q").sortWithinPartitions("q").mapInArrow(_repeated(width), "q long, n long, total long, keys binary, counts binary")
+    found = blobs.repartition(parts(spark), "q").sortWithinPartitions("q").mapInArrow(_counted(width, hot_least), "q long, n long, hot long, keys binary, counts binary")
     found, path = written_at(found)
-    n, total = found.agg(F.sum("n"), F.sum("total")).first()
-    bits = BUCKETS * 64
-    while bits < min(map_bits, 16 * (n or 0)):
-        bits *= 2
-    own = bits // BUCKETS
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for r in found.select("q", "keys").mapInArrow(_segment(bits, BUCKETS), "q long, segment binary").collect():
-        bitmap[r.q * own // 8 : (r.q + 1) * own // 8] = np.frombuffer(r.segment, np.uint8)
-    least = max(hot_least, int((total or 0) * hot_share))
-    hot = [r.key for r in found.select("keys", "counts").mapInArrow(_hot(least), "key long").collect()]
+    n, hot = found.agg(F.sum("n"), F.sum("hot")).first()
+
+    def size(keys, most):
+        bits = BUCKETS * 64
+        while bits < min(most, 16 * (keys or 0)):
+            bits *= 2
+        return bits
+
+    bits, hot_bits = size(n, map_bits), size(hot, HOT_BITS)
+    maps = np.zeros(bits // 8, np.uint8), np.zeros(hot_bits // 8, np.uint8)
+    at = found.select(F.expr(f"q div {fine}").alias("c"), "keys", "counts").repartition(min(parts(spark), BUCKETS), "c").sortWithinPartitions("c")
+    for r in at.mapInArrow(_segments(bits, hot_bits, hot_least), "c long, segment binary, hot binary").toLocalIterator():  # map_bits + HOT_BITS at most
+        for to, segment in zip(maps, (r.segment, r.hot)):
+            own = len(to) // BUCKETS
+            to[r.c * own : (r.c + 1) * own] = np.frombuffer(segment, np.uint8)
     dropped(spark, path)
-    return spark.sparkContext.broadcast((own, BUCKETS, bitmap, np.sort(np.array(hot, np.int64).view(np.uint64))))
+    return spark.sparkContext.broadcast(maps)
 
 
 _ROW = "kind byte, key long, _k long, _fp long, at long, n long, packed binary"
@@ -183,7 +203,7 @@ SEND, MARK = 0, 1
 
 def _pack(repeats, width: int, size: int):
     def run(batches):
-        rep, seen = Repeats(*repeats.value), {}
+        rep, seen, held = Repeats(*repeats.value), {}, 0
         for batch in chunked(batches):
             words = Words(column(batch, "text"))
             first, last, mins, _, _ = _super_kmers(words, width, size)
@@ -208,14 +228,16 @@ def _pack(repeats, width: int, size: int):
                 if here == before:
                     continue
                 if before is None or here[:2] <= before[:2]:  # another text at the same position is not later
+                    held += 0 if before else len(packed)
                     seen[packed] = here
                     kind = SEND
                 else:
                     kind, key, packed = MARK, rk, None  # by its document: a hot bucket's marks are spread
                 for to, x in zip(out, (kind, key, rk, rf, a, n, packed)):
                     to.append(x)
-            if len(seen) > REMEMBERED:
+            if held > REMEMBERED:
                 seen.clear()
+                held = 0
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _TYPES)], _NAMES)
 
     return run
@@ -231,7 +253,7 @@ def _ranges(k, fp, at, width):
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (k[lo], fp[lo], at[lo], at[hi] + width)], ["_k", "_fp", "lo", "hi"])
 
 
-def _count(width: int, most: int = 8 << 20):
+def _count(width: int, most: int = 4 << 20):
     """Sorts the windows of whole buckets; yields the word ranges under windows that also start earlier."""
 
     def windows(held):
@@ -273,7 +295,7 @@ def _count(width: int, most: int = 8 << 20):
             return [out] if out is not None else []
 
         now = None
-        for batch in batches:
+        for batch in trimmed(batches):
             if not batch.num_rows:
                 continue
             kinds = column(batch, "kind").to_numpy()
@@ -305,7 +327,8 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, size: int = MINIMISER)
     """_k, _fp, lo, hi: word ranges of a document row that lie under windows which also start earlier."""
     spark = docs.sparkSession
     base = keyed(docs)
-    repeats = repeats_of(base.select("text").mapInArrow(_minimisers(width, size, BUCKETS), "q long, blob binary"))
+    fine = fineness(base)
+    repeats = repeats_of(base.select("text").mapInArrow(_minimisers(width, size, BUCKETS * fine), "q long, blob binary"), fine=fine)
     sent = base.mapInArrow(_pack(repeats, width, size), _ROW)
     dealt_rows = sent.repartition(parts(spark), "key").sortWithinPartitions("key")
     return dealt_rows.mapInArrow(_count(width), "_k long, _fp long, lo long, hi long")
@@ -313,7 +336,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, size: int = MINIMISER)
 
 def _remove(digest: bool, names: list):
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             n, gone, kept = [], [], []
             for text, spans in zip(column(batch, "text").cast(pa.binary()).to_pylist(), column(batch, "spans").to_pylist()):
                 words = text.split() if text else []
