@@ -1,24 +1,31 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
 Distinct vectors are dealt to their nearest few of K centroids, so that shards
-overlap; every shard builds a robust-pruned graph of its vectors; the adjacency
-lists of a vector are united over its shards.  A shard is then searched with its own
-vectors as queries over its vectors and the neighbours that the united lists lead
-to: a greedy beam search from the shard's medoid, after which every vector found in
-range is expanded until nothing new comes into range.  Pairs are verified by their
-cosine in double precision.  Queries drawn without regard to what was found, more of
-them until LINKED have a link (at most MOST_QUERIES), are compared against all vectors
-to audit the recall, which is logged; below TARGET the search runs again, wider, and
-after the last round all vectors are compared with all, block by block.
+overlap; a shard that is still large is dealt to centroids of its own, again and
+again.  Every shard builds a robust-pruned graph of its vectors; the adjacency lists of
+a vector are united over its shards.  A shard is then searched with its own vectors as
+queries over its vectors and the neighbours that the united lists lead to: a greedy
+beam search from the shard's medoid, after which every vector found in range is
+expanded until nothing new comes into range.  Links are verified by their cosine in
+double precision.
+
+What leaves a shard is linear in its vectors: the links of a vector of at most DENSE
+links go as pairs and are united over the shards; of a vector of more links only their
+number goes, counted in its nearest shard, and a spanning forest for the components.
+
+Queries drawn without regard to what was found, more of them until LINKED have a link
+(at most MOST_QUERIES), are compared against all vectors to audit the recall, which is
+logged and can be had from near_duplicates(..., report); below TARGET the search runs
+again, wider, and after the last round all vectors are compared with all, block by
+block.
 
 Equal vectors form one class: classes are searched, and links are counted for their
-members.  Vectors that are null, empty, zero, or hold null or non-finite components,
-link with nothing; so do vectors of another length than most.  Rows that share a
-vec_id are separate vectors; a null vec_id cannot be named: it is returned, unlinked.
+members.  Vectors of different lengths never share a shard.  Vectors that are null,
+empty, zero, or hold null or non-finite components, link with nothing.  Rows that share
+a vec_id are separate vectors; a null vec_id cannot be named: it is returned, unlinked.
 
-K centroids come from a sample of at most SAMPLE vectors; all vectors are indexed.
-A shard of more than BLOCK vectors is built and searched in blocks of rows, so that
-memory stays bounded by BLOCK times the shard's size.
+K centroids of a length come from a sample of at most SAMPLE vectors; all vectors are
+indexed.  Queries are searched in blocks of BLOCK.
 """
 import logging
 
@@ -27,13 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, grouped, parts, table, written
+from .common import column, grouped, longs, parts, table, trimmed, written
 from .components import components
 
 COSINE = 0.95
 SAMPLE = 20_000
 SHARD = 1200
+#: shards of one round of dealing; a shard of more than LARGE vectors is dealt on
 MOST_SHARDS = 4096
+LARGE = 6 * SHARD
+ROUNDS = 4
 DEGREE = 24
 POOL = 64
 ALPHA = 1.2
@@ -41,6 +51,7 @@ BEAM = 24
 OVERLAP = 2
 BLOCK = 1024
 SLACK = 0.12
+DENSE = 64
 QUERIES = 200
 MOST_QUERIES = 4096
 LINKED = 50
@@ -49,26 +60,39 @@ TARGET = 0.97
 _LOG = logging.getLogger(__name__)
 
 
-def _valid(batches):
-    """Vectors fit for comparison, as packed doubles of length 1, with a digest of their direction."""
-    for batch in batches:
-        ids, dims, raw, vecs = [], [], [], []
-        col = column(batch, "embedding")
-        for i, x in zip(column(batch, "vec_id").to_pylist(), col.to_pylist()):
-            if i is None or not x or None in x:
-                continue
-            v = np.array(x, np.float64)
-            norm = np.linalg.norm(v) if np.isfinite(v).all() else 0.0
-            if norm == 0 or not np.isfinite(norm):
-                top = np.abs(v).max() if np.isfinite(v).all() else 0.0
-                if top == 0:
-                    continue
-                v = v / top  # lengths that over- or underflow
-                norm = np.linalg.norm(v)
-            ids.append(i)
-            dims.append(len(v))
-            vecs.append((v / norm + 0.0).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())], ["vec_id", "dim", "v"])
+def unit_vectors(lists: pa.Array, named: np.ndarray) -> list:
+    """The vectors fit for comparison as bytes of doubles of length 1, None for the others; named: rows that count at all."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    out = [None] * len(lists)
+    if not len(lists):
+        return out
+    offs = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.values
+    whole = values.is_valid().to_numpy(zero_copy_only=False)
+    flat = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64) if len(values) else np.zeros(0)
+    sizes = np.diff(offs)
+    fit = lists.is_valid().to_numpy(zero_copy_only=False) & named & (sizes > 0)
+    for d in np.unique(sizes[fit]).tolist():
+        rows = np.flatnonzero(fit & (sizes == d))
+        at = offs[rows][:, None] + np.arange(d)
+        v = flat[at]
+        ok = whole[at].all(1) & np.isfinite(v).all(1)
+        top = np.where(ok, np.abs(np.where(np.isfinite(v), v, 0)).max(1), 0)
+        rows, v, top = rows[top > 0], v[top > 0], top[top > 0]
+        v = v / top[:, None]  # else lengths over- or underflow
+        v = v / np.sqrt((v * v).sum(1))[:, None] + 0.0
+        for i, x in zip(rows.tolist(), v):
+            out[i] = x.tobytes()
+    return out
+
+
+def _units(batches):
+    for batch in trimmed(batches):
+        ids = column(batch, "vec_id")
+        v = unit_vectors(column(batch, "embedding"), ids.is_valid().to_numpy(zero_copy_only=False))
+        dims = pa.array([None if x is None else len(x) // 8 for x in v], pa.int32())
+        yield pa.RecordBatch.from_arrays([ids, dims, pa.array(v, pa.binary())], ["vec_id", "dim", "v"])
 
 
 def _matrix(col) -> np.ndarray:
@@ -76,6 +100,16 @@ def _matrix(col) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
 
 
+def _by_dim(batches):
+    """(dim, batch) of rows of one length each."""
+    for batch in trimmed(batches):
+        if not batch.num_rows:
+            continue
+        dims = longs(batch, "dim")
+        for d in np.unique(dims).tolist():
+            yield d, batch.filter(pa.array(dims == d))
+
+
 def centroids_of(vectors: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means on a bounded sample."""
     rng = np.random.default_rng(7)
@@ -89,23 +123,83 @@ def centroids_of(vectors: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def _nearest(v: np.ndarray, c: np.ndarray, overlap: int) -> np.ndarray:
+    """The nearest few centroids of each vector, the nearest first."""
+    t = min(overlap, len(c))
+    sims = v @ c.T
+    near = np.argpartition(-sims, t - 1, axis=1)[:, :t]
+    return np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
+
+
+_MEMBER = "shard string, id long, copies long, v binary, home boolean"
+
+
+def _members(shards: list, batch, home: np.ndarray, take: np.ndarray):
+    kept = [column(batch, c).take(pa.array(take)) for c in ("id", "copies", "v")]
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), *kept, pa.array(home)], ["shard", "id", "copies", "v", "home"])
+
+
 def _assign(shared, overlap: int):
+    """Members of the shards of the first round: a length's centroids, or one shard for a length without any."""
+
     def run(batches):
-        c = shared.value
-        t = min(overlap, len(c))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = _matrix(column(batch, "v"))
-            sims = v @ c.T
-            near = np.argpartition(-sims, t - 1, axis=1)[:, :t]
-            take = pa.array(np.repeat(np.arange(len(v)), t))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near.ravel().astype(np.int64)), column(batch, "id").take(take), column(batch, "v").take(take)], ["shard", "id", "v"])
+        centroids = shared.value
+        for d, batch in _by_dim(batches):
+            n = batch.num_rows
+            near = _nearest(_matrix(column(batch, "v")), centroids[d], overlap) if d in centroids else np.zeros((n, 1), int)
+            t = near.shape[1]
+            yield _members([f"{d}/{x}" for x in near.ravel().tolist()], batch, np.tile(np.arange(t) == 0, n), np.repeat(np.arange(n), t))
+
+    return run
+
+
+def _split_centroids(batches):
+    """Centroids of large shards from a drawn part of their vectors."""
+    for shard, held in grouped_text(batches, "shard"):
+        v = np.concatenate([_matrix(column(b, "v")) for b in held])
+        k = int(longs(held[0], "k")[0])
+        c = centroids_of(v, k)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.string()), pa.array([c.shape[0]], pa.int64()), pa.array([c.tobytes()], pa.binary())], ["shard", "k", "c"])
+
+
+def _assign_again(overlap: int):
+    """Members of large shards (with their centroids) dealt on; a vector stays at home where it was."""
+
+    def run(batches):
+        for batch in trimmed(batches):
+            shards, cs = column(batch, "shard").to_pylist(), column(batch, "c")
+            for shard in sorted(set(shards)):
+                rows = np.flatnonzero(np.array([x == shard for x in shards]))
+                part = batch.take(pa.array(rows))
+                v = _matrix(column(part, "v"))
+                near = _nearest(v, np.frombuffer(cs[int(rows[0])].as_py(), np.float64).reshape(-1, v.shape[1]), overlap)
+                t = near.shape[1]
+                home = column(part, "home").to_numpy(zero_copy_only=False)
+                yield _members([f"{shard}/{x}" for x in near.ravel().tolist()], part, (home[:, None] & (np.arange(t) == 0)).ravel(), np.repeat(np.arange(len(v)), t))
 
     return run
 
 
+def grouped_text(batches, key: str):
+    """Whole groups of a stream that is sorted by a string key: (key, record batches)."""
+    held, now = [], None
+    for batch in trimmed(batches):
+        keys = column(batch, key).to_pylist()
+        at = 0
+        while at < len(keys):
+            end = at + 1
+            while end < len(keys) and keys[end] == keys[at]:
+                end += 1
+            if now is not None and keys[at] != now:
+                yield now, held
+                held = []
+            now = keys[at]
+            held.append(batch.slice(at, end - at))
+            at = end
+    if held:
+        yield now, held
+
+
 def robust_prune(vectors: np.ndarray, pool: int, degree: int, alpha: float) -> list:
     """Out-neighbours of every vector: the nearest, then those that no chosen one is alpha times nearer to."""
     n = len(vectors)
@@ -145,15 +239,14 @@ def _build(pool: int, degree: int, alpha: float):
     """(id, neighbour ids) of each vector of a shard; edges run both ways between neighbours."""
 
     def run(batches):
-        for shard, held in grouped(batches, "shard"):
-            ids = np.concatenate([column(b, "id").to_numpy() for b in held])
+        for shard, held in grouped_text(batches, "shard"):
+            ids = np.concatenate([longs(b, "id") for b in held])
             v = np.concatenate([_matrix(column(b, "v")) for b in held])
             lists = robust_prune(v, pool, degree, alpha)
             medoid = int((v @ v.mean(0)).argmax())
             src = np.concatenate([np.full(len(x), i) for i, x in enumerate(lists)] + [np.full(1, medoid)])
             dst = np.concatenate([*lists, np.full(1, medoid)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(src), shard)), pa.array(ids[src]), pa.array(ids[dst])], ["shard", "id", "to"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[src]), pa.array(ids[dst])], ["id", "to"])
 
     return run
 
@@ -221,19 +314,43 @@ def search(v: np.ndarray, heads: np.ndarray, adj: np.ndarray, queries: np.ndarra
     return tuple(np.concatenate(x) for x in zip(*grown))
 
 
-def _search(beam: int, cosine: float):
-    """Verified pairs (a < b) with a query of the shard on one side."""
+_FOUND = "kind byte, a long, b long, n long"
+#: a link of few (a < b); a vector's number of links, where they are many; a and b are connected
+PAIR, COUNT, CONNECTED = 0, 1, 2
+
+
+def _found(kind: int, a, b, n=None):
+    nulls = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a, pa.int64()), nulls(b), nulls(n)], ["kind", "a", "b", "n"])
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes is connected with through edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _search(beam: int, cosine: float, dense: int):
+    """What the shard's vectors are linked with, verified; see the module's text."""
 
     def run(batches):
-        for shard, held in grouped(batches, "shard"):
-            ids = np.concatenate([column(b, "id").to_numpy() for b in held])
-            own = np.concatenate([column(b, "own").to_numpy(zero_copy_only=False) for b in held])
+        for shard, held in grouped_text(batches, "shard"):
+            ids, copies = np.concatenate([longs(b, "id") for b in held]), np.concatenate([longs(b, "copies") for b in held])
+            own, home = (np.concatenate([column(b, c).to_numpy(zero_copy_only=False) for b in held]) for c in ("own", "home"))
             v = np.concatenate([_matrix(column(b, "v")) for b in held])
-            lists = [x for b in held for x in column(b, "adj").to_pylist()]
+            lists = [x for b in held for x in column(b, "adj")]
             order = np.argsort(ids)
-            ids, own, v, lists = ids[order], own[order], v[order], [lists[i] for i in order.tolist()]
-            flat = np.array([x for l in lists for x in l], np.int64)
-            src = np.repeat(np.arange(len(lists)), [len(l) for l in lists])
+            ids, copies, own, home, v = ids[order], copies[order], own[order], home[order], v[order]
+            lists = [lists[i].values.to_numpy() for i in order.tolist()]
+            flat, src = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
             inside = ids[at] == flat
             src, dst = np.concatenate([src[inside], at[inside]]), np.concatenate([at[inside], src[inside]])
@@ -242,80 +359,136 @@ def _search(beam: int, cosine: float):
             heads = np.searchsorted(src, np.arange(len(ids) + 1))
             mine = np.flatnonzero(own)
             medoid = int(mine[(v[mine] @ v[mine].mean(0)).argmax()])
-            keys = []
+            keys, left, right = [], [], []
             for lo in range(0, len(mine), BLOCK):
                 block = mine[lo : lo + BLOCK]
                 qi, nodes = search(v, heads, adj, block, medoid, beam, cosine)
                 a, b = block[qi], nodes
-                exact = np.einsum("ij,ij->i", v[a], v[b]) >= cosine
-                keep = exact & (a != b)
-                keys.append(np.unique(np.minimum(a, b)[keep] * len(ids) + np.maximum(a, b)[keep]))
+                exact = np.concatenate([np.einsum("ij,ij->i", v[a[i : i + 100_000]], v[b[i : i + 100_000]]) >= cosine for i in range(0, len(a), 100_000)] or [np.zeros(0, bool)])
+                qi, a, b = qi[exact & (a != b)], a[exact & (a != b)], b[exact & (a != b)]
+                many = np.bincount(qi, minlength=len(block)) > dense
+                few = ~many[qi]
+                keys.append(np.unique(np.minimum(a, b)[few] * len(ids) + np.maximum(a, b)[few]))
+                counted = np.flatnonzero(many & home[block])
+                yield _found(COUNT, ids[block[counted]], None, np.bincount(qi, weights=copies[b], minlength=len(block)).astype(np.int64)[counted])
+                tree = least_labels(len(ids), a[~few], b[~few])
+                out = np.flatnonzero(tree != np.arange(len(ids)))
+                left.append(out)
+                right.append(tree[out])
             keys = np.unique(np.concatenate(keys))  # a pair that both sides found is sent once
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keys // len(ids)]), pa.array(ids[keys % len(ids)])], ["a", "b"])
+            yield _found(PAIR, ids[keys // len(ids)], ids[keys % len(ids)])
+            tree = least_labels(len(ids), np.concatenate(left), np.concatenate(right))
+            out = np.flatnonzero(tree != np.arange(len(ids)))
+            yield _found(CONNECTED, ids[tree[out]], ids[out])
 
     return run
 
 
-def _audit(shared, cosine: float):
-    """All links of the shared vectors, by brute force."""
+def _compared(shared, cosine: float):
+    """The shared vectors against a task's vectors: of each shared one its number of links there, and what connects them."""
 
     def run(batches):
-        ids, q = shared.value
-        for batch in batches:
-            if not batch.num_rows:
+        queries = shared.value  # by length: ids, vectors
+        total = {d: np.zeros(len(ids), np.int64) for d, (ids, _) in queries.items()}
+        for d, batch in _by_dim(batches):
+            if d not in queries:
                 continue
-            other = column(batch, "id").to_numpy()
+            ids, q = queries[d]
+            other, copies = longs(batch, "id"), longs(batch, "copies")
             i, j = np.nonzero(_matrix(column(batch, "v")) @ q.T >= cosine)
-            a, b = other[i], ids[j]
-            keep = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
+            i, j = i[other[i] != ids[j]], j[other[i] != ids[j]]
+            total[d] += np.bincount(j, weights=copies[i], minlength=len(ids)).astype(np.int64)
+            at, inverse = np.unique(np.concatenate([other[i], ids[j]]), return_inverse=True)
+            tree = least_labels(len(at), inverse[: len(i)], inverse[len(i) :])
+            out = np.flatnonzero(tree != np.arange(len(at)))
+            yield _found(CONNECTED, at[tree[out]], at[out])
+        for d, (ids, _) in queries.items():
+            yield _found(COUNT, ids[total[d] > 0], None, total[d][total[d] > 0])
 
     return run
 
 
-def near_pairs(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, beam: int = BEAM, shard: int = SHARD) -> DataFrame:
-    """Pairs (a < b) of (id, v) rows found with at least that cosine; distinct, at most once each."""
+def sharded(vectors: DataFrame, overlap: int = OVERLAP, shard: int = SHARD) -> DataFrame:
+    """Members (shard, id, copies, v, home) of overlapping shards of vectors (id, dim, copies, v), as a written table."""
     spark = vectors.sparkSession
-    n = vectors.count()
-    if n < 2:
-        return spark.createDataFrame([], "a long, b long")
-    sample = vectors.orderBy(F.xxhash64("id")).limit(min(n, SAMPLE)).select("v")
-    k = min(MOST_SHARDS, max(1, n * overlap // shard))
-    shared = spark.sparkContext.broadcast(centroids_of(_matrix(sample.toArrow()["v"]), k))
-    dealt = vectors.mapInArrow(_assign(shared, overlap), "shard long, id long, v binary")
-    members = written(dealt)
+    sizes = {r.dim: r["count"] for r in vectors.groupBy("dim").count().where(F.col("count") * overlap > shard).collect()}  # at most n / shard lengths
+    centroids = {}
+    for d, n in sizes.items():
+        sample = vectors.where(F.col("dim") == d).orderBy(F.xxhash64("id")).limit(min(n, SAMPLE)).select("v").toArrow()
+        centroids[d] = centroids_of(_matrix(sample["v"]), min(MOST_SHARDS, max(1, n * overlap // shard)))
+    shared = spark.sparkContext.broadcast(centroids)
+    members = written(vectors.select("id", "dim", "copies", "v").mapInArrow(_assign(shared, overlap), _MEMBER))
+    shared.destroy()
+    for _ in range(ROUNDS):
+        size = members.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > LARGE * shard // SHARD)
+        size = written(size.withColumn("k", F.least(F.lit(64), F.ceil(F.col("n") * overlap / shard)).cast("long")))
+        if not size.limit(1).count():
+            break
+        large = members.join(size, "shard")
+        drawn = large.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(float(1 << 20)) * 4096 / F.col("n")).select("shard", "k", "v")  # some 4096 a shard
+        found = written(drawn.repartition(parts(spark), "shard").sortWithinPartitions("shard").mapInArrow(_split_centroids, "shard string, k long, c binary"))
+        salted = found.where("k > 1").select("shard", "c", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+        again = large.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(salted, ["shard", "salt"])
+        again = again.select("shard", "id", "copies", "v", "home", "c").mapInArrow(_assign_again(overlap), _MEMBER)
+        left = members.join(found.where("k > 1").select("shard"), "shard", "left_anti")
+        # a vector of two old shards may come to a new one once only: names differ
+        members = written(left.unionByName(again))
+    return members
+
+
+def near_links(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, beam: int = BEAM, shard: int = SHARD, dense: int = DENSE) -> DataFrame:
+    """kind, a, b, n: the links found of vectors (id, dim, copies, v); pairs and connections may come several times."""
+    spark = vectors.sparkSession
+    members = sharded(vectors, overlap, shard)
     by_shard = members.repartition(parts(spark), "shard").sortWithinPartitions("shard")
-    edges = written(by_shard.mapInArrow(_build(POOL, DEGREE, ALPHA), "shard long, id long, to long"))
-    united = written(edges.groupBy("id").agg(F.collect_set("to").alias("adj")))  # at most overlap * DEGREE each
+    edges = by_shard.mapInArrow(_build(POOL, DEGREE, ALPHA), "id long, to long")
+    united = written(edges.groupBy("id").agg(F.collect_set("to").alias("adj")))  # at most DEGREE for each of a vector's shards
     # a shard's nodes: its members, and what the united lists of its members lead to
     reach = members.select("shard", "id").join(united, "id").select("shard", F.explode("adj").alias("id")).distinct()
-    nodes = members.select("shard", "id", F.lit(True).alias("own")).unionByName(reach.withColumn("own", F.lit(False)))
-    nodes = nodes.groupBy("shard", "id").agg(F.max("own").alias("own"))
-    nodes = nodes.join(vectors, "id").join(united, "id").select("shard", "id", "own", "v", "adj")
-    found = nodes.repartition(parts(spark), "shard").sortWithinPartitions("shard").mapInArrow(_search(beam, cosine), "a long, b long")
-    return written(found.distinct())
+    no = F.lit(False)
+    nodes = members.select("shard", "id", F.lit(True).alias("own"), "home").unionByName(reach.withColumns({"own": no, "home": no}))
+    nodes = nodes.groupBy("shard", "id").agg(F.max("own").alias("own"), F.max("home").alias("home"))
+    nodes = nodes.join(vectors.select("id", "copies", "v"), "id").join(united, "id").select("shard", "id", "copies", "own", "home", "v", "adj")
+    found = nodes.repartition(parts(spark), "shard").sortWithinPartitions("shard").mapInArrow(_search(beam, cosine, dense), _FOUND)
+    return written(found)
 
 
 def _links_of(vectors: DataFrame, ids: DataFrame, cosine: float) -> DataFrame:
-    """Pairs (a < b) of all links of the vectors named by ids, few enough to be broadcast; a pair may come twice."""
-    q = vectors.join(ids, "id", "left_semi").toArrow()
-    shared = vectors.sparkSession.sparkContext.broadcast((q["id"].to_numpy(), _matrix(q["v"])))
-    return vectors.mapInArrow(_audit(shared, cosine), "a long, b long")
-
-
-def exact_pairs(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """All pairs in range, by brute force: quadratic, in blocks of bounded size."""
+    """kind, a, b, n: all links of the vectors named by ids, few enough to be broadcast; the counts of an id are to be added up."""
+    q = vectors.join(ids, "id", "left_semi").select("id", "dim", "v").toArrow().combine_chunks()
+    by_dim = {}
+    for d in set(q["dim"].to_pylist()):
+        rows = q.filter(pa.array([x == d for x in q["dim"].to_pylist()]))
+        by_dim[d] = (rows["id"].to_numpy(), _matrix(rows["v"]))
+    shared = vectors.sparkSession.sparkContext.broadcast(by_dim)
+    found = written(vectors.mapInArrow(_compared(shared, cosine), _FOUND))
+    shared.destroy()
+    return found
+
+
+def exact_links(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """kind, a, b, n: all links, by brute force: quadratic work, in blocks of bounded size; no pair is written."""
     blocks = vectors.count() // block + 1
     found = None
     for i in range(blocks):
         ids = vectors.select("id").where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)) == i)
-        part = written(_links_of(vectors, ids, cosine))
+        part = _links_of(vectors, ids, cosine)
         found = part if found is None else found.unionByName(part)
-    return written(found.distinct())
+    counts = found.where(F.col("kind") == COUNT).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    return written(counts.unionByName(found.where(F.col("kind") == CONNECTED).distinct()))
+
+
+def link_counts(vectors: DataFrame, found: DataFrame) -> DataFrame:
+    """id, linked: how many other vectors, copies included, each vector is linked with."""
+    pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    few = ends.join(vectors.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("n"))
+    many = found.where(F.col("kind") == COUNT).select(F.col("a").alias("id"), "n")
+    return few.unionByName(many).groupBy("id").agg(F.max("n").alias("linked"))
 
 
-def recall(vectors: DataFrame, pairs: DataFrame, cosine: float = COSINE, queries: int = QUERIES) -> float:
-    """The share of their links that the pairs hold, for queries drawn by a hash of the id alone; 1 if none has a link.
+def recall(vectors: DataFrame, counts: DataFrame, cosine: float = COSINE, queries: int = QUERIES) -> float:
+    """The share of their links that the counts (id, linked) hold, for queries drawn by a hash of the id alone; 1 if none has a link.
 
     The smaller of the share of all these links and of the mean over linked queries, so that neither
     one large group nor many small ones hide a loss.
@@ -323,66 +496,51 @@ def recall(vectors: DataFrame, pairs: DataFrame, cosine: float = COSINE, queries
     n = vectors.count()
     while True:
         ids = written(vectors.select("id").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(min(n, queries)))
-        true = _links_of(vectors, ids, cosine).distinct().join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left")
-        ends = true.select(F.explode(F.array("a", "b")).alias("id"), "hit").join(ids, "id", "left_semi")
-        one = ends.groupBy("id").agg(F.count("*").alias("n"), F.count("hit").alias("h"))
+        true = _links_of(vectors, ids, cosine).where(F.col("kind") == COUNT).groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+        one = true.join(counts, "id", "left").select("n", F.least("n", F.coalesce("linked", F.lit(0))).alias("h"))
         r = one.agg(F.count("*").alias("linked"), F.sum("n").alias("n"), F.sum("h").alias("h"), F.avg(F.col("h") / F.col("n")).alias("mean")).first()
         if r.linked >= LINKED or queries >= min(n, MOST_QUERIES):
             return min(r.h / r.n, r.mean) if r.n else 1.0
         queries = min(MOST_QUERIES, queries * 4)
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE, target: float = TARGET) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row per row of rows (vec_id, embedding)."""
+def near_duplicates(rows: DataFrame, cosine: float = COSINE, target: float = TARGET, report: dict | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row per row of rows (vec_id, embedding).
+
+    report, if given, gets `recall` (of the rounds' searches) and `exhaustive` (whether all vectors were compared in the end).
+    """
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    valid = written(rows.mapInArrow(_valid, "vec_id long, dim int, v binary"))
-    top = valid.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    dim = top.dim if top else 0
-    valid = valid.where(F.col("dim") == dim).select("vec_id", "v", F.sha2("v", 256).alias("_class"))
-    classes = written(valid.groupBy("_class").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")))
-    vectors = classes.select("id", "v")
-    overlap, beam = OVERLAP, BEAM
+    units = written(rows.mapInArrow(_units, "vec_id long, dim int, v binary"))
+    valid = units.where("v is not null").select("vec_id", "dim", "v", F.sha2("v", 256).alias("_class"))
+    classes = written(valid.groupBy("_class").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("v").alias("v"))
+                      .withColumn("_at", F.monotonically_increasing_id()))
+    # rows of one vec_id may be of several classes: the graph's nodes are numbered by themselves
+    vectors = classes.select(F.col("_at").alias("id"), "dim", "copies", "v")
+    overlap, beam, shares = OVERLAP, BEAM, []
     for _ in range(3):
-        pairs = near_pairs(vectors, cosine, overlap, beam)
-        share = recall(vectors, pairs, cosine)
-        _LOG.info("audited recall %.4f with overlap %d and beam %d", share, overlap, beam)
-        if share >= target:
+        found = near_links(vectors, cosine, overlap, beam)
+        counts = written(link_counts(vectors, found))
+        shares.append(recall(vectors, counts, cosine))
+        _LOG.info("audited recall %.4f with overlap %d and beam %d", shares[-1], overlap, beam)
+        if shares[-1] >= target:
             break
         overlap, beam = overlap + 2, beam * 2
     else:
-        _LOG.warning("audited recall %.4f stays under %.2f: all vectors are compared", share, target)
-        pairs = exact_pairs(vectors, cosine)
-    labels = components(pairs)
-    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    links = (ends.join(classes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("linked")))
-    known = (classes.drop("v").join(links, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
-             .select("_class", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    # the vector's class by id and direction, so that rows that share a vec_id stay apart
+        _LOG.warning("audited recall %.4f stays under %.2f: all vectors are compared", shares[-1], target)
+        found = exact_links(vectors, cosine)
+        counts = link_counts(vectors, found)
+    if report is not None:
+        report.update(recall=shares, exhaustive=shares[-1] < target)
+    labels = components(found.where(F.col("kind") != COUNT).select("a", "b"))
+    names = classes.select(F.col("_at").alias("node"), "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = names.groupBy("component").agg(F.min("id").alias("component_id"))
+    known = classes.select("_class", "_at", "copies").join(counts.withColumnRenamed("id", "_at"), "_at", "left").join(names.select(F.col("node").alias("_at"), "component"), "_at").join(least, "component")
+    known = known.select("_class", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
     answered = valid.select("vec_id", "_class").join(known, "_class").select("vec_id", "n_links", "component_id")
-    rest = rows.mapInArrow(_invalid(dim), "vec_id long").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rest = units.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = answered.unionByName(rest)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _invalid(dim: int):
-    def run(batches):
-        for batch in batches:
-            good = [b for out in _valid([batch]) for b in [out]][0]
-            # ids of the rows that _valid drops, and of vectors of another length, each as often as it occurs
-            left = {}
-            for i, d in zip(column(good, "vec_id").to_pylist(), column(good, "dim").to_pylist()):
-                if d == dim:
-                    left[i] = left.get(i, 0) + 1
-            out = []
-            for i in column(batch, "vec_id").to_pylist():
-                if left.get(i, 0):
-                    left[i] -= 1
-                else:
-                    out.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["vec_id"])
-
-    return run
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
