@@ -1,21 +1,27 @@
 """Toxicity by weak supervision.
 
-Voters look at a document's words and vote "toxic" or abstain:
+Voters look at a document's words and vote "toxic", "clean", or abstain:
 * lexicon voters: a word, from a short seed list and from the labelled sample;
-* pattern voters: a word's beginning (3 to 6 letters), and shapes of tokens.
-A generative label model estimates by expectation-maximisation how often each voter
-votes in toxic and in clean documents, without looking at the labels, and how voters
-correlate given the class; correlated voters share their weight.  A linear
-classifier (logistic regression) is trained on the model's posterior labels and
-scores every document from its whole text.
+* pattern voters: a word's beginning (3 to 6 letters), and shapes of tokens;
+* clean voters: words of the sample that toxic documents hardly hold, and two that
+  speak where the others are silent: no word of any lexicon, no shape.
+A generative label model sees nothing but the votes.  Expectation-maximisation, begun
+at the majority of the votes, estimates how often each voter votes each way in toxic
+and in clean documents (its accuracy), and how voters correlate given the class;
+correlated voters share their weight.  A linear classifier (logistic regression) is
+trained on the model's posterior labels and scores every document from its whole text.
+
+The given labels of the sample serve for three documented choices only: which words
+and beginnings become voters (LEAST_SUPPORT, LEAST_PRECISION), the class prior of the
+label model, and nothing after it: they are no votes, no start and no target.
 
 The voters, the label model and the classifier are fitted on at most SAMPLE labelled
-rows (the documented bound), the same rows for the same ids whatever the cluster.
-Without labels, or with one class only, the seed voters and the prior remain.
+ids (the documented bound), the same ones whatever the cluster; of rows that share an
+id the least text counts.  Without labels, or with one class only, the seed voters and
+the prior remain.
 
-Null and empty texts have no votes and get the score of a text without votes; rows
-are scored one by one; several labels of one id count as the greatest; a null
-doc_id is never learned from.
+Null and empty texts have no votes but those of silence; rows are scored one by one;
+several labels of one id count as the greatest; a null doc_id is never learned from.
 """
 import numpy as np
 import pyarrow as pa
@@ -31,9 +37,17 @@ PRIOR = 0.1
 THRESHOLD = 0.7
 LEAST_SUPPORT = 6
 LEAST_PRECISION = 0.85
+#: clean voters: how many at most, how many documents they need, and how rarely toxic ones
+CLEAN_VOTERS = 60
+CLEAN_SUPPORT = 100
+CLEAN_PRECISION = 0.98
 # Common English insults.
 SEEDS = ["idiot", "moron", "loser", "scum", "stupid", "pathetic", "worthless", "disgusting", "trash", "clown", "bastard", "bitch", "asshole", "fuck", "shit", "whore", "cunt"]
 SHAPES = ["#caps", "#masked", "#shout"]
+#: correlation given the class from which voters share their weight
+SAME = 0.6
+#: clean voters of silence
+NO_WORD, NO_SHAPE = "#no-word", "#no-shape"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…"
 
 
@@ -74,7 +88,7 @@ def _distinct(batch, keep):
 
 def _mine(batches):
     """(feature, toxic documents, documents) over slices."""
-    for batch in chunked(batches, most=4 << 20):
+    for batch in chunked(batches, most=4 << 20):  # tokens are looked at once a slice
         names, index = [], {}
 
         def keep(token):
@@ -90,25 +104,10 @@ def _mine(batches):
         toxic = column(batch, "toxic").to_numpy()
         a = np.bincount(feats, weights=toxic[rows], minlength=len(names)).astype(np.int64)
         n = np.bincount(feats, minlength=len(names)).astype(np.int64)
-        seen = a > 0
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, s in zip(names, seen.tolist()) if s], pa.string()), pa.array(a[seen]), pa.array(n[seen])], ["feature", "a", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(a), pa.array(n)], ["feature", "a", "n"])
 
 
-def _clean_counts(shared):
-    """Documents of the sample that hold each candidate."""
-
-    def run(batches):
-        index = {f: i for i, f in enumerate(shared.value)}
-        total = np.zeros(len(index), np.int64)
-        for batch in chunked(batches, most=4 << 20):
-            _, feats, _ = _distinct(batch, lambda t: [index[f] for f in features_of(t) if f in index])
-            total += np.bincount(feats, minlength=len(index))
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["feature", "n"])
-
-    return run
-
-
-def _votes(shared, extra: list, kinds: list):
+def _votes(shared, extra: list):
     """Per row: the extra columns and the sorted ids of the voters that vote."""
 
     def run(batches):
@@ -121,29 +120,28 @@ def _votes(shared, extra: list, kinds: list):
     return run
 
 
-def voters_of(sample: DataFrame, most: int = VOTERS) -> list:
-    """Voters from the labelled sample: candidates that are rarely wrong, chosen so that toxic documents are covered several times."""
+def voters_of(sample: DataFrame, most: int = VOTERS) -> tuple:
+    """(toxic voters, clean voters) from the labelled sample.
+
+    Toxic ones are rarely wrong and chosen so that toxic documents are covered several times; clean ones are the commonest
+    that toxic documents hardly hold.  What is collected are the candidates that pass these tests, of a bounded sample.
+    """
     spark = sample.sparkSession
-    base = (F.col("a") >= LEAST_SUPPORT)
-    found = sample.mapInArrow(_mine, "feature string, a long, n long").groupBy("feature").agg(F.sum("a").alias("a")).where(base)
-    # of a bounded sample, so bounded itself: at most SAMPLE rows' worth of the commonest features
-    candidates = [r.feature for r in found.orderBy(F.desc("a"), "feature").limit(50_000).collect()]
+    found = written(sample.mapInArrow(_mine, "feature string, a long, n long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("n").alias("n")))
+    good = found.where((F.col("a") >= LEAST_SUPPORT) & (F.col("a") >= LEAST_PRECISION * F.col("n")))
+    candidates = [r.feature for r in good.orderBy(F.desc("a"), "feature").collect()]
+    calm = found.where((F.col("n") >= CLEAN_SUPPORT) & (F.col("n") - F.col("a") >= CLEAN_PRECISION * F.col("n")))
+    calm = [r.feature for r in calm.orderBy(F.desc("n"), "feature").limit(CLEAN_VOTERS).collect()]  # a top-k by support
     if not candidates:
-        return []
+        return [], calm
     shared = spark.sparkContext.broadcast(candidates)
-    total = np.zeros(len(candidates), np.int64)
-    for r in sample.mapInArrow(_clean_counts(shared), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
-        total[r.feature] = r.n
-    toxic = sample.where("toxic = 1")
-    hits = [r.votes for r in toxic.mapInArrow(_votes(shared, [], []), "votes array<long>").collect()]
-    support = np.bincount([i for h in hits for i in h], minlength=len(candidates))
-    good = (support >= LEAST_SUPPORT) & (support >= LEAST_PRECISION * total)
+    hits = [r.votes for r in sample.where("toxic = 1").mapInArrow(_votes(shared, []), "votes array<long>").collect()]
+    shared.destroy()
     weight = np.ones(len(hits))
     by_feature = {}
     for d, h in enumerate(hits):
         for i in h:
-            if good[i]:
-                by_feature.setdefault(i, []).append(d)
+            by_feature.setdefault(i, []).append(d)
     by_feature = {i: np.array(d) for i, d in by_feature.items()}
     chosen, gains = [], {i: float(len(d)) for i, d in by_feature.items()}
     while gains and len(chosen) < most:  # lazy greedy: a gain only falls
@@ -157,42 +155,51 @@ def voters_of(sample: DataFrame, most: int = VOTERS) -> list:
         chosen.append(candidates[best])
         weight[by_feature[best]] *= 0.5
         del gains[best]
-    return chosen
+    return chosen, calm
 
 
 class LabelModel:
-    """Class-conditional vote rates of voters that vote or abstain, with shared weight for correlated voters.
+    """Class-conditional rates of voters that vote (1) or abstain (0), fitted to the votes alone.
 
-    The given label counts as two more voters (for and against) whose rates are estimated like the others'.
+    toxic: which voters speak for the toxic class; the others speak for the clean one.  hit and miss are a voter's rates
+    in toxic and clean documents; weight is what a voter keeps beside those it agrees with beyond the class.
     """
 
-    def __init__(self, votes: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 30):
-        n, m = votes.shape
-        x = np.column_stack([votes.astype(float), labels == 1, labels == 0])
-        self.prior = prior
-        y = np.clip(0.85 * (labels == 1) + 0.5 * (votes.sum(1) > 0), 0.02, 0.98)
-        self.weight = np.ones(m + 2)
+    def __init__(self, votes: np.ndarray, toxic: np.ndarray, prior: float, rounds: int = 30):
+        x, self.prior = votes.astype(float), prior
+        m = x.shape[1]
+        share = np.log(prior / (1 - prior))
+        # the majority: one toxic voter outweighs the voters of silence
+        y = 1 / (1 + np.exp(-np.clip(share + 3.0 * x[:, toxic].sum(1) - 0.5 * x[:, ~toxic].sum(1), -30, 30)))
+        self.weight = np.ones(m)
         for step in range(rounds):
             up, down = y.sum() + 2, (1 - y).sum() + 2
-            self.hit = np.clip((x.T @ y + 0.5) / up, 1e-4, 0.95)
-            self.miss = np.clip((x.T @ (1 - y) + 0.05) / down, 1e-5, 0.95)
-            self.miss[:m] = np.minimum(self.miss[:m], np.maximum(self.hit[:m] * 0.999, 1e-5))
+            self.hit = np.clip((x.T @ y + np.where(toxic, 0.5, 0.05)) / up, 1e-5, 0.999)
+            self.miss = np.clip((x.T @ (1 - y) + np.where(toxic, 0.05, 0.5)) / down, 1e-5, 0.999)
+            # a voter is never worse than chance for its own side
+            self.miss[toxic] = np.minimum(self.miss[toxic], self.hit[toxic])
+            self.hit[~toxic] = np.minimum(self.hit[~toxic], self.miss[~toxic])
+            if step >= rounds // 2:
+                self.weight = 1 / (1 + self._correlated(x, y, self.hit, self.miss))
             y = self.posterior(x)
-            if step == rounds // 2:
-                self.weight[:m] = 1 / (1 + self._correlated(x[:, :m], y, self.hit[:m], self.miss[:m]))
         self.labels = y
 
     @staticmethod
     def _correlated(x, y, hit, miss):
         """Sum over the other voters of the correlation that is left given the class."""
-        mean = np.outer(y, hit) + np.outer(1 - y, miss)
-        rest = x - mean
+        rest = x - np.outer(y, hit) - np.outer(1 - y, miss)
         norm = np.sqrt((rest**2).sum(0)) + 1e-9
         corr = (rest.T @ rest) / np.outer(norm, norm)
         np.fill_diagonal(corr, 0)
-        corr[corr < 0.3] = 0
+        corr[corr < SAME] = 0
         return corr.sum(0)
 
+    @property
+    def accuracy(self) -> np.ndarray:
+        """How often a voter is right where it votes."""
+        right = np.maximum(self.hit * self.prior, self.miss * (1 - self.prior))
+        return right / (self.hit * self.prior + self.miss * (1 - self.prior))
+
     def posterior(self, x: np.ndarray) -> np.ndarray:
         """An abstention says nothing: a voter of one language is silent on the toxic texts of the others."""
         z = x @ (np.log(self.hit / self.miss) * self.weight) + np.log(self.prior / (1 - self.prior))
@@ -216,35 +223,43 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 25
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """docs (doc_id, text), labels (doc_id, toxic): the voters, their weights and the intercept."""
+    """docs (doc_id, text), labels (doc_id, toxic): the voters, their weights, the intercept and the label model's view of the voters."""
     spark = docs.sparkSession
     ids = (labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic"))
+    # at most `sample` ids of two numbers are broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = written(rows.select("text", "toxic"))
     counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    mined = voters_of(rows) if counts.get(1) and counts.get(0) else []
-    names = list(dict.fromkeys([*mined, *SEEDS, *SHAPES]))
+    mined, calm = voters_of(rows) if counts.get(1) and counts.get(0) else ([], [])
+    lexicon = list(dict.fromkeys([*mined, *SEEDS]))
+    names = [*lexicon, *SHAPES, *(f for f in calm if f not in lexicon and f not in SHAPES)]
     if not mined:
-        return {"names": names, "weights": np.where(np.isin(names, SEEDS), 4.0, 0.0), "bias": float(np.log(PRIOR / (1 - PRIOR)) - 0.5)}
+        return {"names": names, "weights": np.where(np.isin(names, SEEDS), 4.0, 0.0), "bias": float(np.log(PRIOR / (1 - PRIOR)) - 0.5), "voters": None}
     shared = spark.sparkContext.broadcast(names)
-    found = rows.mapInArrow(_votes(shared, ["toxic"], []), "toxic long, votes array<long>").collect()  # at most `sample` rows
+    found = rows.select("text").mapInArrow(_votes(shared, []), "votes array<long>").collect()  # at most `sample` rows
+    shared.destroy()
     x = np.zeros((len(found), len(names)), np.float32)
     for i, r in enumerate(found):
         x[i, r.votes] = 1
+    silent = np.column_stack([~x[:, : len(lexicon)].any(1), ~x[:, len(lexicon) : len(lexicon) + len(SHAPES)].any(1)])
+    votes, voters = np.hstack([x, silent]), [*names, NO_WORD, NO_SHAPE]
+    toxic = np.arange(len(voters)) < len(lexicon) + len(SHAPES)
+    cast = votes.any(0)
+    model = LabelModel(votes[:, cast], toxic[cast], counts[1] / (counts[0] + counts[1]))
     used = x.any(0)
-    lexical = np.array([not n.startswith("#") for n in names])
-    given = np.array([r.toxic for r in found])
-    y = LabelModel(x[:, used & lexical], given, counts[1] / (counts[0] + counts[1])).labels
     weights = np.where(np.isin(names, SEEDS), 4.0, 0.0)
-    weights[used], bias = logistic(x[:, used].astype(float), y)
-    return {"names": names, "weights": weights, "bias": float(bias)}
+    weights[used], bias = logistic(x[:, used].astype(float), model.labels)
+    seen = [{"voter": v, "side": "toxic" if t else "clean", "accuracy": float(a), "weight": float(w)}
+            for v, t, a, w in zip(np.array(voters)[cast], toxic[cast], model.accuracy, model.weight)]
+    return {"names": names, "weights": weights, "bias": float(bias), "voters": seen}
 
 
 def _score(shared):
     def run(batches):
         names, weights, bias = shared.value
         index = {f: i for i, f in enumerate(names)}
-        for batch in chunked(batches):
+        for batch in chunked(batches, most=2 << 20):
             rows, feats, n = _distinct(batch, lambda t: [index[f] for f in features_of(t) if f in index])
             z = bias + np.bincount(rows, weights=weights[feats], minlength=n)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "held_out"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "held_out", "score"])
