@@ -76,6 +76,33 @@ def test_decontamination_by_items_without_an_id(spark, frame, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.benchmark_decontamination(spark, frame(docs), str(tmp_path)).collect()) == [3, 4]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab. é", max_size=60), st.integers(1, 4), st.integers(1, 9))
+def test_slices_cover_a_text(text, longest, size):
+    """Every run of `longest` words lies within a slice, at its place."""
+    raw = text.encode()
+    want = decontamination.words(raw)
+    seen, end = set(), 0
+    for first, part in decontamination.slices(raw, longest, size):
+        assert want[first : first + len(part)] == part
+        seen |= {first + i for i in range(len(part) - longest + 1)}
+        end = first + len(part)
+    assert end == len(want) and seen == set(range(len(want) - longest + 1))
+
+
+def test_decontamination_window_of_many_items(spark, frame, monkeypatch):
+    """A window that very many items hold is dealt to parts and blocks; a document that holds it names them all."""
+    text = " ".join(f"w{i}" for i in range(10))
+    items = spark.createDataFrame([(i, text) for i in range(300)] + [(None, text)], "item_id long, text string")
+    monkeypatch.setattr(decontamination, "ITEMS", 20)
+    assert decontamination.patterns_of(items, nameless=True).count() > 10
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(decontamination, "SLICE", 16)
+    got = decontamination.find(frame([(1, f"a {text} b"), (2, "no hit")]), items, nameless=True).collect()
+    assert {r._k: (r.n_words, r.n_hit, r["items"]) for r in got} == {1: (12, 10, [*sorted(str(i) for i in range(300)), None]), 2: (2, 0, [])}
+    assert [r.doc_id for r in decontamination.clean(frame([(1, f"a {text} b"), (2, "no hit")]), items).collect()] == [2]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("ab"), min_size=1, max_size=4), min_size=1, max_size=6), st.lists(st.sampled_from("abc"), max_size=40))
 def test_wu_manber_finds_all(patterns, text):
@@ -90,10 +117,10 @@ def test_substring_equals_brute_force(frame, prose, monkeypatch):
     same(rows(substring.deduplicated(frame(prose))), want)
     # all minimisers hot: windows travel one by one
     plain = substring.repeats_of
-    monkeypatch.setattr(substring, "repeats_of", lambda blobs: plain(blobs, hot_share=0.0, hot_least=1))
+    monkeypatch.setattr(substring, "repeats_of", lambda blobs, **k: plain(blobs, hot_least=1, **k))
     same(rows(substring.deduplicated(frame(prose, 2))), want)
     # a bitmap that says "perhaps" to everything
-    monkeypatch.setattr(substring, "repeats_of", lambda blobs: plain(blobs, map_bits=1))
+    monkeypatch.setattr(substring, "repeats_of", lambda blobs, **k: plain(blobs, map_bits=1, **k))
     same(rows(substring.deduplicated(frame(prose, 1))), want)
     assert substring.deduplicated(frame([])).count() == 0
 
@@ -143,7 +170,8 @@ def test_jaccard_large_region_in_blocks(frame, monkeypatch):
     docs += [(200 + i, " ".join([f"u{i}x{j}" for j in range(30)] + base[:30])) for i in range(10)]  # share a passage only
     want = brute.jaccard(docs)
     same(rows(jaccard.near_duplicates(frame(docs))), want)
-    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "CELL_BYTES", 12 * 8 * 56)  # cells of a few classes: dealt on once, then met in blocks
+    monkeypatch.setattr(jaccard, "DEPTH", 1)
     same(rows(jaccard.near_duplicates(frame(docs, 3))), want)
 
 
@@ -278,6 +306,33 @@ def test_words_and_ngrams(texts):
     assert (len(set(flat)) == len(set(w.hash.tolist()))) and len(ngrams(w.hash, 3)) == max(0, len(flat) - 2)
 
 
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from siftline.llm import textops
+
+    texts = pa.array(["ab cd  " * 20, None, "", "x" * 500, "é ü\tß" * 30, "a"])
+    want = Words(texts, lower=True)
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(textops, "PIECE", piece)
+        got = Words(texts, lower=True)
+        assert all(np.array_equal(getattr(got, k), getattr(want, k)) for k in ("starts", "ends", "first", "row", "hash"))
+
+
+def test_word_memory_of_a_long_text():
+    """Beside the words' spans and hashes only pieces are held: some bytes a byte of text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = pa.array(["word " * 2_000_000])
+    tracemalloc.start()
+    Words(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * 10_000_000
+
+
 def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 99, 50).astype(np.uint64)
     for width in (1, 2, 5, 16, 17, 50, 51):
