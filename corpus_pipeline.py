@@ -7,8 +7,8 @@ that they keep:
 * language_id: rejects texts without a letter, and texts of no clear language
   (posterior of the predicted language under LEAST_SCORE); the model is learned from
   the stage's own rows, by the same split as its query;
-* jaccard_join: keeps one document of each group of near copies, the one whose id
-  names the group; rows that repeat this id are reduced to one;
+* jaccard_join: keeps one document of each group of near copies, the row of the least
+  id (of several such rows, that of the least row hash);
 * substring_dedup: replaces a text by the words it keeps; documents of which nothing
   is left go;
 * decontamination: rejects documents that hold a benchmark window;
@@ -44,12 +44,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.joined(docs)
-    kept = groups.where("_k = component").select("_k").distinct()
-    rows = _aside(docs).withColumn("_k", F.coalesce(F.col("d_doc_id").cast("long"), F.lit(jaccard.LAST)))
-    # rows without an id have no name to be found by: they stay
-    named = rows.where("d_doc_id is not null").join(kept, "_k", "left_semi").dropDuplicates(["_k"])
-    return _back(named.unionByName(rows.where("d_doc_id is null")), docs)
+    return jaccard.representatives(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
