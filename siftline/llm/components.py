@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written, written_at
 
 
 #: links that one task of a round handles at least
@@ -21,14 +21,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         pairs.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct()
     both = written(both)
     tasks = max(1, -(-both.count() // ROWS))  # small link tables do not spread over many small files, round after round
-    labels = written(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")).coalesce(tasks))
+    labels, path = written_at(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")).coalesce(tasks))
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("l")), "other").groupBy("node").agg(F.min("l").alias("l"))
         new = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "l").alias("now"))
         to = labels.select(F.col("node").alias("now"), F.col("component").alias("jump"))
         new = new.join(to, "now", "left").select("node", "old", F.least("now", F.coalesce("jump", "now")).alias("component"))
-        new = written(new.coalesce(tasks))
+        new, new_path = written_at(new.coalesce(tasks))
         changed = new.where("old <> component").limit(1).count()
-        labels = new.select("node", "component")
+        dropped(links.sparkSession, path)  # nothing reads the labels of the round before any more
+        labels, path = new.select("node", "component"), new_path
         if not changed:
             return labels
