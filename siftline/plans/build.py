@@ -788,3 +788,13 @@ def instructed_feed(spark, d):
     i = F.col("item_id")
     rows = table(spark, d, "benchmark").select(i.cast("string").alias("query_id"), (i % 2 == 0).alias("has_instruction"), (i % 3 == 0).alias("is_repeated"))
     return records.training_feed(rows, repeated=True, instructed_only=True).select("query_id")
+
+
+@_R.add("appended_lines", "SELECT item_id AS query_id, 'é ' || text AS original_query, 2 AS n FROM benchmark")
+def appended_lines(spark, d):
+    """JSON lines appended in two runs, letters beyond ASCII kept."""
+    path = scratch(spark)
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("é "), "text").alias("original_query"))
+    for _ in range(2):
+        files.write_jsonl(rows, path, mode="append")
+    return files.jsonl(spark, path, GENERATED, glob="*.json").groupBy("query_id", "original_query").agg(F.count("*").cast("int").alias("n"))

@@ -99,17 +99,19 @@ def moved(spark: SparkSession, source: str, target: str, suffix: str) -> None:
     fs.delete(at, True)
 
 
-def write_sharded(df: DataFrame, path: str, split: str, rows_per_shard: int = 150_000, order: tuple = ("query_id",)) -> int:
+def write_sharded(df: DataFrame, path: str, split: str, rows_per_shard: int = 150_000, order: tuple = ("query_id",), empty: bool = True) -> int:
     """Snappy Parquet files data/<split>-00000-of-000NN.parquet below path, of rows_per_shard rows each but for the last.
 
     Rows are numbered in `order` by ranges, every shard is one task's file, and the files get their names by renames; an
-    empty table writes nothing.  The number of shards is returned.
+    empty table writes nothing, or is an error unless `empty`.  The number of shards is returned.
     """
     from ..operators.split import shard_numbers
 
     spark = df.sparkSession
     rows = written(shard_numbers(df, rows_per_shard, *order))
     shards = (rows.agg(F.max("shards").alias("n")).first().n or 0)
+    if not shards and not empty:
+        raise ValueError(f"the split {split} has no rows")
     if not shards:
         return 0
     parts = f"{path}/data/_{split}"

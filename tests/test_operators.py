@@ -343,6 +343,8 @@ def test_shards_are_files_of_the_readers_names(spark, tmp_path):
     got = files.training_split(spark, str(tmp_path), "validation")
     assert sorted(r["count"] for r in got.groupBy("_metadata.file_name").count().collect()) == [5, 10, 10] and got.count() == 25
     assert files.write_sharded(records.as_training(rows.where("false")), str(tmp_path), "test", 10) == 0
+    with pytest.raises(ValueError):
+        files.write_sharded(records.as_training(rows.where("false")), str(tmp_path), "test", 10, empty=False)
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster():

@@ -39,3 +39,21 @@ def test_entry_imports_without_the_corpus_operators(spark):
     found = __spark_entry__.queries()
     assert set(QUERIES) <= set(found)
     assert __spark_entry__.entry(spark).collect()[0].n_queries > 0
+
+
+def test_entry_without_the_package_of_corpus_operators(tmp_path):
+    """The entry of a copy without the package and the pipeline lists the other queries; a missing dependency is not hidden."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/siftline", tmp_path / "siftline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*sorted(e.queries()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True)
+    assert run().stdout.split() == sorted(QUERIES)
+    (tmp_path / "siftline" / "llm").mkdir()
+    (tmp_path / "siftline" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "siftline" / "llm" / "queries.py").write_text("import no_such_dependency\n")
+    assert "no_such_dependency" in run().stderr
