@@ -176,7 +176,7 @@ def _table(from_level: int, to_level: int):
     return run
 
 
-def train(docs: DataFrame, bits_each: int = 12, most_bits: int = 1 << 31, hot_words: int = HOT_WORDS) -> dict:
+def train(docs: DataFrame, bits_each: int = 12, most_bits: int = 1 << 29, hot_words: int = HOT_WORDS) -> dict:
     """Counts the training documents' n-grams: the filter, the hot tokens' counts, and the table of all counts."""
     spark = docs.sparkSession
     blobs = docs.select("text").mapInArrow(_count, "q long, keys binary, counts binary")
