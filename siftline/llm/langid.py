@@ -4,7 +4,7 @@ The pieces are those of a fixed public vocabulary (a sentencepiece file).  A wor
 a maximal run of letters and marks, lower-cased, with the word mark in front.  A
 language gives each piece a probability; a word's probability in the language is the
 sum over all its segmentations into pieces, by the forward algorithm; a text's is
-the product over its words.  A single letter that is no piece counts as a rare piece.
+the product over its words; of a word of over LONG letters only the last positions are held.  A single letter that is no piece counts as a rare piece.
 
 Training is one expectation step over all training rows: forward-backward under a
 language-independent start (a piece's probability falls with its rank in the file)
@@ -32,6 +32,10 @@ _STEP = np.uint64(0x9E3779B97F4A7C1B)
 _MARK = "▁"
 #: characters of text that are looked at together
 SLICE = 4 << 20
+#: letters of a word beyond which its positions are walked one by one, with a ring of the last ones
+LONG = 256
+#: positions of such a word whose pieces are looked up together
+WALK = 1 << 14
 #: ASCII characters and spaces that are in no word: a long text may be cut behind them
 _BREAK = re.compile(r"[\s\x00-@\[-`{-~]")
 
@@ -186,8 +190,88 @@ def _forward(n, spans, probs, words):
     return alpha, scales
 
 
-def _groups(sizes):
-    order = np.argsort(sizes, kind="stable")
+def _spans(vocabulary, word, first, last, probs):
+    """probs of the pieces that end at the positions first + 1 .. last of one word, as (position, span, language): the longest span first.
+
+    word: the code points + 1 with the word mark in front.  Spans that begin before the word have probability 0.
+    """
+    none, most, ends = len(probs) - 1, vocabulary.longest, np.arange(first + 1, last + 1)
+    ids = np.full((len(ends), most), none, np.int32)
+    h = np.zeros(len(ends), np.uint64)
+    for size in range(1, min(most, last) + 1):
+        there = ends >= size
+        h[there] += word[ends[there] - size] * np.uint64(pow(int(_STEP), size - 1, 1 << 64))
+        ids[there, most - size] = vocabulary.ids(mix(h[there]))
+    p = probs[ids]
+    p[ids[:, -1] == none, -1] = RARE
+    return ids, p
+
+
+def _rescaled(ring, scale):
+    """Keeps the ring of the last positions in range: its greatest value by language becomes 1."""
+    top = ring.max(0)
+    ring /= top
+    scale += np.log(top)
+
+
+def _marked(codes, start, end):
+    return np.concatenate([[np.uint64(ord(_MARK) + 1)], codes[start:end].astype(np.uint64) + np.uint64(1)])
+
+
+def long_log_prob(vocabulary, codes, start, end, probs, each=None) -> np.ndarray:
+    """log P(word) by language, for a word of any length: memory is that of one piece of WALK positions.
+
+    each, if given, gets the log of the forward value of every position (one language)."""
+    word, most = _marked(codes, start, end), vocabulary.longest
+    n, scale = len(word), np.zeros(probs.shape[1])
+    ring = np.zeros((most, probs.shape[1]))
+    ring[-1] = 1
+    for a in range(0, n, WALK):
+        b = min(n, a + WALK)
+        _, p = _spans(vocabulary, word, a, b, probs)
+        held = np.concatenate([ring, np.zeros((b - a, probs.shape[1]))])
+        for i in range(b - a):
+            value = np.einsum("sl,sl->l", held[i : i + most], p[i])
+            held[i + most] = value
+            if each is not None:
+                each[a + i + 1] = np.log(value[0]) + scale[0]
+            if i % 8 == 7 or i == b - a - 1:
+                _rescaled(held[i + 1 : i + 1 + most], scale)
+        ring = held[-most:].copy()
+    return np.log(ring[-1]) + scale
+
+
+def _long_counts(vocabulary, codes, start, end, first, weight, out) -> None:
+    """Adds the expected uses of each piece in one long word, times its weights, to out."""
+    word, most, probs = _marked(codes, start, end), vocabulary.longest, first[:, None]
+    n, none = len(word), len(first) - 1
+    ahead = np.zeros(n + 1)
+    whole = float(long_log_prob(vocabulary, codes, start, end, probs, ahead)[0])
+    ring, scale = np.zeros(most + 1), 0.0  # of the positions before the one at the end
+    ring[-1] = 1
+    for a in range((n - 1) // WALK * WALK, -1, -WALK):
+        b = min(n, a + WALK)
+        ids, p = _spans(vocabulary, word, a, b, probs)
+        p = p[:, :, 0]
+        held, behind = np.concatenate([np.zeros(b - a), ring]), np.zeros(b - a)
+        for i in range(b - a - 1, -1, -1):  # position a + i + 1 stands at held[i + 1 + most]
+            value = held[i + 1 + most]
+            behind[i] = np.log(value) + scale
+            held[i + 1 : i + 1 + most] += p[i] * value
+            if i % 8 == 0:
+                top = held[i : i + 1 + most].max()
+                held[i : i + 1 + most] /= top
+                scale += np.log(top)
+        ring = held[: most + 1]
+        at, span = np.nonzero(ids != none)
+        use = p[at, span] * np.exp(ahead[a + at + 1 - (most - span)] + behind[at] - whole)
+        out += np.bincount(ids[at, span], weights=use, minlength=len(out))[:, None] * weight
+
+
+def _groups_of(sizes, among):
+    """The numbers of the words among them, by size."""
+    order = np.flatnonzero(among)
+    order = order[np.argsort(sizes[order], kind="stable")]
     cut = np.flatnonzero(np.diff(sizes[order])) + 1
     return np.split(order, cut) if len(order) else []
 
@@ -195,7 +279,10 @@ def _groups(sizes):
 def log_probs(vocabulary, codes, starts, ends, probs) -> np.ndarray:
     """log P(word) by language."""
     out = np.zeros((len(starts), probs.shape[1]))
-    for group in _groups(ends - starts):
+    long = ends - starts > LONG
+    for i in np.flatnonzero(long).tolist():
+        out[i] = long_log_prob(vocabulary, codes, starts[i], ends[i], probs)
+    for group in _groups_of(ends - starts, ~long):
         for part in np.array_split(group, max(1, len(group) // 20_000)):
             n, spans = _lattice(vocabulary, codes, starts[part], ends[part[0]] - starts[part[0]])
             alpha, scales = _forward(n, spans, probs, len(part))
@@ -208,7 +295,10 @@ def expected_counts(vocabulary, codes, starts, ends, weight, start) -> np.ndarra
     out = np.zeros((len(start), weight.shape[1]))
     probs = start[:, None]
     none = len(start) - 1
-    for group in _groups(ends - starts):
+    long = ends - starts > LONG
+    for i in np.flatnonzero(long).tolist():
+        _long_counts(vocabulary, codes, starts[i], ends[i], start, weight[i], out)
+    for group in _groups_of(ends - starts, ~long):
         for part in np.array_split(group, max(1, len(group) // 20_000)):
             size = int(ends[part[0]] - starts[part[0]])
             n, spans = _lattice(vocabulary, codes, starts[part], size)
