@@ -9,9 +9,11 @@ beam search from the shard's medoid, after which every vector found in range is
 expanded until nothing new comes into range.  Links are verified by their cosine in
 double precision.
 
-What leaves a shard is linear in its vectors: the links of a vector of at most DENSE
-links go as pairs and are united over the shards; of a vector of more links only their
-number goes, counted in its nearest shard, and a spanning forest for the components.
+A pair of vectors belongs to one shard: of the shards that both are members of, that of
+the least hash; if there is none, the nearest shard of the one of the lower number.  A
+link is a pair that its own shard finds from either end, and both ends count it there.
+So what leaves a shard is linear in its vectors, however many links they have: a number
+of links for each vector, to be added up over the shards, and a spanning forest.
 
 Queries drawn without regard to what was found, more of them until LINKED have a link
 (at most MOST_QUERIES), are compared against all vectors to audit the recall, which is
@@ -25,7 +27,9 @@ empty, zero, or hold null or non-finite components, link with nothing.  Rows tha
 a vec_id are separate vectors; a null vec_id cannot be named: it is returned, unlinked.
 
 K centroids of a length come from a sample of at most SAMPLE vectors; all vectors are
-indexed.  Queries are searched in blocks of BLOCK.
+indexed.  Large shards are dealt on until all are small or dealing does not help any more.
+Queries are searched in blocks of at most CELLS query-vector pairs, and neighbours are
+looked at CELLS at a time.
 """
 import logging
 
@@ -43,15 +47,15 @@ SHARD = 1200
 #: shards of one round of dealing; a shard of more than LARGE vectors is dealt on
 MOST_SHARDS = 4096
 LARGE = 6 * SHARD
-ROUNDS = 4
 DEGREE = 24
 POOL = 64
 ALPHA = 1.2
 BEAM = 24
 OVERLAP = 2
 BLOCK = 1024
+#: (query, vector) pairs of a shard that are held at once
+CELLS = 1 << 21
 SLACK = 0.12
-DENSE = 64
 QUERIES = 200
 MOST_QUERIES = 4096
 LINKED = 50
@@ -268,7 +272,15 @@ def search(v: np.ndarray, heads: np.ndarray, adj: np.ndarray, queries: np.ndarra
     found = [(rows, np.full(q, medoid), sims[:, 0].copy())]
 
     def step(qi, nodes):
-        """Unseen neighbours of (query, node) pairs with their cosines."""
+        """Unseen neighbours of (query, node) pairs with their cosines, CELLS neighbours at a time."""
+        ends = np.cumsum(heads[nodes + 1] - heads[nodes])
+        if not len(ends) or ends[-1] <= CELLS:
+            return some(qi, nodes)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) + CELLS, CELLS), "left"))
+        parts_of = [some(qi[a:b], nodes[a:b]) for a, b in zip(cuts, [*cuts[1:], len(nodes)])]
+        return tuple(np.concatenate(x) for x in zip(*parts_of))
+
+    def some(qi, nodes):
         size = heads[nodes + 1] - heads[nodes]
         at = np.repeat(heads[nodes] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         qq, nb = np.repeat(qi, size), adj[at]
@@ -315,7 +327,7 @@ def search(v: np.ndarray, heads: np.ndarray, adj: np.ndarray, queries: np.ndarra
 
 
 _FOUND = "kind byte, a long, b long, n long"
-#: a link of few (a < b); a vector's number of links, where they are many; a and b are connected
+#: a link (a < b); links of a vector, to be added up; a and b are connected
 PAIR, COUNT, CONNECTED = 0, 1, 2
 
 
@@ -338,18 +350,69 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _search(beam: int, cosine: float, dense: int):
+class Owners:
+    """Tells whose pairs are a shard's own; nodes come with the hashes of all shards that they are members of, and of their nearest one."""
+
+    def __init__(self, shard: int, places: list, home: np.ndarray):
+        width = max(map(len, places))
+        # no two nodes share a filler
+        self.places = np.array([[*p, *[None] * (width - len(p))] for p in places], object)
+        there = self.places != None  # noqa: E711
+        self.places = np.where(there, self.places, 0).astype(np.int64)
+        self.there, self.shard, self.home = there, shard, home
+
+    def own(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """a < b: do the pairs belong to this shard?"""
+        out = np.zeros(len(a), bool)
+        for lo in range(0, len(a), 1 << 16):
+            x, y = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
+            common = ((self.places[x][:, :, None] == self.places[y][:, None, :]) & self.there[y][:, None, :]).any(2) & self.there[x]
+            least = np.where(common, self.places[x], np.iinfo(np.int64).max).min(1)
+            out[lo : lo + (1 << 16)] = np.where(common.any(1), least == self.shard, self.home[x] == self.shard)
+        return out
+
+
+class Links:
+    """Links of a shard: numbers by node, and a spanning forest; pairs themselves only where they are asked for."""
+
+    def __init__(self, copies: np.ndarray, pairs: bool):
+        self.copies, self.n, self.pairs = copies, np.zeros(len(copies), np.int64), [] if pairs else None
+        self.label = np.arange(len(copies))
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.n += np.bincount(a, weights=self.copies[b], minlength=len(self.n)).astype(np.int64)
+        self.n += np.bincount(b, weights=self.copies[a], minlength=len(self.n)).astype(np.int64)
+        old = np.flatnonzero(self.label != np.arange(len(self.label)))
+        self.label = least_labels(len(self.label), np.concatenate([a, old]), np.concatenate([b, self.label[old]]))
+        if self.pairs is not None:
+            self.pairs.append((a, b))
+
+    def rows(self, ids: np.ndarray):
+        if self.pairs is not None:
+            for a, b in self.pairs:
+                yield _found(PAIR, ids[a], ids[b])
+        some = np.flatnonzero(self.n)
+        yield _found(COUNT, ids[some], None, self.n[some])
+        out = np.flatnonzero(self.label != np.arange(len(self.label)))
+        yield _found(CONNECTED, ids[self.label[out]], ids[out])
+
+
+def _exact(v: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
+    return np.concatenate([np.einsum("ij,ij->i", v[a[i : i + 100_000]], v[b[i : i + 100_000]]) >= cosine for i in range(0, len(a), 100_000)] or [np.zeros(0, bool)])
+
+
+def _search(beam: int, cosine: float, pairs: bool):
     """What the shard's vectors are linked with, verified; see the module's text."""
 
     def run(batches):
-        for shard, held in grouped_text(batches, "shard"):
-            ids, copies = np.concatenate([longs(b, "id") for b in held]), np.concatenate([longs(b, "copies") for b in held])
-            own, home = (np.concatenate([column(b, c).to_numpy(zero_copy_only=False) for b in held]) for c in ("own", "home"))
+        for _, held in grouped_text(batches, "shard"):
+            ids, copies, home = (np.concatenate([longs(b, c) for b in held]) for c in ("id", "copies", "home"))
+            own = np.concatenate([column(b, "own").to_numpy(zero_copy_only=False) for b in held])
             v = np.concatenate([_matrix(column(b, "v")) for b in held])
-            lists = [x for b in held for x in column(b, "adj")]
+            lists, places = ([x for b in held for x in column(b, c)] for c in ("adj", "places"))
             order = np.argsort(ids)
             ids, copies, own, home, v = ids[order], copies[order], own[order], home[order], v[order]
-            lists = [lists[i].values.to_numpy() for i in order.tolist()]
+            lists, places = [lists[i].values.to_numpy() for i in order.tolist()], [places[i].as_py() for i in order.tolist()]
             flat, src = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
             inside = ids[at] == flat
@@ -359,27 +422,36 @@ def _search(beam: int, cosine: float, dense: int):
             heads = np.searchsorted(src, np.arange(len(ids) + 1))
             mine = np.flatnonzero(own)
             medoid = int(mine[(v[mine] @ v[mine].mean(0)).argmax()])
-            keys, left, right = [], [], []
-            for lo in range(0, len(mine), BLOCK):
-                block = mine[lo : lo + BLOCK]
+            owners, links = Owners(int(longs(held[0], "number")[0]), places, home), Links(copies, pairs)
+            place = np.full(len(ids), -1)
+            place[mine] = np.arange(len(mine))
+            # bit (i, j): member i or member j found the other one
+            size = max(8, min(BLOCK, CELLS // len(ids)) // 8 * 8)
+            bits = np.zeros((len(mine), -(-len(mine) // 8)), np.uint8)
+            for lo in range(0, len(mine), size):
+                block = mine[lo : lo + size]
                 qi, nodes = search(v, heads, adj, block, medoid, beam, cosine)
                 a, b = block[qi], nodes
-                exact = np.concatenate([np.einsum("ij,ij->i", v[a[i : i + 100_000]], v[b[i : i + 100_000]]) >= cosine for i in range(0, len(a), 100_000)] or [np.zeros(0, bool)])
-                qi, a, b = qi[exact & (a != b)], a[exact & (a != b)], b[exact & (a != b)]
-                many = np.bincount(qi, minlength=len(block)) > dense
-                few = ~many[qi]
-                keys.append(np.unique(np.minimum(a, b)[few] * len(ids) + np.maximum(a, b)[few]))
-                counted = np.flatnonzero(many & home[block])
-                yield _found(COUNT, ids[block[counted]], None, np.bincount(qi, weights=copies[b], minlength=len(block)).astype(np.int64)[counted])
-                tree = least_labels(len(ids), a[~few], b[~few])
-                out = np.flatnonzero(tree != np.arange(len(ids)))
-                left.append(out)
-                right.append(tree[out])
-            keys = np.unique(np.concatenate(keys))  # a pair that both sides found is sent once
-            yield _found(PAIR, ids[keys // len(ids)], ids[keys % len(ids)])
-            tree = least_labels(len(ids), np.concatenate(left), np.concatenate(right))
-            out = np.flatnonzero(tree != np.arange(len(ids)))
-            yield _found(CONNECTED, ids[tree[out]], ids[out])
+                exact = _exact(v, a, b, cosine) & (a != b)
+                qi, a, b = qi[exact], a[exact], b[exact]
+                among = place[b] >= 0
+                rows = np.zeros((len(block), len(mine)), bool)
+                rows[qi[among], place[b[among]]] = True
+                bits[lo : lo + size] = np.packbits(rows, axis=1)
+                a, b = a[~among], b[~among]
+                a, b = a[a < b], b[a < b]
+                own_pairs = owners.own(a, b)
+                links.add(a[own_pairs], b[own_pairs])
+            for lo in range(0, len(mine), size):
+                n = min(size, len(mine) - lo)
+                rows = np.unpackbits(bits[lo : lo + n], axis=1, count=len(mine)).astype(bool)
+                rows |= np.unpackbits(bits[:, lo // 8 : (lo + size) // 8], axis=1)[:, :n].T.astype(bool)
+                i, j = np.nonzero(rows)
+                a, b = mine[lo + i], mine[j]
+                a, b = a[a < b], b[a < b]
+                own_pairs = owners.own(a, b)
+                links.add(a[own_pairs], b[own_pairs])
+            yield from links.rows(ids)
 
     return run
 
@@ -419,11 +491,14 @@ def sharded(vectors: DataFrame, overlap: int = OVERLAP, shard: int = SHARD) -> D
     shared = spark.sparkContext.broadcast(centroids)
     members = written(vectors.select("id", "dim", "copies", "v").mapInArrow(_assign(shared, overlap), _MEMBER))
     shared.destroy()
-    for _ in range(ROUNDS):
-        size = members.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > LARGE * shard // SHARD)
-        size = written(size.withColumn("k", F.least(F.lit(64), F.ceil(F.col("n") * overlap / shard)).cast("long")))
-        if not size.limit(1).count():
+    largest = None
+    while True:
+        size = written(members.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > LARGE * shard // SHARD)
+                       .withColumn("k", F.least(F.lit(64), F.ceil(F.col("n") * overlap / shard)).cast("long")))
+        now = size.agg(F.max("n").alias("n")).first().n
+        if now is None or now == largest:  # vectors that no centroids tell apart stay together
             break
+        largest = now
         large = members.join(size, "shard")
         drawn = large.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(float(1 << 20)) * 4096 / F.col("n")).select("shard", "k", "v")  # some 4096 a shard
         found = written(drawn.repartition(parts(spark), "shard").sortWithinPartitions("shard").mapInArrow(_split_centroids, "shard string, k long, c binary"))
@@ -436,20 +511,24 @@ def sharded(vectors: DataFrame, overlap: int = OVERLAP, shard: int = SHARD) -> D
     return members
 
 
-def near_links(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, beam: int = BEAM, shard: int = SHARD, dense: int = DENSE) -> DataFrame:
-    """kind, a, b, n: the links found of vectors (id, dim, copies, v); pairs and connections may come several times."""
+def near_links(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, beam: int = BEAM, shard: int = SHARD, pairs: bool = False) -> DataFrame:
+    """kind, a, b, n: numbers of links and connections of vectors (id, dim, copies, v), to be added up and united; with pairs, every link too, once."""
     spark = vectors.sparkSession
     members = sharded(vectors, overlap, shard)
     by_shard = members.repartition(parts(spark), "shard").sortWithinPartitions("shard")
     edges = by_shard.mapInArrow(_build(POOL, DEGREE, ALPHA), "id long, to long")
-    united = written(edges.groupBy("id").agg(F.collect_set("to").alias("adj")))  # at most DEGREE for each of a vector's shards
+    number = F.xxhash64("shard")
+    none = F.lit(None).cast("long")
+    told = edges.select("id", "to", none.alias("place"), none.alias("home")).unionByName(
+        members.select("id", none.alias("to"), number.alias("place"), F.when(F.col("home"), number).alias("home")))
+    # at most DEGREE neighbours for each of a vector's shards
+    united = written(told.groupBy("id").agg(F.collect_set("to").alias("adj"), F.collect_set("place").alias("places"), F.max("home").alias("home")))
     # a shard's nodes: its members, and what the united lists of its members lead to
-    reach = members.select("shard", "id").join(united, "id").select("shard", F.explode("adj").alias("id")).distinct()
-    no = F.lit(False)
-    nodes = members.select("shard", "id", F.lit(True).alias("own"), "home").unionByName(reach.withColumns({"own": no, "home": no}))
-    nodes = nodes.groupBy("shard", "id").agg(F.max("own").alias("own"), F.max("home").alias("home"))
-    nodes = nodes.join(vectors.select("id", "copies", "v"), "id").join(united, "id").select("shard", "id", "copies", "own", "home", "v", "adj")
-    found = nodes.repartition(parts(spark), "shard").sortWithinPartitions("shard").mapInArrow(_search(beam, cosine, dense), _FOUND)
+    reach = members.select("shard", "id").join(united.select("id", "adj"), "id").select("shard", F.explode("adj").alias("id")).distinct()
+    nodes = members.select("shard", "id", F.lit(True).alias("own")).unionByName(reach.withColumn("own", F.lit(False)))
+    nodes = nodes.groupBy("shard", "id").agg(F.max("own").alias("own"))
+    nodes = nodes.join(vectors.select("id", "copies", "v"), "id").join(united, "id").select("shard", number.alias("number"), "id", "copies", "own", "home", "places", "v", "adj")
+    found = nodes.repartition(parts(spark), "shard").sortWithinPartitions("shard").mapInArrow(_search(beam, cosine, pairs), _FOUND)
     return written(found)
 
 
@@ -478,13 +557,9 @@ def exact_links(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
     return written(counts.unionByName(found.where(F.col("kind") == CONNECTED).distinct()))
 
 
-def link_counts(vectors: DataFrame, found: DataFrame) -> DataFrame:
+def link_counts(found: DataFrame) -> DataFrame:
     """id, linked: how many other vectors, copies included, each vector is linked with."""
-    pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
-    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    few = ends.join(vectors.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("n"))
-    many = found.where(F.col("kind") == COUNT).select(F.col("a").alias("id"), "n")
-    return few.unionByName(many).groupBy("id").agg(F.max("n").alias("linked"))
+    return found.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
 
 
 def recall(vectors: DataFrame, counts: DataFrame, cosine: float = COSINE, queries: int = QUERIES) -> float:
@@ -519,7 +594,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, target: float = TAR
     overlap, beam, shares = OVERLAP, BEAM, []
     for _ in range(3):
         found = near_links(vectors, cosine, overlap, beam)
-        counts = written(link_counts(vectors, found))
+        counts = written(link_counts(found))
         shares.append(recall(vectors, counts, cosine))
         _LOG.info("audited recall %.4f with overlap %d and beam %d", shares[-1], overlap, beam)
         if shares[-1] >= target:
@@ -528,10 +603,10 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, target: float = TAR
     else:
         _LOG.warning("audited recall %.4f stays under %.2f: all vectors are compared", shares[-1], target)
         found = exact_links(vectors, cosine)
-        counts = link_counts(vectors, found)
+        counts = link_counts(found)
     if report is not None:
         report.update(recall=shares, exhaustive=shares[-1] < target)
-    labels = components(found.where(F.col("kind") != COUNT).select("a", "b"))
+    labels = components(found.where(F.col("kind") == CONNECTED).select("a", "b"))
     names = classes.select(F.col("_at").alias("node"), "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = names.groupBy("component").agg(F.min("id").alias("component_id"))
     known = classes.select("_class", "_at", "copies").join(counts.withColumnRenamed("id", "_at"), "_at", "left").join(names.select(F.col("node").alias("_at"), "component"), "_at").join(least, "component")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import embeddings, langid, toxicity, warc
 from siftline.llm.common import scratch
+from siftline.llm.components import components
 
 from . import brute
 
@@ -82,6 +83,41 @@ def test_forward_of_long_words():
     assert abs(use[1] + 2 * use[2] - 400) < 1e-4
 
 
+def test_words_of_many_letters(monkeypatch):
+    """The walk over positions gives what the arrays of whole words give; memory does not follow the word."""
+    vocabulary = langid.Vocabulary(langid.pieces_of(langid.vocabulary_path()), langid.letter_tables())
+    rng = np.random.default_rng(2)
+    probs = np.vstack([rng.random((len(vocabulary.keys), 3)) ** 8 / 1e3, np.zeros(3)])
+    start = langid._start(len(vocabulary.keys))
+    codes, _, starts, ends, _, _ = vocabulary.words([" ".join("".join(rng.choice(list("abdeinorst日é"), n)) for n in (1, 40, 256, 257, 700))])
+    weight = rng.random((len(starts), 3))
+    both = []
+    for long, walk in ((1 << 30, 1), (2, 50), (2, 1 << 14)):
+        monkeypatch.setattr(langid, "LONG", long)
+        monkeypatch.setattr(langid, "WALK", walk)
+        both.append((langid.log_probs(vocabulary, codes, starts, ends, probs), langid.expected_counts(vocabulary, codes, starts, ends, weight, start)))
+    for logs, counts in both[1:]:
+        assert np.allclose(logs, both[0][0], rtol=1e-12) and np.allclose(counts, both[0][1], rtol=1e-9, atol=1e-12)
+    monkeypatch.undo()
+    import tracemalloc
+
+    codes, _, starts, ends, _, _ = vocabulary.words(["".join(rng.choice(list("abdeinorst"), 200_000))])
+    tracemalloc.start()
+    langid.log_probs(vocabulary, codes, starts, ends, probs)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+
+
+def test_langid_of_a_text_without_a_break(spark, frame):
+    """Letters without a break are one word, in training and prediction."""
+    docs = [(i, "the cat and the dog with you") for i in range(4)] + [(i, "der Hund und die Katze mit dir") for i in range(4, 8)]
+    long = (8, "thedogandthecat" * 10_000)
+    df = frame([*docs, long]).withColumn("lang", F.when(F.col("doc_id").between(4, 7), "de").otherwise("en"))
+    model = langid.train(df, langid.vocabulary_path())
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predicted(df.select("doc_id", "text"), model).select("doc_id", "lang_pred", "score").collect()}
+    assert got[8] == ("en", 1.0) and got[4][0] == "de" and len(got) == 9
+
+
 # ---- WARC
 
 
@@ -223,8 +259,8 @@ def test_embeddings_audit_sees_links_that_were_all_missed(spark, monkeypatch):
     data = vectors(rng, [(1, 0.0)] * 3800 + [(2, 0.001)] * 100, dim=32)
     true = [(3800 + 2 * i, 3801 + 2 * i) for i in range(100)]
     frame = frame_of(spark, data)
-    links = lambda found: spark.createDataFrame([(0, a, b, None) for a, b in found], "kind byte, a long, b long, n long")
-    counts = lambda found: embeddings.link_counts(frame, links(found))
+    links = lambda found: spark.createDataFrame([(embeddings.COUNT, x, None, 1) for p in found for x in p], "kind byte, a long, b long, n long")
+    counts = lambda found: embeddings.link_counts(links(found))
     assert embeddings.recall(frame, counts(true)) == 1.0
     assert embeddings.recall(frame, counts(true[:70])) < 0.85
     found = embeddings.exact_links(frame).collect()
@@ -248,26 +284,58 @@ def test_embeddings_of_several_lengths(spark):
     assert got[106] == (3, 100) and got[107] == (3, 100) and all(got[i] == (4, 40) for i in range(40, 45))
 
 
+def symmetric(spark, frame, **settings):
+    """The counts are those of the pairs that were found, each pair once and counted at both ends; and what is connected is what they connect."""
+    found = embeddings.near_links(frame, pairs=True, **settings)
+    pairs = [(r.a, r.b) for r in found.where(f"kind = {embeddings.PAIR}").collect()]
+    assert len(set(pairs)) == len(pairs) and all(a < b for a, b in pairs)
+    ends = {}
+    for p in pairs:
+        for x in p:
+            ends[x] = ends.get(x, 0) + 1
+    assert {r.id: r.linked for r in embeddings.link_counts(found).collect()} == ends
+    label = lambda kind: {r.node: r.component for r in components(found.where(f"kind = {kind}").select("a", "b")).collect()}
+    assert label(embeddings.PAIR) == label(embeddings.CONNECTED)
+    return pairs
+
+
 def test_embeddings_large_shards_and_dense_groups(spark, monkeypatch):
-    """Shards are dealt on until they are small, and vectors of many links send counts; the answer stays."""
+    """Shards are dealt on until they are small; the counts equal the union of the pairs found, exactly."""
     rng = np.random.default_rng(6)
     data = [(i, [float(x) for x in v]) for i, v in enumerate(vectors(rng, [(1, 0.0)] * 300 + [(90, 0.02), (20, 0.03)], dim=16))]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
     monkeypatch.setattr(embeddings, "MOST_SHARDS", 2)
     monkeypatch.setattr(embeddings, "LARGE", 12 * embeddings.SHARD // 60)
-    for c, x in {"shard": 60, "dense": 8}.items():
-        at = list(embeddings.near_links.__code__.co_varnames).index(c) - 1
-        d = list(embeddings.near_links.__defaults__)
-        d[at] = x
-        monkeypatch.setattr(embeddings.near_links, "__defaults__", tuple(d))
     frame = frame_of(spark, [np.array(v) for _, v in data])
     members = embeddings.sharded(frame, shard=60)
     assert members.groupBy("shard").count().agg(F.count("*")).first()[0] > 4
-    assert {r.kind for r in embeddings.near_links(frame).select("kind").distinct().collect()} == {0, 1, 2}
+    pairs = symmetric(spark, frame, shard=60)
+    v = np.array([x for _, x in data])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    want = {(a, b) for a, b in zip(*np.nonzero(v @ v.T >= 0.95)) if a < b}
+    assert set(pairs) <= want and len(pairs) >= 0.97 * len(want)
     report = {}
     got = rows(embeddings.near_duplicates(df, report=report))
-    want = sorted(brute_links(data), key=repr)
-    assert sum(a == b for a, b in zip(got, want)) >= 0.97 * len(want) and len(got) == len(want) and len(report["recall"]) >= 1
+    assert len(got) == len(data) and sum(r[1] for r in got) % 2 == 0 and report["recall"][0] >= 0.97
+
+
+def test_embeddings_of_one_dense_cone(spark, monkeypatch):
+    """A group in which nearly all are linked is searched in bounded pieces."""
+    rng = np.random.default_rng(11)
+    frame = frame_of(spark, vectors(rng, [(900, 0.033), (1, 0.0)], dim=32))
+    monkeypatch.setattr(embeddings, "CELLS", 1 << 14)
+    found = embeddings.near_links(frame)
+    counts = {r.id: r.linked for r in embeddings.link_counts(found).collect()}
+    assert sum(counts.values()) % 2 == 0
+    assert embeddings.recall(frame, embeddings.link_counts(found)) >= 0.97
+    symmetric(spark, frame)
+
+
+def test_embeddings_of_equal_vectors_that_nothing_tells_apart(spark, monkeypatch):
+    """Dealing large shards on ends where it does not make them smaller."""
+    monkeypatch.setattr(embeddings, "LARGE", 1)
+    frame = frame_of(spark, [np.array([1.0, 0.0])] * 40)
+    assert embeddings.sharded(frame, shard=4).select("id").distinct().count() == 40
 
 
 def test_robust_prune_and_search():
