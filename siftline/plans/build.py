@@ -265,8 +265,9 @@ def _corpus(spark, d):
     return spread(table(spark, d, "documents").select(F.col("doc_id").alias("docid"), "text"))
 
 
-def _scored(spark, d):
-    return bm25.scores(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), _corpus(spark, d))
+def _best(spark, d, k=35):
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return bm25.best(q, bm25.index(_corpus(spark, d), [q]), k)
 
 
 @_R.add("bm25_stats", f"WITH {_INDEX} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, round(avg(dl), 6) AS mean_dl FROM post GROUP BY 1")
@@ -281,7 +282,14 @@ def bm25_corpus_stats(spark, d):
 
 @_R.add("bm25_topk", f"WITH {_SCORES} SELECT * FROM (SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM sc) WHERE rank <= 35")
 def bm25_topk(spark, d):
-    return bm25.topk(_scored(spark, d), 35)
+    return _best(spark, d)
+
+
+@_R.add("bm25_bounded_topk", ORACLES["bm25_topk"])
+def bm25_bounded_topk(spark, d):
+    """The same rows by the search that bounds scores by blocks, which small inputs do not need."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return bm25.best(q, bm25.index(_corpus(spark, d), [q]), 35, bounded=0)
 
 
 @_R.add("bm25_hard_negatives", f"""
@@ -290,7 +298,7 @@ pos AS (SELECT qid, min(docid) AS positive_id FROM best WHERE rank = 3 GROUP BY
 SELECT qid, docid, rank, score FROM (SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM best JOIN pos USING (qid) WHERE docid <> positive_id) WHERE rank <= 30
 """)
 def bm25_hard_negatives(spark, d):
-    best = written(bm25.topk(_scored(spark, d), 35))  # scored and ranked once
+    best = written(_best(spark, d))  # scored and ranked once
     return bm25.hard_negatives(best, best.where("rank = 3").select("qid", F.col("docid").alias("positive_id")))
 
 
@@ -302,7 +310,7 @@ SELECT CAST(qid AS VARCHAR) AS query_id, CAST(positive_id AS VARCHAR) AS positiv
 FROM pos LEFT JOIN neg USING (qid) GROUP BY 1, 2
 """)
 def train_rows_nested(spark, d):
-    best = written(bm25.topk(_scored(spark, d), 35).withColumns({"qid": F.col("qid").cast("string"), "docid": F.col("docid").cast("string")}))
+    best = written(_best(spark, d).withColumns({"qid": F.col("qid").cast("string"), "docid": F.col("docid").cast("string")}))
     rows = best.where("rank = 1").select(F.col("qid").alias("query_id"), F.col("docid").alias("positive_id"))
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("docid"), "text", F.col("lang").alias("title"))
     out = records.with_hard_negatives(rows, best.select("qid", "docid", "rank"), docs)
@@ -454,7 +462,7 @@ def bm25_eval_topk(spark, d):
     """The evaluation's analyzer: title and text, English stop words."""
     docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("docid"), passage(F.col("lang"), F.col("text"), " ").alias("text"))
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return bm25.topk(bm25.scores(q, docs, stopwords=ENGLISH_STOPWORDS), 100)
+    return bm25.best(q, bm25.index(docs, [q], ENGLISH_STOPWORDS), 100)
 
 
 @_R.add("limit_per_file", """
@@ -469,7 +477,7 @@ def limit_per_file(spark, d):
 @_R.add("run_export", f"WITH {_SCORES} SELECT 'bm25' AS model, 'bench' AS task, CAST(qid AS VARCHAR) AS qid, CAST(docid AS VARCHAR) AS docid, score FROM (SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM sc) WHERE rank <= 35")
 def run_export(spark, d):
     path = scratch(spark)
-    best = bm25.topk(_scored(spark, d), 35)
+    best = _best(spark, d)
     files.write_run(best.select(F.lit("bm25").alias("model"), F.lit("bench").alias("task"), F.col("qid").cast("string").alias("qid"), F.col("docid").cast("string").alias("docid"), "score"), path)
     return files.read_run(spark, path).select("model", "task", "qid", "docid", "score")
 
@@ -521,7 +529,7 @@ def stemmed_terms(spark, d):
 def bm25_topk_ru(spark, d):
     """The mining analyzer: Russian stop words, then stems."""
     docs, q = _russian(spark, d)
-    return bm25.topk(bm25.scores(q, docs, stopwords=RUSSIAN_STOPWORDS, stem=True), 35)
+    return bm25.best(q, bm25.index(docs, [q], RUSSIAN_STOPWORDS, stem=True), 35)
 
 
 @_R.add("bm25_hard_negatives_ru", f"""
@@ -609,7 +617,7 @@ def train_rows_full(spark, d):
     side = lambda q, text, positive: F.struct(q.alias("query_id"), text.alias("text"), positive.alias("positive_id"))
     asked = rec.select("occurrence", F.inline(F.array(side(qid, std, F.col("rewritten_original_positive.id")), side(F.concat(qid, F.lit("-instruct")), ins, F.col("final_positive.id")))))
     asked = written(asked.withColumn("qid", F.concat_ws("#", "query_id", "occurrence")))
-    best = bm25.topk(bm25.scores(asked.select("qid", "text"), registry), 35)
+    best = bm25.best(asked.select("qid", "text"), bm25.index(registry, [asked.select("qid", "text")]), 35)
     negatives = records.mined_negatives(best, asked.select("qid", "query_id", "occurrence", "positive_id"), registry)
     return _flat(records.training_rows(rec, registry, 42, negatives))
 

@@ -140,10 +140,10 @@ def retriever(kind: str):
 def _bm25(q: DataFrame, c: DataFrame, k: int, **settings) -> DataFrame:
     """Title and text, stemmed; the stop words are the settings'."""
     from ..functions.text import passage
-    from ..operators.bm25 import scores, topk
+    from ..operators.bm25 import best, index
 
     docs = c.select("docid", passage(F.col("title"), F.col("text"), " ").alias("text"))
-    return topk(scores(q, docs, stopwords=settings.get("stopwords", ()), stem=settings.get("stem", True)), k)
+    return best(q, index(docs, [q], settings.get("stopwords", ()), settings.get("stem", True)), k)
 
 
 @retriever("dense")
