@@ -3,17 +3,17 @@
 A folder of token files holds three Parquet tables, which any store that Spark writes to can keep:
 
 * blocks: one row per block of whole documents, in ascending doc_id order over the shards: shard, block, start (ids of
-  the shard before it), doc_ids, sizes (ids of each document), control, data, crc (unsigned crc32 of the ids);
+  the shard before it), doc_ids, sizes and crcs (of each document the number and the unsigned crc32 of its ids), control, data;
 * ranks: rank, id, n; the most frequent id has rank 0, equal counts go by the id;
 * shards: shard, start (ids of all shards before it), ids, docs.
 
 An id is stored as its rank in 1 to 4 bytes (`data`, little-endian, no wasted zeros).  The byte counts stand apart in
-`control`: two bits an id, four ids a byte, the first in the lowest bits.  A reader looks the counts of each control byte
-up in a table, sums them to offsets, and gathers all ids of a block at once.
+`control`: two bits an id, four ids a byte, the first in the lowest bits; each document begins a new control byte.  A reader
+looks the counts of each control byte up in a table, sums them to offsets, and gathers all ids of a block at once.
 
 Encoding is the tokenizers library's on every distinct stretch between ASCII white space; neither the normaliser nor the
 pre-tokeniser of such a file looks across white space (cutting() refuses files for which that is not known), so the ids of a
-text are those of its stretches.
+text are those of its stretches.  A worker remembers the ids of stretches, in bounded memory.
 
 Null texts are empty and hold the end id alone.  Null ids come first.  Rows that share an id follow by the text's hash.  Extra
 columns are ignored.  An empty table gives empty files.  Texts of any length are encoded in slices of 1 MB, cut at white space;
@@ -30,59 +30,101 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunked, column, scratch, table, text_buffers, trimmed
+from ..sources.scratch import dropped
+from .common import binaries, chunked, column, longs, scratch, table, text_buffers, trimmed
 
-#: bytes of staged ids in a block (a longer document is a block by itself)
+#: bytes of data in a block (a longer document is a block by itself)
 BLOCK_BYTES = 1 << 17
 #: bytes of a text that are cut into stretches at once
 SLICE = 1 << 20
-#: bytes of stretches and ids that a task remembers before it starts anew
-REMEMBERED = 64 << 20
+#: bytes of stretches and ids, some of Python's own included, of each of the two memories of a worker: the full one becomes the older one
+REMEMBERED = 48 << 20
 _GAP = re.compile(rb"[\t-\r ]")
-_FOUR = np.arange(4)
+#: by byte: 1 for an ASCII letter, 2 for another ASCII sign but the apostrophe, 0 for the rest
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 2
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[39] = 0
+_SHIFTS = np.array([0, 2, 4, 6], np.uint8)
 #: the four byte counts that a control byte stands for
-_COUNTS = (((np.arange(256)[:, None] >> (2 * _FOUR)) & 3) + 1).astype(np.uint8)
-_MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
-
-
-def pack(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(control bytes, data bytes) of unsigned 32-bit numbers."""
-    ranks = np.ascontiguousarray(ranks, "<u4")
-    more = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[: len(ranks)] = more
-    control = (padded.reshape(-1, 4) << (2 * _FOUR).astype(np.uint8)).sum(1, dtype=np.uint8)
-    return control, ranks.view(np.uint8).reshape(-1, 4)[_FOUR <= more[:, None]]
+_COUNTS = ((np.arange(256, dtype=np.uint8)[:, None] >> _SHIFTS) & 3) + 1
+
+
+def _slots(sizes: np.ndarray) -> np.ndarray:
+    """The place of every number among control slots, of which each document has a multiple of four."""
+    padded = -(-sizes // 4) * 4
+    return np.arange(int(sizes.sum())) + np.repeat(np.cumsum(padded) - padded - (np.cumsum(sizes) - sizes), sizes)
+
+
+def pack(ranks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(control bytes, data bytes, data bytes of each document) of unsigned 32-bit numbers; sizes: how many each document has."""
+    ranks = ranks.astype(np.uint32, copy=False)
+    more = (ranks > 0xFF).astype(np.uint8)
+    for most in (0xFFFF, 0xFFFFFF):
+        if len(ranks) and ranks.max() > most:
+            more += ranks > most
+    slots = np.zeros(int((-(-sizes // 4) * 4).sum()), np.uint8)
+    slots[_slots(sizes)] = more
+    control = (slots.reshape(-1, 4) << _SHIFTS).sum(1, dtype=np.uint8)
+    ends = np.cumsum(more, dtype=np.int64)
+    ends += np.arange(1, len(more) + 1)
+    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    starts = ends - more - 1
+    data[starts] = ranks
+    for j in range(1, int(more.max()) + 1 if len(more) else 0):
+        there = np.flatnonzero(more >= j)
+        data[starts[there] + j] = ranks[there] >> np.uint32(8 * j)
+    return control, data, np.diff(np.append(0, ends)[np.append(0, np.cumsum(sizes))])
+
+
+def unpack(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of pack()."""
+    if len(control) != int((-(-sizes // 4)).sum()):
+        raise ValueError("the control bytes and the documents of a block do not agree")
+    counts = _COUNTS[control].ravel()[_slots(sizes)]
+    starts = np.cumsum(counts, dtype=np.int64)
+    if (int(starts[-1]) if len(starts) else 0) != len(data):
+        raise ValueError("the control bytes and the data of a block do not agree")
+    starts -= counts
+    out = data[starts].astype(np.uint32)
+    for j in range(1, int(counts.max()) if len(counts) else 0):
+        there = np.flatnonzero(counts > j)
+        out[there] |= data[starts[there] + j].astype(np.uint32) << np.uint32(8 * j)
+    return out
 
 
-def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The n numbers of pack()."""
-    counts = _COUNTS[control].ravel()[:n]
-    ends = np.cumsum(counts, dtype=np.int64)
-    if (int(ends[-1]) if n else 0) != len(data):
-        raise ValueError("the control bytes and the data of a block do not agree")
-    wide = np.zeros(len(data) + 4, np.uint8)
-    wide[: len(data)] = data
-    every = np.lib.stride_tricks.sliding_window_view(wide, 4)  # the four bytes from every place on
-    return np.ascontiguousarray(every[ends - counts]).view("<u4").ravel() & _MASKS[counts]
+# Fixed value: the pattern of words of the known tokenizer files; letters, single digits, and other signs, which no word mixes but for 's and the like.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def cutting(source: str) -> None:
-    """An error for a tokenizer file whose ids may depend on what stands beyond white space."""
+    """An error for a tokenizer file whose ids may depend on what stands beyond white space, or beyond a letter and a sign."""
     spec = json.loads(source)
     kinds = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
     steps = (spec.get("normalizer") or {"normalizers": []}).get("normalizers", [spec.get("normalizer")])
-    calm = all(s["type"] in kinds or s["type"] == "Replace" and s["pattern"].get("Regex") == "\\s+" and s["content"] == " " for s in steps)
+    calm = any(s["type"] == "Lowercase" for s in steps) and all(s["type"] in kinds or s["type"] == "Replace" and s["pattern"].get("Regex") == "\\s+" and s["content"] == " " for s in steps)
     pre = spec.get("pre_tokenizer") or {}
     first = pre.get("pretokenizers", [pre])[0]
     pattern = first.get("pattern", {}).get("Regex", "")
-    outside = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "(?" not in pattern and "\\s" in pattern
+    outside = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and pattern == _PATTERN
     if not (calm and outside and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"])):
         raise ValueError("this tokenizer's words may depend on the white space around them")
 
 
+def cut_apart(data: np.ndarray, offs: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(bytes, offsets) of texts with a space between ASCII letters and ASCII signs, and with ASCII letters in lower case unless a
+    combining mark could follow: both as the library would have it, so that fewer stretches are different."""
+    kind = _KIND[data]
+    at = np.flatnonzero((kind[1:] ^ kind[:-1]) == 3) + 1
+    low = data.copy()
+    capital = (data >= 65) & (data <= 90)
+    capital[:-1] &= data[1:] < 128
+    low[capital] += 32
+    return np.insert(low, at, 32).tobytes(), offs + np.searchsorted(at, offs)
+
+
 class Encoder:
-    """Texts to ids by the library, each distinct stretch once."""
+    """Texts to ids by the library, each distinct stretch once while it is remembered; new stretches go to the library as one text."""
 
     def __init__(self, source: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -91,43 +133,80 @@ class Encoder:
         self.model, self.kind = Tokenizer.from_str(source), kind
         self.model.no_padding()
         self.model.no_truncation()
-        self.known, self.size = {}, 0
-
-    def _learn(self, words: list) -> None:
-        rows = self.model.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for w, row in zip(words, rows):
-            ids = self.known[w] = np.array(row.ids, self.kind).tobytes()
-            self.size += len(w) + len(ids)
-
-    def _ids(self, piece: bytes) -> bytes:
-        words = piece.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if self.size > REMEMBERED:
-                self.known, self.size = {}, 0
-            self._learn(list(set(words) - self.known.keys()))
-            return b"".join(map(self.known.__getitem__, words))
+        self.special = [t["content"].lower().encode() for t in json.loads(source)["added_tokens"]]
+        self.known, self.older, self.size = {}, {}, 0
+
+    def _put(self, word: bytes, ids: bytes) -> None:
+        self.known[word] = ids
+        self.size += len(word) + len(ids) + 200
+
+    def _learn(self, words: set) -> None:
+        """Remembers the words: from the older memory, or from the library, whose tokens' places tell whose they are."""
+        new = []
+        for w in words:
+            ids = self.older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self._put(w, ids)
+        if new:
+            texts = [w.decode("utf-8", "replace") for w in new]
+            row = self.model.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(row.ids, self.kind)
+            places = np.fromiter((a for a, _ in row.offsets), np.int64, len(ids))
+            cuts = np.searchsorted(places, np.cumsum([0, *(len(x) + 1 for x in texts)])).tolist()
+            for w, a, b in zip(new, cuts, cuts[1:]):
+                self._put(w, ids[a:b].tobytes())
+
+    def _special(self, piece: bytes) -> bool:
+        low = piece.lower()
+        return any(x in low for x in self.special)
+
+    def texts(self, data: np.ndarray, offs: np.ndarray) -> list:
+        """The ids of texts that stand one behind the other in data."""
+        whole = data.tobytes()
+        raw = whole if self._special(whole) else b""
+        text, cuts = cut_apart(data, offs)
+        words = []
+        for a, b, c, d in zip(cuts.tolist(), cuts[1:].tolist(), offs.tolist(), offs[1:].tolist()):
+            words.append((raw[c:d] if raw and self._special(raw[c:d]) else text[a:b]).split())
+        if self.size > REMEMBERED:
+            self.known, self.older, self.size = {}, self.known, 0
+        every = set().union(*words)
+        self._learn(every.difference(self.known))
+        known = {w: self.known[w] for w in every}  # a small table is quicker to look in
+        return [b"".join(map(known.__getitem__, own)) for own in words]
 
     def encode(self, text: bytes) -> bytes:
-        if len(text) <= SLICE:
-            return self._ids(text)
+        """The ids of a text of any length, cut into slices at white space."""
         out, at = [], 0
         while at < len(text):
-            gap = _GAP.search(text, at + SLICE)
+            gap = _GAP.search(text, at + SLICE) if len(text) - at > SLICE else None
             end = gap.end() if gap else len(text)
-            out.append(self._ids(text[at:end]))
+            out += self.texts(np.frombuffer(text, np.uint8)[at:end], np.array([0, end - at]))
             at = end
         return b"".join(out)
 
 
+#: the encoder of a worker process, which outlives a task
+_HELD: dict = {}
+
+
+def _encoder(source: str, kind: str) -> Encoder:
+    if (source, kind) not in _HELD:
+        _HELD.clear()
+        _HELD[source, kind] = Encoder(source, kind)
+    return _HELD[source, kind]
+
+
 def _encoding(shared, end: int | None):
     def run(batches):
         source, kind = shared.value
-        encoder, last = Encoder(source, kind), b"" if end is None else np.array([end], kind).tobytes()
+        encoder, last = _encoder(source, kind), b"" if end is None else np.array([end], kind).tobytes()
         for batch in chunked(batches):
-            texts = column(batch, "text").cast(pa.binary())
-            ids = [encoder.encode(x.as_py() or b"") + last for x in texts]
+            data, offs = text_buffers(column(batch, "text"))
+            ids = encoder.texts(data, offs) if len(data) <= SLICE else [encoder.encode(data[a:b].tobytes()) for a, b in zip(offs, offs[1:])]
+            ids = [x + last for x in ids]
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("doc_id", "fp", "at")), pa.array(ids, pa.binary())], ["doc_id", "fp", "at", "ids"])
 
     return run
@@ -173,34 +252,45 @@ def ranked(staged: DataFrame, kind: str) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "id")).cast("long") - 1)
 
 
-_BLOCK = "shard int, block int, start long, doc_ids array<long>, sizes array<long>, control binary, data binary, crc long"
-
-
 def _packing(shared, kind: str):
     width = np.dtype(kind).itemsize
 
     def run(batches):
-        rank, shard, block, start = shared.value, TaskContext.get().partitionId(), 0, 0
-        for batch in chunked(batches, "ids", BLOCK_BYTES):
+        rank = shared.value
+        for batch in chunked(batches, "ids", 4 * BLOCK_BYTES):
             data, offs = text_buffers(column(batch, "ids"))
-            ids = data.view(kind)
-            control, packed = pack(rank[ids])
-            sizes = np.diff(offs) // width
+            ids, cuts = data.view(kind), offs // width
+            sizes = np.diff(cuts)
+            control, packed, bytes_of = pack(rank[ids], sizes)
+            plain = memoryview(ids.astype("<u4")).cast("B")
+            crcs = [zlib.crc32(plain[4 * a : 4 * b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
             yield pa.RecordBatch.from_arrays([
-                pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()),
-                pa.array([column(batch, "doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
-                pa.array([control.tobytes()], pa.binary()), pa.array([packed.tobytes()], pa.binary()), pa.array([zlib.crc32(ids.astype("<u4"))], pa.int64()),
-            ], ["shard", "block", "start", "doc_ids", "sizes", "control", "data", "crc"])
-            block, start = block + 1, start + len(ids)
+                *(column(batch, c) for c in ("doc_id", "fp", "at")), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()),
+                binaries(control.tobytes(), np.append(0, np.cumsum(-(-sizes // 4)))), binaries(packed.tobytes(), np.append(0, np.cumsum(bytes_of))),
+            ], ["doc_id", "fp", "at", "size", "crc", "control", "data"])
 
     return run
 
 
+_BLOCK = "shard int, block int, start long, doc_ids array<long>, sizes array<long>, crcs array<long>, control binary, data binary"
+
+
+def _blocks(batches):
+    shard, block, start = TaskContext.get().partitionId(), 0, 0
+    for batch in chunked(batches, "data", BLOCK_BYTES):
+        one = lambda c: pa.array([column(batch, c).to_pylist()], pa.list_(pa.int64()))  # noqa: E731, B023
+        joined = lambda c: pa.array([text_buffers(column(batch, c))[0].tobytes()], pa.binary())  # noqa: E731, B023
+        yield pa.RecordBatch.from_arrays([
+            pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), one("doc_id"), one("size"), one("crc"), joined("control"), joined("data"),
+        ], ["shard", "block", "start", "doc_ids", "sizes", "crcs", "control", "data"])
+        block, start = block + 1, start + int(longs(batch, "size").sum())
+
+
 def write(docs: DataFrame, tokenizer: str, path: str, end: int | None = None) -> None:
     """Encodes docs (doc_id, text) by a tokenizer file and writes token files below path.
 
-    Ids are staged once, counted, and then moved once, by ranges of (doc_id, text hash, row), so that a frequent id does not meet in one
-    task.  The blocks are written where they arrive.
+    Ids are staged and counted, and staged again in coded form, which is what is shuffled: once, by ranges of (doc_id, text hash, row), so
+    that a frequent id does not meet in one task.  The blocks are written where they arrive.
     """
     spark = docs.sparkSession
     rows, kind = encoded(docs, tokenizer, end)
@@ -211,21 +301,19 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int | None = None) ->
     ids = found["id"].to_numpy()
     rank = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
     rank[ids] = found["rank"].to_numpy()
+    coded = staged.mapInArrow(_packing(spark.sparkContext.broadcast(rank), kind), "doc_id long, fp long, at long, size long, crc long, control binary, data binary")
+    coded.write.option("compression", "zstd").parquet(f"{path}/coded")
+    dropped(spark, f"{path}/staged")
+    coded = spark.read.schema(coded.schema).parquet(f"{path}/coded")
     order = [F.asc_nulls_first("doc_id"), F.col("fp"), F.col("at")]
-    dealt = staged.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
-    dealt.mapInArrow(_packing(spark.sparkContext.broadcast(rank), kind), _BLOCK).write.parquet(f"{path}/blocks")
+    dealt = coded.repartitionByRange(*order).sortWithinPartitions(*order).drop("fp", "at")
+    dealt.mapInArrow(_blocks, _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     # a row per shard
     shards = spark.read.schema(_BLOCK).parquet(f"{path}/blocks").groupBy("shard").agg(
         F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("ids"), F.sum(F.size("doc_ids")).alias("docs"))
     before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards.withColumn("start", before.cast("long")).coalesce(1).write.parquet(f"{path}/shards")
-    _staged_away(spark, path)
-
-
-def _staged_away(spark: SparkSession, path: str) -> None:
-    from ..sources.scratch import dropped
-
-    dropped(spark, f"{path}/staged")
+    dropped(spark, f"{path}/coded")
 
 
 def _reading(shared, digest: bool):
@@ -233,16 +321,17 @@ def _reading(shared, digest: bool):
         ids_of = shared.value
         for batch in trimmed(batches):
             for i in range(batch.num_rows):
-                one = {c: column(batch, c)[i] for c in ("start", "doc_ids", "sizes", "control", "data", "crc")}
+                one = {c: column(batch, c)[i] for c in ("start", "doc_ids", "sizes", "crcs", "control", "data")}
                 sizes = one["sizes"].values.to_numpy()
                 ends = np.cumsum(sizes)
                 control, data = (np.frombuffer(one[c].as_buffer(), np.uint8) for c in ("control", "data"))
-                ids = ids_of[unpack(control, data, int(ends[-1]))]
-                if zlib.crc32(ids) != one["crc"].as_py():
+                ids, starts = ids_of[unpack(control, data, sizes)], ends - sizes
+                plain = memoryview(ids).cast("B")
+                crcs = [zlib.crc32(plain[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
+                if crcs != one["crcs"].as_py():
                     raise ValueError("a block of a token file is damaged")
-                starts = ends - sizes
                 if digest:
-                    last = pa.array([zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], pa.int64())
+                    last = pa.array(crcs, pa.int64())
                 else:
                     last = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]), pa.int32()), pa.array(ids, pa.int64()))
                 yield pa.RecordBatch.from_arrays([one["doc_ids"].values, pa.array(one["start"].as_py() + starts, pa.int64()), pa.array(sizes, pa.int64()), last],
@@ -254,14 +343,14 @@ def _reading(shared, digest: bool):
 def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids of every document of the token files below path.
 
-    With digest, ids is the unsigned crc32 of the ids as little-endian unsigned 32-bit integers.  A block that does not give its crc is an error.
+    With digest, ids is the unsigned crc32 of the ids as little-endian unsigned 32-bit integers.  A document that does not give its crc is an error.
     """
     found = spark.read.schema("rank long, id long").parquet(f"{path}/ranks").toArrow()
     ids = np.zeros(max(1, found.num_rows), "<u4")
     ids[found["rank"].to_numpy()] = found["id"].to_numpy()
     first = spark.read.schema("shard int, start long").parquet(f"{path}/shards").withColumnRenamed("start", "_before")
     rows = spark.read.schema(_BLOCK).parquet(f"{path}/blocks").join(F.broadcast(first), "shard")  # a row per shard
-    rows = rows.select((F.col("start") + F.col("_before")).alias("start"), "doc_ids", "sizes", "control", "data", "crc")
+    rows = rows.select((F.col("start") + F.col("_before")).alias("start"), "doc_ids", "sizes", "crcs", "control", "data")
     kind = "long" if digest else "array<long>"
     return rows.mapInArrow(_reading(spark.sparkContext.broadcast(ids), digest), f"doc_id long, start long, n_tokens long, ids {kind}")
 
