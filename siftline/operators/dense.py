@@ -1,11 +1,22 @@
-"""Dense retrieval: exact top-k by dot product, in blocks of queries."""
+"""Dense retrieval: exact top-k by dot product, over all documents in blocks of queries, or over an index of groups around pivots."""
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: queries of one broadcast block; its bytes are bounded by this times the dimension
 BLOCK = 4096
+#: an index's pivots come from a sample of so many documents at most; all documents are indexed
+SAMPLE = 20_000
+GROUPS = 1024
+#: documents of an index's group, on average, while GROUPS allows it
+MEMBERS = 64
+#: a query's first groups hold so many documents for each of the k results
+FIRST = 4
 
 
 def _rows(col) -> np.ndarray:
@@ -15,6 +26,12 @@ def _rows(col) -> np.ndarray:
     return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
 
 
+def _ids(col) -> np.ndarray:
+    """Ids as numbers, or as text of a fixed width, which sorts as text."""
+    ids = col.to_numpy(zero_copy_only=False) if isinstance(col, pa.Array) else col.to_numpy()
+    return np.array(ids.tolist(), str) if ids.dtype == object else ids
+
+
 def _cut(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple:
     """The k best of each row, ties by the least id: a partial selection, then a sort of the k; rows whose k-th score is tied are sorted whole."""
     if sims.shape[1] <= k:
@@ -36,9 +53,8 @@ def _best(shared, k: int, digits: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             sims = np.round(q @ _rows(batch.column(1)).T, digits)
-            ids = np.broadcast_to(ids, sims.shape)
+            ids = np.broadcast_to(_ids(batch.column(0)), sims.shape)
             if held is not None:
                 ids, sims = np.hstack([held[0], ids]), np.hstack([held[1], sims])
             held = _cut(ids, sims, k)
@@ -49,29 +65,175 @@ def _best(shared, k: int, digits: int):
     return run
 
 
+def _schema(queries: DataFrame, corpus: DataFrame) -> str:
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return f"qid {kind(queries, 'qid')}, docid {kind(corpus, 'docid')}, score double"
+
+
+def _in_blocks(queries: DataFrame, search, schema: str) -> DataFrame:
+    """The union of search(qids, matrix) over blocks of queries (qid, v) of at most BLOCK."""
+    blocks, rows = max(1, -(-queries.count() // BLOCK)), None
+    for i in range(blocks):
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        block = block.toArrow()
+        if block.num_rows:
+            found = search(_ids(block["qid"]), _rows(block["v"]))
+            rows = found if rows is None else rows.unionByName(found)
+    return queries.sparkSession.createDataFrame([], schema) if rows is None else rows
+
+
+def _ranked(rows: DataFrame, k: int, without_self: bool) -> DataFrame:
+    rows = rows.where("qid <> docid") if without_self else rows
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "docid")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def topk(queries: DataFrame, corpus: DataFrame, k: int, dims: int | None = None, digits: int = 6, without_self: bool = True) -> DataFrame:
-    """qid, docid, score, rank: the k documents (docid long, v) nearest to each query (qid long, v), ties by docid.
+    """qid, docid, score, rank: the k documents (docid, v) nearest to each query (qid, v), ties by docid; ids are numbers or text.
 
     Queries are broadcast in blocks of at most BLOCK; a block's documents are scored as matrix products in every task.
     """
     spark = queries.sparkSession
     cut = (lambda c: F.slice(c, 1, dims)) if dims else F.col
-    corpus = corpus.select("docid", cut("v").alias("v"))
-    queries = queries.select("qid", cut("v").alias("v"))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    depth, results = k + bool(without_self), []
-    for i in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        rows = block.toArrow()
-        shared = spark.sparkContext.broadcast((rows["qid"].to_numpy(), _rows(rows["v"]) if rows.num_rows else np.zeros((0, 1))))
-        if rows.num_rows:
-            results.append(corpus.mapInArrow(_best(shared, depth, digits), "qid long, docid long, score double"))
-    if not results:
-        return spark.createDataFrame([], "qid long, docid long, score double, rank int")
-    rows = results[0]
-    for r in results[1:]:
-        rows = rows.unionByName(r)
-    if without_self:
-        rows = rows.where("qid <> docid")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "docid")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    corpus, queries = corpus.select("docid", cut("v").alias("v")), queries.select("qid", cut("v").alias("v"))
+    schema, depth = _schema(queries, corpus), k + bool(without_self)
+    rows = _in_blocks(queries, lambda qids, q: corpus.mapInArrow(_best(spark.sparkContext.broadcast((qids, q)), depth, digits), schema), schema)
+    return _ranked(rows, k, without_self)
+
+
+# ---- an index whose groups can be passed over
+
+
+@dataclass
+class Index:
+    """Groups of documents around pivots.  members: a written table (group, docid, v) in the order of the groups; pivots, and each
+    group's radius (the greatest distance of a member from its pivot) and number of members; at most GROUPS groups."""
+
+    members: DataFrame
+    pivots: np.ndarray
+    radius: np.ndarray
+    size: np.ndarray
+
+
+def _nearest(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return ((pivots * pivots).sum(1) / 2 - v @ pivots.T).argmin(1)
+
+
+def pivots_of(v: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
+    """n means of a sample, by a few rounds of k-means."""
+    c = v[np.sort(np.random.default_rng(11).choice(len(v), min(n, len(v)), replace=False))]
+    for _ in range(rounds):
+        near = _nearest(v, c)
+        sums, count = np.zeros_like(c), np.bincount(near, minlength=len(c))
+        np.add.at(sums, near, v)
+        c = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c)
+    return c
+
+
+def _grouped(shared):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = _rows(batch.column(1))
+                near = _nearest(v, shared.value)
+                far = np.sqrt(((v - shared.value[near]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), *batch.columns, pa.array(far)], ["group", "docid", "v", "far"])
+
+    return run
+
+
+def index(corpus: DataFrame, groups: int | None = None) -> Index:
+    """An index of the documents (docid, v), vectors of one length without nulls."""
+    spark, corpus = corpus.sparkSession, corpus.select("docid", F.col("v").cast("array<double>").alias("v"))
+    n = corpus.count()
+    if not n:
+        return Index(corpus.select(F.lit(0).alias("group"), "docid", "v"), np.zeros((0, 1)), np.zeros(0), np.zeros(0, np.int64))
+    sample = _rows(corpus.orderBy(F.xxhash64("docid")).limit(SAMPLE).select("v").toArrow()["v"])
+    pivots = pivots_of(sample, groups or max(1, min(GROUPS, n // MEMBERS)))
+    kind = corpus.schema["docid"].dataType.simpleString()
+    rows = corpus.mapInArrow(_grouped(spark.sparkContext.broadcast(pivots)), f"group int, docid {kind}, v array<double>, far double")
+    # ranges end in the id, so that a large group is not one task's
+    members = written(rows.repartitionByRange("group", "docid").sortWithinPartitions("group", "docid"))
+    found = members.groupBy("group").agg(F.max("far").alias("far"), F.count("*").alias("n")).toArrow()  # a row a group
+    radius, size = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    radius[found["group"].to_numpy()], size[found["group"].to_numpy()] = found["far"].to_numpy(), found["n"].to_numpy()
+    return Index(members.drop("far"), pivots, radius, size)
+
+
+def _best_of_groups(shared, k: int, digits: int):
+    """The best k of every query among a task's documents of the groups that the query visits."""
+
+    def run(batches):
+        qids, q, visits = shared.value
+        held = [None] * len(qids)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group, ids, v = batch.column(0).to_numpy(), _ids(batch.column(1)), _rows(batch.column(2))
+            cuts = np.flatnonzero(np.diff(group)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)]):
+                asked = np.flatnonzero(visits[group[a]])
+                if not len(asked):
+                    continue
+                sims = np.round(q[asked] @ v[a:b].T, digits)
+                at, own = _cut(np.broadcast_to(ids[a:b], sims.shape), sims, k)
+                for i, x, s in zip(asked.tolist(), at, own):
+                    if held[i] is None:
+                        held[i] = (x, s)
+                    else:
+                        x, s = _cut(np.append(held[i][0], x)[None], np.append(held[i][1], s)[None], k)
+                        held[i] = (x[0], s[0])
+        some = [i for i, x in enumerate(held) if x is not None]
+        if some:
+            n = [len(held[i][0]) for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[some], n)), pa.array(np.concatenate([held[i][0] for i in some])), pa.array(np.concatenate([held[i][1] for i in some]))], ["qid", "docid", "score"])
+
+    return run
+
+
+def first_groups(bounds: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """(query, group): the groups of the greatest bounds that together hold FIRST * k documents."""
+    order = np.argsort(-bounds, axis=1, kind="stable")
+    held = np.cumsum(size[order], axis=1)
+    out = np.zeros(bounds.shape, bool)
+    np.put_along_axis(out, order, np.hstack([np.ones((len(order), 1), bool), held[:, :-1] < FIRST * k]), 1)
+    return out & (size > 0)
+
+
+def search(queries: DataFrame, at: Index, k: int, digits: int = 6, without_self: bool = True, report: dict | None = None) -> DataFrame:
+    """topk()'s rows, by an index: a query's nearest groups give it a floor under its k-th score, and a group whose bound, the pivot's
+    product and the radius times the query's length, is under the floor is not compared with it.
+
+    report, if given, gets `compared` and `skipped`: pairs of a query and a document."""
+    spark, queries = queries.sparkSession, queries.select("qid", F.col("v").cast("array<double>").alias("v"))
+    schema, depth = _schema(queries, at.members), k + bool(without_self)
+    count = {"compared": 0, "skipped": 0}
+
+    def scan(qids, q, visits):
+        groups = np.flatnonzero(visits.any(0)).tolist()  # at most GROUPS numbers
+        rows = at.members.where(F.col("group").isin(groups))
+        return rows.mapInArrow(_best_of_groups(spark.sparkContext.broadcast((qids, q, visits.T.copy())), depth, digits), schema)
+
+    def block(qids, q):
+        if not len(at.size):
+            return spark.createDataFrame([], schema)
+        bounds = q @ at.pivots.T + np.sqrt((q * q).sum(1))[:, None] * at.radius
+        first = first_groups(bounds, at.size, depth)
+        begun = written(scan(qids, q, first))
+        w = Window.partitionBy("qid").orderBy(F.desc("score"))
+        kth = begun.withColumn("n", F.row_number().over(w)).where(F.col("n") <= depth).groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == depth)
+        kth = kth.toArrow()  # a row for each query of the block
+        floor = np.full(len(qids), -np.inf)
+        order = np.argsort(qids)
+        floor[order[np.searchsorted(qids[order], _ids(kth["qid"]))]] = kth["floor"].to_numpy()
+        slack = 10.0 ** -digits + 1e-9 * np.abs(bounds)
+        second = (bounds + slack >= floor[:, None]) & ~first & (at.size > 0)
+        compared = int(((first | second) * at.size).sum())
+        count["compared"] += compared
+        count["skipped"] += len(qids) * int(at.size.sum()) - compared
+        return begun.unionByName(scan(qids, q, second))
+
+    rows = _in_blocks(queries, block, schema)
+    if report is not None:
+        report.update(count)
+    return _ranked(rows, k, without_self)

@@ -1,30 +1,38 @@
 """Seeded splits, stratified samples and mixtures."""
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import draw
+from .selection import before, bits, equal, thresholds
 
 
 def split_ids(ids: DataFrame, key: str, seed: int, validation: int, test: int) -> DataFrame:
     """(key, split): the first ids of a seeded shuffle are val, the next test, the rest train.
 
-    Only the few val and test ids are ordered (a distributed top-k); the rest follow by a left join.
+    Nothing is sorted: two thresholds of the draw are found by counts, and every id is compared with them.
     """
-    first = (ids.select(key).distinct().withColumn("_u", draw(seed, key)).orderBy("_u", key).limit(validation + test))
-    w = Window.orderBy("_u", key)  # over validation + test rows
-    first = first.withColumn("split", F.when(F.row_number().over(w) <= validation, "val").otherwise("test")).select(key, "split")
-    return ids.select(key).distinct().join(first, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    rows = ids.select(key).distinct()
+    at = thresholds(rows, seed, key, [(0, validation), (0, validation + test)])
+    upto = lambda t: before(bits(seed, key), F.col(key), t) | equal(bits(seed, key), F.col(key), t)
+    return rows.withColumn("split", F.when(upto(at[0]), "val").when(upto(at[1]), "test").otherwise("train"))
 
 
 def stratified(df: DataFrame, stratum: str, key: str, seed: int, counts: dict, from_end: bool = False) -> DataFrame:
-    """counts[stratum] rows of each stratum: the first, or the last, of its seeded shuffle; 0 selects nothing."""
-    order = [draw(seed, key), F.col(key)]
-    order = [o.desc() for o in order] if from_end else order
-    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
-    most = reduce(lambda c, kv: c.when(F.col(stratum) == F.lit(kv[0]), F.lit(kv[1])), counts.items(), F.when(F.lit(False), F.lit(0)))
-    return rows.where(F.col("_n") <= F.greatest(*[F.lit(x) for x in (*counts.values(), 0)])).where(F.col("_n") <= F.coalesce(most, F.lit(0))).drop("_n")
+    """counts[stratum] rows of each stratum: the first, or the last, of its seeded shuffle; 0 selects nothing.
+
+    Nothing is sorted, and no stratum meets in one task: see operators.selection.
+    """
+    own = [(s, n) for s, n in counts.items() if n > 0]
+    value, sure, edges = bits(seed, key), F.lit(False), []
+    for (s, _), at in zip(own, thresholds(df, seed, key, own, stratum, from_end)):
+        here = F.col(stratum).eqNullSafe(F.lit(s))
+        edge = equal(value, F.col(key), at)
+        sure = sure | (here & (before(value, F.col(key), at, from_end) | (edge if at.take == at.held else F.lit(False))))
+        if at.take < at.held:  # rows repeat the last one: as many as are missing
+            edges.append(df.where(here & edge).limit(at.take))
+    return reduce(lambda a, b: a.unionByName(b), edges, df.where(sure))
 
 
 def mixture(sources: list, key: str, seed: int) -> DataFrame:

@@ -7,7 +7,7 @@ from ..functions.stem import stem_ctes, stemmed
 from ..functions.text import (ENGLISH_STOPWORDS, LENGTHS, LONG_STYLES, RUSSIAN_STOPWORDS, SHORT_STYLES, appended_instruction, chosen_template, filled, generation_params, instructed_query,
                               parse_answer, passage, plain_prefix, prefixed, remapped_role, role_of, tokens)
 from ..operators import bm25, dedup, records, sampling, split
-from ..sources import external, files
+from ..sources import commits, external, files
 from ..sources.scratch import scratch, spread, written
 from .registry import Registry, table, u
 
@@ -806,3 +806,20 @@ def appended_lines(spark, d):
     for _ in range(2):
         files.write_jsonl(rows, path, mode="append")
     return files.jsonl(spark, path, GENERATED, glob="*.json").groupBy("query_id", "original_query").agg(F.count("*").cast("int").alias("n"))
+
+
+@_R.add("committed_appends", "SELECT event_id, event_type, 'b' || CAST(event_id % 2 AS VARCHAR) AS batch, 2 AS n_batches, 1 AS n_swept FROM events")
+def committed_appends(spark, d):
+    """Two batches, the first of which fails in a task and is then appended twice: every row is there once, and nothing of the failure."""
+    path, events = scratch(spark), table(spark, d, "events").select("event_id", "event_type")
+    of = lambda i: events.where(F.col("event_id") % 2 == i).withColumn("batch", F.lit(f"b{i}"))
+    fails = F.when(F.col("event_id") >= 0, F.raise_error(F.lit("a task that fails"))).otherwise(F.col("event_type"))
+    try:
+        commits.append(of(0).withColumn("event_type", fails), path, "b0")
+    except Exception as e:
+        if "a task that fails" not in str(e):
+            raise
+    for i in (0, 0, 1):
+        commits.append(of(i), path, f"b{i}")
+    n, gone = len(commits.committed(spark, path)), commits.swept(spark, path)
+    return commits.read(spark, path, "event_id bigint, event_type string, batch string").withColumns({"n_batches": F.lit(n), "n_swept": F.lit(gone)})

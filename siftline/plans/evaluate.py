@@ -57,6 +57,13 @@ def dense_topk(spark, d):
     return _run(spark, d, 10)
 
 
+@_R.add("dense_topk_indexed", ORACLES["dense_topk"])
+def dense_topk_indexed(spark, d):
+    """The same rows from groups around pivots, of which those are passed over that cannot hold a query's best."""
+    v = _vectors(spark, d)
+    return dense.search(v.select("qid", "v"), dense.index(v.select("docid", "v")), 10)
+
+
 def _mean(spark, d, metric, k):
     per = ranking.per_query_by_class(_run(spark, d, k), _classes(spark, d), (k,))
     return per.agg(F.round(F.avg(metric), 6).alias(metric), F.count("*").alias("n_queries"))
@@ -373,6 +380,26 @@ def task_tables(spark, d):
     return out
 
 
+@_R.add("task_subsets", """
+SELECT 'benchmarks' || (item_id % 2) || CASE WHEN item_id % 2 = 1 THEN '/' || s ELSE '' END AS task, CAST(item_id AS VARCHAR) AS qid, CAST(item_id AS VARCHAR) AS docid, 1 AS rel
+FROM benchmark, (SELECT unnest(['de', 'en']) AS s) WHERE item_id % 2 = 1 OR s = 'de'
+""")
+def task_subsets(spark, d):
+    """The judgements of all tasks below a folder, one of which has two subsets, by the loader of plain tasks."""
+    root, b, i = scratch(spark), table(spark, d, "benchmark"), F.col("item_id")
+    for task, at in ((0, "{k}/test"), (1, "{k}/de/test"), (1, "{k}/en/test")):
+        own = b.where(i % 2 == task)
+        own.select(i.alias("_id"), "text").write.parquet(f"{root}/benchmarks{task}/{at.format(k='corpus')}")
+        own.select(i.alias("_id"), "text").write.parquet(f"{root}/benchmarks{task}/{at.format(k='queries')}")
+        own.select(i.alias("query-id"), i.alias("corpus-id")).write.parquet(f"{root}/benchmarks{task}/{at.format(k='qrels')}")
+    found = retrieval.load("rumteb", spark, root, {"task_names": ["benchmarks1", "benchmarks0"]})
+    out = None
+    for name, (_, _, j) in found.items():
+        rows = j.select(F.lit(name).alias("task"), "qid", "docid", "rel")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @_R.add("synthetic_test", f"""
 WITH {_PAIRED} SELECT qid, docid, rel FROM qr
 """)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stamp
 from ..operators import results
-from ..sources import files
+from ..sources import commits, files
 from ..sources.scratch import scratch
 from ..streaming import flows
 from .registry import Registry, table
@@ -197,3 +197,12 @@ def event_sessions(spark, d):
     """Extension: sessions of a user with gaps up to half an hour."""
     out = flows.finished(flows.sessions(flows.closed(spark, f"{d}/events.parquet")), ("user_id", "s_start"), append=True)
     return out.select("user_id", F.col("s_start").cast("timestamp_ntz").alias("s_start"), "n")
+
+
+@_R.add("committed_stream", "SELECT event_id, event_type FROM events WHERE value > 10")
+def committed_stream(spark, d):
+    """A stream into committed batches, run again from the start under a checkpoint that was lost: its batches are known and count once."""
+    path = scratch(spark)
+    for _ in range(2):
+        flows.appended(flows.event_stream(spark, f"{d}/events.parquet"), path, scratch(spark), "events", lambda x: x.where("value > 10").select("event_id", "event_type"))
+    return commits.read(spark, path, "event_id bigint, event_type string")

@@ -11,14 +11,13 @@ from .scratch import written
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, file, line of text files: line is the row's place in the order of all files.
+    """value, file, line of text files: line orders the rows of all files as they stand there.
 
-    Numbers follow files by path, then the splits of a file, then the rows of a split; no task sees more than its range.
+    It is where a row was read, (file, first byte of its split, number in the task), so that order needs no numbering and no shuffle:
+    a split is read by one task from its first row to its last.  For consecutive numbers see operators.dedup.numbered.
     """
-    from ..operators.dedup import numbered
-
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    return numbered(raw, "file", "block", "at", name="line").select("value", "file", "line")
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("line"))
 
 
 def id_texts(spark: SparkSession, path: str) -> DataFrame:

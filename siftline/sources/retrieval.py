@@ -7,7 +7,7 @@ def _first(df: DataFrame, names, kind: str = "string"):
     there = [n for n in names if n in df.columns]
     if not there:
         raise ValueError(f"none of the columns {', '.join(names)}")
-    return F.coalesce(*[F.col(n).cast(kind) for n in there])
+    return F.coalesce(*[F.col(f"`{n}`").cast(kind) for n in there])
 
 
 def corpus(df: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def queries(df: DataFrame) -> DataFrame:
 
 def qrels(df: DataFrame, order: str | None = None) -> DataFrame:
     """qid, docid, rel; the score is 1 where there is none; the last of a repeated pair wins (by `order`, else the greatest)."""
-    rel = _first(df, ("score", "rel", "relevance"), "int") if {"score", "rel", "relevance"} & set(df.columns) else F.lit(1)
+    rel = _first(df, ("score", "rel", "relevance"), "double").cast("int") if {"score", "rel", "relevance"} & set(df.columns) else F.lit(1)
     rows = df.select(_first(df, ("query-id", "query_id", "qid")).alias("qid"), _first(df, ("corpus-id", "corpus_id", "docid", "doc_id")).alias("docid"), F.coalesce(rel, F.lit(1)).alias("rel"),
                      (F.col(order) if order else F.lit(0)).alias("_o"))
     return rows.groupBy("qid", "docid").agg(F.max_by("rel", F.struct("_o", "rel")).alias("rel"))
@@ -48,45 +48,67 @@ def load(kind: str, *args, revision: str | None = None, pinned: bool = False):
     return LOADERS[kind](*args)
 
 
-def task_tables(spark, root: str, split: str = "test") -> tuple:
-    """(corpus, queries, qrels) of a task's folder, in any of three layouts: <kind>/<split>, <kind>/<subset>/<split> and <subset>/<split>/<kind>.
+KINDS = ("corpus", "queries", "qrels")
+# The columns that a benchmark's JSON lines may have.
+_COLUMNS = {"corpus": "_id id docid doc_id corpus-id title text", "queries": "_id id query_id query-id qid item_id text query",
+            "qrels": "query-id query_id qid corpus-id corpus_id docid doc_id score rel relevance"}
 
-    Of several subsets the first by name counts; tables are Parquet or JSON lines (*.jsonl); another layout is an error.
-    """
+
+def _inside(spark, path: str) -> list:
+    """The folders in a folder, by name."""
     from .files import _fs
 
-    kinds = ("corpus", "queries", "qrels")
-
-    def inside(path):
-        at, fs = _fs(spark, path)
-        return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()) if fs.exists(at) else []
-
-    def read(path):
-        at, fs = _fs(spark, path)
-        names = [f.getPath().getName() for f in fs.listStatus(at)]
-        return spark.read.json(path) if any(n.endswith(".jsonl") for n in names) else spark.read.parquet(path)
-
-    there = inside(root)
-    if set(kinds) <= set(there):
-        subsets = inside(f"{root}/corpus")
-        if split in subsets:
-            paths = [f"{root}/{k}/{split}" for k in kinds]
-        elif subsets and split in inside(f"{root}/corpus/{subsets[0]}"):
-            paths = [f"{root}/{k}/{subsets[0]}/{split}" for k in kinds]
-        else:
+    at, fs = _fs(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()) if fs.exists(at) else []
+
+
+def task_subsets(spark, root: str, split: str = "test") -> dict:
+    """{subset: {kind: path}} of a task's folder, in any of three layouts: <kind>/<split> (one subset without a name), <kind>/<subset>/<split>
+    and <subset>/<split>/<kind>; another layout, or a split that no subset has, is an error."""
+    there = _inside(spark, root)
+    if set(KINDS) <= set(there):
+        inner = _inside(spark, f"{root}/corpus")
+        if split in inner:
+            return {"": {k: f"{root}/{k}/{split}" for k in KINDS}}
+        found = {s: {k: f"{root}/{k}/{s}/{split}" for k in KINDS} for s in inner if all(split in _inside(spark, f"{root}/{k}/{s}") for k in KINDS)}
+        if not found:
             raise ValueError(f"no split {split} in {root}")
-    elif there and set(kinds) <= set(inside(f"{root}/{there[0]}/{split}")):
-        paths = [f"{root}/{there[0]}/{split}/{k}" for k in kinds]
-    else:
+        return found
+    found = {s: {k: f"{root}/{s}/{split}/{k}" for k in KINDS} for s in there if set(KINDS) <= set(_inside(spark, f"{root}/{s}/{split}"))}
+    if not found:
         raise ValueError(f"no layout of a task in {root}")
-    rows = [read(p) for p in paths]
-    return corpus(rows[0]), queries(rows[1]), qrels(rows[2])
+    return found
+
+
+def _read(spark, path: str, kind: str) -> DataFrame:
+    from .files import listed
+
+    if any(n.endswith(".jsonl") for n in listed(spark, path)):
+        return spark.read.schema(", ".join(f"`{c}` string" for c in _COLUMNS[kind].split())).option("mode", "FAILFAST").json(path)
+    return spark.read.parquet(path)
+
+
+def task_tables(spark, root: str, split: str = "test", subset: str | None = None) -> tuple:
+    """(corpus, queries, qrels) of one subset of a task's folder; without a name, of the only one.  Tables are Parquet or JSON lines (*.jsonl)."""
+    found = task_subsets(spark, root, split)
+    if subset is None and len(found) > 1:
+        raise ValueError(f"a subset of {', '.join(found)} has to be named for {root}")
+    (subset,) = select_names(list(found), [subset]) if subset is not None else found
+    paths = found[subset]
+    return corpus(_read(spark, paths["corpus"], "corpus")), queries(_read(spark, paths["queries"], "queries")), qrels(_read(spark, paths["qrels"], "qrels"))
 
 
 def _tasks(spark, root: str, config: dict) -> dict:
-    """Tables of the named tasks, each a folder below root."""
-    names = select_names(config.get("task_names", []), config.get("task_names", []))
-    return {n: task_tables(spark, f"{root}/{n}") for n in names}
+    """Tables of the named tasks, each a folder below root, in the order of the folders; all of them where none is named.
+
+    A task of several subsets gives an entry <task>/<subset> for each, or for those of config["subsets"]; unknown names are errors."""
+    folders, out = _inside(spark, root), {}
+    asked = config.get("subsets")
+    for name in select_names(folders, config.get("task_names") or folders):
+        subsets = list(task_subsets(spark, f"{root}/{name}"))
+        for s in subsets if asked is None or subsets == [""] else select_names(subsets, [x for x in asked if x in subsets] or asked):
+            out[f"{name}/{s}" if len(subsets) > 1 else name] = task_tables(spark, f"{root}/{name}", subset=s)
+    return out
 
 
 @loader("rumteb")
@@ -154,7 +176,7 @@ def _dense(q: DataFrame, c: DataFrame, k: int, **_) -> DataFrame:
 
 
 def _encoded(kind: str):
-    """A retriever that encodes queries (qid long, text) and passages (docid long, text, title) as the model type formats them, then searches."""
+    """A retriever that encodes queries (qid, text) and passages (docid, text, title) as the model type formats them, then searches."""
     def run(q: DataFrame, c: DataFrame, k: int, encode=None, query_prefix: str = "", passage_prefix: str = "", instruction: str = "", dataset_type: str = "", separator: str = ". ", **_) -> DataFrame:
         from ..functions.text import instructed_query, passage, plain_prefix, prefixed
         from ..operators.dense import topk

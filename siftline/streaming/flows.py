@@ -2,6 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import commits
 from ..sources.files import listed
 from ..sources.scratch import scratch
 
@@ -51,6 +52,15 @@ def append_new(rows: DataFrame, key: str, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def appended(source: DataFrame, path: str, checkpoint: str, name: str, transform=lambda rows: rows, kind: str = "parquet") -> None:
+    """Runs a stream to its end into committed batches (sources.commits): a batch that is run again after a failure is there once."""
+    q = source.writeStream.foreachBatch(lambda rows, number: commits.append(transform(rows), path, f"{name}-{number:012d}", kind) and None)
+    q = q.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+
+
 def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """The events table as a stream; ts becomes an instant, which watermarks need."""
     schema = spark.read.parquet(path).schema

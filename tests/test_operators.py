@@ -10,8 +10,8 @@ from siftline.functions.rng import draw
 from siftline.functions.schemas import FILTERED, GENERATED
 from siftline.functions.stem import stemmed
 from siftline.functions.vector import dot, last_token, normalised, with_end
-from siftline.operators import bm25, dedup, dense, ranking, records, results, sampling, significance, split
-from siftline.sources import external, files, retrieval
+from siftline.operators import bm25, dedup, dense, ranking, records, results, sampling, selection, significance, split
+from siftline.sources import commits, external, files, retrieval
 from siftline.streaming import flows
 
 
@@ -412,6 +412,125 @@ def test_loaders_check_layouts_and_revisions(spark, tmp_path):
         retrieval.check_fields({"data_path": "x"}, ("data_path", "revision"))
 
 
+def test_tasks_by_name_and_subset(spark, tmp_path):
+    """Unknown tasks and subsets are errors; every subset is read; a corpus with text ids is searched by every kind of retriever."""
+    for path, of in (("one/{k}/test", ""), ("two/{k}/ru/test", "r"), ("two/{k}/en/test", "e")):
+        for kind, rows_ in (("corpus", [{"_id": f"{of}a", "title": "", "text": "red pear"}, {"_id": f"{of}b", "title": "green", "text": "tree"}]),
+                            ("queries", [{"_id": "q1", "text": "red pear"}, {"_id": "q2", "text": "green tree"}]),
+                            ("qrels", [{"query-id": "q1", "corpus-id": f"{of}a", "score": 1}])):
+            spark.createDataFrame(rows_).write.parquet(f"{tmp_path}/{path.format(k=kind)}")
+    root = str(tmp_path)
+    got = retrieval.load("rumteb", spark, root, {"task_names": ["two", "one"]})
+    assert list(got) == ["one", "two/en", "two/ru"]
+    assert [sorted(col(c, "docid")) for c, _, _ in got.values()] == [["a", "b"], ["ea", "eb"], ["ra", "rb"]]
+    assert list(retrieval.load("en_mteb", spark, root, {"task_names": ["two"], "subsets": ["ru"]})) == ["two/ru"]
+    for config in ({"task_names": ["none"]}, {"task_names": ["two"], "subsets": ["fr"]}):
+        with pytest.raises(ValueError, match="unknown"):
+            retrieval.load("rumteb", spark, root, config)
+    with pytest.raises(ValueError, match="named"):
+        retrieval.task_tables(spark, f"{root}/two")
+    c, q, _ = got["one"]
+    enc = external.encoder(external.hashing_encoder(32), 32)
+    for kind in ("bm25", "encoder", "causal_lm", "qwen3_embedding", "giga_embedding"):
+        found = {(r.qid, r.docid) for r in retrieval.retrieve(kind, q, c, 1, encode=enc, separator=" ", stem=False).collect()}
+        assert found == {("q1", "a"), ("q2", "b")}, kind
+
+
+def test_tasks_of_json_lines(spark, tmp_path):
+    """JSON lines are read under declared columns; whole numbers may be written with a point."""
+    for kind, line in (("corpus", {"_id": "a", "text": "x"}), ("queries", {"_id": "q", "text": "y"}), ("qrels", {"query-id": "q", "corpus-id": "a", "score": 2.0})):
+        (tmp_path / kind / "test").mkdir(parents=True)
+        (tmp_path / kind / "test" / "part.jsonl").write_text(json.dumps(line) + "\n")
+    c, q, j = retrieval.task_tables(spark, str(tmp_path))
+    assert [tuple(r) for r in c.collect()] == [("a", "x", "")] and [tuple(r) for r in q.collect()] == [("q", "y")] and [tuple(r) for r in j.collect()] == [("q", "a", 2)]
+
+
+def test_dense_index_equals_all_scores(spark):
+    """Groups are passed over only where they cannot matter: ties, text ids, few documents, vectors of all lengths."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16)) * 4
+    data = [(f"d{i:04d}", [float(x) for x in np.round(centres[i % 12] + rng.normal(size=16) * 0.2, 2)]) for i in range(1500)]
+    data += [(f"x{i}", data[0][1]) for i in range(30)] + [("z", [0.0] * 16)]
+    corpus = spark.createDataFrame(data, "docid string, v array<double>").repartition(4)
+    q = spark.createDataFrame([*data[::150], ("new", [1.0] * 16), ("zero", [0.0] * 16)], "qid string, v array<double>")
+    at = dense.index(corpus, groups=24)
+    for k, self_ in ((1, True), (10, True), (40, False)):
+        report = {}
+        got = dense.search(q, at, k, without_self=self_, report=report)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, dense.topk(q, corpus, k, without_self=self_).collect()))
+        assert report["compared"] + report["skipped"] == 13 * 1531 and (k == 40 or report["skipped"] > 0.4 * 13 * 1531)
+    few = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "docid long, v array<float>")
+    one = spark.createDataFrame([(1, [1.0])], "qid long, v array<float>")
+    assert [tuple(r) for r in dense.search(one, dense.index(few), 5).collect()] == [(1, 2, 2.0, 1)]
+    assert dense.search(one, dense.index(few.where("false")), 5).count() == 0 and dense.search(one.where("false"), dense.index(few), 5).count() == 0
+
+
+def test_order_statistics_equal_a_sort(spark, monkeypatch):
+    """Thresholds by counts of digits select what a sort selects, from both ends, with repeated and null keys."""
+    monkeypatch.setattr(selection, "LISTED", 3)
+    rows_ = [(i, i % 3, f"k{i}") for i in range(400)] + [(7, 1, "again")] * 5 + [(None, 2, "none")] + [(None, None, "stratum")]
+    df = spark.createDataFrame(rows_, "id long, s int, name string").repartition(3).cache()
+    u = {r.id: r.u for r in df.select("id", draw(3, "id").alias("u")).distinct().collect()}
+    key = lambda i: (u[i], i is not None, i if i is not None else 0)
+    for counts in ({0: 10, 1: 1, 2: 60}, {0: 1000, 1: 0, 2: 134}, {1: 30, None: 1}):
+        for end in (False, True):
+            want = {s: sorted((r[0] for r in rows_ if r[1] == s), key=key, reverse=end)[:n] for s, n in counts.items()}
+            got = {s: [] for s in counts}
+            for r in split.stratified(df, "s", "id", 3, counts, from_end=end).collect():
+                got[r.s].append(r.id)
+            assert {s: sorted(x, key=key) for s, x in got.items()} == {s: sorted(x, key=key) for s, x in want.items()}
+    ids = sorted({r[0] for r in rows_}, key=key)
+    for v, t in ((0, 0), (1, 1), (50, 100), (400, 10)):
+        got = {r.id: r.split for r in split.split_ids(df, "id", 3, v, t).collect()}
+        assert got == {x: "val" if i < v else "test" if i < v + t else "train" for i, x in enumerate(ids)}
+    assert "Sort" not in split.split_ids(df, "id", 3, 5, 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_keep_their_order_without_a_shuffle(spark, tmp_path):
+    """Rows of files that are read in many splits are ordered by where they stand."""
+    for f in range(3):
+        (tmp_path / f"{f}.txt").write_text("".join(f"{f} {i}\n" for i in range(2000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows_ = files.lines(spark, str(tmp_path))
+        assert rows_.rdd.getNumPartitions() > 3 and "Exchange" not in rows_._jdf.queryExecution().executedPlan().toString()
+        got = [r.value for r in sorted(rows_.collect(), key=lambda r: tuple(r.line))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [f"{f} {i}" for f in range(3) for i in range(2000)]
+
+
+def test_committed_appends(spark, tmp_path):
+    """Failed and repeated batches leave no rows; two writers of one batch leave one; other ids and formats are errors."""
+    path, rows_ = f"{tmp_path}/table", spark.range(10).select("id")
+    assert commits.read(spark, path, "id bigint").count() == 0 and commits.swept(spark, path) == 0
+    with pytest.raises(Exception, match="no luck"):
+        commits.append(rows_.select(F.when(F.col("id") < 9, F.col("id")).otherwise(F.raise_error(F.lit("no luck"))).alias("id")), path, "a")
+    assert commits.committed(spark, path) == []
+    assert commits.append(rows_, path, "a") and not commits.append(rows_, path, "a") and commits.append(rows_.where("id < 3"), path, "b")
+    assert commits.read(spark, path, "id bigint").count() == 13 and commits.committed(spark, path) == ["a", "b"]
+    class Slow:
+        def __init__(self, df):
+            self.sparkSession, self.df = df.sparkSession, df
+
+        @property
+        def write(self):  # another writer is quicker
+            commits.append(rows_.where("id < 2"), path, "c")
+            return self.df.write
+
+    assert not commits.append(Slow(rows_), path, "c")
+    assert commits.read(spark, path, "id bigint").count() == 15
+    commits.swept(spark, path)
+    assert commits.swept(spark, path) == 0 and commits.read(spark, path, "id bigint").count() == 15
+    with pytest.raises(ValueError, match="letters"):
+        commits.append(rows_, path, "a/b")
+    with pytest.raises(ValueError, match="json"):
+        commits.read(spark, path, "id bigint", kind="json")
+
+
 def test_predictions_drop_metadata(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"s": {"test": {"q": {"d": 0.5, "e": 1}}}, "mteb_model_meta": {"name": "x"}}))
     assert sorted((r.subset, r.split, r.qid, r.docid, r.score) for r in files.predictions(spark, str(tmp_path / "p.json")).collect()) == [("s", "test", "q", "d", 0.5), ("s", "test", "q", "e", 1.0)]
