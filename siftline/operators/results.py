@@ -79,6 +79,13 @@ def protocol(settings: dict, model: dict, dataset: dict, revision: str, keys=GLO
     return {"code_revision": revision, "global": {k: settings.get(k) for k in keys}, "model": model, "dataset": dataset}
 
 
+def protocol_column(settings: dict, model: Column, dataset: Column, revision: str, keys=GLOBAL_KEYS) -> Column:
+    """fingerprint(protocol(...)) of models and datasets that are structs with their fields in sorted order, for a table of requests."""
+    own = F.struct(*[F.lit(settings.get(k)).alias(k) for k in sorted(keys)])
+    body = F.struct(F.lit(revision).alias("code_revision"), dataset.alias("dataset"), own.alias("global"), model.alias("model"))
+    return F.sha2(F.to_json(body, {"ignoreNullFields": "false"}), 256)
+
+
 def fingerprints(df: DataFrame, *fields: str) -> Column:
     """SHA-256 of the canonical JSON of columns: fields in sorted order, nulls kept."""
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(fields)]), {"ignoreNullFields": "false"}), 256)

@@ -5,7 +5,7 @@ from ..functions.text import stamp
 from ..operators import results
 from ..sources import commits, files
 from ..sources.scratch import scratch
-from ..streaming import flows
+from ..streaming import flows, requests
 from .registry import Registry, table
 
 _R = Registry()
@@ -87,25 +87,25 @@ def log_history(spark, d):
 
 
 @_R.add("protocol_fingerprints", """
-SELECT item_id, sha256('{"code_revision":"r","dataset":{"name":"d' || item_id || '"},"global":{"device":null,"dtype":null,"generic_instruction":"g","retrieval_top_k":100},"model":{"type":"bm25"}}') AS fingerprint FROM benchmark WHERE item_id IN (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 10)
+SELECT item_id, sha256('{"code_revision":"r","dataset":{"name":"d' || item_id || '"},"global":{"device":null,"dtype":null,"generic_instruction":"g","retrieval_top_k":100},"model":{"type":"bm25"}}') AS fingerprint FROM benchmark
 """)
 def protocol_fingerprints(spark, d):
-    """The fingerprints of ten requests (a driver-side document each)."""
-    ids = [r.item_id for r in table(spark, d, "benchmark").select("item_id").orderBy("item_id").limit(10).collect()]
-    of = lambda i: results.fingerprint(results.protocol({"retrieval_top_k": 100, "generic_instruction": "g", "other": 1}, {"type": "bm25"}, {"name": f"d{i}"}, "r"))
-    return spark.createDataFrame([(i, of(i)) for i in ids], "item_id long, fingerprint string")
+    """The fingerprint of a request for each item's dataset."""
+    name = F.struct(F.concat(F.lit("d"), F.col("item_id").cast("string")).alias("name"))
+    body = results.protocol_column({"retrieval_top_k": 100, "generic_instruction": "g", "other": 1}, F.struct(F.lit("bm25").alias("type")), name, "r")
+    return table(spark, d, "benchmark").select("item_id", body.alias("fingerprint"))
 
 
 @_R.add("listed_files", """
-SELECT f AS name FROM (SELECT unnest(['a.jsonl', 'b.jsonl', 'run_paraphrasing_1_filtered.jsonl']) AS f)
+WITH n AS (SELECT CAST(ceil(count(*) / 50.0) AS BIGINT) AS k FROM documents) SELECT 'train-' || lpad(CAST(i AS VARCHAR), 5, '0') || '-of-' || lpad(CAST(k AS VARCHAR), 5, '0') || '.parquet' AS name FROM n, unnest(range(k)) AS t(i)
 """)
 def listed_files(spark, d):
-    """The inputs of a folder in order: logs of what was deleted and other files do not count."""
-    path = scratch(spark)
-    for name in ("b.jsonl", "a.jsonl", "deleted_queries.jsonl", "run_paraphrasing_1_filtered.jsonl", "note.txt"):
-        files.write_lines(spark.createDataFrame([('{"query_id": 1}',)], "value string"), f"{path}/{name}")
-    names = [n for n in files.listed(spark, path, r"\.jsonl$") if not n.startswith("deleted_")]
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    """The shards of a split in order; other splits' shards and logs of what was deleted do not count."""
+    path, docs = scratch(spark), table(spark, d, "documents").select("doc_id", "lang")
+    files.write_sharded(docs, path, "train", 50, ("doc_id",))
+    files.write_sharded(docs.where("lang = 'en'"), path, "test", 50, ("doc_id",))
+    files.write_jsonl(docs.where("lang = 'de'"), f"{path}/data/deleted_queries.jsonl")
+    return spark.createDataFrame([(n,) for n in files.listed(spark, f"{path}/data", r"^train-.*\.parquet$")], "name string")
 
 
 @_R.add("filtered_glob", "SELECT item_id AS query_id FROM benchmark WHERE item_id % 2 = 0")
@@ -206,3 +206,48 @@ def committed_stream(spark, d):
     for _ in range(2):
         flows.appended(flows.event_stream(spark, f"{d}/events.parquet"), path, scratch(spark), "events", lambda x: x.where("value > 10").select("event_id", "event_type"))
     return commits.read(spark, path, "event_id bigint, event_type string")
+
+
+@_R.add("inputs_without_logs", "SELECT item_id AS query_id FROM benchmark WHERE item_id % 3 = 0")
+def inputs_without_logs(spark, d):
+    """Generated records are read from a folder without its logs of deleted queries."""
+    path, b = scratch(spark), table(spark, d, "benchmark")
+    for name, rest in (("a", 0), ("deleted_queries", 1), ("deleted_negatives", 2)):
+        files.write_jsonl(b.where(F.col("item_id") % 3 == rest).select(F.col("item_id").alias("query_id")), f"{path}/parts_{name}")
+        files.moved(spark, f"{path}/parts_{name}", f"{path}/{name}", ".jsonl")
+    return files.generated(spark, path).select("query_id")
+
+
+@_R.add("stored_results", "SELECT 'm' || CAST(q AS VARCHAR) AS model, 'd' AS dataset, CAST(n AS VARCHAR) AS shown FROM (SELECT quality AS q, count(*) AS n FROM labels GROUP BY 1)")
+def stored_results(spark, d):
+    """Result documents, stored and found again beside a manifest that is no result."""
+    path = scratch(spark)
+    for r in table(spark, d, "labels").groupBy("quality").count().orderBy("quality").collect():  # a result for each of two grades
+        files.store_result(spark, path, f"m{r.quality}", "d", {"n": r["count"]}, f"f{r.quality}", {"top_k": 5}, "20260102_030405")
+    body = files.manifest({"seed": 1}, files.package_versions(["pyspark", "no-such-package"]), "2026-01-02T03:04:05+00:00", "abc", True)
+    spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("append").text(path)
+    return files.result_documents(spark, path, "part-*").select("model", "dataset", F.get_json_object("results", "$.n").alias("shown"))
+
+
+@_R.add("retried_requests", """
+SELECT CAST(item_id AS VARCHAR) AS query_id, CASE WHEN starts_with(md5(text), '0') THEN 'failed' ELSE 'success' END AS status, CASE WHEN NOT starts_with(md5(text), '0') THEN upper(substr(md5(text), 1, 8)) END AS response,
+       CASE WHEN starts_with(md5(text), '0') THEN 2 ELSE 1 END AS tries FROM benchmark
+""")
+def retried_requests(spark, d):
+    """Requests of a stream: those that fail are tried again by a timer, beside the others, and are told in the end."""
+    def client():
+        from hashlib import md5
+
+        def call(prompt):
+            digest = md5(prompt.encode()).hexdigest()
+            if digest.startswith("0"):
+                raise ValueError("no answer")
+            return digest[:8].upper()
+
+        return call
+
+    given, out = scratch(spark), scratch(spark)
+    table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("prompt")).write.parquet(given)
+    source = spark.readStream.schema("query_id string, prompt string").parquet(given)
+    requests.answered(source, client, out, scratch(spark), attempts=2, least=0.1, most=0.1, every="200 milliseconds", partitions=2)
+    return spark.read.schema(requests.ANSWER).parquet(out).select("query_id", "status", "response", "tries")

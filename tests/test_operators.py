@@ -1,6 +1,7 @@
 """Hand-computed values, edge cases and properties of the operators."""
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from siftline.functions.stem import stemmed
 from siftline.functions.vector import dot, last_token, normalised, with_end
 from siftline.operators import bm25, dedup, dense, ranking, records, results, sampling, selection, significance, split
 from siftline.sources import commits, external, files, retrieval
-from siftline.streaming import flows
+from siftline.streaming import flows, requests
 
 
 def col(df, name):
@@ -590,3 +591,54 @@ def test_roles_of_models_that_know_few(spark):
     df = spark.createDataFrame([("passage",), ("query",)], "r string")
     got = lambda known: col(df.select(T.remapped_role(F.col("r"), known).alias("x")), "x")
     assert got(["query", "document"]) == ["document", "query"] and got(["query"]) == [None, "query"] and got(["passage"]) == ["passage", "query"]
+
+
+def test_requests_are_retried_by_timers(spark, tmp_path):
+    """A key that fails waits for its timer while the others are answered; what fails every time is told; closed partitions wait for the cap."""
+    source = f"{tmp_path}/in"
+    spark.createDataFrame([(str(i), f"p{i}") for i in range(12)] + [("1", "again")], "query_id string, prompt string").write.parquet(source)
+    marks = tmp_path / "marks"
+    marks.mkdir()
+
+    def client():
+        def call(prompt):
+            seen = len(list(marks.glob(f"{prompt}.*")))
+            (marks / f"{prompt}.{seen}").touch()
+            if prompt == "p7" or prompt == "p3" and seen < 2:
+                raise ValueError("not now")
+            return prompt.upper()
+
+        return call
+
+    opens = time.time() + 3
+
+    def cap(now):
+        return 1 if now < 1000 * opens else 2
+
+    stream = lambda: spark.readStream.schema("query_id string, prompt string").parquet(source)
+    out, checkpoint = f"{tmp_path}/out", f"{tmp_path}/checkpoint"
+    assert requests.answered(stream(), client, out, checkpoint, attempts=3, least=0.1, most=0.2, cap=cap, recheck=0.2, every="100 milliseconds", partitions=2, seconds=120)
+    got = {(r.query_id, r.response): (r.status, r.tries) for r in spark.read.schema(requests.ANSWER).parquet(out).collect()}
+    assert got.pop(("7", None)) == ("failed", 3) and got.pop(("3", "P3")) == ("success", 3) and got.pop(("1", "AGAIN")) == ("success", 1)
+    assert got == {(str(i), f"P{i}"): ("success", 1) for i in range(12) if i not in (3, 7)}
+    assert requests.answered(stream(), client, out, checkpoint, every="100 milliseconds", partitions=2, seconds=120)  # nothing is left to do
+    assert spark.read.schema(requests.ANSWER).parquet(out).count() == 13
+    assert [requests.wait(n, 5, 30) for n in (1, 3, 4, 5, 6, 9)] == [5, 5, 8, 16, 30, 30]
+
+
+def test_streams_into_committed_batches(spark, tmp_path):
+    """A batch that is run again under a lost checkpoint is there once; new files are new batches."""
+    source, path = f"{tmp_path}/in", f"{tmp_path}/table"
+    spark.range(5).write.parquet(source)
+    for run_ in range(2):
+        flows.appended(spark.readStream.schema("id bigint").parquet(source), path, f"{tmp_path}/checkpoint{run_}", "ids")
+    spark.range(5, 8).write.mode("append").parquet(source)
+    flows.appended(spark.readStream.schema("id bigint").parquet(source), path, f"{tmp_path}/checkpoint1", "ids")
+    assert sorted(col(commits.read(spark, path, "id bigint"), "id")) == list(range(8))
+
+
+def test_fingerprints_of_a_table_are_those_of_documents(spark):
+    df = spark.createDataFrame([('d é"1',), (None,)], "name string")
+    got = df.select("name", results.protocol_column({"device": None, "retrieval_top_k": 5, "x": 1}, F.struct(F.lit("bm25").alias("type")), F.struct("name"), "r").alias("f")).collect()
+    for r in got:
+        assert r.f == results.fingerprint(results.protocol({"device": None, "retrieval_top_k": 5, "x": 1}, {"type": "bm25"}, {"name": r.name}, "r"))
