@@ -90,11 +90,12 @@ def trees(nodes: DataFrame, fanout: int = 2, levels: int = LEVELS, keep: tuple =
     return layers, nodes.select("tree", "digest", *keep)
 
 
-def _proved(layers: list, above: DataFrame, keep: tuple, more: tuple) -> DataFrame:
+def _proved(layers: list, above: DataFrame | None, keep: tuple, more: tuple) -> DataFrame:
     """The first layer's rows with their whole proofs: each layer's behind it, and at last those of `above` (tree, bucket, above, more)."""
     for layer in reversed(layers):
         first = layer is layers[0]
-        rows = layer.join(above, ["tree", "bucket"]).select("tree", "size", "idx", *(keep if first else ()), *(["digest"] if first else []), F.concat("proof", "above").alias("above"), *more)
+        rows = layer.withColumn("above", F.lit(b"")) if above is None else layer.join(above, ["tree", "bucket"])
+        rows = rows.select("tree", "size", "idx", *(keep if first else ()), *(["digest"] if first else []), F.concat("proof", "above").alias("above"), *more)
         above = rows if first else rows.select("tree", F.col("idx").alias("bucket"), "above", *more)
     return above
 
@@ -118,11 +119,7 @@ def manifest(docs: DataFrame, leaves: Column, group: str = "lang", order: str =
     upper, roots = trees(tops, fanout, levels)
     root = roots.select("digest").first()
     whole = F.lit(bytes(root.digest) if root else b"")
-    end = tops.sparkSession.range(1).select(F.lit(0).cast("long").alias("tree"), F.lit(0).cast("long").alias("bucket"), F.lit(b"").alias("above"))
-    if upper:
-        tops = _proved(upper, end, (), ())
-    else:
-        tops = tops.withColumn("above", F.lit(b""))
+    tops = _proved(upper, None, (), ()) if upper else tops.withColumn("above", F.lit(b""))
     above = tops.select(F.col("idx").alias("tree"), F.lit(0).cast("long").alias("bucket"), "above", F.col("digest").alias("subroot"))
     if layers:
         out = _proved(layers, above, held, ("subroot",))
