@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunked, column, grouped, longs, parts, split_mod, table, written
+from .substring import fineness
 from .textops import Words, dealt, mix, runs
 
 BASE = 1.5
@@ -66,21 +67,25 @@ class Tokens:
         self.first = first
 
 
-def _blobs(keys: np.ndarray, counts: np.ndarray, kind: int):
-    q = dealt(keys, BUCKETS)
+def _blobs(keys: np.ndarray, counts: np.ndarray, kind: int, buckets: int):
+    q = dealt(keys, buckets)
     starts, sizes = runs(q)
     for a, n in zip(starts.tolist(), sizes.tolist()):
         yield int(q[a]) * 2 + kind, keys[a : a + n].tobytes(), counts[a : a + n].astype(np.uint32).tobytes()
 
 
-def _count(batches):
+def _count(buckets: int):
     """(q, keys, counts) of tokens (even q) and pairs (odd q), added up over a few chunks."""
-    for batch in chunked(batches, most=2 << 20):
-        tokens = Tokens(column(batch, "text"))
-        rows = []
-        for kind, keys in ((0, np.append(tokens.hash, np.full(tokens.rows, _START_TOKEN, np.uint64))), (1, tokens.pair)):
-            rows += _blobs(*np.unique(keys, return_counts=True), kind)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["q", "keys", "counts"])
+
+    def run(batches):
+        for batch in chunked(batches, most=2 << 20):
+            tokens = Tokens(column(batch, "text"))
+            rows = []
+            for kind, keys in ((0, np.append(tokens.hash, np.full(tokens.rows, _START_TOKEN, np.uint64))), (1, tokens.pair)):
+                rows += _blobs(*np.unique(keys, return_counts=True), kind, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["q", "keys", "counts"])
+
+    return run
 
 
 def _added(batches):
@@ -118,8 +123,8 @@ def greatest_of(levels: np.ndarray) -> np.ndarray:
 class Filter:
     """The Bloom filter, in one segment of `own` bits for each bucket of hashes."""
 
-    def __init__(self, own: int, bitmap: np.ndarray):
-        self.own, self.map = own, bitmap
+    def __init__(self, own: int, bitmap: np.ndarray, buckets: int = BUCKETS):
+        self.own, self.map, self.buckets = own, bitmap, buckets
 
     def _places(self, keys, level: int, base):
         x = mix(keys + np.uint64(level * _LEVEL % (1 << 64)))
@@ -138,7 +143,7 @@ class Filter:
     def levels(self, keys: np.ndarray, alone: bool = False) -> np.ndarray:
         """The level of each hash: the number of levels found before the first that is absent.  alone: the map is the keys' segment."""
         out = np.zeros(len(keys), np.int64)
-        base = np.zeros(len(keys), np.int64) if alone else dealt(keys, BUCKETS) * self.own
+        base = np.zeros(len(keys), np.int64) if alone else dealt(keys, self.buckets) * self.own
         left, level = np.arange(len(keys)), 1
         while len(left) and level < 64:
             there = np.ones(len(left), bool)
@@ -179,7 +184,8 @@ def _table(from_level: int, to_level: int):
 def train(docs: DataFrame, bits_each: int = 12, most_bits: int = 1 << 29, hot_words: int = HOT_WORDS) -> dict:
     """Counts the training documents' n-grams: the filter, the hot tokens' counts, and the table of all counts."""
     spark = docs.sparkSession
-    blobs = docs.select("text").mapInArrow(_count, "q long, keys binary, counts binary")
+    buckets = BUCKETS * fineness(docs)  # a bucket is one task's at a time, so their number follows the input
+    blobs = docs.select("text").mapInArrow(_count(buckets), "q long, keys binary, counts binary")
     counts = blobs.repartition(parts(spark), "q").sortWithinPartitions("q").mapInArrow(
         _added, "q long, keys binary, counts binary, entries long, distinct long, total long, by_level array<long>")
     counts = written(counts)
@@ -190,8 +196,8 @@ def train(docs: DataFrame, bits_each: int = 12, most_bits: int = 1 << 29, hot_wo
         if held + r.n > hot_words:
             break
         level, held = r.level, held + r.n
-    own = 64 * max(1, -(-bits_each * (entries or 0) // (BUCKETS * 64)))  # whole words; as many bits an entry at every size
-    bits = own * BUCKETS
+    own = 64 * max(1, -(-bits_each * (entries or 0) // (buckets * 64)))  # whole words; as many bits an entry at every size
+    bits = own * buckets
     segments = (counts.select((F.col("q") / 2).cast("long").alias("bucket"), "keys", "counts").repartition(parts(spark), "bucket")
                 .sortWithinPartitions("bucket").mapInArrow(_segments(own), "q long, segment binary"))
     if bits <= most_bits:
@@ -205,8 +211,8 @@ def train(docs: DataFrame, bits_each: int = 12, most_bits: int = 1 << 29, hot_wo
     hot = tokens.mapInArrow(_table(level, 64), "key long, c long").toArrow()
     keys = hot["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    model = spark.sparkContext.broadcast((own, bitmap, keys[order], hot["c"].to_numpy()[order], total or 0, distinct or 0))
-    return {"model": model, "segments": segments, "own": own, "N": total or 0, "V": distinct or 0, "cold": tokens.mapInArrow(_table(1, level - 1), "key long, c long")}
+    model = spark.sparkContext.broadcast((own, buckets, bitmap, keys[order], hot["c"].to_numpy()[order], total or 0, distinct or 0))
+    return {"model": model, "segments": segments, "own": own, "buckets": buckets, "N": total or 0, "V": distinct or 0, "cold": tokens.mapInArrow(_table(1, level - 1), "key long, c long")}
 
 
 def _scores(batch, level_of_hash, hot, hot_c, total, distinct):
@@ -249,8 +255,8 @@ def _score(model):
     """Scores by the broadcast filter."""
 
     def run(batches):
-        own, bitmap, *known = model.value
-        lbf = Filter(own, bitmap)
+        own, buckets, bitmap, *known = model.value
+        lbf = Filter(own, bitmap, buckets)
         for batch in chunked(batches, most=1 << 19):  # beside the filter, little else fits
             yield _scores(batch, lbf.levels, *known)
 
@@ -267,19 +273,23 @@ def _chunks(batches):
 _SEGMENT = -1  # stands before every chunk
 
 
-def _probes(batches):
+def _probes(buckets: int):
     """(q, chunk, keys): the distinct tokens and pairs of a chunk's rows, by bucket."""
-    for batch in batches:
-        number = longs(batch, "chunk")
-        starts, sizes = runs(number)
-        for a, n in zip(starts.tolist(), sizes.tolist()):
-            t = Tokens(column(batch.slice(a, n), "text"))
-            keys = np.unique(np.concatenate([t.hash, t.pair, np.array([_START_TOKEN])]))
-            keys = keys[np.argsort(dealt(keys, BUCKETS), kind="stable")]
-            q = dealt(keys, BUCKETS)
-            firsts, lengths = runs(q)
-            blobs = [keys[i : i + m].tobytes() for i, m in zip(firsts.tolist(), lengths.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(q[firsts], pa.int64()), pa.array(np.full(len(blobs), number[a])), pa.array(blobs, pa.binary())], ["q", "chunk", "keys"])
+
+    def run(batches):
+        for batch in batches:
+            number = longs(batch, "chunk")
+            starts, sizes = runs(number)
+            for a, n in zip(starts.tolist(), sizes.tolist()):
+                t = Tokens(column(batch.slice(a, n), "text"))
+                keys = np.unique(np.concatenate([t.hash, t.pair, np.array([_START_TOKEN])]))
+                keys = keys[np.argsort(dealt(keys, buckets), kind="stable")]
+                q = dealt(keys, buckets)
+                firsts, lengths = runs(q)
+                blobs = [keys[i : i + m].tobytes() for i, m in zip(firsts.tolist(), lengths.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(q[firsts], pa.int64()), pa.array(np.full(len(blobs), number[a])), pa.array(blobs, pa.binary())], ["q", "chunk", "keys"])
+
+    return run
 
 
 def _looked_up(own: int):
@@ -307,7 +317,7 @@ def _score_dealt(model):
     """Scores chunk by chunk, by the levels that came back."""
 
     def run(batches):
-        _, _, *known = model.value
+        _, _, _, *known = model.value
         for _, held in grouped(batches, "chunk"):
             rows = pa.Table.from_batches(held).combine_chunks()
             texts = rows.filter(pa.compute.is_null(rows["keys"])).combine_chunks().to_batches()
@@ -338,7 +348,7 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
     else:
         spark = docs.sparkSession
         docs = written(docs.mapInArrow(_chunks, "chunk long, doc_id long, text string, held_out boolean"))
-        asked = docs.mapInArrow(_probes, "q long, chunk long, keys binary")
+        asked = docs.mapInArrow(_probes(fitted["buckets"]), "q long, chunk long, keys binary")
         asked = asked.unionByName(fitted["segments"].select("q", F.lit(_SEGMENT).cast("long").alias("chunk"), F.col("segment").alias("keys")))
         levels = asked.repartition(parts(spark), "q").sortWithinPartitions("q", "chunk").mapInArrow(_looked_up(fitted["own"]), "chunk long, keys binary, levels binary")
         both = docs.unionByName(levels, allowMissingColumns=True).repartition(parts(spark), "chunk").sortWithinPartitions("chunk")

@@ -221,6 +221,16 @@ def test_lm_filter_follows_its_entries(frame, prose):
     assert got == want and len(got) == len(prose)
 
 
+def test_lm_buckets_follow_the_input(frame, prose, monkeypatch):
+    """More buckets, as for tables of many splits, give the same scores, by the broadcast filter and by dealt segments."""
+    docs = frame(prose).select("doc_id", "text", F.lit(False).alias("held_out"))
+    got = []
+    for fine, most in ((1, 1 << 31), (3, 1 << 31), (3, 1)):
+        monkeypatch.setattr(lm, "fineness", lambda _, n=fine: n)
+        got.append(rows(lm.scored(docs, lm.train(docs, most_bits=most, bits_each=40)).select("doc_id", "n_tokens", "n_known", F.round("base_score", 6), F.round("score", 6))))
+    assert got[0] == got[1] == got[2]
+
+
 def test_lm_knows_pairs_seen_once(frame):
     text = [f"w{i}" for i in range(200)]
     train = frame([(1, " ".join(text))])
