@@ -24,6 +24,17 @@ def enrich_triples(triples: DataFrame, queries: DataFrame, collection: DataFrame
             .select("qid", "query", "pos_id", "pos_text", "neg_id", "neg_text", "line"))
 
 
+def enrich_registered(triples: DataFrame, queries: DataFrame, collection: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
+    """enrich_triples() with registries (sources.registries) of queries (qid) and documents (docid): only the triples move."""
+    from ..sources.registries import looked_up
+
+    one = first_rows(triples, "qid", "line", "pos_id", "neg_id")
+    one = looked_up(one, queries, "qid", "qid", {"query": "query"})
+    one = looked_up(one, collection, "docid", "pos_id", {"text": "pos_text"})
+    one = looked_up(one, collection if negatives is None else negatives, "docid", "neg_id", {"text": "neg_text"})
+    return one.select("qid", "query", "pos_id", "pos_text", "neg_id", "neg_text", "line")
+
+
 def window_of(enriched: DataFrame, offset: int, limit: int | None, *order: str) -> DataFrame:
     """Rows offset .. offset + limit - 1 in order, over unique and valid queries: windows are disjoint.
 

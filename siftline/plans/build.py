@@ -7,7 +7,7 @@ from ..functions.stem import stem_ctes, stemmed
 from ..functions.text import (ENGLISH_STOPWORDS, LENGTHS, LONG_STYLES, RUSSIAN_STOPWORDS, SHORT_STYLES, appended_instruction, chosen_template, filled, generation_params, instructed_query,
                               parse_answer, passage, plain_prefix, prefixed, remapped_role, role_of, tokens)
 from ..operators import bm25, dedup, records, sampling, split
-from ..sources import commits, external, files
+from ..sources import commits, external, files, registries
 from ..sources.scratch import scratch, spread, written
 from .registry import Registry, table, u
 
@@ -39,6 +39,15 @@ def triple_enrich(spark, d):
     return _enriched(spark, d)
 
 
+@_R.add("triple_enrich_registered", _ENRICHED)
+def triple_enrich_registered(spark, d):
+    """The same rows from registries that lie in buckets by id."""
+    queries = table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), F.col("o_orderpriority").alias("query"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("docid"), F.col("p_name").alias("text"))
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("docid"), F.col("s_name").alias("text"))
+    return dedup.enrich_registered(_triples(spark, d), *(registries.register(r, k) for r, k in ((queries, "qid"), (parts, "docid"), (suppliers, "docid"))))
+
+
 @_R.add("dedup_offset_limit", f"SELECT * FROM ({_ENRICHED}) ORDER BY qid LIMIT 500 OFFSET 250")
 def dedup_offset_limit(spark, d):
     return dedup.window_of(_enriched(spark, d), 250, 500, "qid")

@@ -12,7 +12,7 @@ from siftline.functions.schemas import FILTERED, GENERATED
 from siftline.functions.stem import stemmed
 from siftline.functions.vector import dot, last_token, normalised, with_end
 from siftline.operators import bm25, dedup, dense, ranking, records, results, sampling, selection, significance, split
-from siftline.sources import commits, external, files, retrieval
+from siftline.sources import commits, external, files, registries, retrieval
 from siftline.streaming import flows, requests
 
 
@@ -642,3 +642,13 @@ def test_fingerprints_of_a_table_are_those_of_documents(spark):
     got = df.select("name", results.protocol_column({"device": None, "retrieval_top_k": 5, "x": 1}, F.struct(F.lit("bm25").alias("type")), F.struct("name"), "r").alias("f")).collect()
     for r in got:
         assert r.f == results.fingerprint(results.protocol({"device": None, "retrieval_top_k": 5, "x": 1}, {"type": "bm25"}, {"name": r.name}, "r"))
+
+
+def test_registries_stay_where_they_are(spark):
+    """Joins with registries move the asked ids alone; ids that dangle go, and text ids and repeated asks are fine."""
+    docs = registries.register(spark.createDataFrame([(f"d{i}", f"text {i}") for i in range(50)], "docid string, text string"), "docid")
+    asked = spark.createDataFrame([(1, "d3"), (2, "d3"), (3, "none"), (4, None), (5, "d49")], "n int, id string")
+    got = registries.looked_up(asked, docs, "docid", "id", {"text": "found"})
+    assert sorted((r.n, r.id, r.found) for r in got.collect()) == [(1, "d3", "text 3"), (2, "d3", "text 3"), (5, "d49", "text 49")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.find("Initial Plan") if "Initial Plan" in plan else None].count("Exchange hashpartitioning") == 1 and "Broadcast" not in plan and "Bucketed: true" in plan
