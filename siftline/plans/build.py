@@ -381,6 +381,16 @@ def sharded_write(spark, d):
     return files.training_split(spark, path, "train").select(F.col("_metadata.file_name").alias("file"), "query_id", "query", text("positive_passages").alias("text_md5"), text("negative_passages").alias("negative_md5"))
 
 
+@_R.add("split_view", "SELECT 'l-' || lang AS split, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1")
+def split_view(spark, d):
+    """Splits as one table: of the shards of all languages, those of two are opened."""
+    path, docs = scratch(spark), table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    for lang in ("de", "en", "es", "fr"):
+        files.write_sharded(docs.where(F.col("lang") == lang), path, f"l-{lang}", 100, ("doc_id",))
+    rows = files.splits(spark, path, "doc_id bigint, lang string, n_chars bigint").where("split IN ('l-en', 'l-fr')")
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
 @_R.add("parquet_roundtrip", "SELECT doc_id, lang, n_chars, md5(text) AS text_md5 FROM documents")
 def parquet_roundtrip(spark, d):
     path = scratch(spark)

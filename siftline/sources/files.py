@@ -56,6 +56,12 @@ def training_split(spark: SparkSession, root: str, split: str) -> DataFrame:
     return spark.read.schema(TRAINING).parquet(f"{root}/data/{split}-*.parquet")
 
 
+def splits(spark: SparkSession, root: str, schema: str = TRAINING) -> DataFrame:
+    """All splits below root as one table with a column `split`, by the names of the files: a filter on it opens that split's files only."""
+    name = F.regexp_extract("_metadata.file_name", "^(.+)-\\d{5}-of-\\d{5}\\.parquet$", 1)
+    return spark.read.schema(schema).parquet(f"{root}/data").select("*", name.alias("split"))
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 

@@ -652,3 +652,14 @@ def test_registries_stay_where_they_are(spark):
     assert sorted((r.n, r.id, r.found) for r in got.collect()) == [(1, "d3", "text 3"), (2, "d3", "text 3"), (5, "d49", "text 49")]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan[: plan.find("Initial Plan") if "Initial Plan" in plan else None].count("Exchange hashpartitioning") == 1 and "Broadcast" not in plan and "Bucketed: true" in plan
+
+
+def test_a_split_of_the_view_opens_its_own_files(spark, tmp_path):
+    for name, n in (("train", 25), ("val", 5), ("test", 8)):
+        files.write_sharded(spark.range(n).withColumnRenamed("id", "query_id"), str(tmp_path), name, 5)
+    rows = files.splits(spark, str(tmp_path), "query_id bigint").where("split = 'test'").select("query_id")
+    assert sorted(col(rows, "query_id")) == list(range(8))
+    plan = rows._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head() if hasattr(plan, "collectLeaves") else plan
+    assert scan.metrics().apply("numFiles").value() == 2  # of eight
+    assert files.splits(spark, str(tmp_path), "query_id bigint").where("split = 'none'").count() == 0
