@@ -50,12 +50,13 @@ def _means(values: DataFrame, replicates: int, group: str, value: str, **ways) -
     """group, rep and a mean by each way (array, replicates) -> matrix: one row a group and replicate."""
     spark = values.sparkSession
     rows = values.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("topic", F.col(value).alias("x")))), lambda s: s["x"]).alias("x"))
-    arrays = {r[group]: np.array(r["x"], np.float64) for r in rows.collect()}  # a benchmark's topics, by metric
+    # a benchmark's topics, by metric: a number for each, which every replicate draws from
+    shared = spark.sparkContext.broadcast({r[group]: np.array(r["x"], np.float64) for r in rows.collect()})
 
     def run(batches):
         for batch in batches:
             reps = batch.column(0).to_numpy()
-            for name, x in arrays.items():
+            for name, x in shared.value.items():
                 step = max(1, CELLS // len(x))
                 for i in range(0, len(reps), step):
                     part = reps[i : i + step]

@@ -400,6 +400,24 @@ def task_subsets(spark, d):
     return out
 
 
+@_R.add("reranking_task", """
+SELECT CAST(item_id AS VARCHAR) AS qid, CAST(item_id + k AS VARCHAR) AS docid, CAST(CASE WHEN k = 1 THEN 1 ELSE 0 END AS INT) AS rel, k = 2 AS changed FROM benchmark, unnest(range(1, 5)) AS t(k)
+""")
+def reranking_task(spark, d):
+    """Candidates of the reranking task with their judgements, and whether they are changed documents, by its loader under a pinned revision."""
+    root, b, i, revision = scratch(spark), table(spark, d, "benchmark"), F.col("item_id"), "0123456789abcdef" * 2 + "01234567"
+    b.select(i.alias("_id"), "text").write.parquet(f"{root}/corpus/test")
+    b.select(i.alias("_id"), "text").write.parquet(f"{root}/queries/test")
+    b.select(i.alias("query-id"), (i + 1).alias("corpus-id"), F.lit(1.0).alias("score")).write.parquet(f"{root}/qrels/test")
+    text = lambda *ks: F.to_json(F.create_map(i.cast("string"), F.array(*[(i + k).cast("string") for k in ks]))).alias("value")
+    files.write_lines(b.select(text(1, 2, 3, 4)), f"{root}/candidates")
+    files.write_lines(b.select(text(2)), f"{root}/qrel_diff")
+    files.write_lines(b.limit(1).select(F.lit(revision).alias("value")), f"{root}/revision")
+    _, _, judged, candidates, changed = retrieval.load("mfollowir", spark, root, {"revision": revision}, revision=revision, pinned=True)["mfollowir"]
+    rows = candidates.join(judged, ["qid", "docid"], "left").join(changed.withColumn("changed", F.lit(True)), ["qid", "docid"], "left")
+    return rows.select("qid", "docid", F.coalesce("rel", F.lit(0)).alias("rel"), F.coalesce("changed", F.lit(False)).alias("changed"))
+
+
 @_R.add("synthetic_test", f"""
 WITH {_PAIRED} SELECT qid, docid, rel FROM qr
 """)
