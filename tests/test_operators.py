@@ -151,15 +151,15 @@ def test_bm25_best_equals_all_scores(spark, small):
     words = [f"w{i}" for i in range(300)]
     weights = [1 / (i + 1) for i in range(300)]
     text = lambda n: " ".join(rng.choices(words, weights, k=n))
-    corpus = spark.createDataFrame([(f"d{i}", text(rng.choice([0, 5, 30, 200]))) for i in range(3000)] + [("e", None), ("f", "w7 " * 50)], "docid string, text string").repartition(3)
+    corpus = spark.createDataFrame([(f"d{i}", text(rng.choice([0, 5, 30, 200]))) for i in range(1500)] + [("e", None), ("f", "w7 " * 50)], "docid string, text string").repartition(3)
     asked = [(i, text(rng.randint(1, 12))) for i in range(60)] + [(100, "w7 w7 w7 w250"), (101, ""), (102, None), (103, "unknown"), (104, " ".join(words)), (105, "w299")]
     q = spark.createDataFrame(asked, "qid int, text string")
     at = bm25.index(corpus, [q])
-    for k in (1, 5, 5000):
+    for k in (3, 5000):
         report = {}
         got, want = bm25.best(q, at, k, report=report, bounded=0), bm25.topk(bm25.score(q, at), k)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == sorted(map(tuple, bm25.best(q, at, k).collect()))
-        assert k > 5 or report["joined"] < 0.7 * report["postings"]
+        assert k > 3 or report["joined"] < 0.7 * report["postings"]
     docs = spark.read.parquet(f"{small}/documents.parquet").select(F.col("doc_id").alias("docid"), "text")
     whole = bm25.index(docs, stem=True)  # every term of the corpus
     q = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").alias("qid"), "text")
