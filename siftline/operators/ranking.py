@@ -10,24 +10,29 @@ def ranked(run: DataFrame, descending_ties: bool = False) -> DataFrame:
     return run.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("score"), tie)), "n": F.count("*").over(w)})
 
 
+def _hits(hit: Column, gain: Column, cuts) -> Column:
+    """An aggregate of a query's rows: (rank, gain) of its hits within the deepest cut.
+
+    Tasks hand on what they have seen of a query, a cut's length at most, so that a run is neither sorted nor dealt by query for it.
+    """
+    return F.sort_array(F.collect_list(F.when(hit & (F.col("rank") <= max(cuts)), F.struct("rank", gain.alias("gain"))))).alias("_hits")
+
+
+def _found(k: int) -> tuple:
+    """(number of hits, sum of the precisions at each hit, discounted gain) within the first k, from _hits."""
+    within = lambda x, value: F.when(x["rank"] <= k, value).otherwise(F.lit(0.0))
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    return (add(F.transform("_hits", lambda x: within(x, F.lit(1.0)))), add(F.transform("_hits", lambda x, i: within(x, (i + 1) / x["rank"]))),
+            add(F.transform("_hits", lambda x: within(x, x["gain"] / F.log2(x["rank"] + 1.0)))))
+
+
 def per_query(run: DataFrame, qrels: DataFrame, cuts=(10, 20, 100)) -> DataFrame:
     """qid and ndcg, map, recall, precision at each cut, for the queries that are in both; run has ranks, qrels rel.
 
     Relevance is rel >= 1, gains are rel, documents without a judgement count 0.
     """
     judged = run.join(qrels.select("qid", "docid", "rel"), ["qid", "docid"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
-    judged = judged.withColumn("hit", (F.col("rel") >= 1).cast("int"))
-    before = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    judged = judged.withColumn("hits", F.sum("hit").over(before))
-    found = []
-    for k in cuts:
-        inside = F.col("rank") <= k
-        found += [
-            F.sum(F.when(inside, F.col("hit")).otherwise(0)).alias(f"h{k}"),
-            F.sum(F.when(inside & (F.col("hit") == 1), F.col("hits") / F.col("rank")).otherwise(0.0)).alias(f"a{k}"),
-            F.sum(F.when(inside, F.greatest("rel", F.lit(0)) / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"d{k}"),
-        ]
-    got = judged.groupBy("qid").agg(*found)
+    got = judged.groupBy("qid").agg(_hits(F.col("rel") >= 1, F.col("rel"), cuts))
     w = Window.partitionBy("qid").orderBy(F.desc("rel"), "docid")
     ideal = qrels.withColumn("_r", F.row_number().over(w)).groupBy("qid").agg(
         F.sum((F.col("rel") >= 1).cast("int")).alias("R"),
@@ -36,10 +41,8 @@ def per_query(run: DataFrame, qrels: DataFrame, cuts=(10, 20, 100)) -> DataFrame
     zero = lambda num, den: F.when(den > 0, num / den).otherwise(F.lit(0.0))
     out = []
     for k in cuts:
-        out += [
-            zero(F.col(f"d{k}"), F.col(f"i{k}")).alias(f"ndcg_cut_{k}"), zero(F.col(f"a{k}"), F.col("R")).alias(f"map_cut_{k}"),
-            zero(F.col(f"h{k}"), F.col("R")).alias(f"recall_{k}"), (F.col(f"h{k}") / F.lit(float(k))).alias(f"P_{k}"),
-        ]
+        hits, precisions, gain = _found(k)
+        out += [zero(gain, F.col(f"i{k}")).alias(f"ndcg_cut_{k}"), zero(precisions, F.col("R")).alias(f"map_cut_{k}"), zero(hits, F.col("R")).alias(f"recall_{k}"), (hits / F.lit(float(k))).alias(f"P_{k}")]
     return rows.select("qid", *out)
 
 
@@ -51,19 +54,14 @@ def per_query_by_class(run: DataFrame, classes: DataFrame, cuts=(10, 20, 100)) -
     sizes = classes.groupBy("label").agg(F.count("*").alias("_size"))
     of = classes.join(sizes, "label")
     judged = run.join(of.select(F.col("id").alias("qid"), F.col("label").alias("_l"), (F.col("_size") - 1).alias("R")), "qid")
-    judged = judged.join(classes.select(F.col("id").alias("docid"), "label"), "docid", "left").withColumn("hit", F.coalesce((F.col("_l") == F.col("label")) & (F.col("docid") != F.col("qid")), F.lit(False)).cast("int"))
-    before = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    judged = judged.withColumn("hits", F.sum("hit").over(before))
-    found = []
-    for k in cuts:
-        inside = (F.col("rank") <= k) & (F.col("hit") == 1)
-        found += [F.sum(F.when(inside, 1).otherwise(0)).alias(f"h{k}"), F.sum(F.when(inside, F.col("hits") / F.col("rank")).otherwise(0.0)).alias(f"a{k}"),
-                  F.sum(F.when(inside, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"d{k}")]
-    rows = judged.groupBy("qid", "R").agg(*found).where("R > 0")
+    judged = judged.join(classes.select(F.col("id").alias("docid"), "label"), "docid", "left")
+    hit = F.coalesce((F.col("_l") == F.col("label")) & (F.col("docid") != F.col("qid")), F.lit(False))
+    rows = judged.groupBy("qid", "R").agg(_hits(hit, F.lit(1.0), cuts)).where("R > 0")
     ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.least("R", F.lit(k)).cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))
     out = []
     for k in cuts:
-        out += [(F.col(f"d{k}") / ideal(k)).alias(f"ndcg_cut_{k}"), (F.col(f"a{k}") / F.col("R")).alias(f"map_cut_{k}"), (F.col(f"h{k}") / F.col("R")).alias(f"recall_{k}"), (F.col(f"h{k}") / F.lit(float(k))).alias(f"P_{k}")]
+        hits, precisions, gain = _found(k)
+        out += [(gain / ideal(k)).alias(f"ndcg_cut_{k}"), (precisions / F.col("R")).alias(f"map_cut_{k}"), (hits / F.col("R")).alias(f"recall_{k}"), (hits / F.lit(float(k))).alias(f"P_{k}")]
     return rows.select("qid", *out)
 
 
