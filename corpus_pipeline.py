@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import bpe, decontamination, jaccard, langid, substring
-from siftline.llm.common import scratch, split_mod, table
+from siftline.llm.common import dropped, split_mod, table, written_at
 
 LEAST_SCORE = 0.5
 
@@ -75,11 +75,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; every stage's result is a Parquet table in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
+    docs, before = table(spark, sf_dir, "documents"), None
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            path = f"{scratch(spark)}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs, path = written_at(docs)
+            if before:
+                dropped(spark, before)  # the stage behind has read it
+            before = path
     return docs

@@ -50,7 +50,6 @@ COMMON = 2000
 CELL_BYTES = 8 << 20
 #: pivots that a cell is dealt to, and how often
 MOST_PIVOTS, DEPTH = 64, 4
-REMEMBERED = 20_000
 
 
 def shingle_sets(texts, size: int = SHINGLE):
@@ -96,14 +95,14 @@ def prefix_size(n):
     return n - (3 * n + 3) // 4 + 1
 
 
-def _sets(shared):
-    """Every row's set size; for rows that may have a link its fingerprint, leading shingles and, once per task, the set.
+def _may_link(shared):
+    """(batch, sizes, repeated, rows, hashes, offs, rank) of every slice: rows may have a link.
 
-    r: how many of the set's shingles are repeated in the corpus; it shares no others.
+    repeated: how many of a set's shingles are repeated in the corpus; it shares no others.
     """
 
     def run(batches):
-        rep, sent = Repeats(*shared.value), set()
+        rep = Repeats(*shared.value)
         for batch in chunked(batches):
             hashes, offs = shingle_sets(column(batch, "text"))
             keys = mix(hashes >> np.uint64(16))
@@ -111,21 +110,43 @@ def _sets(shared):
             sizes = np.diff(offs)
             once = np.concatenate([[0], np.cumsum(rank == 0)])
             once = once[offs[1:]] - once[offs[:-1]]
-            prints, leads, sets = [None] * len(sizes), [None] * len(sizes), [None] * len(sizes)
-            for i in np.flatnonzero((sizes > 0) & (once < prefix_size(sizes))).tolist():
+            yield batch, sizes, sizes - once, np.flatnonzero((sizes > 0) & (once < prefix_size(sizes))).tolist(), hashes, offs, rank
+
+    return run
+
+
+def _print(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
+def _prints(shared):
+    """Every row's set size, and the fingerprint of its set if it may have a link."""
+
+    def run(batches):
+        for batch, sizes, _, may, hashes, offs, _ in _may_link(shared)(batches):
+            prints = [None] * len(sizes)
+            for i in may:
+                prints[i] = _print(hashes[offs[i] : offs[i + 1]])
+            yield pa.RecordBatch.from_arrays([column(batch, "_k"), column(batch, "_fp"), pa.array(sizes.astype(np.int64)), pa.array(prints, pa.binary())], ["_k", "_fp", "n", "print"])
+
+    return run
+
+
+def _sets(shared):
+    """Size, repeated shingles, fingerprint, leading shingles and set of the rows that may have a link."""
+
+    def run(batches):
+        for _, sizes, repeated, may, hashes, offs, rank in _may_link(shared)(batches):
+            prints, leads, sets = [], [], []
+            for i in may:
                 own, r = hashes[offs[i] : offs[i + 1]], rank[offs[i] : offs[i + 1]]
-                raw = own.tobytes()
-                prints[i] = hashlib.blake2b(raw, digest_size=16).digest()
-                if prints[i] not in sent:
-                    sent.add(prints[i])
-                    first = np.argsort(r, kind="stable")[: prefix_size(len(own))]
-                    leads[i] = own[first[r[first] > 0]].view(np.int64)
-                    sets[i] = own.view(np.int64)
-            if len(sent) > REMEMBERED:
-                sent.clear()
+                prints.append(_print(own))
+                first = np.argsort(r, kind="stable")[: prefix_size(len(own))]
+                leads.append(own[first[r[first] > 0]].view(np.int64))
+                sets.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "_k"), column(batch, "_fp"), pa.array(sizes.astype(np.int64)), pa.array(sizes - once), pa.array(prints, pa.binary()), pa.array(leads, pa.list_(pa.int64())),
-                 pa.array(sets, pa.list_(pa.int64()))], ["_k", "_fp", "n", "r", "print", "lead", "set"])
+                [pa.array(sizes[may].astype(np.int64)), pa.array(repeated[may].astype(np.int64)), pa.array(prints, pa.binary()), pa.array(leads, pa.list_(pa.int64())),
+                 pa.array(sets, pa.list_(pa.int64()))], ["n", "r", "print", "lead", "set"])
 
     return run
 
@@ -221,16 +242,20 @@ def joined(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("_k"), _row_hash(docs).alias("_fp"), "text")
     fine = fineness(base)
     repeats = repeats_of(base.select("text").mapInArrow(_all_shingles(BUCKETS * fine), "q long, blob binary"), hot_least=COMMON, width=6, fine=fine)
-    whole, whole_path = written_at(base.mapInArrow(_sets(repeats), "_k long, _fp long, n long, r long, print binary, lead array<long>, set array<long>"))
+    rows = written(base.mapInArrow(_prints(repeats), "_k long, _fp long, n long, print binary"))
+
+    # equal sets are one class; of its rows the least alone carries the set, however many copies there are
+    least = F.min(F.struct(F.col("_k").isNull().alias("null"), "_k", "_fp"))
+    owners, owners_path = written_at(rows.where("print is not null").groupBy("print").agg(least.alias("own")).select(*_safe(F.col("own._k"), F.col("own._fp"))))
+    owned = base.select("text", *_safe(F.col("_k"), F.col("_fp"))).join(owners, _SAFE, "left_semi").select("text")
+    classes, classes_path = written_at(owned.mapInArrow(_sets(repeats), "n long, r long, print binary, lead array<long>, set array<long>").withColumn("x", F.monotonically_increasing_id()))
+    named = written(classes.groupBy("print").agg(F.min("x").alias("x")))
     repeats.destroy()
-
-    # equal sets are one class, named by the row number of a member that carries the set
-    classes = whole.where("set is not null").groupBy("print").agg(
-        F.first("n").alias("n"), F.first("r").alias("r"), F.first("lead").alias("lead"), F.first("set").alias("set"))
-    classes, classes_path = written_at(classes.withColumn("x", F.monotonically_increasing_id()))
-    rows = written(whole.select("_k", "_fp", "n", "print"))
-    named = written(classes.select("print", "x"))
-    dropped(docs.sparkSession, whole_path)
+    dropped(docs.sparkSession, owners_path)
+    if named.count() < classes.count():  # rows that are equal in every column
+        again = classes_path
+        classes, classes_path = written_at(classes.join(named.select("x"), "x", "left_semi").select(*classes.columns))
+        dropped(docs.sparkSession, again)
 
     near, near_path = written_at(_distances(classes))
     links = near.where("p <> x" ).where(100 * F.col("i") >= 75 * (F.col("n") + F.col("np") - F.col("i"))).select(F.col("p").alias("a"), F.col("x").alias("b"))
@@ -238,12 +263,19 @@ def joined(docs: DataFrame) -> DataFrame:
     labels = components(links.unionByName(more))
     labels = written(named.join(labels.withColumnRenamed("node", "x"), "x", "left").select("print", F.coalesce("component", "x").alias("c")))
     dropped(docs.sparkSession, classes_path, near_path)
-    least = F.min(F.struct(F.col("_k").isNull().alias("null"), "_k", "_fp")).alias("first")
-    firsts = rows.where("print is not null").select("_k", "_fp", "print").join(labels, "print").groupBy("c").agg(least)
+    firsts = rows.where("print is not null").select("_k", "_fp", "print").join(labels, "print").groupBy("c").agg(least.alias("first"))
     labels = labels.join(firsts, "c").select("print", "first")
     return rows.join(labels, "print", "left").select("_k", "_fp", F.col("n").alias("n_shingles"), "first")
 
 
+_SAFE = ["_n", "_k", "_fp"]
+
+
+def _safe(k, fp) -> list:
+    """A row's key by which null ids meet in a join."""
+    return [k.isNull().alias("_n"), F.coalesce(k, F.lit(0)).alias("_k"), fp.alias("_fp")]
+
+
 def _row_hash(docs: DataFrame):
     """A hash of the whole row: rows equal in it are copies of one row."""
     return F.xxhash64("text", F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])))
@@ -357,8 +389,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies: of each component the row of the least id stays (of several, that of the least row
     hash; of rows equal in all columns, one), and so do rows without words."""
     rows = written(joined(docs).where("first is not null").select("_k", "_fp", "first"))
-    key = ["_n", "_k", "_fp"]
-    safe = lambda k, fp: [k.isNull().alias("_n"), F.coalesce(k, F.lit(0)).alias("_k"), fp.alias("_fp")]
+    key, safe = _SAFE, _safe
     own = F.col("first._k").eqNullSafe(F.col("_k")) & (F.col("first._fp") == F.col("_fp"))
     lost = rows.where(~own).select(*safe(F.col("_k"), F.col("_fp"))).distinct()
     several = rows.where(own).groupBy("_k", "_fp").count().where("count > 1").select(*safe(F.col("_k"), F.col("_fp")))

@@ -344,7 +344,7 @@ def _train(shared):
         index = {x: i for i, x in enumerate(langs)}
         start = _start(len(pieces))
         sums = np.zeros((len(start), len(langs)))
-        for batch in chunked(batches, most=4 << 20):  # words are looked at once a slice
+        for batch in chunked(batches, most=2 << 20):  # words are looked at once a slice
             lang = np.array([index[x] for x in column(batch, "lang").to_pylist()])
             for rows, pieces in sliced(column(batch, "text").to_pylist()):
                 codes, inside, starts, ends, row, _ = vocabulary.words(pieces)

@@ -2,10 +2,12 @@
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -40,6 +42,20 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """What runs inside deletes its shuffle files when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
     return written_at(df)[0]
@@ -48,7 +64,8 @@ def written(df: DataFrame) -> DataFrame:
 def written_at(df: DataFrame) -> tuple[DataFrame, str]:
     """The table and its path, for dropped()."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
