@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
-#: queries of one broadcast block; its bytes are bounded by this times the dimension
-BLOCK = 4096
+#: queries of one broadcast block (an index, whose results are few, takes WIDE of them at once); its bytes are bounded by this times the dimension
+BLOCK = 8192
+WIDE = 4
+#: scores that a task computes at once
+CELLS = 1 << 20
 #: an index's pivots come from a sample of so many documents at most; all documents are indexed
 SAMPLE = 20_000
 GROUPS = 1024
@@ -32,16 +35,55 @@ def _ids(col) -> np.ndarray:
     return np.array(ids.tolist(), str) if ids.dtype == object else ids
 
 
-def _cut(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple:
-    """The k best of each row, ties by the least id: a partial selection, then a sort of the k; rows whose k-th score is tied are sorted whole."""
-    if sims.shape[1] <= k:
-        return ids, sims
-    at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    least = np.take_along_axis(sims, at, 1).min(1)
-    tied = np.flatnonzero((sims >= least[:, None]).sum(1) > k)
-    if len(tied):
-        at[tied] = np.lexsort((ids[tied], -sims[tied]))[:, :k]
-    return np.take_along_axis(ids, at, 1), np.take_along_axis(sims, at, 1)
+class Held:
+    """The k best documents of every query so far, ties by the least id.
+
+    Scores that a query's k-th rules out are dropped where they are computed; the others are gathered and sorted in from time to time.
+    """
+
+    def __init__(self, n: int, k: int, digits: int, floor: np.ndarray | None = None):
+        self.k, self.digits, self.floor = k, digits, np.full(n, -np.inf) if floor is None else floor.copy()
+        self.rows, self.gathered, self.most = [], 0, max(n * k, CELLS // 4)
+
+    def add(self, asked: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        """The documents of some queries (their numbers and vectors)."""
+        if not self.rows and len(v) > 2 * self.k and np.isneginf(self.floor[asked]).all():  # a floor to begin with, by partial selection
+            few = v[: 8 * self.k]
+            for i in range(0, len(asked), max(1, CELLS // len(few))):
+                some = slice(i, i + max(1, CELLS // len(few)))
+                self.floor[asked[some]] = -np.partition(-np.round(q[some] @ few.T, self.digits), self.k - 1, axis=1)[:, self.k - 1]
+            self.floor[np.isnan(self.floor)] = -np.inf
+        step = max(1, CELLS // max(1, len(asked)))
+        for a in range(0, len(v), step):
+            sims = q @ v[a : a + step].T
+            # what is under the floor by more than the rounding; not a number sorts last, but counts
+            row, at = np.nonzero(~(sims < (self.floor[asked] - 10.0 ** -self.digits)[:, None]))
+            if len(row):
+                score = np.round(sims[row, at], self.digits)
+                self.rows.append((asked[row].astype(np.int32), ids[a + at], score))
+                self.gathered += len(row)
+                if self.gathered > self.most:
+                    self._merge()
+
+    def _merge(self) -> None:
+        row, ids, score = (np.concatenate(x) for x in zip(*self.rows))
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        first = np.searchsorted(row, row)
+        keep = np.arange(len(row)) - first < self.k
+        row, ids, score = row[keep], ids[keep], score[keep]
+        ends = np.flatnonzero(np.append(row[1:] != row[:-1], True))
+        full = ends[np.diff(np.append(-1, ends)) == self.k]
+        self.floor[row[full]] = np.fmax(self.floor[row[full]], score[full])
+        self.rows, self.gathered = [(row, ids, score)], 0
+
+    def batch(self, qids: np.ndarray):
+        """The rows (qid, docid, score), or None."""
+        if not self.rows:
+            return None
+        self._merge()
+        row, ids, score = self.rows[0]
+        return pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids), pa.array(score)], ["qid", "docid", "score"])
 
 
 def _best(shared, k: int, digits: int):
@@ -49,18 +91,13 @@ def _best(shared, k: int, digits: int):
 
     def run(batches):
         qids, q = shared.value
-        held = None
+        held, every = Held(len(qids), k, digits), np.arange(len(qids))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sims = np.round(q @ _rows(batch.column(1)).T, digits)
-            ids = np.broadcast_to(_ids(batch.column(0)), sims.shape)
-            if held is not None:
-                ids, sims = np.hstack([held[0], ids]), np.hstack([held[1], sims])
-            held = _cut(ids, sims, k)
-        if held is not None:
-            n = held[0].shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(held[0].ravel()), pa.array(held[1].ravel())], ["qid", "docid", "score"])
+            if batch.num_rows:
+                held.add(every, q, _ids(batch.column(0)), _rows(batch.column(1)))
+        out = held.batch(qids)
+        if out is not None:
+            yield out
 
     return run
 
@@ -70,9 +107,9 @@ def _schema(queries: DataFrame, corpus: DataFrame) -> str:
     return f"qid {kind(queries, 'qid')}, docid {kind(corpus, 'docid')}, score double"
 
 
-def _in_blocks(queries: DataFrame, search, schema: str) -> DataFrame:
-    """The union of search(qids, matrix) over blocks of queries (qid, v) of at most BLOCK."""
-    blocks, rows = max(1, -(-queries.count() // BLOCK)), None
+def _in_blocks(queries: DataFrame, search, schema: str, blocks: int) -> DataFrame:
+    """The union of search(qids, matrix) over so many blocks of queries (qid, v)."""
+    rows = None
     for i in range(blocks):
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
         block = block.toArrow()
@@ -91,13 +128,19 @@ def _ranked(rows: DataFrame, k: int, without_self: bool) -> DataFrame:
 def topk(queries: DataFrame, corpus: DataFrame, k: int, dims: int | None = None, digits: int = 6, without_self: bool = True) -> DataFrame:
     """qid, docid, score, rank: the k documents (docid, v) nearest to each query (qid, v), ties by docid; ids are numbers or text.
 
-    Queries are broadcast in blocks of at most BLOCK; a block's documents are scored as matrix products in every task.
+    Queries are broadcast in blocks of some BLOCK; a block's documents are scored as matrix products in every task.  The more blocks
+    there are, the fewer tasks share the documents of each, as every task hands on k rows a query.
     """
     spark = queries.sparkSession
     cut = (lambda c: F.slice(c, 1, dims)) if dims else F.col
     corpus, queries = corpus.select("docid", cut("v").alias("v")), queries.select("qid", cut("v").alias("v"))
     schema, depth = _schema(queries, corpus), k + bool(without_self)
-    rows = _in_blocks(queries, lambda qids, q: corpus.mapInArrow(_best(spark.sparkContext.broadcast((qids, q)), depth, digits), schema), schema)
+    n, cores = queries.count(), spark.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // BLOCK), min(2 * cores, n // (BLOCK // 8)) if BLOCK >= 8 else 1)
+    tasks = max(1, min(max(2, -(-2 * cores // blocks)), -(-corpus.count() // BLOCK)))
+    found = corpus.rdd.getNumPartitions()
+    corpus = corpus.coalesce(tasks) if found > tasks else corpus.repartition(tasks) if found < tasks else corpus
+    rows = _in_blocks(queries, lambda qids, q: corpus.mapInArrow(_best(spark.sparkContext.broadcast((qids, q)), depth, digits), schema), schema, blocks)
     return _ranked(rows, k, without_self)
 
 
@@ -164,8 +207,8 @@ def _best_of_groups(shared, k: int, digits: int):
     """The best k of every query among a task's documents of the groups that the query visits."""
 
     def run(batches):
-        qids, q, visits = shared.value
-        held = [None] * len(qids)
+        qids, q, visits, floor = shared.value
+        held = Held(len(qids), k, digits, floor)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -173,20 +216,12 @@ def _best_of_groups(shared, k: int, digits: int):
             cuts = np.flatnonzero(np.diff(group)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)]):
                 asked = np.flatnonzero(visits[group[a]])
-                if not len(asked):
-                    continue
-                sims = np.round(q[asked] @ v[a:b].T, digits)
-                at, own = _cut(np.broadcast_to(ids[a:b], sims.shape), sims, k)
-                for i, x, s in zip(asked.tolist(), at, own):
-                    if held[i] is None:
-                        held[i] = (x, s)
-                    else:
-                        x, s = _cut(np.append(held[i][0], x)[None], np.append(held[i][1], s)[None], k)
-                        held[i] = (x[0], s[0])
-        some = [i for i, x in enumerate(held) if x is not None]
-        if some:
-            n = [len(held[i][0]) for i in some]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[some], n)), pa.array(np.concatenate([held[i][0] for i in some])), pa.array(np.concatenate([held[i][1] for i in some]))], ["qid", "docid", "score"])
+                for i in range(0, len(asked), BLOCK):
+                    some = asked[i : i + BLOCK]
+                    held.add(some, q[some], ids[a:b], v[a:b])
+        out = held.batch(qids)
+        if out is not None:
+            yield out
 
     return run
 
@@ -209,16 +244,18 @@ def search(queries: DataFrame, at: Index, k: int, digits: int = 6, without_self:
     schema, depth = _schema(queries, at.members), k + bool(without_self)
     count = {"compared": 0, "skipped": 0}
 
-    def scan(qids, q, visits):
+    def scan(qids, q, visits, floor=None):
         groups = np.flatnonzero(visits.any(0)).tolist()  # at most GROUPS numbers
         rows = at.members.where(F.col("group").isin(groups))
-        return rows.mapInArrow(_best_of_groups(spark.sparkContext.broadcast((qids, q, visits.T.copy())), depth, digits), schema)
+        return rows.mapInArrow(_best_of_groups(spark.sparkContext.broadcast((qids, q, visits.T.copy(), floor)), depth, digits), schema)
 
     def block(qids, q):
         if not len(at.size):
             return spark.createDataFrame([], schema)
-        bounds = q @ at.pivots.T + np.sqrt((q * q).sum(1))[:, None] * at.radius
-        first = first_groups(bounds, at.size, depth)
+        # a slice of queries at a time: a number a query and group
+        parts = [slice(i, i + BLOCK // 4 + 1) for i in range(0, len(q), BLOCK // 4 + 1)]
+        bound = lambda p: q[p] @ at.pivots.T + np.sqrt((q[p] * q[p]).sum(1))[:, None] * at.radius
+        first = np.concatenate([first_groups(bound(p), at.size, depth) for p in parts])
         begun = written(scan(qids, q, first))
         w = Window.partitionBy("qid").orderBy(F.desc("score"))
         kth = begun.withColumn("n", F.row_number().over(w)).where(F.col("n") <= depth).groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == depth)
@@ -226,14 +263,17 @@ def search(queries: DataFrame, at: Index, k: int, digits: int = 6, without_self:
         floor = np.full(len(qids), -np.inf)
         order = np.argsort(qids)
         floor[order[np.searchsorted(qids[order], _ids(kth["qid"]))]] = kth["floor"].to_numpy()
-        slack = 10.0 ** -digits + 1e-9 * np.abs(bounds)
-        second = (bounds + slack >= floor[:, None]) & ~first & (at.size > 0)
-        compared = int(((first | second) * at.size).sum())
+        second = np.zeros_like(first)
+        for p in parts:
+            bounds = bound(p)
+            slack = 10.0 ** -digits + 1e-9 * np.abs(bounds)
+            second[p] = (bounds + slack >= floor[p, None]) & ~first[p] & (at.size > 0)
+        compared = int(((first | second).sum(0) * at.size).sum())
         count["compared"] += compared
         count["skipped"] += len(qids) * int(at.size.sum()) - compared
-        return begun.unionByName(scan(qids, q, second))
+        return begun.unionByName(scan(qids, q, second, floor))
 
-    rows = _in_blocks(queries, block, schema)
+    rows = _in_blocks(queries, block, schema, max(1, -(-queries.count() // (WIDE * BLOCK))))
     if report is not None:
         report.update(count)
     return _ranked(rows, k, without_self)

@@ -347,3 +347,19 @@ def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 99, 50).astype(np.uint64)
     for width in (1, 2, 5, 16, 17, 50, 51):
         assert sliding_min(x, width).tolist() == [x[i : i + width].min() for i in range(50 - width + 1)]
+
+
+def test_jaccard_carries_each_set_once(frame, monkeypatch):
+    """Copies in several tasks cost a fingerprint each; their set is written for one of them."""
+    held, real = [], jaccard.written_at
+
+    def spied(df):
+        out = real(df)
+        if "set" in out[0].columns:
+            held.append(out[0].where("set is not null").count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written_at", spied)
+    text = "one two three four five six seven eight nine ten"
+    found = rows(jaccard.near_duplicates(frame([(i, text) for i in range(12)], parts=6)))
+    assert held == [1] and {r[2] for r in found} == {0}

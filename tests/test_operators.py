@@ -663,3 +663,23 @@ def test_a_split_of_the_view_opens_its_own_files(spark, tmp_path):
     scan = plan.collectLeaves().head() if hasattr(plan, "collectLeaves") else plan
     assert scan.metrics().apply("numFiles").value() == 2  # of eight
     assert files.splits(spark, str(tmp_path), "query_id bigint").where("split = 'none'").count() == 0
+
+
+def test_dense_scores_are_held_in_bounded_pieces(monkeypatch):
+    """A task holds the results and CELLS scores, not all of a batch's, and finds the same: ties, and numbers that are none."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    q, v = np.round(rng.normal(size=(40, 8)), 1), np.round(rng.normal(size=(900, 8)), 1)
+    v[100:160] = v[7]
+    q[3] = np.nan
+    monkeypatch.setattr(dense, "CELLS", 400)
+    held = dense.Held(40, 5, 3)
+    for a in range(0, 900, 300):
+        held.add(np.arange(40), q, np.arange(a, a + 300), v[a : a + 300])
+        assert held.gathered <= held.most
+    got = held.batch(np.arange(40)).to_pydict()
+    sims = np.round(q @ v.T, 3)
+    for i in range(40):
+        own = [d for n, d in zip(got["qid"], got["docid"]) if n == i]
+        assert own == np.lexsort((np.arange(900), -sims[i]))[:5].tolist()
