@@ -93,10 +93,15 @@ sc AS (SELECT qid, docid, old, new, CASE WHEN old >= new THEN new / old - 1 ELSE
 """
 
 
-def _shifts(spark, d):
+def _original(spark, d):
+    """The run over all dimensions, searched once and read several times."""
+    return written(_run(spark, d, 50).select("qid", "docid", "score", "rank"))
+
+
+def _shifts(spark, d, og=None):
     """The run over all dimensions against the run over the first half; the best five of the former have changed."""
-    og = _run(spark, d, 50).select("qid", "docid", "score", "rank")
-    ch = _run(spark, d, 50, 32).select("qid", "docid", "score")
+    og = _original(spark, d) if og is None else og
+    ch = written(_run(spark, d, 50, 32).select("qid", "docid", "score"))
     return ranking.rank_shift(og.drop("rank"), ch, og.where("rank <= 5").select("qid", "docid"))
 
 
@@ -123,8 +128,9 @@ def pmrr_macro(spark, d):
 @_R.add("topic_table", f"WITH {_SHIFTS}, {_metrics_sql('og', 'm', (20,))}, p AS (SELECT qid, avg(shift) AS p_mrr FROM sc WHERE old <> new GROUP BY 1) SELECT qid, round(ndcg_cut_20, 6) AS ndcg_cut_20, round(p_mrr, 6) AS p_mrr FROM m LEFT JOIN p USING (qid)")
 def topic_table(spark, d):
     """All topics with the mean shift of the documents that moved, for those that have any."""
-    per = ranking.per_query_by_class(_run(spark, d, 50), _classes(spark, d), (20,)).select("qid", "ndcg_cut_20")
-    shifts = ranking.pmrr(_shifts(spark, d).where("old <> new"))
+    og = _original(spark, d)
+    per = ranking.per_query_by_class(og, _classes(spark, d), (20,)).select("qid", "ndcg_cut_20")
+    shifts = ranking.pmrr(_shifts(spark, d, og).where("old <> new"))
     return ranking.topic_table(per, shifts, both=False).select("qid", F.round("ndcg_cut_20", 6).alias("ndcg_cut_20"), F.round("p_mrr", 6).alias("p_mrr"))
 
 
@@ -134,7 +140,7 @@ x AS (SELECT coalesce(r.qid, o.qid) AS qid, r.docid AS a, o.docid AS b FROM r FU
 SELECT qid, count(a) AS n_run, count(b) AS n_official, count_if(a IS NULL) AS missing, count_if(b IS NULL) AS extra, count_if(a IS NULL) = 0 AND count_if(b IS NULL) = 0 AS valid FROM x GROUP BY 1
 """)
 def candidate_validation(spark, d):
-    og = _run(spark, d, 20).select("qid", "docid")
+    og = written(_run(spark, d, 20).select("qid", "docid"))
     run = og.where(draw(5, "qid", "docid") >= 0.02).unionByName(og.select("qid").distinct().where(draw(6, "qid") < 0.1).withColumn("docid", F.col("qid")))
     return ranking.validate_candidates(run, og)
 
@@ -319,8 +325,9 @@ WITH {_SHIFTS}, {_metrics_sql('og', 'm', (20,))}, p AS (SELECT qid, avg(shift) A
 """)
 def both_metrics(spark, d):
     """The topics that have both metrics."""
-    per = ranking.per_query_by_class(_run(spark, d, 50), _classes(spark, d), (20,)).select("qid", "ndcg_cut_20")
-    return _rounded(ranking.topic_table(per, ranking.pmrr(_shifts(spark, d).where("old <> new"))), "qid", "ndcg_cut_20", "p_mrr")
+    og = _original(spark, d)
+    per = ranking.per_query_by_class(og, _classes(spark, d), (20,)).select("qid", "ndcg_cut_20")
+    return _rounded(ranking.topic_table(per, ranking.pmrr(_shifts(spark, d, og).where("old <> new"))), "qid", "ndcg_cut_20", "p_mrr")
 
 
 @_R.add("first_queries", """
