@@ -636,8 +636,11 @@ def train_rows_full(spark, d):
     side = lambda q, text, positive: F.struct(q.alias("query_id"), text.alias("text"), positive.alias("positive_id"))
     asked = rec.select("occurrence", F.inline(F.array(side(qid, std, F.col("rewritten_original_positive.id")), side(F.concat(qid, F.lit("-instruct")), ins, F.col("final_positive.id")))))
     asked = written(asked.withColumn("qid", F.concat_ws("#", "query_id", "occurrence")))
-    best = bm25.best(asked.select("qid", "text"), bm25.index(registry, [asked.select("qid", "text")]), 35)
-    negatives = records.mined_negatives(best, asked.select("qid", "query_id", "occurrence", "positive_id"), registry)
+    # a text is searched once, however many rows ask it
+    texts = written(asked.groupBy("text").agg(F.min("qid").alias("qid")))
+    best = written(bm25.best(texts, bm25.index(registry, [texts]), 35))
+    asked = asked.join(texts.withColumnRenamed("qid", "first"), "text")
+    negatives = records.mined_lists(best, asked.select("first", "query_id", "occurrence", "positive_id"), registry)
     return _flat(records.training_rows(rec, registry, 42, negatives))
 
 

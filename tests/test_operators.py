@@ -683,3 +683,15 @@ def test_dense_scores_are_held_in_bounded_pieces(monkeypatch):
     for i in range(40):
         own = [d for n, d in zip(got["qid"], got["docid"]) if n == i]
         assert own == np.lexsort((np.arange(900), -sims[i]))[:5].tolist()
+
+
+def test_mined_lists_equal_mined_negatives(spark):
+    """Rows that ask the same and lack the same document share a list."""
+    best = spark.createDataFrame([("a", f"d{i}", i) for i in range(1, 6)] + [("b", "d9", 1)], "qid string, docid string, rank int")
+    asked = spark.createDataFrame([("a", "x", 1, "d2"), ("a", "y", 2, "none"), ("a", "z", 3, "d5"), ("a", "w", 4, "none"), ("b", "v", 5, "d9"), ("a", "u", 6, None)], "first string, query_id string, occurrence int, positive_id string")
+    docs = spark.createDataFrame([(f"d{i}", f"t{i}", "") for i in range(10)], "docid string, text string, title string")
+    which, lists = records.mined_lists(best, asked, docs, 3)
+    got = {r.query_id: [p["docid"] for p in r.negative_passages or []] for r in which.join(lists, ["first", "skip"], "left").collect()}
+    old = records.mined_negatives(best, asked.withColumnRenamed("first", "qid"), docs, 3).collect()
+    want = {q: [r.docid for r in sorted((r for r in old if r.query_id == q), key=lambda r: r["rank"])] for q in "xyzwv"}
+    assert got == want and lists.count() == 3
