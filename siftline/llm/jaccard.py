@@ -18,7 +18,8 @@ at most TAU = 1/4, decided on whole counts.
 5. Windows.  A region is cut into rings of width TAU around its pivot.  By the triangle
    inequality a class links only within its ring or the next, so the classes of the
    ring before that lie within TAU of a ring's nearest native are copied into it.
-   Rings where all are linked already are not looked at.
+   Rings where all are linked already are not looked at, nor are members without an
+   unconnected one near their size (linked sets differ by 4/3 at most).
 6. Recursion.  A ring of more than CELL_BYTES of sets is dealt to further pivots, by
    hyperplane (at most 2 TAU beyond the home's distance) and radius (at most TAU beyond
    the cell's), again and again; one that no pivots split (all distances alike) meets in
@@ -48,6 +49,8 @@ TAU = 0.25
 COMMON = 2000
 #: bytes of sets of a cell that is solved at once
 CELL_BYTES = 8 << 20
+#: bits of the map that finds the owners' rows: each, and at most
+OWNER_BITS, OWNER_MAP = 64, 1 << 28
 #: pivots that a cell is dealt to, and how often
 MOST_PIVOTS, DEPTH = 64, 4
 
@@ -151,6 +154,69 @@ def _sets(shared):
     return run
 
 
+_HASHES = 4
+
+
+def _places(fp: np.ndarray, own: int):
+    """The bits of a row hash in its segment of own bits."""
+    x = mix(fp.view(np.uint64))
+    for _ in range(_HASHES):
+        yield (x % np.uint64(own)).astype(np.int64)
+        x = mix(x + np.uint64(1))
+
+
+def _segment_of(fp: np.ndarray) -> np.ndarray:
+    return dealt(mix(fp.view(np.uint64) + np.uint64(1)), BUCKETS)
+
+
+def _dealt_owners(batches):
+    for batch in batches:
+        fp = longs(batch, "_fp")
+        yield pa.RecordBatch.from_arrays([pa.array(_segment_of(fp)), pa.array(fp)], ["q", "_fp"])
+
+
+def _owner_segments(own: int):
+    def run(batches):
+        for q, held in grouped(batches, "q"):
+            flags = np.zeros(own, bool)
+            for b in held:
+                for at in _places(longs(b, "_fp"), own):
+                    flags[at] = True
+            yield pa.RecordBatch.from_arrays([pa.array([q], pa.int64()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["q", "segment"])
+
+    return run
+
+
+def _owner_map(owners: DataFrame):
+    """A broadcast bitmap of the owners' row hashes, of OWNER_MAP bits at most: the texts need not be dealt to meet their owners.
+
+    A row that it finds by mistake only gives a class twice.
+    """
+    spark = owners.sparkSession
+    own = 64 * max(1, min(OWNER_BITS * owners.count(), OWNER_MAP) // (BUCKETS * 64))
+    bitmap = np.zeros(BUCKETS * own // 8, np.uint8)
+    at = owners.select("_fp").mapInArrow(_dealt_owners, "q long, _fp long").repartition(min(parts(spark), BUCKETS), "q").sortWithinPartitions("q")
+    for r in at.mapInArrow(_owner_segments(own), "q long, segment binary").toLocalIterator():  # OWNER_MAP bits at most
+        bitmap[r.q * own // 8 : (r.q + 1) * own // 8] = np.frombuffer(r.segment, np.uint8)
+    return spark.sparkContext.broadcast((own, bitmap))
+
+
+def _owned(shared):
+    """The texts of the rows that may own a class."""
+
+    def run(batches):
+        own, bitmap = shared.value
+        for batch in batches:
+            fp = longs(batch, "_fp")
+            base, there = _segment_of(fp) * own, np.ones(len(fp), bool)
+            for at in _places(fp, own):
+                at = at + base
+                there &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([column(batch, "text").filter(pa.array(there))], ["text"])
+
+    return run
+
+
 def _linked(inter, a, b):
     """100 * intersection >= 75 * union, on whole counts."""
     return 100 * inter >= 75 * (a + b - inter)
@@ -247,12 +313,14 @@ def joined(docs: DataFrame) -> DataFrame:
     # equal sets are one class; of its rows the least alone carries the set, however many copies there are
     least = F.min(F.struct(F.col("_k").isNull().alias("null"), "_k", "_fp"))
     owners, owners_path = written_at(rows.where("print is not null").groupBy("print").agg(least.alias("own")).select(*_safe(F.col("own._k"), F.col("own._fp"))))
-    owned = base.select("text", *_safe(F.col("_k"), F.col("_fp"))).join(owners, _SAFE, "left_semi").select("text")
+    found = _owner_map(owners)
+    owned = base.select("text", "_fp").mapInArrow(_owned(found), "text string")
     classes, classes_path = written_at(owned.mapInArrow(_sets(repeats), "n long, r long, print binary, lead array<long>, set array<long>").withColumn("x", F.monotonically_increasing_id()))
     named = written(classes.groupBy("print").agg(F.min("x").alias("x")))
     repeats.destroy()
+    found.destroy()
     dropped(docs.sparkSession, owners_path)
-    if named.count() < classes.count():  # rows that are equal in every column
+    if 1.01 * named.count() < classes.count():  # rows that are equal in every column; a few classes that are there twice do no harm
         again = classes_path
         classes, classes_path = written_at(classes.join(named.select("x"), "x", "left_semi").select(*classes.columns))
         dropped(docs.sparkSession, again)
@@ -301,16 +369,19 @@ def _distances(classes: DataFrame) -> DataFrame:
 def _within_regions(near: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Links between members of a region that its pivot does not connect."""
     label = labels.select(F.col("node").alias("x"), "component")
-    own = near.select("p", "x", "n", "r", "d").join(label, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    # what sizes alone say of an unmeasured distance
+    beyond = F.greatest(F.lit(2 * TAU), 1 - F.least("n", "np") / F.greatest("n", "np"))
+    own = near.select("p", "x", "n", "r", "d", F.when(F.col("d").isNull(), beyond).otherwise(F.col("d")).alias("far")).join(label, "x", "left").withColumn("component", F.coalesce("component", "x"))
     # regions with members that are not connected yet
     open_ = own.groupBy("p").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("p")
     # the home of a class is its nearest pivot; itself, if it is one
     home = near.groupBy("x").agg(F.min(F.struct(F.coalesce("d", F.lit(1.0)).alias("d"), "p"))["p"].alias("home"))
     own = written(own.join(open_, "p").join(home, "x"))
-    # ring k lies at k * TAU .. (k + 1) * TAU; an unmeasured distance is beyond 2 * TAU, and a class of it is native to both outer rings
-    rings = F.when(F.col("d").isNull(), F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.greatest(F.ceil(F.col("d") / TAU - 1e-9) - 1, F.lit(0)).cast("int")))
+    # ring k lies at k * TAU .. (k + 1) * TAU; an unmeasured distance is beyond 2 * TAU, and a class of it is native to both outer rings, or to the last
+    ring = F.greatest(F.ceil(F.col("far") / TAU - 1e-9) - 1, F.lit(0)).cast("int")
+    rings = F.when(F.col("d").isNull() & (F.col("far") <= 3 * TAU + 1e-9), F.array(F.lit(2), F.lit(3))).otherwise(F.array(ring))
     native = own.withColumn("ring", F.explode(rings))
-    nearest = native.groupBy("p", "ring").agg(F.min(F.coalesce("d", F.lit(2 * TAU))).alias("d0"))
+    nearest = native.groupBy("p", "ring").agg(F.min("far").alias("d0"))
     before = native.where("d is not null").withColumn("ring", F.col("ring") + 1).join(nearest, ["p", "ring"]).where(F.col("d") >= F.col("d0") - TAU - 1e-9).drop("d0")
     members = native.withColumn("side", F.lit(3)).unionByName(before.withColumn("side", F.lit(1)))
     cells = members.select(F.concat_ws("/", "p", "ring").alias("cell"), "x", "n", "r", "d", "home", "component", F.col("side").cast("long").alias("side"))
@@ -339,9 +410,15 @@ def _within_regions(near: DataFrame, sets: DataFrame, labels: DataFrame) -> Data
 
 
 def _open(cells: DataFrame) -> DataFrame:
-    """The cells with natives that are not connected yet to all others."""
-    some = cells.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("side").alias("s")).where("c0 <> c1 and s > 1")
-    return cells.join(some.select("cell"), "cell", "left_semi")
+    """The members of cells that may have a link there: some native is near in size, and not all that are near in size are connected yet.
+
+    Linked sets differ by 4/3 in size at most, so that they lie in one class of sizes or in neighbouring ones.
+    """
+    sized = cells.withColumn("size", F.floor(F.log("n") / float(1.000001 * np.log(4 / 3))).cast("int"))
+    near = sized.groupBy("cell", "size").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("side").alias("s"))
+    near = near.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    some = near.groupBy("cell", "size").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.max("s").alias("s")).where("c0 <> c1 and s > 1")
+    return sized.join(some.select("cell", "size"), ["cell", "size"], "left_semi").select(*cells.columns)
 
 
 def _dealt_on(large: DataFrame, sets: DataFrame, level: int) -> tuple:

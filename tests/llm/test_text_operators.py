@@ -182,6 +182,23 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_jaccard_drops_members_of_no_near_size(spark):
+    """In a cell, sets of a size that no unconnected set is near to are not dealt; sets of near sizes are, and those that are copies alone are not."""
+    kinds = "cell string, x long, n long, component long, side long"
+    rows_ = [("a", 1, 10, 1, 3), ("a", 2, 100, 2, 3), ("b", 3, 30, 3, 3), ("b", 4, 40, 4, 1), ("b", 5, 90, 5, 3), ("c", 6, 30, 6, 1), ("c", 7, 31, 7, 1), ("c", 8, 99, 8, 3), ("d", 9, 50, 9, 3), ("d", 10, 50, 9, 3)]
+    assert sorted(r.x for r in jaccard._open(spark.createDataFrame(rows_, kinds)).collect()) == [3, 4]
+
+
+def test_jaccard_owners_are_found_without_a_join(spark):
+    """The map of owners finds every owner and few other rows, and no text is dealt for it."""
+    owners = spark.range(0, 2000, 4).select(F.xxhash64("id").alias("_fp"))
+    rows_ = spark.range(2000).select(F.col("id").cast("string").alias("text"), F.xxhash64("id").alias("_fp"))
+    found = rows_.mapInArrow(jaccard._owned(jaccard._owner_map(owners)), "text string")
+    got = {int(r.text) for r in found.collect()}
+    assert got >= set(range(0, 2000, 4)) and len(got) < 520
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lm_base_score_is_exact(spark, frame, prose):
     docs = frame(prose).select("doc_id", "text", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)).alias("held_out"))
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
