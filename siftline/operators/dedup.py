@@ -79,7 +79,7 @@ def last_wins(rows: DataFrame, key: str, value: str, line: str) -> DataFrame:
 def requeue(deleted: DataFrame, succeeded: DataFrame, lines: DataFrame, key: str = "qid", order=("file", "line")) -> DataFrame:
     """The first line of every deleted key that has no success, over files in order."""
     missing = deleted.select(key).distinct().join(succeeded.select(key), key, "left_anti")
-    return first_rows(lines.join(missing, key, "left_semi"), key, *order)
+    return first_rows(lines, key, *order).join(missing, key, "left_semi")  # one row a key is joined, and the lines are sorted once
 
 
 def numbered(df: DataFrame, *order: str, name: str = "rn") -> DataFrame:

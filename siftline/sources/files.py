@@ -1,5 +1,6 @@
 """Readers and writers: TSV, JSONL, sharded Parquet, predictions, results.  Schemas are declared, never inferred."""
 import json
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +11,24 @@ from ..functions.text import strip
 from .scratch import written
 
 
+def _told_apart(names: list) -> tuple:
+    """(start, length) of the part of the names (from 1, as substring counts) by which they differ: it orders them as they are ordered."""
+    names = sorted(names)
+    shared = len(os.path.commonprefix(names))
+    return shared + 1, max((len(os.path.commonprefix(two)) for two in zip(names, names[1:])), default=shared) - shared + 1
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """value, file, line of text files: line orders the rows of all files as they stand there.
 
-    It is where a row was read, (file, first byte of its split, number in the task), so that order needs no numbering and no shuffle:
-    a split is read by one task from its first row to its last.  For consecutive numbers see operators.dedup.numbered.
+    It is where a row was read, (what tells its file's name from the others, first byte of its split, number in the task), so that order needs
+    no numbering and no shuffle: a split is read by one task from its first row to its last.  A row does not carry its path, which would be
+    most of what a sort by line holds.  For consecutive numbers see operators.dedup.numbered.
     """
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("line"))
+    name = F.col("_metadata.file_path")
+    names = spark.read.format("binaryFile").load(path).select(name.alias("file")).collect()  # a row per file, of which no content is read
+    at = F.struct(F.substring(name, *_told_apart([r.file for r in names])).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return spark.read.text(path).select("value", name.alias("file"), at.alias("line"))
 
 
 def id_texts(spark: SparkSession, path: str) -> DataFrame:

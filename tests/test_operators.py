@@ -695,3 +695,15 @@ def test_mined_lists_equal_mined_negatives(spark):
     old = records.mined_negatives(best, asked.withColumnRenamed("first", "qid"), docs, 3).collect()
     want = {q: [r.docid for r in sorted((r for r in old if r.query_id == q), key=lambda r: r["rank"])] for q in "xyzwv"}
     assert got == want and lists.count() == 3
+
+
+def test_lines_carry_no_paths(spark, tmp_path):
+    """The order of lines is by file and place, and holds no more of a path than tells the files apart: rows that are sorted by it are narrow."""
+    for name, text in (("b.txt", "3\n4\n"), ("a.txt", "1\n2\n"), ("c d.txt", "5\n")):
+        (tmp_path / name).write_text(text)
+    found = files.lines(spark, str(tmp_path))
+    assert [(r.value, r.line.file) for r in found.orderBy("line").collect()] == [("1", "a"), ("2", "a"), ("3", "b"), ("4", "b"), ("5", "c")]
+    assert found.where("file like '%/b.txt'").count() == 2
+    for names in (["x"], ["part-00000-u", "part-00001-u", "part-00010-u"], ["a", "ab", "abc", "b"], ["ab", "a", "aé", "a🙂"], []):
+        start, size = files._told_apart(names)
+        assert sorted(names, key=lambda x: x[start - 1 : start - 1 + size]) == sorted(names) and len({x[start - 1 : start - 1 + size] for x in names}) == len(names)
