@@ -5,10 +5,12 @@ token.  Training counts tokens and pairs of neighbours (a pair spans the start o
 the text, too).  A count c is kept as its level 1 + floor(log_BASE c); an n-gram is
 put into the filter once for each level up to its own, so that a reader probes
 level 1, 2, ... until one is absent.  Every token and every pair enters the filter,
-which has `bits_each` bits an entry at every size, in one segment for each
-bucket of hashes.  A filter of up to `most_bits` bits is broadcast; the segments of a
-larger one stay apart, and the n-grams of each chunk of texts are sent to them and
-come back with their levels.  Both ways probe the same bits and give the same score.
+which has `bits_each` bits an entry at every size.  Hashes are dealt to CELLS cells, whose
+sizes follow their own entries, so that a bucket of cells makes its segment where its n-grams
+are counted, and the bits do not depend on the number of buckets.  A filter of up to
+`most_bits` bits is broadcast; the segments of a larger one stay apart, and the n-grams
+of each chunk of texts are sent to them; their levels alone come back, a byte each, in the
+order in which they were asked.  Both ways probe the same bits and give the same score.
 
 Score: log10 of the product over tokens of
     (c(v, w) + MU * P(w)) / (c(v) + MU),   P(w) = (c(w) + 1) / (N + V + 1)
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, column, grouped, longs, parts, split_mod, table, written
+from .common import chunked, column, dropped, grouped, longs, parts, split_mod, table, trimmed, written, written_at
 from .substring import fineness
 from .textops import Words, dealt, mix, runs
 
@@ -39,6 +41,8 @@ MU = 2000.0
 HASHES = 3
 HOT_WORDS = 1_000_000
 BUCKETS = 512
+#: cells of the filter, each with its own number of bits; buckets are runs of cells
+CELLS = 1 << 16
 _END_TOKEN = np.uint64(0xA0761D6478BD642F)
 _START_TOKEN = np.uint64(0xE7037ED1A0B428DB)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -67,15 +71,20 @@ class Tokens:
         self.first = first
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a hash: whole cells, in the order of the hashes."""
+    return dealt(keys, CELLS) * buckets // CELLS
+
+
 def _blobs(keys: np.ndarray, counts: np.ndarray, kind: int, buckets: int):
-    q = dealt(keys, buckets)
+    q = bucket_of(keys, buckets)
     starts, sizes = runs(q)
     for a, n in zip(starts.tolist(), sizes.tolist()):
-        yield int(q[a]) * 2 + kind, keys[a : a + n].tobytes(), counts[a : a + n].astype(np.uint32).tobytes()
+        yield int(q[a]), kind, keys[a : a + n].tobytes(), counts[a : a + n].astype(np.uint32).tobytes()
 
 
 def _count(buckets: int):
-    """(q, keys, counts) of tokens (even q) and pairs (odd q), added up over a few chunks."""
+    """(q, kind, keys, counts) of tokens (kind 0) and pairs (1), added up over a few chunks."""
 
     def run(batches):
         for batch in chunked(batches, most=2 << 20):
@@ -83,28 +92,43 @@ def _count(buckets: int):
             rows = []
             for kind, keys in ((0, np.append(tokens.hash, np.full(tokens.rows, _START_TOKEN, np.uint64))), (1, tokens.pair)):
                 rows += _blobs(*np.unique(keys, return_counts=True), kind, buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["q", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["q", "kind", "keys", "counts"])
 
     return run
 
 
-def _added(batches):
-    for q, held in grouped(batches, "q"):
-        keys = np.frombuffer(b"".join(x for b in held for x in column(b, "keys").to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(x for b in held for x in column(b, "counts").to_pylist()), np.uint32)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order].astype(np.int64)
-        starts, _ = runs(keys)
-        sums = np.add.reduceat(counts, starts)
-        keys = keys[starts]
-        levels = level_of(sums)
-        token = (keys != _START_TOKEN) if not q % 2 else np.zeros(len(keys), bool)
-        by_level = np.bincount(levels[token], minlength=64)[:64]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([q], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary()),
-             pa.array([int(levels.sum())], pa.int64()), pa.array([int(token.sum())], pa.int64()), pa.array([int(sums[token].sum())], pa.int64()),
-             pa.array([by_level.tolist()], pa.list_(pa.int64()))],
-            ["q", "keys", "counts", "entries", "distinct", "total", "by_level"])
+def _summed(blobs: list, kind: int) -> tuple:
+    """(keys, sums) of a kind's n-grams, in the order of the keys."""
+    keys = np.frombuffer(b"".join(k for own, k, _ in blobs if own == kind), np.uint64)
+    counts = np.frombuffer(b"".join(c for own, _, c in blobs if own == kind), np.uint32)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order].astype(np.int64)
+    starts, _ = runs(keys)
+    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def _added(bits_each: int, buckets: int):
+    """Of each bucket its tokens with their counts, and its segment of the filter with the words of 64 bits that each of its cells has."""
+
+    def run(batches):
+        for q, held in grouped(batches, "q"):
+            blobs = [x for b in held for x in zip(longs(b, "kind").tolist(), column(b, "keys").to_pylist(), column(b, "counts").to_pylist())]
+            (keys, sums), (pairs, pair_sums) = _summed(blobs, 0), _summed(blobs, 1)
+            every, levels = np.append(keys, pairs), level_of(np.append(sums, pair_sums))
+            first = -(-q * CELLS // buckets)
+            entries = np.bincount(dealt(every, CELLS) - first, weights=levels, minlength=-(-(q + 1) * CELLS // buckets) - first).astype(np.int64)
+            lbf = Filter(64 * -(-bits_each * entries // 64), None, first=first)
+            flags = np.zeros(int(lbf.own.sum()), bool)
+            lbf.put(every, levels, flags)
+            token = keys != _START_TOKEN
+            by_level = np.bincount(level_of(sums[token]), minlength=64)[:64]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([q], pa.int64()), pa.array([keys[token].tobytes()], pa.binary()), pa.array([sums[token].tobytes()], pa.binary()),
+                 pa.array([int(token.sum())], pa.int64()), pa.array([int(sums[token].sum())], pa.int64()), pa.array([by_level.tolist()], pa.list_(pa.int64())),
+                 pa.array([(lbf.own // 64).astype(np.uint32).tobytes()], pa.binary()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())],
+                ["q", "keys", "counts", "distinct", "total", "by_level", "sizes", "segment"])
+
+    return run
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -121,33 +145,47 @@ def greatest_of(levels: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """The Bloom filter, in one segment of `own` bits for each bucket of hashes."""
-
-    def __init__(self, own: int, bitmap: np.ndarray, buckets: int = BUCKETS):
-        self.own, self.map, self.buckets = own, bitmap, buckets
-
-    def _places(self, keys, level: int, base):
+    """The Bloom filter: of `own` bits for each of `buckets` buckets of hashes, or of own[i] bits for the cell `first` + i."""
+
+    def __init__(self, own, bitmap: np.ndarray, buckets: int = BUCKETS, first: int = 0):
+        self.own, self.map, self.buckets, self.first = own, bitmap, buckets, first
+        self.cells = isinstance(own, np.ndarray)
+        if self.cells:
+            self.base = np.cumsum(own) - own
+
+    def _cell(self, keys):
+        """(first bit, bits) of the part of the filter that holds the keys."""
+        if not self.cells:
+            return dealt(keys, self.buckets) * self.own, np.full(len(keys), self.own, np.uint64)
+        at = dealt(keys, CELLS) - self.first
+        return self.base[at], self.own[at].astype(np.uint64)
+
+    def _places(self, keys, level: int, base, own):
         x = mix(keys + np.uint64(level * _LEVEL % (1 << 64)))
         for _ in range(HASHES):
-            yield base + (x % np.uint64(self.own)).astype(np.int64)
+            yield base + (x % own).astype(np.int64)
             x = mix(x + np.uint64(1))
 
     def put(self, keys: np.ndarray, levels: np.ndarray, flags: np.ndarray) -> None:
-        level, left = 1, keys
+        """Sets flags, of the filter's cells or of the keys' one bucket."""
+        base, own = self._cell(keys)
+        if not self.cells:
+            base = np.zeros(len(keys), np.int64)
+        left, level = np.arange(len(keys)), 1
         while len(left):
-            for at in self._places(left, level, 0):
+            for at in self._places(keys[left], level, base[left], own[left]):
                 flags[at] = True
-            left = keys[levels > level]
+            left = left[levels[left] > level]
             level += 1
 
-    def levels(self, keys: np.ndarray, alone: bool = False) -> np.ndarray:
-        """The level of each hash: the number of levels found before the first that is absent.  alone: the map is the keys' segment."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each hash: the number of levels found before the first that is absent."""
         out = np.zeros(len(keys), np.int64)
-        base = np.zeros(len(keys), np.int64) if alone else dealt(keys, self.buckets) * self.own
-        left, level = np.arange(len(keys)), 1
+        base, own = self._cell(keys)
+        left, level = np.flatnonzero(own > 0), 1  # a cell without bits holds nothing
         while len(left) and level < 64:
             there = np.ones(len(left), bool)
-            for at in self._places(keys[left], level, base[left]):
+            for at in self._places(keys[left], level, base[left], own[left]):
                 there &= (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             left = left[there]
             out[left] = level
@@ -155,18 +193,6 @@ class Filter:
         return out
 
 
-def _segments(own: int):
-    def run(batches):
-        for q, held in grouped(batches, "bucket"):
-            flags = np.zeros(own, bool)
-            for b in held:
-                for keys, counts in zip(column(b, "keys").to_pylist(), column(b, "counts").to_pylist()):
-                    Filter(own, None).put(np.frombuffer(keys, np.uint64), level_of(np.frombuffer(counts, np.int64)), flags)
-            yield pa.RecordBatch.from_arrays([pa.array([q], pa.int64()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["q", "segment"])
-
-    return run
-
-
 def _table(from_level: int, to_level: int):
     """(key, count) of tokens whose level lies between."""
 
@@ -184,35 +210,37 @@ def _table(from_level: int, to_level: int):
 def train(docs: DataFrame, bits_each: int = 12, most_bits: int = 1 << 29, hot_words: int = HOT_WORDS) -> dict:
     """Counts the training documents' n-grams: the filter, the hot tokens' counts, and the table of all counts."""
     spark = docs.sparkSession
-    buckets = BUCKETS * fineness(docs)  # a bucket is one task's at a time, so their number follows the input
-    blobs = docs.select("text").mapInArrow(_count(buckets), "q long, keys binary, counts binary")
+    buckets = min(CELLS, BUCKETS * fineness(docs))  # a bucket is one task's at a time, so their number follows the input
+    blobs = docs.select("text").mapInArrow(_count(buckets), "q long, kind long, keys binary, counts binary")
     counts = blobs.repartition(parts(spark), "q").sortWithinPartitions("q").mapInArrow(
-        _added, "q long, keys binary, counts binary, entries long, distinct long, total long, by_level array<long>")
+        _added(bits_each, buckets), "q long, keys binary, counts binary, distinct long, total long, by_level array<long>, sizes binary, segment binary")
     counts = written(counts)
-    entries, distinct, total = counts.agg(F.sum("entries"), F.sum("distinct"), F.sum("total")).first()
+    distinct, total, size = counts.agg(F.sum("distinct"), F.sum("total"), F.sum(F.octet_length("segment"))).first()
     by_level = counts.select(F.posexplode("by_level").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
     level, held = 64, 0
     for r in sorted(by_level, key=lambda r: -r.level):
         if held + r.n > hot_words:
             break
         level, held = r.level, held + r.n
-    own = 64 * max(1, -(-bits_each * (entries or 0) // (buckets * 64)))  # whole words; as many bits an entry at every size
-    bits = own * buckets
-    segments = (counts.select((F.col("q") / 2).cast("long").alias("bucket"), "keys", "counts").repartition(parts(spark), "bucket")
-                .sortWithinPartitions("bucket").mapInArrow(_segments(own), "q long, segment binary"))
-    if bits <= most_bits:
-        bitmap = np.zeros(bits // 8, np.uint8)
-        for r in segments.toLocalIterator():
-            bitmap[r.q * own // 8 : (r.q + 1) * own // 8] = np.frombuffer(r.segment, np.uint8)
+    segments, own, bitmap = counts.select("q", "sizes", "segment"), None, None
+    if 8 * (size or 0) <= most_bits:
+        own = np.zeros(CELLS, np.int64)
+        for r in counts.select("q", "sizes").toLocalIterator():  # four bytes a cell
+            sizes = np.frombuffer(r.sizes, np.uint32)
+            first = -(-r.q * CELLS // buckets)
+            own[first : first + len(sizes)] = 64 * sizes.astype(np.int64)
+        base = (np.cumsum(own) - own) // 8
+        bitmap = np.zeros(size or 0, np.uint8)
+        for r in segments.select("q", "segment").toLocalIterator():  # most_bits at most
+            at = base[-(-r.q * CELLS // buckets)]
+            bitmap[at : at + len(r.segment)] = np.frombuffer(r.segment, np.uint8)
         segments = None
-    else:
-        bitmap, segments = None, written(segments)
-    tokens = counts.where("q % 2 = 0").select("keys", "counts")
+    tokens = counts.select("keys", "counts")
     hot = tokens.mapInArrow(_table(level, 64), "key long, c long").toArrow()
     keys = hot["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    model = spark.sparkContext.broadcast((own, buckets, bitmap, keys[order], hot["c"].to_numpy()[order], total or 0, distinct or 0))
-    return {"model": model, "segments": segments, "own": own, "buckets": buckets, "N": total or 0, "V": distinct or 0, "cold": tokens.mapInArrow(_table(1, level - 1), "key long, c long")}
+    model = spark.sparkContext.broadcast((own, bitmap, keys[order], hot["c"].to_numpy()[order], total or 0, distinct or 0))
+    return {"model": model, "segments": segments, "buckets": buckets, "N": total or 0, "V": distinct or 0, "cold": tokens.mapInArrow(_table(1, level - 1), "key long, c long")}
 
 
 def _scores(batch, level_of_hash, hot, hot_c, total, distinct):
@@ -255,8 +283,8 @@ def _score(model):
     """Scores by the broadcast filter."""
 
     def run(batches):
-        own, buckets, bitmap, *known = model.value
-        lbf = Filter(own, bitmap, buckets)
+        own, bitmap, *known = model.value
+        lbf = Filter(own, bitmap)
         for batch in chunked(batches, most=1 << 19):  # beside the filter, little else fits
             yield _scores(batch, lbf.levels, *known)
 
@@ -264,51 +292,62 @@ def _score(model):
 
 
 def _chunks(batches):
-    """The rows with the number of their chunk, which no other chunk has."""
+    """The rows with the number of their chunk, which no other chunk has, and their place in it."""
     task = TaskContext.get().partitionId() << 32
     for i, batch in enumerate(chunked(batches)):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, task + i)), *batch.columns], ["chunk", *batch.schema.names])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, task + i)), pa.array(np.arange(batch.num_rows)), *batch.columns], ["chunk", "n", *batch.schema.names])
 
 
 _SEGMENT = -1  # stands before every chunk
+_TEXT = -1  # the bucket of a chunk's texts, which stand before its levels
+
+
+def _asked(text) -> np.ndarray:
+    """The distinct tokens and pairs of a column of texts, in the order of their hashes, and so of buckets."""
+    t = Tokens(text)
+    return np.unique(np.concatenate([t.hash, t.pair, np.array([_START_TOKEN])]))
 
 
 def _probes(buckets: int):
-    """(q, chunk, keys): the distinct tokens and pairs of a chunk's rows, by bucket."""
+    """(q, chunk, n, keys): the distinct tokens and pairs of a chunk's rows from its n-th on, by bucket.
+
+    A chunk is one piece, unless a split of the table that is read ends in it.
+    """
 
     def run(batches):
-        for batch in batches:
-            number = longs(batch, "chunk")
-            starts, sizes = runs(number)
-            for a, n in zip(starts.tolist(), sizes.tolist()):
-                t = Tokens(column(batch.slice(a, n), "text"))
-                keys = np.unique(np.concatenate([t.hash, t.pair, np.array([_START_TOKEN])]))
-                keys = keys[np.argsort(dealt(keys, buckets), kind="stable")]
-                q = dealt(keys, buckets)
+        for batch in trimmed(batches):
+            chunk, n = longs(batch, "chunk"), longs(batch, "n")
+            cuts = np.flatnonzero((chunk[1:] != chunk[:-1]) | (n[1:] != n[:-1] + 1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)]):
+                if a == b:
+                    continue
+                keys = _asked(column(batch, "text").slice(a, b - a))
+                q = bucket_of(keys, buckets)
                 firsts, lengths = runs(q)
                 blobs = [keys[i : i + m].tobytes() for i, m in zip(firsts.tolist(), lengths.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(q[firsts], pa.int64()), pa.array(np.full(len(blobs), number[a])), pa.array(blobs, pa.binary())], ["q", "chunk", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q[firsts], pa.int64()), pa.array(np.full(len(blobs), chunk[a])), pa.array(np.full(len(blobs), n[a])), pa.array(blobs, pa.binary())], ["q", "chunk", "n", "keys"])
 
     return run
 
 
-def _looked_up(own: int):
-    """Each bucket's segment comes first, then what the chunks ask of it: (chunk, keys, levels) of the n-grams that are there."""
+def _looked_up(buckets: int):
+    """Each bucket's segment comes first, then what the chunks ask of it: (chunk, n, q, levels) in the order of what was asked."""
 
     def run(batches):
         now, lbf = None, None
         for batch in batches:
-            out = [[], [], []]
-            for q, chunk, blob in zip(longs(batch, "q").tolist(), longs(batch, "chunk").tolist(), column(batch, "keys")):
+            out = [[], [], [], []]
+            for q, chunk, n, blob, sizes in zip(longs(batch, "q").tolist(), longs(batch, "chunk").tolist(), longs(batch, "n").tolist(), column(batch, "keys"), column(batch, "sizes")):
                 if chunk == _SEGMENT:
-                    now, lbf = q, Filter(own, np.frombuffer(blob.as_py(), np.uint8))
-                elif q == now:  # a bucket without a segment holds nothing
-                    keys = np.frombuffer(blob.as_py(), np.uint64)
-                    levels = lbf.levels(keys, alone=True)
-                    there = levels > 0
-                    for to, x in zip(out, (chunk, keys[there].tobytes(), levels[there].astype(np.uint8).tobytes())):
-                        to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary()))], ["chunk", "keys", "levels"])
+                    own = 64 * np.frombuffer(sizes.as_py(), np.uint32).astype(np.int64)
+                    now, lbf = q, Filter(own, np.frombuffer(blob.as_py(), np.uint8), first=-(-q * CELLS // buckets))
+                    continue
+                keys = np.frombuffer(blob.as_py(), np.uint64)
+                levels = lbf.levels(keys) if q == now else np.zeros(len(keys), np.int64)  # a bucket without a segment holds nothing
+                for to, x in zip(out, (chunk, n, q, levels.astype(np.uint8).tobytes())):
+                    to.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["chunk", "n", "q", "levels"])
 
     return run
 
@@ -317,24 +356,21 @@ def _score_dealt(model):
     """Scores chunk by chunk, by the levels that came back."""
 
     def run(batches):
-        _, _, _, *known = model.value
+        _, _, *known = model.value
         for _, held in grouped(batches, "chunk"):
             rows = pa.Table.from_batches(held).combine_chunks()
-            texts = rows.filter(pa.compute.is_null(rows["keys"])).combine_chunks().to_batches()
-            blobs = rows.filter(pa.compute.is_valid(rows["keys"]))
-            keys = np.frombuffer(b"".join(blobs["keys"].to_pylist()), np.uint64)
-            levels = np.frombuffer(b"".join(blobs["levels"].to_pylist()), np.uint8).astype(np.int64)
-            keys, at = np.unique(keys, return_index=True)
-            levels = levels[at]
-
-            def level(asked):
-                if not len(keys):
-                    return np.zeros(len(asked), np.int64)
-                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                return np.where(keys[at] == asked, levels[at], 0)
-
-            for batch in texts:
-                yield _scores(batch, level, *known)
+            here = pa.compute.equal(rows["q"], _TEXT)
+            texts, answers = rows.filter(here).combine_chunks(), rows.filter(pa.compute.invert(here))
+            n, starts = texts["n"].to_numpy(), answers["n"].to_numpy()
+            firsts, sizes = runs(starts)
+            bounds = np.append(np.searchsorted(n, starts[firsts]), len(n)).tolist()
+            for a, b, first, size in zip(bounds, bounds[1:], firsts.tolist(), sizes.tolist()):
+                batch = texts.slice(a, b - a).combine_chunks().to_batches()[0]
+                keys = _asked(column(batch, "text"))
+                levels = np.frombuffer(b"".join(answers["levels"].slice(first, size).to_pylist()), np.uint8).astype(np.int64)
+                if len(keys) != len(levels):
+                    raise ValueError("a chunk's n-grams and their levels do not agree")
+                yield _scores(batch, lambda asked: levels[np.searchsorted(keys, asked)], *known)  # noqa: B023
 
     return run
 
@@ -347,14 +383,19 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
         rows = docs.mapInArrow(_score(fitted["model"]), kinds)
     else:
         spark = docs.sparkSession
-        docs = written(docs.mapInArrow(_chunks, "chunk long, doc_id long, text string, held_out boolean"))
-        asked = docs.mapInArrow(_probes(fitted["buckets"]), "q long, chunk long, keys binary")
-        asked = asked.unionByName(fitted["segments"].select("q", F.lit(_SEGMENT).cast("long").alias("chunk"), F.col("segment").alias("keys")))
-        levels = asked.repartition(parts(spark), "q").sortWithinPartitions("q", "chunk").mapInArrow(_looked_up(fitted["own"]), "chunk long, keys binary, levels binary")
-        both = docs.unionByName(levels, allowMissingColumns=True).repartition(parts(spark), "chunk").sortWithinPartitions("chunk")
+        docs, docs_path = written_at(docs.mapInArrow(_chunks, "chunk long, n long, doc_id long, text string, held_out boolean"))
+        asked = docs.select("chunk", "n", "text").mapInArrow(_probes(fitted["buckets"]), "q long, chunk long, n long, keys binary").withColumn("sizes", F.lit(None).cast("binary"))
+        asked = asked.unionByName(fitted["segments"].select("q", F.lit(_SEGMENT).cast("long").alias("chunk"), F.lit(0).cast("long").alias("n"), F.col("segment").alias("keys"), "sizes"))
+        # written, so that what was asked goes before the texts are dealt
+        levels, levels_path = written_at(asked.repartition(parts(spark), "q").sortWithinPartitions("q", "chunk", "n").mapInArrow(
+            _looked_up(fitted["buckets"]), "chunk long, n long, q long, levels binary"))
+        both = docs.withColumn("q", F.lit(_TEXT).cast("long")).unionByName(levels, allowMissingColumns=True)
+        both = both.repartition(parts(spark), "chunk").sortWithinPartitions("chunk", "n", "q")
         rows = both.mapInArrow(_score_dealt(fitted["model"]), kinds)
     rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))
     fitted["model"].unpersist()  # executors need it no more
+    if fitted["segments"] is not None:
+        dropped(spark, docs_path, levels_path)
     cold = rows.select("_row", F.explode(F.arrays_zip("cold", "tf")).alias("x")).select("_row", F.col("x.cold").alias("key"), F.col("x.tf").alias("tf"))
     cold = cold.join(fitted["cold"], "key").groupBy("_row").agg(
         F.sum(F.col("tf").cast("long")).alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("c") + F.lit(1.0))).alias("more_base"))

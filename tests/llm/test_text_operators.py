@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -248,6 +249,18 @@ def test_lm_buckets_follow_the_input(frame, prose, monkeypatch):
     assert got[0] == got[1] == got[2]
 
 
+def test_lm_bits_do_not_depend_on_buckets(frame, prose, monkeypatch):
+    """The filter's bits are those of its entries, whatever the buckets, and a chunk of which two splits hold parts is answered in two pieces."""
+    docs, got = frame(prose).select("doc_id", "text", F.lit(False).alias("held_out")), []
+    for fine in (1, 3):
+        monkeypatch.setattr(lm, "fineness", lambda _, n=fine: n)
+        got.append(lm.train(docs)["model"].value)
+    assert (got[0][0] == got[1][0]).all() and (got[0][1] == got[1][1]).all()
+    batch = pa.RecordBatch.from_pydict({"chunk": [7, 7, 7], "n": [0, 1, 5], "text": ["a b", "b c", "a"]})
+    asked = pa.Table.from_batches(lm._probes(1)([batch]))
+    assert asked["n"].to_pylist() == [0, 5] and [len(x) // 8 for x in asked["keys"].to_pylist()] == [11, 5]
+
+
 def test_lm_knows_pairs_seen_once(frame):
     text = [f"w{i}" for i in range(200)]
     train = frame([(1, " ".join(text))])
