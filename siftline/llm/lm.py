@@ -11,6 +11,10 @@ are counted, and the bits do not depend on the number of buckets.  A filter of u
 `most_bits` bits is broadcast; the segments of a larger one stay apart, and the n-grams
 of each chunk of texts are sent to them; their levels alone come back, a byte each, in the
 order in which they were asked.  Both ways probe the same bits and give the same score.
+The query asks segments at every size.
+
+The filter knows n-grams by the upper 48 bits of their hashes.  What is shuffled are sorted
+hashes as steps of 32 bits from each to the next (thinned()); counts keep all 64 bits of tokens.
 
 Score: log10 of the product over tokens of
     (c(v, w) + MU * P(w)) / (c(v) + MU),   P(w) = (c(w) + 1) / (N + V + 1)
@@ -32,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, column, dropped, grouped, longs, parts, split_mod, table, trimmed, written, written_at
+from .common import binaries, chunked, column, dropped, grouped, longs, parts, split_mod, table, trimmed, written, written_at
 from .substring import fineness
 from .textops import Words, dealt, mix, runs
 
@@ -40,13 +44,21 @@ BASE = 1.5
 MU = 2000.0
 HASHES = 3
 HOT_WORDS = 1_000_000
-BUCKETS = 512
+BUCKETS = 2048
+#: bytes of text whose n-grams are counted at once, and are asked at once
+COUNTED, ASKED = 4 << 20, 2 << 20
+#: hashes that are probed at once
+PROBED = 1 << 18
 #: cells of the filter, each with its own number of bits; buckets are runs of cells
 CELLS = 1 << 16
 _END_TOKEN = np.uint64(0xA0761D6478BD642F)
 _START_TOKEN = np.uint64(0xE7037ED1A0B428DB)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = 0xD6E8FEB86659FD93
+#: the bits of a hash that the filter looks at
+_SHORT = np.uint64((1 << 64) - (1 << 16))
+#: a step that stands for no hash
+_FAR = (1 << 32) - 1
 
 
 class Tokens:
@@ -67,7 +79,7 @@ class Tokens:
         self.before = np.empty(n, np.uint64)
         self.before[1:] = self.hash[:-1]
         self.before[first] = _START_TOKEN
-        self.pair = mix(self.before * _PAIR + self.hash)
+        self.pair = mix(self.before * _PAIR + self.hash) & _SHORT
         self.first = first
 
 
@@ -76,31 +88,79 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return dealt(keys, CELLS) * buckets // CELLS
 
 
+def _least(q, buckets: int):
+    """The upper 48 bits of a bucket's least hash."""
+    return -(-q * CELLS // buckets) << 32
+
+
+def thinned(keys: np.ndarray, q: np.ndarray, buckets: int) -> tuple[list, list]:
+    """(buckets, blobs) of sorted hashes, q their buckets: of each bucket the steps of the upper 48 bits from its least hash on.
+
+    A step has 32 bits; one of _FAR and more is told by as many _FAR as it holds, and its rest.
+    """
+    starts, _ = runs(q)
+    high = (keys >> np.uint64(16)).astype(np.int64)
+    step = np.diff(high, prepend=0)
+    step[starts] = high[starts] - _least(q[starts], buckets)
+    far, rest = np.divmod(step, _FAR)
+    ends = np.cumsum(far + 1)
+    codes = np.full(int(ends[-1]) if len(ends) else 0, _FAR, np.uint32)
+    codes[ends - 1] = rest
+    cuts = (4 * np.append(0, ends)[np.append(starts, len(ends))]).tolist()
+    data = codes.tobytes()
+    return q[starts].tolist(), [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def thickened(blobs: list, q: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, how many of each blob) of a bucket's blobs; the lower 16 bits are 0."""
+    codes = np.frombuffer(b"".join(blobs), np.uint32)
+    ends = np.cumsum([len(b) // 4 for b in blobs])
+    high = np.cumsum(codes, dtype=np.uint64)
+    before = np.append(np.uint64(0), high)[np.append(0, ends[:-1])]  # what the blobs in front have summed up to
+    high -= np.repeat(before, np.diff(ends, prepend=0))
+    there = codes != _FAR
+    keys = (high[there] + np.uint64(_least(q, buckets))) << np.uint64(16)
+    return keys, np.diff(np.append(0, np.cumsum(there))[ends], prepend=0)
+
+
 def _blobs(keys: np.ndarray, counts: np.ndarray, kind: int, buckets: int):
+    """(q, kind, hashes, lower bits of tokens' hashes, counts of a byte, and those that a byte does not hold)."""
     q = bucket_of(keys, buckets)
     starts, sizes = runs(q)
-    for a, n in zip(starts.tolist(), sizes.tolist()):
-        yield int(q[a]), kind, keys[a : a + n].tobytes(), counts[a : a + n].astype(np.uint32).tobytes()
+    low, small = keys.astype(np.uint16), np.minimum(counts, 255).astype(np.uint8)
+    for own, blob, a, n in zip(*thinned(keys, q, buckets), starts.tolist(), sizes.tolist()):
+        some = counts[a : a + n]
+        yield own, kind, blob, b"" if kind else low[a : a + n].tobytes(), small[a : a + n].tobytes(), some[some >= 255].astype(np.uint32).tobytes()
+
+
+_COUNTS = ["q", "kind", "keys", "low", "counts", "large"]
 
 
 def _count(buckets: int):
-    """(q, kind, keys, counts) of tokens (kind 0) and pairs (1), added up over a few chunks."""
+    """The blobs of tokens (kind 0) and pairs (1), added up over COUNTED bytes of text."""
 
     def run(batches):
-        for batch in chunked(batches, most=2 << 20):
+        for batch in chunked(batches, most=COUNTED):
             tokens = Tokens(column(batch, "text"))
             rows = []
             for kind, keys in ((0, np.append(tokens.hash, np.full(tokens.rows, _START_TOKEN, np.uint64))), (1, tokens.pair)):
                 rows += _blobs(*np.unique(keys, return_counts=True), kind, buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["q", "kind", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.binary()] * 4))], _COUNTS)
 
     return run
 
 
-def _summed(blobs: list, kind: int) -> tuple:
-    """(keys, sums) of a kind's n-grams, in the order of the keys."""
-    keys = np.frombuffer(b"".join(k for own, k, _ in blobs if own == kind), np.uint64)
-    counts = np.frombuffer(b"".join(c for own, _, c in blobs if own == kind), np.uint32)
+def _summed(held: list, kind: int, q: int, buckets: int) -> tuple:
+    """(keys, sums) of a kind's n-grams of bucket q, in the order of the keys."""
+    own = pa.Table.from_batches(held).drop_columns("q")
+    own = own.filter(pa.compute.equal(own["kind"], kind)).to_pydict()
+    if not own["keys"]:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, _ = thickened(own["keys"], q, buckets)
+    if kind == 0:
+        keys |= np.frombuffer(b"".join(own["low"]), np.uint16)
+    counts = np.frombuffer(b"".join(own["counts"]), np.uint8).astype(np.uint32)
+    counts[counts == 255] = np.frombuffer(b"".join(own["large"]), np.uint32)
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order].astype(np.int64)
     starts, _ = runs(keys)
@@ -112,9 +172,8 @@ def _added(bits_each: int, buckets: int):
 
     def run(batches):
         for q, held in grouped(batches, "q"):
-            blobs = [x for b in held for x in zip(longs(b, "kind").tolist(), column(b, "keys").to_pylist(), column(b, "counts").to_pylist())]
-            (keys, sums), (pairs, pair_sums) = _summed(blobs, 0), _summed(blobs, 1)
-            every, levels = np.append(keys, pairs), level_of(np.append(sums, pair_sums))
+            (keys, sums), (pairs, pair_sums) = (_summed(held, kind, q, buckets) for kind in (0, 1))
+            every, levels = np.append(keys & _SHORT, pairs), level_of(np.append(sums, pair_sums))
             first = -(-q * CELLS // buckets)
             entries = np.bincount(dealt(every, CELLS) - first, weights=levels, minlength=-(-(q + 1) * CELLS // buckets) - first).astype(np.int64)
             lbf = Filter(64 * -(-bits_each * entries // 64), None, first=first)
@@ -211,7 +270,7 @@ def train(docs: DataFrame, bits_each: int = 12, most_bits: int = 1 << 29, hot_wo
     """Counts the training documents' n-grams: the filter, the hot tokens' counts, and the table of all counts."""
     spark = docs.sparkSession
     buckets = min(CELLS, BUCKETS * fineness(docs))  # a bucket is one task's at a time, so their number follows the input
-    blobs = docs.select("text").mapInArrow(_count(buckets), "q long, kind long, keys binary, counts binary")
+    blobs = docs.select("text").mapInArrow(_count(buckets), "q long, kind long, keys binary, low binary, counts binary, large binary")
     counts = blobs.repartition(parts(spark), "q").sortWithinPartitions("q").mapInArrow(
         _added(bits_each, buckets), "q long, keys binary, counts binary, distinct long, total long, by_level array<long>, sizes binary, segment binary")
     counts = written(counts)
@@ -252,7 +311,7 @@ def _scores(batch, level_of_hash, hot, hot_c, total, distinct):
     at = np.minimum(np.searchsorted(hot, words), max(len(hot) - 1, 0))
     known = hot[at] == words if len(hot) else np.zeros(len(words), bool)
     exact = np.where(known, hot_c[at] if len(hot) else 0, 0)
-    level = level_of_hash(words)
+    level = level_of_hash(words & _SHORT)
     low, high = least_of(level), greatest_of(level)
     uni = (low + 1) / space
     pairs, pair_at = np.unique(t.pair, return_inverse=True)
@@ -294,7 +353,7 @@ def _score(model):
 def _chunks(batches):
     """The rows with the number of their chunk, which no other chunk has, and their place in it."""
     task = TaskContext.get().partitionId() << 32
-    for i, batch in enumerate(chunked(batches)):
+    for i, batch in enumerate(chunked(batches, most=ASKED)):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, task + i)), pa.array(np.arange(batch.num_rows)), *batch.columns], ["chunk", "n", *batch.schema.names])
 
 
@@ -303,9 +362,9 @@ _TEXT = -1  # the bucket of a chunk's texts, which stand before its levels
 
 
 def _asked(text) -> np.ndarray:
-    """The distinct tokens and pairs of a column of texts, in the order of their hashes, and so of buckets."""
+    """The distinct tokens and pairs of a column of texts as the filter knows them, in the order of their hashes, and so of buckets."""
     t = Tokens(text)
-    return np.unique(np.concatenate([t.hash, t.pair, np.array([_START_TOKEN])]))
+    return np.unique(np.concatenate([t.hash, t.pair, np.array([_START_TOKEN])]) & _SHORT)
 
 
 def _probes(buckets: int):
@@ -331,23 +390,44 @@ def _probes(buckets: int):
     return run
 
 
+def _sent(buckets: int):
+    """_probes() with thinned keys."""
+
+    def run(batches):
+        for batch in _probes(buckets)(batches):
+            keys = np.frombuffer(b"".join(column(batch, "keys").to_pylist()), np.uint64)
+            _, blobs = thinned(keys, bucket_of(keys, buckets), buckets)
+            yield batch.set_column(batch.schema.get_field_index("keys"), "keys", pa.array(blobs, pa.binary()))
+
+    return run
+
+
 def _looked_up(buckets: int):
-    """Each bucket's segment comes first, then what the chunks ask of it: (chunk, n, q, levels) in the order of what was asked."""
+    """Each bucket's segment comes first, then what the chunks ask of it: (chunk, n, q, levels) in the order of what was asked.
+
+    What stands together in a batch is asked together, PROBED hashes at a time.
+    """
 
     def run(batches):
         now, lbf = None, None
-        for batch in batches:
-            out = [[], [], [], []]
-            for q, chunk, n, blob, sizes in zip(longs(batch, "q").tolist(), longs(batch, "chunk").tolist(), longs(batch, "n").tolist(), column(batch, "keys"), column(batch, "sizes")):
-                if chunk == _SEGMENT:
-                    own = 64 * np.frombuffer(sizes.as_py(), np.uint32).astype(np.int64)
-                    now, lbf = q, Filter(own, np.frombuffer(blob.as_py(), np.uint8), first=-(-q * CELLS // buckets))
+        for batch in trimmed(batches):
+            own = longs(batch, "q")
+            segment = longs(batch, "chunk") == _SEGMENT
+            cuts = np.flatnonzero((own[1:] != own[:-1]) | segment[1:] | segment[:-1]) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)]):
+                if a == b:
                     continue
-                keys = np.frombuffer(blob.as_py(), np.uint64)
-                levels = lbf.levels(keys) if q == now else np.zeros(len(keys), np.int64)  # a bucket without a segment holds nothing
-                for to, x in zip(out, (chunk, n, q, levels.astype(np.uint8).tobytes())):
-                    to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["chunk", "n", "q", "levels"])
+                q, blobs = int(own[a]), column(batch, "keys").slice(a, b - a).to_pylist()
+                if segment[a]:
+                    bits = 64 * np.frombuffer(column(batch, "sizes")[a].as_py(), np.uint32).astype(np.int64)
+                    now, lbf = q, Filter(bits, np.frombuffer(blobs[0], np.uint8), first=-(-q * CELLS // buckets))
+                    continue
+                keys, counts = thickened(blobs, q, buckets)
+                levels = np.zeros(len(keys), np.uint8)  # a bucket without a segment holds nothing
+                for i in range(0, len(keys) if q == now else 0, PROBED):
+                    levels[i : i + PROBED] = lbf.levels(keys[i : i + PROBED])
+                yield pa.RecordBatch.from_arrays(
+                    [*(column(batch, c).slice(a, b - a) for c in ("chunk", "n", "q")), binaries(levels.tobytes(), np.append(0, np.cumsum(counts)))], ["chunk", "n", "q", "levels"])
 
     return run
 
@@ -384,7 +464,7 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
     else:
         spark = docs.sparkSession
         docs, docs_path = written_at(docs.mapInArrow(_chunks, "chunk long, n long, doc_id long, text string, held_out boolean"))
-        asked = docs.select("chunk", "n", "text").mapInArrow(_probes(fitted["buckets"]), "q long, chunk long, n long, keys binary").withColumn("sizes", F.lit(None).cast("binary"))
+        asked = docs.select("chunk", "n", "text").mapInArrow(_sent(fitted["buckets"]), "q long, chunk long, n long, keys binary").withColumn("sizes", F.lit(None).cast("binary"))
         asked = asked.unionByName(fitted["segments"].select("q", F.lit(_SEGMENT).cast("long").alias("chunk"), F.lit(0).cast("long").alias("n"), F.col("segment").alias("keys"), "sizes"))
         # written, so that what was asked goes before the texts are dealt
         levels, levels_path = written_at(asked.repartition(parts(spark), "q").sortWithinPartitions("q", "chunk", "n").mapInArrow(
@@ -408,4 +488,4 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", split_mod(7, 2).alias("held_out"))
-    return scored(docs, train(docs.where("not held_out")))
+    return scored(docs, train(docs.where("not held_out"), most_bits=0))  # one way at all sizes: what a small table costs tells what a large one does

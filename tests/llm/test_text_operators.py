@@ -261,6 +261,49 @@ def test_lm_bits_do_not_depend_on_buckets(frame, prose, monkeypatch):
     assert asked["n"].to_pylist() == [0, 5] and [len(x) // 8 for x in asked["keys"].to_pylist()] == [11, 5]
 
 
+def test_lm_sends_steps_between_hashes():
+    """A sorted hash costs some four bytes where it was sent as eight, and comes back whole, far steps too."""
+    rng = np.random.default_rng(2)
+    for n, buckets, most in ((200_000, 2048, 4.4), (200_000, 3, 4.4), (50, 7, None), (1, 1, None)):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64) & lm._SHORT)
+        own, blobs = lm.thinned(keys, lm.bucket_of(keys, buckets), buckets)
+        assert (np.concatenate([lm.thickened([b], q, buckets)[0] for q, b in zip(own, blobs)]) == keys).all()
+        assert most is None or sum(map(len, blobs)) < most * len(keys)
+    ends = np.array([0, lm._FAR, lm._FAR + 1, (1 << 48) - 1], np.uint64) << np.uint64(16)
+    _, blobs = lm.thinned(ends, np.zeros(4, np.int64), 1)
+    got, counts = lm.thickened(blobs + blobs, 0, 1)
+    assert (got == np.append(ends, ends)).all() and counts.tolist() == [4, 4]
+    keys, counts = np.sort(rng.integers(0, 1 << 64, 100, dtype=np.uint64)), rng.integers(1, 1000, 100)
+    rows = [pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(r, (pa.int64(), pa.int64(), *[pa.binary()] * 4))], lm._COUNTS) for r in lm._blobs(keys, counts, 0, 1)]
+    got = lm._summed(rows + rows, 0, 0, 1)
+    assert (got[0] == keys).all() and (got[1] == 2 * counts).all()
+
+
+def test_lm_segment_answers_chunks_together(monkeypatch):
+    """What many chunks ask of a segment is one probe; it was one for each chunk, whose number times the buckets grows with the input."""
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 90, dtype=np.uint64) & lm._SHORT)
+    texts = pa.RecordBatch.from_pydict({"text": ["a b", "b c", "a a b"]})
+    counts = pa.Table.from_batches(lm._count(1)([texts])).to_batches()
+    segment = next(lm._added(12, 1)(counts))
+    asked = [keys, lm._asked(texts["text"])]
+    chunks = [asked[i % 2] for i in range(40)]
+    blobs = [segment["segment"][0].as_py(), *(lm.thinned(k, np.zeros(len(k), np.int64), 1)[1][0] for k in chunks)]
+    batch = pa.RecordBatch.from_pydict({"q": [0] * 41, "chunk": [lm._SEGMENT, *range(40)], "n": [0] * 41, "keys": blobs, "sizes": [segment["sizes"][0].as_py(), *[None] * 40]})
+    calls, levels = [], lm.Filter.levels
+    monkeypatch.setattr(lm.Filter, "levels", lambda self, k: calls.append(len(k)) or levels(self, k))
+    got = pa.Table.from_batches(lm._looked_up(1)([batch]))
+    assert calls == [sum(map(len, chunks))] and got["chunk"].to_pylist() == list(range(40))
+    answers = got["levels"].to_pylist()
+    assert [len(x) for x in answers] == [len(k) for k in chunks] and set(answers[1::2]) == {answers[1]} and min(answers[1]) > 0
+
+
+def test_lm_query_asks_segments_at_every_size(spark, monkeypatch):
+    fitted, train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda *a, **b: fitted.append(train(*a, **b)) or fitted[-1])
+    lm.query(spark, "/root/testdata/sf0.001")
+    assert fitted[0]["segments"] is not None
+
+
 def test_lm_knows_pairs_seen_once(frame):
     text = [f"w{i}" for i in range(200)]
     train = frame([(1, " ".join(text))])
