@@ -13,10 +13,11 @@ looks the counts of each control byte up in a table, sums them to offsets, and g
 
 Encoding is the tokenizers library's on every distinct stretch between ASCII white space; neither the normaliser nor the
 pre-tokeniser of such a file looks across white space (cutting() refuses files for which that is not known), so the ids of a
-text are those of its stretches.  A worker remembers the ids of stretches, in bounded memory.
+text are those of its stretches.  A worker remembers the ids of stretches, in bounded memory, by 64-bit hashes.  Stretches of ASCII and Latin-1 letters alone go to the library's model in lower case,
+past the normaliser and the pattern, which then leave them as they are (plain() says for which files).
 
 Null texts are empty and hold the end id alone.  Null ids come first.  Rows that share an id follow by the text's hash.  Extra
-columns are ignored.  An empty table gives empty files.  Texts of any length are encoded in slices of 1 MB, cut at white space;
+columns are ignored.  An empty table gives empty files.  Texts of any length are encoded in slices of 2 MB, cut at white space;
 one stretch without white space goes to the library whole.  A block holds whole documents, so a document's ids are in memory at once.
 """
 import json
@@ -31,15 +32,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import dropped
+from .bpe import byte_letters
 from .common import binaries, chunked, column, longs, scratch, table, text_buffers, trimmed
+from .textops import Words
 
 #: bytes of data in a block (a longer document is a block by itself)
 BLOCK_BYTES = 1 << 17
-#: bytes of a text that are cut into stretches at once
-SLICE = 1 << 20
-#: bytes of stretches and ids, some of Python's own included, of each of the two memories of a worker: the full one becomes the older one
-REMEMBERED = 48 << 20
+#: bytes of text that are cut into stretches at once
+SLICE = 2 << 20
+#: bytes of each of the two memories of a worker: the full one becomes the older one
+REMEMBERED = 32 << 20
 _GAP = re.compile(rb"[\t-\r ]")
+#: ASCII letters and the letters from U+00C0 to U+00FF, in UTF-8
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: by byte: 1 for an ASCII letter, 2 for another ASCII sign but the apostrophe, 0 for the rest
 _KIND = np.zeros(256, np.uint8)
 _KIND[33:127] = 2
@@ -123,6 +128,50 @@ def cut_apart(data: np.ndarray, offs: np.ndarray) -> tuple[bytes, np.ndarray]:
     return np.insert(low, at, 32).tobytes(), offs + np.searchsorted(at, offs)
 
 
+def plain(source: str) -> str | None:
+    """The tokenizer file without the steps that pass _LETTERS in lower case between white space unchanged; None if the file has others,
+    or if its ids do not tell where a word of letters ends."""
+    spec = json.loads(source)
+    model, mark = spec["model"], spec["model"].get("end_of_word_suffix")
+    _, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [None])
+    bytewise = len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not rest[0].get("add_prefix_space", True) and not rest[0].get("use_regex", True)
+    whole = model.get("type") == "BPE" and mark and not model.get("dropout") and all(x in model["vocab"] and x + mark in model["vocab"] for x in byte_letters())
+    if not (bytewise and whole) or spec.get("post_processor") or any(_LETTERS.fullmatch(t["content"].encode()) for t in spec["added_tokens"]):
+        return None
+    return json.dumps({**spec, "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}, "added_tokens": []})
+
+
+def _taken(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The given pieces of pool, one behind the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+class Memory:
+    """Ids of stretches, by hash."""
+
+    def __init__(self, kind: str):
+        self.hash, self.start, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+
+    def size(self) -> int:
+        return self.hash.nbytes + self.start.nbytes + self.count.nbytes + self.pool.nbytes
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which are known, where they stand) of sorted hashes."""
+        if not len(self.hash):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return self.hash[at] == hashes, at
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Hashes that are not known yet, with the number of ids of each and all these ids."""
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hash, hashes[order])
+        starts = len(self.pool) + np.cumsum(counts) - counts
+        self.hash, self.start, self.count = (np.insert(old, at, x[order]) for old, x in ((self.hash, hashes), (self.start, starts), (self.count, counts)))
+        self.pool = np.append(self.pool, ids)
+
+
 class Encoder:
     """Texts to ids by the library, each distinct stretch once while it is remembered; new stretches go to the library as one text."""
 
@@ -133,49 +182,64 @@ class Encoder:
         self.model, self.kind = Tokenizer.from_str(source), kind
         self.model.no_padding()
         self.model.no_truncation()
+        short = plain(source)
+        self.letters = short and Tokenizer.from_str(short)
+        if short:
+            self.letters.no_padding()
+            self.letters.no_truncation()
+            model = json.loads(source)["model"]
+            self.last = np.zeros(max(model["vocab"].values()) + 1, bool)  # ids of words' ends
+            self.last[[i for x, i in model["vocab"].items() if x.endswith(model["end_of_word_suffix"])]] = True
         self.special = [t["content"].lower().encode() for t in json.loads(source)["added_tokens"]]
-        self.known, self.older, self.size = {}, {}, 0
-
-    def _put(self, word: bytes, ids: bytes) -> None:
-        self.known[word] = ids
-        self.size += len(word) + len(ids) + 200
-
-    def _learn(self, words: set) -> None:
-        """Remembers the words: from the older memory, or from the library, whose tokens' places tell whose they are."""
-        new = []
-        for w in words:
-            ids = self.older.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                self._put(w, ids)
-        if new:
-            texts = [w.decode("utf-8", "replace") for w in new]
-            row = self.model.encode(" ".join(texts), add_special_tokens=False)
+        self.known, self.older = Memory(kind), Memory(kind)
+
+    def _learn(self, text: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Remembers stretches of text: from the older memory, or from the library, whose ids, or their places, tell whose they are."""
+        again, at = self.older.find(hashes)
+        if again.any():
+            counts = self.older.count[at[again]]
+            self.known.add(hashes[again], counts, _taken(self.older.pool, self.older.start[at[again]], counts))
+        new = np.flatnonzero(~again)
+        words = [text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+        letters = np.array([self.letters is not None and (w.isalpha() or _LETTERS.fullmatch(w) is not None) for w in words], bool)  # isalpha() of bytes: ASCII letters
+        if letters.any():
+            row = self.letters.encode_batch_fast([b" ".join(w for w, there in zip(words, letters.tolist()) if there).decode().lower()], add_special_tokens=False)[0]
             ids = np.array(row.ids, self.kind)
-            places = np.fromiter((a for a, _ in row.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(places, np.cumsum([0, *(len(x) + 1 for x in texts)])).tolist()
-            for w, a, b in zip(new, cuts, cuts[1:]):
-                self._put(w, ids[a:b].tobytes())
+            self._keep(hashes[new[letters]], ids, np.append(0, np.flatnonzero(self.last[ids]) + 1))
+        if not letters.all():
+            texts = [w.decode("utf-8", "replace") for w, there in zip(words, letters.tolist()) if not there]
+            row = self.model.encode(" ".join(texts), add_special_tokens=False)
+            places = np.fromiter((a for a, _ in row.offsets), np.int64, len(row.ids))
+            self._keep(hashes[new[~letters]], np.array(row.ids, self.kind), np.searchsorted(places, np.cumsum([0, *(len(x) + 1 for x in texts)])))
+
+    def _keep(self, hashes: np.ndarray, ids: np.ndarray, cuts: np.ndarray) -> None:
+        """Remembers what the library has taken at once; cuts: where the ids of each stretch begin, and the end."""
+        if len(cuts) != len(hashes) + 1:
+            raise ValueError("the library's ids and the stretches do not agree")
+        self.known.add(hashes, np.diff(cuts), ids)
 
     def _special(self, piece: bytes) -> bool:
         low = piece.lower()
         return any(x in low for x in self.special)
 
-    def texts(self, data: np.ndarray, offs: np.ndarray) -> list:
-        """The ids of texts that stand one behind the other in data."""
+    def texts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has) of texts that stand one behind the other in data."""
         whole = data.tobytes()
-        raw = whole if self._special(whole) else b""
         text, cuts = cut_apart(data, offs)
-        words = []
-        for a, b, c, d in zip(cuts.tolist(), cuts[1:].tolist(), offs.tolist(), offs[1:].tolist()):
-            words.append((raw[c:d] if raw and self._special(raw[c:d]) else text[a:b]).split())
-        if self.size > REMEMBERED:
-            self.known, self.older, self.size = {}, self.known, 0
-        every = set().union(*words)
-        self._learn(every.difference(self.known))
-        known = {w: self.known[w] for w in every}  # a small table is quicker to look in
-        return [b"".join(map(known.__getitem__, own)) for own in words]
+        if self._special(whole):  # such texts stay as they are
+            pieces = [whole[c:d] if self._special(whole[c:d]) else text[a:b] for a, b, c, d in zip(cuts.tolist(), cuts[1:].tolist(), offs.tolist(), offs[1:].tolist())]
+            text, cuts = b"".join(pieces), np.cumsum([0, *map(len, pieces)])
+        words = Words(binaries(text, cuts))
+        hashes, first, own = np.unique(words.hash, return_index=True, return_inverse=True)
+        if self.known.size() > REMEMBERED:
+            self.known, self.older = Memory(self.kind), self.known
+        there, at = self.known.find(hashes)
+        if not there.all():
+            new = first[~there]
+            self._learn(text, hashes[~there], words.starts[new], words.ends[new])
+            _, at = self.known.find(hashes)
+        starts, counts = self.known.start[at][own], self.known.count[at][own]
+        return _taken(self.known.pool, starts, counts), np.diff(np.append(0, np.cumsum(counts))[words.first])
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text of any length, cut into slices at white space."""
@@ -183,7 +247,7 @@ class Encoder:
         while at < len(text):
             gap = _GAP.search(text, at + SLICE) if len(text) - at > SLICE else None
             end = gap.end() if gap else len(text)
-            out += self.texts(np.frombuffer(text, np.uint8)[at:end], np.array([0, end - at]))
+            out.append(self.texts(np.frombuffer(text, np.uint8)[at:end], np.array([0, end - at]))[0].tobytes())
             at = end
         return b"".join(out)
 
@@ -202,12 +266,19 @@ def _encoder(source: str, kind: str) -> Encoder:
 def _encoding(shared, end: int | None):
     def run(batches):
         source, kind = shared.value
-        encoder, last = _encoder(source, kind), b"" if end is None else np.array([end], kind).tobytes()
-        for batch in chunked(batches):
+        encoder = _encoder(source, kind)
+        for batch in chunked(batches, most=SLICE):
             data, offs = text_buffers(column(batch, "text"))
-            ids = encoder.texts(data, offs) if len(data) <= SLICE else [encoder.encode(data[a:b].tobytes()) for a, b in zip(offs, offs[1:])]
-            ids = [x + last for x in ids]
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("doc_id", "fp", "at")), pa.array(ids, pa.binary())], ["doc_id", "fp", "at", "ids"])
+            if len(data) <= SLICE:
+                ids, sizes = encoder.texts(data, offs)
+            else:  # one text
+                ids = np.concatenate([np.frombuffer(encoder.encode(data[a:b].tobytes()), kind) for a, b in zip(offs, offs[1:])])
+                sizes = np.array([len(ids)])
+            ends = np.cumsum(sizes)
+            if end is not None:
+                ids, ends = np.insert(ids, ends, end), ends + np.arange(1, len(ends) + 1)
+            ids = binaries(ids.tobytes(), ids.itemsize * np.append(0, ends))
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("doc_id", "fp", "at")), ids], ["doc_id", "fp", "at", "ids"])
 
     return run
 
