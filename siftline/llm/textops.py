@@ -14,13 +14,15 @@ _STEP = np.uint64(0x9E3779B97F4A7C1B)
 PIECE = 1 << 18
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _STEP, np.uint64)
+def _powers(n: int, step: np.uint64 = _STEP) -> np.ndarray:
+    out = np.full(n, step, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
-_POWERS = _powers(1024)
+_POWERS = _powers(PIECE)
+#: powers of the step's inverse modulo 2^64
+_BACK = _powers(PIECE, np.uint64(pow(int(_STEP), -1, 1 << 64)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,21 +35,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers_to(longest: int) -> np.ndarray:
-    return _POWERS if longest <= len(_POWERS) else _powers(longest)
-
-
-def _sums(values: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Per run, the sum of its values times the powers of their places in it."""
-    at = np.arange(len(values), dtype=np.int64)
-    first = np.zeros(len(values), np.int64)
-    first[starts] = starts
-    np.maximum.accumulate(first, out=first)
-    at -= first
-    at[~inside] = 0
-    term = values * _powers_to(int((ends - starts).max()))[at]
-    term[~inside] = 0
-    return np.add.reduceat(term, starts)
+def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Per run, the sum of its values times the powers of their places in it: a difference of running sums, moved to the run's start."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _POWERS[: len(values)], out=total[1:])
+    return (total[ends] - total[starts]) * _BACK[starts]
 
 
 def run_hashes(values, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -64,7 +56,7 @@ def run_hashes(values, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray)
         lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
         if lo == hi:
             continue
-        part = _sums(code(a, b), inside[a:b], np.maximum(starts[lo:hi], a) - a, np.minimum(ends[lo:hi], b) - a)
+        part = _sums(code(a, b), np.maximum(starts[lo:hi], a) - a, np.minimum(ends[lo:hi], b) - a)
         if starts[lo] < a:  # the run began in a piece before
             part[:1] *= np.array([pow(int(_STEP), int(a - starts[lo]), 1 << 64)], np.uint64)
         sums[lo:hi] += part

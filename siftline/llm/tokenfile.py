@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import dropped
 from .bpe import byte_letters
 from .common import binaries, chunked, column, longs, scratch, table, text_buffers, trimmed
-from .textops import Words
+from .textops import Words, runs
 
 #: bytes of data in a block (a longer document is a block by itself)
 BLOCK_BYTES = 1 << 17
@@ -230,7 +230,10 @@ class Encoder:
             pieces = [whole[c:d] if self._special(whole[c:d]) else text[a:b] for a, b, c, d in zip(cuts.tolist(), cuts[1:].tolist(), offs.tolist(), offs[1:].tolist())]
             text, cuts = b"".join(pieces), np.cumsum([0, *map(len, pieces)])
         words = Words(binaries(text, cuts))
-        hashes, first, own = np.unique(words.hash, return_index=True, return_inverse=True)
+        order = np.argsort(words.hash)
+        heads, sizes = runs(words.hash[order])
+        first, own = order[heads], np.empty(len(order), np.int64)  # one of each hash, and whose every stretch is
+        hashes, own[order] = words.hash[first], np.repeat(np.arange(len(first)), sizes)
         if self.known.size() > REMEMBERED:
             self.known, self.older = Memory(self.kind), self.known
         there, at = self.known.find(hashes)

@@ -402,6 +402,20 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
         assert all(np.array_equal(getattr(got, k), getattr(want, k)) for k in ("starts", "ends", "first", "row", "hash"))
 
 
+def test_word_hashes_are_sums_of_powers():
+    """A word's hash is the sum of its bytes' codes times the powers of their places, wherever it stands; running sums give just that."""
+    from siftline.llm import textops
+
+    texts, most = ["ab " * 5 + "é", "x" * 300, "y ab"], 1 << 64
+    code, step = [int(x) for x in textops._BYTE], int(textops._STEP)
+    want = []
+    for w in (w for t in texts for w in t.split()):
+        data = w.encode()
+        x = sum(code[b] * pow(step, i, most) for i, b in enumerate(data)) % most ^ len(data) * 0x9FB21C651E98DF25 % most
+        want.append(int(textops.mix(np.array([x], np.uint64))[0]))
+    assert Words(pa.array(texts)).hash.tolist() == want
+
+
 def test_word_memory_of_a_long_text():
     """Beside the words' spans and hashes only pieces are held: some bytes a byte of text."""
     import tracemalloc
