@@ -232,11 +232,26 @@ def _topics(spark, d, run):
     return per.select(F.col("label").alias("topic"), "qid", F.inline(F.array(F.struct(F.lit("ndcg").alias("metric"), F.col("ndcg_cut_20").alias("value")), F.struct(F.lit("map").alias("metric"), F.col("map_cut_20").alias("value")))))
 
 
+def _queries(spark, d, how="inner"):
+    """metric, topic, qid and the values of the runs over all components (a) and over the first half (b)."""
+    a, b = (_topics(spark, d, _run(spark, d, 20, dims)).withColumnRenamed("value", n) for dims, n in ((None, "a"), (32, "b")))
+    return a.join(b, ["metric", "topic", "qid"], how)
+
+
+def _topic_means(rows, *models):
+    """metric, topic and the models' means over the queries that all of them have: for MAP those for which each found something."""
+    for n in models:
+        rows = rows.where(F.col(n).isNotNull() & ((F.col("metric") == "ndcg") | (F.col(n) > 0)))
+    return rows.groupBy("metric", "topic").agg(*[F.avg(n).alias(n) for n in models])
+
+
+def _paired(rows):
+    return written(_topic_means(rows, "a", "b").withColumn("diff", F.col("a") - F.col("b")))
+
+
 def _values(spark, d):
     """The mean values of the topics that both runs have: a topic's MAP counts the queries for which both found something."""
-    a, b = (_topics(spark, d, _run(spark, d, 20, dims)).withColumnRenamed("value", n) for dims, n in ((None, "a"), (32, "b")))
-    both = a.join(b, ["metric", "topic", "qid"]).where("metric = 'ndcg' or (a > 0 and b > 0)").groupBy("metric", "topic").agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
-    return written(both.withColumn("diff", F.col("a") - F.col("b")))
+    return _paired(_queries(spark, d))
 
 
 def _rounded(df, *names):
@@ -310,9 +325,11 @@ def single_model(spark, d):
 WITH {_VALUES}, {_REPORT} SELECT metric, n AS n_topics, round(mean, 6) AS difference, round(low, 6) AS low, round(high, 6) AS high, round((1 + extreme) / {_B + 1}.0, 6) AS p FROM o JOIN q USING (metric) JOIN e USING (metric)
 """)
 def statistics_json(spark, d):
-    """The record of a run as one JSON document, written and read back."""
-    v, path = _values(spark, d), scratch(spark)
-    body = files.statistics_json(significance.report(v, _B, 31), {"model_a": significance.single(v.select("metric", "topic", F.col("a").alias("value")), 200, 5)}, {"seed": 31, "repetitions": _B})
+    """The record of a run as one JSON document, written and read back: the paired figures, and each model's own over all topics that it has."""
+    q, path = written(_queries(spark, d, "full")), scratch(spark)
+    own = {f"model_{n}": written(_topic_means(q, n).withColumnRenamed(n, "value")) for n in "ab"}
+    settings = {"protocol": "dense, best 20, the same label is relevant", "model_a": "all components", "model_b": "first 32 components", "seed": 31, "repetitions": _B}
+    body = files.statistics_json(significance.report(_paired(q), _B, 31), {name: significance.single(x, _B, 31) for name, x in own.items()}, settings, own)
     files.write_lines(spark.createDataFrame([(body,)], "value string"), path)
     stats = "struct<n_topics:bigint,difference_a_minus_b:double,bootstrap_95_ci:array<double>,paired_sign_flip_p_two_sided:double>"
     rows = spark.read.text(path).select(F.explode(F.from_json(F.get_json_object("value", "$.metrics"), f"map<string,{stats}>")).alias("metric", "s"))

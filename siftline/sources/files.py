@@ -231,17 +231,24 @@ def config(path: str, sections: tuple = ()) -> dict:
     return found
 
 
-def statistics_json(paired: DataFrame, singles: dict, settings: dict) -> str:
-    """The record of a significance run: settings, each metric's paired figures, and each model's own intervals.
+def statistics_json(paired: DataFrame, singles: dict, settings: dict, values: dict) -> str:
+    """The record of a significance run: settings, each metric's paired figures, each model's own intervals, and the values behind them by topic.
 
-    paired and singles hold one row a metric (operators.significance)."""
+    paired and singles hold one row a metric (operators.significance); singles and values name the models, values' rows are (metric, topic, value)."""
     def figures(df, names):
         return {r["metric"]: {out: r[c] for c, out in names.items() if c in r.asDict()} | {"bootstrap_95_ci": [r["low"], r["high"]]} for r in df.collect()}
 
+    def by_topic(df):
+        found = {}
+        for r in df.collect():
+            found.setdefault(str(r["topic"]), {})[r["metric"]] = r["value"]
+        return found
+
     both = {"n": "n_topics", "mean_a": "model_a_mean", "mean_b": "model_b_mean", "mean": "difference_a_minus_b", "p": "paired_sign_flip_p_two_sided", "topics": "topic_ids"}
     own = {"n": "n_topics", "mean": "mean", "p": "sign_flip_p_two_sided_vs_zero"}
     return json.dumps({**settings, "difference_direction": "model_a - model_b", "metrics": figures(paired, both),
-                       "individual_intervals": {name: figures(df, own) for name, df in singles.items()}}, ensure_ascii=False, sort_keys=True)
+                       "individual_intervals": {name: figures(df, own) for name, df in singles.items()},
+                       "per_topic": {name: by_topic(df) for name, df in values.items()}}, ensure_ascii=False, sort_keys=True)
 
 
 def write_run(run: DataFrame, path: str) -> None:
